@@ -141,7 +141,7 @@ def dedup_exact(docs: DataFrame, capacity: int = CAPACITY, hash_bits: int = 64)
     # Owners take key ranges; how long each chain is.
     chains = placed.groupBy("bucket", "key").agg(F.count("*").alias("links")).where("links > 1")
     several = stored(placed.join(chains, ["bucket", "key"]).select("entry", "key", "n", "best_chars", "best_id", "rid", "bucket"), "hash-chains")
-    fetched = several.join(rows, (several.best_id == rows.doc_id) & (several.rid == rows.rid)).select("entry", "key", "n", "best_chars", "best_id", "bucket", "text").dropDuplicates(["entry"])
+    fetched = several.join(rows.hint("merge"), (several.best_id == rows.doc_id) & (several.rid == rows.rid)).select("entry", "key", "n", "best_chars", "best_id", "bucket", "text").dropDuplicates(["entry"])
     bodies = fetched.mapInArrow(_bodies, "entry long, key long, n long, best_chars long, best_id long, bucket long, body binary")
     owned = bodies.repartition(partitions(spark), "bucket", "key").sortWithinPartitions("bucket", "key", "entry").mapInArrow(_compare, "entry long, keep_id long, group_size long")
     out = index.join(owned, "entry", "left").select(F.explode("members").alias("doc_id"), F.coalesce("keep_id", "best_id").alias("keep_id"), F.coalesce("group_size", "n").alias("group_size"), F.col("sha").alias("text_sha256"))
