@@ -121,33 +121,40 @@ def twice_filter(docs: DataFrame, least: int) -> tuple[int, np.ndarray]:
     return bits, out
 
 
+SUSPECT = "key binary, first long, last long, docs array<long>, rids array<long>, lines array<array<int>>"
+
+
 def _suspects(shared, bits: int, least: int):
+    """A row for each suspected key of some documents, with all of them that hold it: a hot line is few rows."""
+
     def run(batches):
         seen = Seen(8)
         seen.twice, seen.bits = shared.value, bits
-        for batch in batches:
-            ids, rids = batch.column("doc_id").to_pylist(), batch.column("rid").to_pylist()
-            doc, rid, keys, lines = [], [], [], []
+        held: dict[bytes, list] = {}
 
-            def flush(doc=doc, rid=rid, keys=keys, lines=lines):
-                if keys:
-                    keep = np.flatnonzero(seen.has(probes(keys, bits), seen.twice)).tolist()
-                    if keep:
-                        yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], kind) for x, kind in ((doc, pa.int64()), (rid, pa.int64()), (keys, pa.binary()), (lines, pa.list_(pa.int32())))], ["doc_id", "rid", "key", "lines"])
-                for x in (doc, rid, keys, lines):
-                    x.clear()
+        def flush():
+            keys = list(held)
+            rows = [(keys[i], *held[keys[i]]) for i in np.flatnonzero(seen.has(probes(keys, bits), seen.twice)).tolist()]
+            held.clear()
+            if rows:
+                key, docs, rids, lines = zip(*rows, strict=True)
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((key, map(min, docs), map(max, docs), docs, rids, lines), kinds, strict=True)], [x.split()[0] for x in SUSPECT.split(", ")])
 
+        for batch in batches:
+            ids, rids = batch.column("doc_id").to_pylist(), batch.column("rid").to_pylist()
             for text, d, r in zip(byte_rows(batch.column("text")), ids, rids, strict=True):
                 own: dict[bytes, list[int]] = {}
                 for i, line in enumerate(text.split(b"\n")):
                     if (k := key_of(line, least)) is not None:
                         own.setdefault(k, []).append(i)
-                doc += [d] * len(own)
-                rid += [r] * len(own)
-                keys += own
-                lines += own.values()
-                if len(keys) > 20_000:
+                for k, lines in own.items():
+                    row = held.setdefault(k, [[], [], []])
+                    for to, x in zip(row, (d, r, lines), strict=True):
+                        to.append(x)
+                if len(held) > 50_000:
                     yield from flush()
+        if held:
             yield from flush()
 
     return run
@@ -159,7 +166,7 @@ def _apply(batches):
         for text, drop in zip(byte_rows(batch.column("text")), batch.column("drop").to_pylist(), strict=True):
             lines = text.split(b"\n")
             n.append(len(lines))
-            gone = {i for part in drop or () for i in part}
+            gone = set(drop or ())
             dropped.append(len(gone))
             kept.append(text if not gone else b"\n".join([x for i, x in enumerate(lines) if i not in gone]))
         yield pa.RecordBatch.from_arrays(
@@ -183,9 +190,10 @@ def dedup_lines(docs: DataFrame, least_chars: int = 10) -> DataFrame:
     spark = docs.sparkSession
     rows = texts(docs).withColumn("rid", F.xxhash64("text"))
     bits, twice = twice_filter(rows, least_chars)
-    found = stored(rows.mapInArrow(_suspects(spark.sparkContext.broadcast(twice), bits, least_chars), "doc_id long, rid long, key binary, lines array<int>"), "line-suspects")
-    firsts = found.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    drops = found.join(firsts, "key").where("doc_id > first").dropDuplicates(["doc_id", "rid", "key"]).groupBy("doc_id", "rid").agg(F.collect_list("lines").alias("drop"))
+    found = stored(rows.mapInArrow(_suspects(spark.sparkContext.broadcast(twice), bits, least_chars), SUSPECT), "line-suspects")
+    firsts = found.groupBy("key").agg(F.min("first").alias("keep"), F.max("last").alias("last")).where("keep < last").drop("last")
+    members = found.join(firsts, "key").select("keep", F.explode(F.arrays_zip("docs", "rids", "lines")).alias("m")).where("m.docs > keep")
+    drops = members.groupBy(F.col("m.docs").alias("doc_id"), F.col("m.rids").alias("rid")).agg(F.flatten(F.collect_set("m.lines")).alias("drop"))
     return rows.join(drops, ["doc_id", "rid"], "left").select("doc_id", "rid", "text", "drop").mapInArrow(_apply, "doc_id long, rid long, n_lines long, n_dropped long, kept_text string, kept_sha256 string").withColumn("doc_id", real_id("doc_id"))
 
 

@@ -6,21 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loreweave.llm import exact_dedup, line_dedup, mixing, simhash
+from loreweave.llm import exact_dedup, license_scan, line_dedup, lm, mixing, quality, sentencepiece_codec, simhash, suffix_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.op1(_table(spark, sf_dir, "documents"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.op2(_table(spark, sf_dir, "documents"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.op3(_table(spark, sf_dir, "documents"))
+
+
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op4(_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op5(_table(spark, sf_dir, "documents"))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.op6(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op7(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op8(_table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op9(_table(spark, sf_dir, "documents"))
 
@@ -29,5 +53,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.op10(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_simhash, op7_mix, op9_line_dedup, op10_exact_dedup)}
-ORACLE_SQL: dict[str, str] = {"op7_mix": mixing.SQL, "op9_line_dedup": line_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_license_scan, op2_sentencepiece, op3_suffix_dedup, op4_lm_score, op5_simhash, op6_top_k, op7_mix, op8_quality, op9_line_dedup, op10_exact_dedup)
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": license_scan.SQL,
+    "op6_top_k": topk.SQL,
+    "op7_mix": mixing.SQL,
+    "op9_line_dedup": line_dedup.SQL,
+    "op10_exact_dedup": exact_dedup.SQL,
+}
