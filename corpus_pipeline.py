@@ -1,8 +1,76 @@
-"""A training-corpus pipeline of five of the corpus operators."""
+"""A training corpus out of raw documents, in five stages of the corpus operators.
 
-STAGES = []
+Every stage but the last returns the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loreweave.llm import line_dedup, mixing, quality, sentencepiece_codec, simhash
+from loreweave.llm.common import stored
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _row_hash() -> Column:
+    """What the operators call rid."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _with(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """Rows of docs with what an operator says of them (by doc_id and rid); rows it doesn't name go."""
+    told = told.select(F.col("doc_id").alias("told_id"), F.col("rid").alias("told_rid"), *[c for c in told.columns if c not in ("doc_id", "rid")])
+    return docs.select(*COLUMNS).join(told, F.col("doc_id").eqNullSafe(F.col("told_id")) & (_row_hash() == F.col("told_rid")))
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.without_bad(docs.select(*COLUMNS))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that a document of smaller id holds go; documents stay, with an empty text if no line is left."""
+    out = line_dedup.dedup_lines(docs, carry=("lang", "source"))
+    return out.select("doc_id", F.col("kept_text").alias("text"), "carried.lang", "carried.source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of a group of near copies the document of smallest id stays.
+
+    Shingles of four words and 4 of 64 bits, as the operator's contract has them.
+    """
+    kept = simhash.near_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("rid").alias("rid"))
+    return _with(docs, kept).dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes its words, rounded to whole texts; one of which it takes under half goes."""
+    taken = mixing.mix(docs).where("size > 0").groupBy("doc_id", "rid").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times")).where("times > 0")
+    return _with(docs, taken).withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each text, and whether they decode to it."""
+    return sentencepiece_codec.encode(docs)
+
+
+STAGES = [
+    ("quality filter", quality_filter),
+    ("line dedup", drop_repeated_lines),
+    ("near dedup", drop_near_copies),
+    ("source mix", mix_sources),
+    ("sentencepiece", encode),
+]
+
+#: Fingerprints, learned weights and the piece model have no form in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the table documents; what a stage returns is written before the next one reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

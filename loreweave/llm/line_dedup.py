@@ -19,7 +19,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreweave.llm.common import byte_rows, partitions, real_id, stored, texts
@@ -169,14 +169,14 @@ def _apply(batches):
             gone = set(drop or ())
             dropped.append(len(gone))
             kept.append(text if not gone else b"\n".join([x for i, x in enumerate(lines) if i not in gone]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("rid"), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string(), safe=False), pa.array([hashlib.sha256(x).hexdigest() for x in kept])],
-            ["doc_id", "rid", "n_lines", "n_dropped", "kept_text", "kept_sha256"],
-        )
+        own = [pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string(), safe=False), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), batch.column("carried"), *own], ["doc_id", "rid", "carried", "n_lines", "n_dropped", "kept_text", "kept_sha256"])
 
 
-def dedup_lines(docs: DataFrame, least_chars: int = 10) -> DataFrame:
-    """(doc_id, rid, n_lines, n_dropped, kept_text, kept_sha256), a row for each row of docs.
+def dedup_lines(docs: DataFrame, least_chars: int = 10, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, rid, carried, n_lines, n_dropped, kept_text, kept_sha256), a row for each row of docs.
+
+    carried: a struct of the columns named in carry, as they are.
 
     A line's key is the line stripped of ASCII white space and with A-Z in lower
     case. A key of least_chars code points or more that at least two documents
@@ -188,13 +188,15 @@ def dedup_lines(docs: DataFrame, least_chars: int = 10) -> DataFrame:
     Other columns are ignored, so their names can't clash.
     """
     spark = docs.sparkSession
-    rows = texts(docs).withColumn("rid", F.xxhash64("text"))
+    rows = texts(docs, F.struct(F.lit(0).alias("_"), *carry).alias("carried")).withColumn("rid", F.xxhash64("text"))
+    carried = rows.schema["carried"].dataType.simpleString()
     bits, twice = twice_filter(rows, least_chars)
-    found = stored(rows.mapInArrow(_suspects(spark.sparkContext.broadcast(twice), bits, least_chars), SUSPECT), "line-suspects")
+    found = stored(rows.drop("carried").mapInArrow(_suspects(spark.sparkContext.broadcast(twice), bits, least_chars), SUSPECT), "line-suspects")
     firsts = found.groupBy("key").agg(F.min("first").alias("keep"), F.max("last").alias("last")).where("keep < last").drop("last")
     members = found.join(firsts, "key").select("keep", F.explode(F.arrays_zip("docs", "rids", "lines")).alias("m")).where("m.docs > keep")
     drops = members.groupBy(F.col("m.docs").alias("doc_id"), F.col("m.rids").alias("rid")).agg(F.flatten(F.collect_set("m.lines")).alias("drop"))
-    return rows.join(drops, ["doc_id", "rid"], "left").select("doc_id", "rid", "text", "drop").mapInArrow(_apply, "doc_id long, rid long, n_lines long, n_dropped long, kept_text string, kept_sha256 string").withColumn("doc_id", real_id("doc_id"))
+    out = rows.join(drops, ["doc_id", "rid"], "left").select("doc_id", "rid", "carried", "text", "drop")
+    return out.mapInArrow(_apply, f"doc_id long, rid long, carried {carried}, n_lines long, n_dropped long, kept_text string, kept_sha256 string").withColumn("doc_id", real_id("doc_id"))
 
 
 def op9(docs: DataFrame) -> DataFrame:
@@ -212,7 +214,3 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
-
-def lines_kept(text: Column) -> Column:
-    """Number of lines of a text."""
-    return F.size(F.split(text, "\n"))

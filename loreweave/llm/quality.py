@@ -144,39 +144,44 @@ def accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tu
     return post, table
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels, full batches with Adam."""
     w = np.zeros(x.shape[1] + 1)
     one, two = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-        g = np.append(x.T @ (p - y) / max(1, len(y)) + decay * w[:-1], (p - y).mean() if len(y) else 0.0)
+        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1].astype(x.dtype) + w[-1], -30, 30)))
+        g = np.append((p - y).astype(x.dtype) @ x / max(1, len(y)) + decay * w[:-1], (p - y).mean() if len(y) else 0.0)
         one, two = 0.9 * one + 0.1 * g, 0.999 * two + 0.001 * g * g
         w -= rate * (one / (1 - 0.9**t)) / (np.sqrt(two / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
+def _judge(model: tuple, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    w, bias, prior = model
+    m, n = measures(buf, at)
+    s = (features(buf, at, m) @ w.astype(np.float32) + np.float32(bias)).astype(np.float64)
+    s = (s * n + prior * PRIOR_WORDS) / (n + PRIOR_WORDS)
+    return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+
+
 def _score(shared):
     def run(batches):
-        w, bias, prior = shared.value
         for part, buf, at in _slices(batches):
-            m, n = measures(buf, at)
-            s = features(buf, at, m) @ w.astype(np.float32) + np.float32(bias)
-            s = (s * n + prior * PRIOR_WORDS) / (n + PRIOR_WORDS)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rid"), pa.array(1 / (1 + np.exp(-np.clip(s.astype(np.float64), -30, 30))))], ["doc_id", "rid", "p_bad"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rid"), pa.array(_judge(shared.value, buf, at))], ["doc_id", "rid", "p_bad"])
 
     return run
 
 
-def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, rid, p_bad, keep), a row for each row of docs.
+def _keep(shared, threshold: float):
+    def run(batches):
+        for part, buf, at in _slices(batches):
+            yield part.filter(pa.array(_judge(shared.value, buf, at) < threshold))
 
-    p_bad: the scorer's, which the share of bad texts among all tempers for short
-    texts; keep: p_bad under threshold. Null or empty text: no labeller votes, and
-    p_bad is that share. Null doc_id and repeated rows: a row each. Empty table: no
-    rows. Other columns are ignored.
-    """
-    spark = docs.sparkSession
+    return run
+
+
+def learned(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, float]:
+    """(weights, bias, prior log odds of bad) of the scorer for docs."""
     rows = texts(docs).withColumn("rid", F.xxhash64("text"))
     voted = stored(rows.mapInArrow(_vote, "doc_id long, rid long, pattern long"), "votes")
     seen = voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()  # 3^7 rows at most
@@ -186,16 +191,36 @@ def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> D
     # The sample: rows whose hash is among the smallest.
     place = F.xxhash64("doc_id", "rid")
     cut = voted.select(place.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    some = rows.where(place <= F.lit(cut)).mapInArrow(_featurise, "doc_id long, rid long, at binary, value binary").join(voted.where(place <= F.lit(cut)).dropDuplicates(["doc_id", "rid"]), ["doc_id", "rid"]).limit(2 * sample).collect() if cut is not None else []
-    x = np.zeros((len(some), WIDTH), np.float32)
-    for i, r in enumerate(some):
-        x[i, np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["value"], np.float32)
-    w, bias = fit(x, np.array([named[r.pattern] for r in some]))
+    x, y = np.zeros((0, WIDTH), np.float32), np.zeros(0)
+    if cut is not None:
+        labels = voted.where(place <= F.lit(cut)).dropDuplicates(["doc_id", "rid"])
+        some = rows.where(place <= F.lit(cut)).mapInArrow(_featurise, "doc_id long, rid long, at binary, value binary").join(labels, ["doc_id", "rid"]).limit(2 * sample).collect()
+        x, y = np.zeros((len(some), WIDTH), np.float32), np.array([named[r.pattern] for r in some])
+        for i, r in enumerate(some):
+            x[i, np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["value"], np.float32)
     share = (post @ counts + 1) / (counts.sum() + 2) if len(seen) else 0.5
-    prior = float(np.log(share / (1 - share)))
-    scored = rows.mapInArrow(_score(spark.sparkContext.broadcast((w, bias, prior))), "doc_id long, rid long, p_bad double")
+    return *fit(x, y), float(np.log(share / (1 - share)))
+
+
+def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, rid, p_bad, keep), a row for each row of docs.
+
+    p_bad: the scorer's, which the share of bad texts among all tempers for short
+    texts; keep: p_bad under threshold. Null or empty text: no labeller votes, and
+    p_bad is that share. Null doc_id and repeated rows: a row each. Empty table:
+    no rows. Other columns are ignored.
+    """
+    rows = texts(docs).withColumn("rid", F.xxhash64("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(learned(docs, sample))
+    scored = rows.mapInArrow(_score(shared), "doc_id long, rid long, p_bad double")
     return scored.select(real_id("doc_id"), "rid", "p_bad", (F.col("p_bad") < threshold).alias("keep"))
 
 
+def without_bad(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+    """docs without the rows that classify() would not keep; all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(learned(docs, sample))
+    return docs.mapInArrow(_keep(shared, threshold), docs.schema)
+
+
 def op8(docs: DataFrame) -> DataFrame:
     return classify(docs).drop("rid")
