@@ -30,12 +30,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Spans:
-    """Hashes of spans of buf; equal spans have equal hashes wherever they stand."""
+    """Hashes of spans of bytes (or of wider numbers); equal spans have equal hashes wherever they stand."""
 
     def __init__(self, buf: np.ndarray):
         up, self.down = _tables(len(buf) + 1)
         self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_BYTE[buf] * up[: len(buf)], out=self.sums[1:])
+        value = _BYTE[buf] if buf.dtype == np.uint8 else mixed(buf.astype(np.uint64) + _BYTE[0])
+        np.cumsum(value * up[: len(buf)], out=self.sums[1:])
 
     def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         return mixed((self.sums[high] - self.sums[low]) * self.down[low])

@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding with a batched numpy Viterbi.
 
-Texts fall into words at places that no piece crosses; distinct words of equal
+Texts are cut into units at places that no piece crosses; distinct units of equal
 length advance together, one character a step. At each step the hashes of the
 substrings that end there probe the sorted keys of the pieces, and a maximum over
 the candidates stores the piece and where it starts (the backpointer).
@@ -9,8 +9,8 @@ For a unigram model the maximum is over sums of scores. The given model is a BPE
 model, whose encoding is no maximum of sums. It is still a path: the one in which
 each two neighbouring pieces would come out as they are if they stood alone. So
 for BPE the maximum is over admissible pieces, of which a place has exactly one;
-whether two pieces can be neighbours is worked out by merging the pair (again in
-batches of equal length) and kept. Results equal the library's for both kinds.
+whether two pieces can be neighbours follows from how each merges by itself (traced
+once per piece) and is kept. Results equal the library's for both kinds.
 
 A character without a piece becomes the pieces of its bytes. The tables come from
 the model file and have its size, so they are broadcast. Nothing is shuffled.
@@ -31,9 +31,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MARK = SPACE.encode()
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Words that a worker remembers before it starts afresh, slots for pairs of pieces, cells of a batch.
-WORDS, PAIR_SLOTS, CELLS = 3_000_000, 1 << 22, 1 << 19
-LONG = 48
+#: Words that a worker remembers before it starts afresh, cells of a batch.
+WORDS, CELLS = 3_000_000, 1 << 19
 
 
 def fields(data: bytes):
@@ -82,8 +81,6 @@ class Model:
         for i in range(n):
             if m.is_byte(i):
                 self.bytes[int(pieces[i][3:5], 16)] = i
-        if any(SPACE in pieces[i].lstrip(SPACE) or "\n" in pieces[i][1:] + pieces[i][:-1] for i in plain):
-            raise ValueError("pieces cross words")
         self.longest = max(len(pieces[i]) for i in plain)
         self.chars = [np.array([ord(c) for c in pieces[i]], np.uint32) for i in range(n)]
         self.length = np.array([len(x) for x in self.chars])
@@ -99,6 +96,10 @@ class Model:
         # Character pairs that stand together in some piece; words may be cut elsewhere.
         pairs = np.concatenate([(x[:-1].astype(np.uint64) << np.uint64(32)) | x[1:] for i in plain if len(x := self.chars[i]) > 1])
         self.together = np.unique(pairs)
+        self.near = np.zeros(128 * 128, bool)
+        x, y = (self.together >> np.uint64(32)).astype(np.int64), (self.together & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        plain_pair = (x < 128) & (y < 128)
+        self.near[x[plain_pair] * 128 + y[plain_pair]] = True
         surfaces = [pieces[i].replace(SPACE, " ").encode() for i in range(n)]
         for b, i in enumerate(self.bytes.tolist()):
             if i >= 0:
@@ -112,7 +113,7 @@ class Model:
         self.surface_at = np.concatenate(([0], np.cumsum([len(x) for x in surfaces])))
         self.alone = np.ones(n + 1, bool)
         if self.bpe:
-            self.alone[plain] = self.stays(np.array(plain), None)
+            self.trace(plain)
 
     def probe(self, h: np.ndarray) -> np.ndarray:
         """Piece of each hash, or -1."""
@@ -123,43 +124,67 @@ class Model:
         out[some] = np.where(self.keys[at] == x, self.ids[at], -1)
         return out
 
-    def stays(self, a: np.ndarray, b: np.ndarray | None) -> np.ndarray:
-        """Whether merging by score gives the pieces a and b back from their characters (b None: the piece a alone)."""
-        n = self.length[a] + (0 if b is None else self.length[b])
-        out = np.zeros(len(a), bool)
-        for size in np.unique(n).tolist():
-            own = np.flatnonzero(n == size)
-            for low in range(0, len(own), 1 + CELLS // size):
-                some = own[low : low + 1 + CELLS // size]
-                cut, place = self.length[a[some]], np.arange(size)
-                chars = self.padded[a[some][:, None], np.minimum(place, self.padded.shape[1] - 1)]
-                if b is not None:
-                    late = place >= cut[:, None]
-                    chars = np.where(late, self.padded[b[some][:, None], np.clip(place - cut[:, None], 0, self.padded.shape[1] - 1)], chars)
-                start, count = self.merged(chars)
-                out[some] = count == 1 if b is None else (count == 2) & (start[:, 1] == cut)
+    def apart(self, chars: np.ndarray) -> np.ndarray:
+        """Whether each character and the next are together in no piece, so that a text may be cut between them."""
+        one, two = chars[:-1], chars[1:]
+        ascii_ = (one < 128) & (two < 128)
+        out = ~self.near[np.where(ascii_, one * np.uint32(128) + two, 0)]
+        odd = np.flatnonzero(~ascii_)
+        pairs = (one[odd].astype(np.uint64) << np.uint64(32)) | two[odd]
+        own, back = np.unique(pairs, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.together, own), len(self.together) - 1)
+        out[odd] = (self.together[at] != own)[back]
         return out
 
-    def merged(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, how many) of the symbols that are left when the best pair, leftmost of equals, merges again and again."""
-        rows, n = chars.shape
-        h = hashed(chars)
-        start, count = np.tile(np.arange(n + 2).clip(max=n), (rows, 1)), np.full(rows, n)
-        active = np.arange(rows)
-        while len(active) and n > 1:
-            s = start[active]
-            i, j = s[:, :-2], s[:, 2:]
-            piece = self.probe(span(np.take_along_axis(h[active], i, 1), np.take_along_axis(h[active], j, 1), j - i))
-            can = (piece >= 0) & (np.arange(i.shape[1]) + 1 < count[active][:, None])
-            score = np.where(can, self.scores[piece], -np.inf)
-            best = score.argmax(1)
-            on = can[np.arange(len(active)), best]
-            active, s, best = active[on], s[on], best[on]
-            take = np.arange(s.shape[1])
-            take = np.minimum(take + (take[None, :] > best[:, None]), s.shape[1] - 1)
-            start[active] = np.take_along_axis(s, take, 1)
-            count[active] -= 1
-        return start, count
+    def trace(self, plain: list[int]) -> None:
+        """Merges each piece from its characters, best pair first and leftmost of equals, and notes how.
+
+        gain[p, k]: score of merge k (-inf: none); right[p, k], left[p, k]: start of
+        the last and end of the first symbol after k merges; prefix: hashes.
+        """
+        shape = (self.size, self.padded.shape[1] + 1)
+        self.gain, self.prefix = np.full(shape, -np.inf), hashed(self.padded)
+        self.right, self.left = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+        self.alone = np.ones(self.size + 1, bool)
+        for n in np.unique(self.length[plain]).tolist():  # batches of equal length
+            own = np.array([p for p in plain if self.length[p] == n])
+            s, h = np.tile(np.arange(n + 2).clip(max=n), (len(own), 1)), self.prefix[own]
+            at = np.arange(len(own))[:, None]
+            self.right[own, :], self.left[own, :] = n - 1, 1
+            for k in range(n - 1):
+                i, j = s[:, :-2], s[:, 2:]
+                piece = self.probe(span(h[at, i], h[at, j], j - i))
+                score = np.where((piece >= 0) & (s[:, 1:-1] < n), self.scores[piece], -np.inf)
+                best = score.argmax(1)
+                self.gain[own, k] = score[at[:, 0], best]
+                on = self.gain[own, k] > -np.inf
+                late = (np.arange(s.shape[1] - 1) > best[:, None]) & on[:, None]
+                s[:, :-1] = np.where(late, s[:, 1:], s[:, :-1])
+                self.right[own, k + 1 :] = np.where(s < n, s, 0).max(1)[:, None]
+                self.left[own, k + 1 :] = s[:, 1][:, None]
+            self.alone[own] = s[:, 1] == n
+
+    def stays(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the characters of pieces a and b, side by side, merge into just these two.
+
+        Each piece merges as it does alone until a pair across the border is the
+        best; so the two traces are followed together, one merge a step.
+        """
+        out, row = np.ones(len(a), bool), np.arange(len(a))
+        i, j = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        while len(row):
+            x, y = a[row], b[row]
+            low, high, n = self.right[x, i], self.left[y, j], self.length[x]
+            tail = span(self.prefix[x, low], self.prefix[x, n], n - low)
+            piece = self.probe(tail * _powers[high] + self.prefix[y, high])
+            across = np.where(piece >= 0, self.scores[piece], -np.inf)
+            one, two = self.gain[x, i], self.gain[y, j]
+            cross = (across > one) & (across >= two) & (across > -np.inf)
+            out[row[cross]] = False
+            go = ~cross & (np.maximum(one, two) > -np.inf)
+            first = (one >= two)[go]
+            row, i, j = row[go], i[go] + first, j[go] + ~first
+        return out
 
 
 def hashed(chars: np.ndarray) -> np.ndarray:
@@ -182,7 +207,7 @@ class Encoder:
 
     def __init__(self, model: Model):
         self.m = model
-        self.pair_key, self.pair_ok = np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, bool)
+        self.pairs = np.zeros(1 << 24, np.uint64)  # (pair, answer) in the slot of the pair's hash
         self.forget()
 
     def forget(self) -> None:
@@ -194,15 +219,17 @@ class Encoder:
         """Whether pieces a and b can stand side by side; a character of no piece (id size) can beside any."""
         out = np.ones(len(a), bool)
         both = np.flatnonzero((a < self.m.size) & (b < self.m.size))
-        key = a[both] * (self.m.size + 1) + b[both]
-        slot = ((key.astype(np.uint64) * BASE) >> np.uint64(42)).astype(np.int64) % PAIR_SLOTS
-        new = self.pair_key[slot] != key
-        out[both] = self.pair_ok[slot]
-        if new.any():
-            fresh, at = np.unique(key[new], return_index=True)
-            ok = self.m.stays(fresh // (self.m.size + 1), fresh % (self.m.size + 1))
-            self.pair_key[slot[new][at]], self.pair_ok[slot[new][at]] = fresh, ok
-            out[both[new]] = ok[np.searchsorted(fresh, key[new])]
+        key = (a[both] * self.m.size + b[both] + 1).astype(np.uint64)  # 0 is an empty slot
+        slot = ((key * BASE) >> np.uint64(40)).astype(np.int64)
+        held = self.pairs[slot]
+        out[both] = held & np.uint64(1)
+        new = np.flatnonzero(held >> np.uint64(1) != key)
+        if len(new):
+            fresh, at, back = np.unique(key[new], return_index=True, return_inverse=True)
+            x, y = a[both[new[at]]], b[both[new[at]]]
+            ok = self.m.stays(x, y)
+            self.pairs[slot[new[at]]] = (fresh << np.uint64(1)) | ok
+            out[both[new]] = ok[back]
         return out
 
     def viterbi(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,16 +292,6 @@ class Encoder:
 
     def spell(self, chars: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pieces end to end, how many each) of the words chars[low : low + n]."""
-        word = np.arange(len(low))
-        if (n > LONG).any():  # long words are cut at character pairs that stand together in no piece
-            pairs = (chars[:-1].astype(np.uint64) << np.uint64(32)) | chars[1:]
-            at = np.minimum(np.searchsorted(self.m.together, pairs), len(self.m.together) - 1)
-            loose = np.concatenate(([True], self.m.together[at] != pairs))
-            starts = [x + np.flatnonzero(np.append(True, loose[x + 1 : x + k])) if k > LONG else np.array([x]) for x, k in zip(low.tolist(), n.tolist(), strict=True)]
-            word = np.repeat(word, [len(x) for x in starts])
-            ends = np.concatenate([np.append(x[1:], y) for x, y in zip(starts, (low + n).tolist(), strict=True)])
-            low = np.concatenate(starts)
-            n = ends - low
         order = np.argsort(n, kind="stable")
         found, count = [], np.zeros(len(low), np.int64)
         edges = np.flatnonzero(np.diff(n[order], prepend=-1, append=-1))
@@ -289,7 +306,7 @@ class Encoder:
         begin = np.zeros(len(low), np.int64)
         begin[order] = np.cumsum(count[order]) - count[order]
         ends = np.cumsum(count)
-        return ids[np.repeat(begin - (ends - count), count) + np.arange(ends[-1])], np.bincount(word, weights=count).astype(np.int64)
+        return ids[np.repeat(begin - (ends - count), count) + np.arange(ends[-1])], count
 
     def encode(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(piece ids of all rows end to end, offsets)."""
@@ -298,24 +315,22 @@ class Encoder:
         rows = [(b" " + x).replace(MARK, b" ") if x else x for x in rows]
         edge = np.cumsum([0, *map(len, rows)])
         body = b"".join(rows)
-        buf = np.frombuffer(body, np.uint8)
-        if not len(buf):
+        if not body:
             return np.zeros(0, np.int64), edge
-        # Pieces cross no border before a run of spaces, and none beside a line's end.
-        space, line = buf == 32, buf == 10
-        border = line.copy()
-        border[1:] |= line[:-1] | (space[1:] & ~space[:-1])
-        border[edge[:-1][edge[:-1] < len(buf)]] = True
+        chars = np.frombuffer(body.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        if len(chars) < len(body):
+            edge = np.concatenate(([0], np.cumsum((np.frombuffer(body, np.uint8) & 0xC0) != 0x80)))[edge]
+        chars = np.where(chars == 32, np.uint32(ord(SPACE)), chars)
+        border = np.concatenate(([True], self.m.apart(chars)))
+        border[edge[:-1][edge[:-1] < len(chars)]] = True
         low = np.flatnonzero(border)
-        high = np.append(low[1:], len(buf))
-        h, first, code = np.unique(Spans(buf).of(low, high), return_index=True, return_inverse=True)
+        high = np.append(low[1:], len(chars))
+        h, first, code = np.unique(Spans(chars).of(low, high), return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
         new = np.flatnonzero(self.known[at] != h) if len(self.known) else np.arange(len(h))
         if len(new):
-            chars = np.frombuffer(body.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-            index = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80))) if len(chars) < len(buf) else np.arange(len(buf) + 1)
-            a, b = index[low[first[new]]], index[high[first[new]]]
-            ids, n = self.spell(np.where(chars == 32, ord(SPACE), chars).astype(np.uint32), a, b - a)
+            a, b = low[first[new]], high[first[new]]
+            ids, n = self.spell(chars, a, b - a)
             place = np.searchsorted(self.known, h[new])
             self.number = np.insert(self.number, place, len(self.at) - 1 + np.arange(len(new)))
             self.known = np.insert(self.known, place, h[new])
