@@ -8,7 +8,8 @@ move each byte a hundredfold, so work narrows in three steps, each exact:
    alone. Neighbouring windows with one anchor form a segment (about 35 windows),
    and equal windows have equal anchors. Per segment only the anchor and a hash
    of its bytes are shuffled. An anchor found once: none of its windows repeats.
-   A segment equal to an earlier one: all its windows repeat. Others stay open.
+   A segment equal to an earlier one: all its windows repeat. Where an anchor's
+   segments differ, the first of each kind stays open.
 2. Index families. Only windows of open segments enter suffix arrays, each array
    ordered by the windows' 96-bit fingerprints (not by letters: all that is asked
    is equality at the match length). An owner task takes batch after batch: a
@@ -117,7 +118,7 @@ def _anchor_runs(buckets: int, match: int):
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
             later = same & ((doc != doc[head]) | (low != low[head]))
             group = np.cumsum(~same_anchor) - 1
-            known = again | (np.bincount(group) > 1)[group]
+            known = again | (np.bincount(group, weights=~same) > 1)[group]  # the anchor's segments differ
             state = np.where(later, COVERED, known).astype(np.uint8)
             # An anchor's first segment goes where the anchor lives; the rest, known to repeat, spread by their bytes.
             spread = np.where(later, mixed(doc.view(np.uint64) + low.astype(np.uint64)), np.where(same_anchor, whole, anchor))
@@ -136,7 +137,7 @@ def _anchor_runs(buckets: int, match: int):
 
 
 def _settle(batches):
-    """A bucket's segments: (doc, segs, open), those of repeated anchors only."""
+    """A bucket's segments: (doc, segs, open), those that repeat an earlier one or stay open."""
     kinds = (np.uint64, np.uint64, np.int64, np.int32, np.int32, np.uint8)
     by_bucket: dict[int, list] = {}
     for batch in batches:
@@ -149,11 +150,12 @@ def _settle(batches):
         anchor, whole, doc, low, n, state = (x[order] for x in (anchor, whole, doc, low, n, state))
         same_anchor = np.concatenate(([False], anchor[1:] == anchor[:-1]))
         group = np.cumsum(~same_anchor) - 1
-        again = (np.bincount(group) > 1) | (np.bincount(group, weights=state) > 0)
         same = same_anchor & np.concatenate(([False], (whole[1:] == whole[:-1]) & (n[1:] == n[:-1])))
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
         later = same & ((doc != doc[head]) | (low != low[head]))
-        keep = np.flatnonzero(again[group])
+        # Where all segments of an anchor are alike, the first has nothing before it.
+        differ = (np.bincount(group, weights=~same) > 1) | (np.bincount(group, weights=state == OPEN) > 0)
+        keep = np.flatnonzero(differ[group] | later | (state == COVERED))
         if not len(keep):
             continue
         out = np.zeros(len(keep), SEGMENT)
