@@ -22,7 +22,7 @@ def canonical_pages(pages: DataFrame, path: str = "html_path") -> DataFrame:
     """pages with canonical: the path without a trailing _N if a page of that path exists, else its own."""
     base = F.regexp_replace(path, r"(?i)^(.+)_(\d+)\.html?$", "$1.htm")
     there = pages.select(F.col(path).alias("base")).distinct().withColumn("found", F.lit(True))
-    return pages.withColumn("base", base).join(there, "base", "left").withColumn("canonical", F.when("found", F.col("base")).otherwise(F.col(path))).drop("base", "found")
+    return pages.withColumn("base", base).join(there, "base", "left").withColumn("canonical", F.when(F.col("found"), F.col("base")).otherwise(F.col(path))).drop("base", "found")
 
 
 def neighbors(edges: DataFrame, most: int = 5, reverse: bool = True) -> DataFrame:

@@ -18,7 +18,7 @@ from loreweave.operators.vectors import ranked
 def bm25(candidates: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query, id, score, rank) of (query, query_text, id, text, pos): Okapi scores with statistics of the query's candidates only.
 
-    Words are what stands between white space. A word that most candidates hold
+    Scores are compared to six places. Words are what stands between white space. A word that most candidates hold
     has a negative idf; it counts a quarter of the mean idf instead. A word that
     the query repeats counts each time. Ties keep the order of pos.
     """
@@ -48,14 +48,14 @@ def boost_titles(rows: DataFrame, titles: Column, terms: Column, factor: float =
     """rows of (query, pos, score, ...) with score * (1 + factor * matching terms) and the new rank; without terms the order stays."""
     matches = F.when(F.size(terms) > 0, match_count(titles, terms)).otherwise(0)
     out = rows.withColumn("matches", matches).withColumn("score", F.col("score") * (1 + factor * F.col("matches")))
-    order = [F.when(F.size(terms) > 0, F.col("score")).desc(), F.col("pos")]
+    order = [F.when(F.size(terms) > 0, F.round("score", 6)).desc(), F.col("pos")]
     return ranked(out, ["query"], order)
 
 
 def keep_title_matches(chosen: DataFrame, candidates: DataFrame, titles: Column, terms: Column, most: int = 3) -> DataFrame:
     """(query, id, rank): the best title matches among candidates, by (matches, score, -pos), before the chosen list (query, id, pos)."""
     matching = candidates.withColumn("matches", match_count(titles, terms)).where("matches > 0")
-    first = ranked(matching, ["query"], [F.col("matches").desc(), F.col("score").desc(), F.col("pos")], most).select("query", "id", F.lit(0).alias("part"), F.col("rank").alias("place"))
+    first = ranked(matching, ["query"], [F.col("matches").desc(), F.round("score", 6).desc(), F.col("pos")], most).select("query", "id", F.lit(0).alias("part"), F.col("rank").alias("place"))
     both = first.unionByName(chosen.select("query", "id", F.lit(1).alias("part"), F.col("pos").alias("place")))
     once = both.groupBy("query", "id").agg(F.min(F.struct("part", "place")).alias("at"))
     return ranked(once, ["query"], [F.col("at")]).select("query", "id", "rank")

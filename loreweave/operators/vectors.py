@@ -41,13 +41,13 @@ def encode_sparse(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def sparse_top_k(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
-    """(query, id, score, rank): largest inner products of sparse vectors (id, index, weight), ties by id.
+    """(query, id, score, rank): largest inner products of sparse vectors (id, index, weight), ties (to six places) by id.
 
     An inverted-index join on the term; a query without known terms has no rows.
     """
     q = queries.select(F.col("id").alias("query"), "index", F.col("weight").alias("q"))
-    scores = q.join(docs, "index").groupBy("query", "id").agg(F.round(F.sum(F.col("q") * F.col("weight")), 6).alias("score"))
-    return ranked(scores, ["query"], [F.col("score").desc(), F.col("id")], k)
+    scores = q.join(docs, "index").groupBy("query", "id").agg(F.sum(F.col("q") * F.col("weight")).alias("score"))
+    return ranked(scores, ["query"], [F.round("score", 6).desc(), F.col("id")], k)
 
 
 def ranked(rows: DataFrame, by: list[str], order: list[Column], k: int | None = None) -> DataFrame:

@@ -49,8 +49,8 @@ en AS (SELECT id, index, tf * idf AS weight FROM dc JOIN vo USING (term))
 SEARCH_SQL = f"""
 qw AS (SELECT item_id AS query, unnest({TOKENS_SQL.format("text")}) AS term FROM benchmark),
 qe AS (SELECT query, index, count(*) * any_value(idf) AS q FROM qw JOIN vo USING (term) GROUP BY query, index),
-sc AS (SELECT query, id, round(sum(q * weight), 6) AS score FROM qe JOIN en USING (index) GROUP BY query, id),
-sp AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INTEGER AS rank FROM sc QUALIFY rank <= 20)
+sc AS (SELECT query, id, sum(q * weight) AS score FROM qe JOIN en USING (index) GROUP BY query, id),
+sp AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id)::INTEGER AS rank FROM sc QUALIFY rank <= 20)
 """
 
 
@@ -179,7 +179,7 @@ def _terms(column="query_text"):
     return F.array_distinct(F.filter(F.split(F.lower(text.title(column)), " "), lambda x: F.length(x) > 3))
 
 
-@query(TITLE_SQL + "SELECT query, id, matches::INTEGER AS matches, round(boosted, 4) AS score, row_number() OVER (PARTITION BY query ORDER BY CASE WHEN n > 0 THEN boosted END DESC, pos)::INTEGER AS rank FROM bo")
+@query(TITLE_SQL + "SELECT query, id, matches::INTEGER AS matches, round(boosted, 4) AS score, row_number() OVER (PARTITION BY query ORDER BY CASE WHEN n > 0 THEN round(boosted, 6) END DESC, pos)::INTEGER AS rank FROM bo")
 def title_boost(spark, sf_dir):
     out = ranking.boost_titles(_hits(spark, sf_dir), text.title("text"), _terms())
     return out.select("query", "id", F.col("matches").cast("int").alias("matches"), F.round("score", 4).alias("score"), "rank")
@@ -187,9 +187,9 @@ def title_boost(spark, sf_dir):
 
 @query(TITLE_SQL + """,
 ch AS (SELECT query, id, 1 AS part, pos AS place FROM bo WHERE pos <= 10),
-fi AS (SELECT query, id, 0 AS part, row_number() OVER (PARTITION BY query ORDER BY matches DESC, score DESC, pos) AS place FROM bo WHERE matches > 0 QUALIFY place <= 3),
-un AS (SELECT query, id, min(struct_pack(part, place)) AS at FROM (SELECT * FROM ch UNION ALL SELECT * FROM fi) GROUP BY query, id)
-SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY at)::INTEGER AS rank FROM un""")
+fi AS (SELECT query, id, 0 AS part, row_number() OVER (PARTITION BY query ORDER BY matches DESC, round(score, 6) DESC, pos) AS place FROM bo WHERE matches > 0 QUALIFY place <= 3),
+un AS (SELECT query, id, min(struct_pack(part := part, place := place)) AS met FROM (SELECT * FROM ch UNION ALL SELECT * FROM fi) GROUP BY query, id)
+SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY met)::INTEGER AS rank FROM un""")
 def title_preserve(spark, sf_dir):
     hits = _hits(spark, sf_dir)
     return ranking.keep_title_matches(hits.where("pos <= 10"), hits, text.title("text"), _terms())
@@ -309,8 +309,8 @@ def paragraph_split(spark, sf_dir):
 
 @query("""
 WITH b AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS c FROM documents), h AS (SELECT doc_id, c, left(c, 500) AS h FROM b),
-a AS (SELECT *, 500 - instr(reverse(h), chr(10) || chr(10)) - 1 AS at, instr(reverse(h), chr(10) || chr(10)) AS back FROM h)
-SELECT doc_id, CASE WHEN length(c) <= 500 THEN c WHEN back > 0 AND at > 400 THEN left(h, at) ELSE h END AS body FROM a""")
+a AS (SELECT *, 500 - instr(reverse(h), chr(10) || chr(10)) - 1 AS cut, instr(reverse(h), chr(10) || chr(10)) AS back FROM h)
+SELECT doc_id, CASE WHEN length(c) <= 500 THEN c WHEN back > 0 AND cut > 400 THEN left(h, cut) ELSE h END AS body FROM a""")
 def truncate_boundary(spark, sf_dir):
     body = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
     return table(spark, sf_dir, "documents").select("doc_id", text.truncated(body, 500).alias("body"))
@@ -346,8 +346,8 @@ def extract_links(spark, sf_dir):
 EDGES_SQL = """
 it AS (SELECT l_orderkey, l_linenumber, l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem),
 ed AS (SELECT src, dst, min(l_orderkey * 8 + l_linenumber) AS pos FROM it WHERE dst IS NOT NULL AND src <> dst GROUP BY ALL),
-nb AS (SELECT src, dst, min(struct_pack(way := way, place := place, dst := dst)) AS at FROM (SELECT src, dst, 0 AS way, pos AS place FROM ed UNION ALL SELECT dst, src, 1, 0 FROM ed) GROUP BY src, dst),
-ne AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY at)::INTEGER AS nth FROM nb QUALIFY nth <= 5)
+nb AS (SELECT src, dst, min(struct_pack(way := way, place := place, dst := dst)) AS met FROM (SELECT src, dst, 0 AS way, pos AS place FROM ed UNION ALL SELECT dst, src, 1, 0 FROM ed) GROUP BY src, dst),
+ne AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY met)::INTEGER AS nth FROM nb QUALIFY nth <= 5)
 """
 
 
@@ -367,11 +367,11 @@ def neighbors_capped(spark, sf_dir):
 
 @query(f"""WITH {EDGES_SQL},
 se AS (SELECT p_partkey // 20 AS query, p_partkey AS node, p_partkey AS nth FROM part WHERE p_partkey % 20 < 2),
-o1 AS (SELECT s.query, n.dst AS node, min(struct_pack(nth := n.nth, turn := s.nth)) AS at FROM se s JOIN ne n ON n.src = s.node GROUP BY s.query, n.dst),
-h1 AS (SELECT query, node, row_number() OVER (PARTITION BY query ORDER BY at) AS nth FROM o1 WHERE NOT EXISTS (SELECT 1 FROM se WHERE se.query = o1.query AND se.node = o1.node)),
+o1 AS (SELECT s.query, n.dst AS node, min(struct_pack(nth := n.nth, turn := s.nth)) AS met FROM se s JOIN ne n ON n.src = s.node GROUP BY s.query, n.dst),
+h1 AS (SELECT query, node, row_number() OVER (PARTITION BY query ORDER BY met) AS nth FROM o1 WHERE NOT EXISTS (SELECT 1 FROM se WHERE se.query = o1.query AND se.node = o1.node)),
 f1 AS (SELECT * FROM h1 WHERE nth <= 20),
-o2 AS (SELECT s.query, n.dst AS node, min(struct_pack(nth := n.nth, turn := s.nth)) AS at FROM f1 s JOIN ne n ON n.src = s.node GROUP BY s.query, n.dst),
-h2 AS (SELECT query, node, row_number() OVER (PARTITION BY query ORDER BY at) AS nth FROM o2 WHERE NOT EXISTS (SELECT 1 FROM se WHERE se.query = o2.query AND se.node = o2.node) AND NOT EXISTS (SELECT 1 FROM f1 WHERE f1.query = o2.query AND f1.node = o2.node)),
+o2 AS (SELECT s.query, n.dst AS node, min(struct_pack(nth := n.nth, turn := s.nth)) AS met FROM f1 s JOIN ne n ON n.src = s.node GROUP BY s.query, n.dst),
+h2 AS (SELECT query, node, row_number() OVER (PARTITION BY query ORDER BY met) AS nth FROM o2 WHERE NOT EXISTS (SELECT 1 FROM se WHERE se.query = o2.query AND se.node = o2.node) AND NOT EXISTS (SELECT 1 FROM f1 WHERE f1.query = o2.query AND f1.node = o2.node)),
 f2 AS (SELECT h2.* FROM h2 LEFT JOIN (SELECT query, count(*) AS u FROM f1 GROUP BY query) USING (query) WHERE nth + coalesce(u, 0) <= 20)
 SELECT query, node, 0 AS hop, nth FROM se UNION ALL SELECT query, node, 1, nth FROM f1 UNION ALL SELECT query, node, 2, nth FROM f2""")
 def bfs_two_hop(spark, sf_dir):
@@ -528,10 +528,10 @@ def eval_summary(spark, sf_dir):
     return evaluation.means(_metrics(spark, sf_dir)).select("k", *[F.round(c, 4).alias(c) for c in ("hit", "recall", "mrr", "precision")], "n")
 
 
-@query(HITS_SQL + "SELECT query, source, count(*) AS n, round(max(score), 4) AS top, row_number() OVER (PARTITION BY query ORDER BY max(score) DESC, min(pos))::INTEGER AS rank FROM hi GROUP BY query, source")
+@query(HITS_SQL + "SELECT query, source, count(*) AS n, round(max(score), 4) AS top, row_number() OVER (PARTITION BY query ORDER BY round(max(score), 6) DESC, min(pos))::INTEGER AS rank FROM hi GROUP BY query, source")
 def sources_summary(spark, sf_dir):
     s = _hits(spark, sf_dir).groupBy("query", "source").agg(F.count("*").alias("n"), F.max("score").alias("top"), F.min("pos").alias("pos"))
-    return vectors.ranked(s, ["query"], [F.col("top").desc(), F.col("pos")]).select("query", "source", "n", F.round("top", 4).alias("top"), "rank")
+    return vectors.ranked(s, ["query"], [F.round("top", 6).desc(), F.col("pos")]).select("query", "source", "n", F.round("top", 4).alias("top"), "rank")
 
 
 @query(HITS_SQL + "SELECT query, lang AS scope, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM hi GROUP BY query, lang")
@@ -565,8 +565,8 @@ TURNS_SQL = "t AS (SELECT conv_id * 1000 + turn AS id, conv_id AS parent, turn A
 p AS (SELECT h.query, u.id, 1 AS kind, h.pos, 0 AS place FROM h JOIN t u ON u.parent = h.parent AND u.place = 0),
 s AS (SELECT h.query, u.id, 2 AS kind, h.pos, u.place FROM h JOIN t u ON u.parent = h.parent AND u.place > 0 AND u.id <> h.id QUALIFY row_number() OVER (PARTITION BY h.query, h.pos ORDER BY u.place) <= 2),
 a AS (SELECT query, id, 0 AS kind, pos, 0 AS place FROM h UNION ALL SELECT * FROM p UNION ALL SELECT * FROM s),
-o AS (SELECT query, id, min(struct_pack(part := CASE WHEN kind = 0 THEN 0 ELSE 1 END, pos := pos, kind := kind, place := place)) AS at FROM a GROUP BY query, id)
-SELECT query, id, CASE at.kind WHEN 0 THEN 'hit' WHEN 1 THEN 'parent' ELSE 'sibling' END AS relation, row_number() OVER (PARTITION BY query ORDER BY at)::INTEGER AS rank FROM o""")
+o AS (SELECT query, id, min(struct_pack(part := CASE WHEN kind = 0 THEN 0 ELSE 1 END, pos := pos, kind := kind, place := place)) AS met FROM a GROUP BY query, id)
+SELECT query, id, CASE met.kind WHEN 0 THEN 'hit' WHEN 1 THEN 'parent' ELSE 'sibling' END AS relation, row_number() OVER (PARTITION BY query ORDER BY met)::INTEGER AS rank FROM o""")
 def parent_child_expand(spark, sf_dir):
     """Odd turns are hits of the query of their ten conversations; turn 0 is the parent."""
     turns = _turns(spark, sf_dir)

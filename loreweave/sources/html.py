@@ -131,14 +131,13 @@ def to_markdown(html: str, title: str = "") -> str:
     return "\n\n".join(blocks)
 
 
-@F.pandas_udf("string")
 def _markdown(html: pd.Series, title: pd.Series) -> pd.Series:
     return pd.Series([to_markdown(h, t) for h, t in zip(html.fillna(""), title.fillna(""), strict=True)])
 
 
 def markdown(html: Column, title: Column | None = None) -> Column:
     """Markdown column of an HTML column; null pages give the title alone, or an empty text."""
-    return _markdown(html, F.lit("") if title is None else title)
+    return F.pandas_udf(_markdown, "string")(html, F.lit("") if title is None else title)
 
 
 def page_title(html: Column) -> Column:
