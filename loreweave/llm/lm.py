@@ -38,7 +38,7 @@ TOP, SUFFIXES = 135, 40
 SHAPES = 3 * SUFFIXES
 CLASSES = 1 + TOP + SHAPES  # 256: a class is a byte
 DIMS, NOISE, SHARED_NOISE, BATCH, RATE = 24, 16, 64, 4096, 0.15
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 END = np.uint64(0)
 
 
@@ -75,11 +75,22 @@ def _tokenise(batches):
         # The end is a token like others: last in the block's list, not in its stream.
         tokens, counts = np.append(tokens, END), np.append(counts, train.sum())
         shape = np.append(shapes(buf, start[first], end[first]), np.uint8(0)) if len(first) else np.zeros(1, np.uint8)
-        values = (packed(ids), packed(n.astype(np.int32)), packed(tokens), shape.tobytes(), packed(counts.astype(np.int32)), packed(stream.astype(np.uint32)))
+        values = (packed(ids), packed(n.astype(np.int32)), packed(tokens), shape.tobytes(), packed(counts.astype(np.int32)), small(stream))
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in values)], [x.split()[0] for x in BLOCK_TABLE.split(", ")])
         block += 1
 
 
+def small(values: np.ndarray) -> bytes:
+    """Numbers from 0 in two, four or eight bytes each, as the largest needs."""
+    most = int(values.max()) if len(values) else 0
+    return packed(values.astype(np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64))
+
+
+def wide(data: bytes, n: int) -> np.ndarray:
+    """n numbers written by small()."""
+    return unpacked(data, {2: np.uint16, 4: np.uint32, 8: np.uint64}[len(data) // n]).astype(np.int64) if n else np.zeros(0, np.int64)
+
+
 def _by_owner(tokens: np.ndarray, owners: int) -> list[np.ndarray]:
     owner = (tokens % np.uint64(owners)).astype(np.int64)
     order = np.argsort(owner, kind="stable")
@@ -126,7 +137,7 @@ def _answer(batches):
         answers, at = [(-1, owner, pickle.dumps(stats))], 0
         for block, some, *_ in rows:
             n = len(some) // 8
-            answers.append((block, owner, packed(total[back[at : at + n]])))
+            answers.append((block, owner, small(total[back[at : at + n]])))
             at += n
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*answers, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["block", "owner", "counts"])
 
@@ -176,13 +187,13 @@ def _grams(top: np.ndarray):
         codes, counts = [], []
         for batch in batches:
             for docs, n, tokens, shape, stream in zip(*(batch.column(x).to_pylist() for x in ("docs", "words", "tokens", "shapes", "stream")), strict=True):
-                own = classes(unpacked(tokens, np.uint64), np.frombuffer(shape, np.uint8), top)
-                doc, _, cls, context = sequence(unpacked(n, np.int32).astype(np.int64), unpacked(stream, np.uint32), own)
+                own, n = classes(unpacked(tokens, np.uint64), np.frombuffer(shape, np.uint8), top), unpacked(n, np.int32).astype(np.int64)
+                doc, _, cls, context = sequence(n, wide(stream, int(n.sum())), own)
                 train = np.array([not held_out(x) for x in unpacked(docs, np.int64).tolist()])
                 code, count = np.unique(((context * CLASSES + cls)[train[doc]]).astype(np.uint32), return_counts=True)
                 codes.append(code)
                 counts.append(count)
-                if sum(map(len, codes)) > 4 << 20:
+                if sum(map(len, codes)) > 1 << 20:
                     codes, counts = ([x] for x in _summed(codes, counts))
         if codes:
             code, count = _summed(codes, counts)
@@ -305,9 +316,10 @@ def _score(shared, owners: int):
                 total = np.zeros(len(tokens), np.int64)
                 places = _by_owner(tokens, owners)
                 for x in counts:
-                    total[places[x["owner"]]] = unpacked(x["counts"], np.int64)
+                    place = places[x["owner"]]
+                    total[place] = wide(x["counts"], len(place))
                 own = classes(tokens, shape, top)
-                doc, token, cls, context = sequence(n, unpacked(stream, np.uint32), own)
+                doc, token, cls, context = sequence(n, wide(stream, int(n.sum())), own)
                 log = np.log10(total + 0.5)
                 within = np.where(own > TOP, log - shape_log[shape], 0.0)
                 base = np.bincount(doc, weights=(log - math.log10(den))[token], minlength=len(docs))
