@@ -68,6 +68,7 @@ class _Reader(HTMLParser):
         elif tag == "table":
             self.rows = []
         elif tag == "tr":
+            self.close_row()
             self.row = []
         elif tag == "br":
             self.run.append("\n" if self.pre else " ")
@@ -91,13 +92,12 @@ class _Reader(HTMLParser):
             self.pre = False
         elif tag in ("ul", "ol") and self.lists:
             self.lists.pop()
-        elif tag == "tr" and self.row is not None:
-            if self.row and self.rows is not None:
-                self.rows.append(self.row)
-            self.row = None
+        elif tag == "tr":
+            self.close_row()
         elif tag == "table" and self.rows is not None:
+            self.close_row()
             self.table(self.rows)
-            self.rows = self.row = None
+            self.rows = None
         elif tag == "a" and self.href:
             at, href = self.href.pop()
             text = re.sub(r"\s+", " ", "".join(self.run[at:])).strip()
@@ -105,6 +105,11 @@ class _Reader(HTMLParser):
         elif tag in ("code", "tt") and not self.pre:
             self.run.append("`")
 
+    def close_row(self) -> None:
+        if self.row and self.rows is not None:
+            self.rows.append(self.row)
+        self.row = None
+
     def handle_data(self, data):
         if not self.skip:
             self.run.append(data)
