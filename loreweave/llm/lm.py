@@ -38,6 +38,8 @@ TOP, SUFFIXES = 135, 40
 SHAPES = 3 * SUFFIXES
 CLASSES = 1 + TOP + SHAPES  # 256: a class is a byte
 DIMS, NOISE, SHARED_NOISE, BATCH, RATE = 24, 16, 64, 4096, 0.15
+#: A partition with few trigrams goes over them again, up to so often, for so many steps a round.
+LEAST_STEPS, MOST_PASSES = 96, 24
 BLOCK = 1 << 20
 END = np.uint64(0)
 
@@ -249,7 +251,11 @@ def nce_epoch(p: dict, code: np.ndarray, count: np.ndarray, unigram: np.ndarray,
         p[name] += RATE * gradient / np.sqrt(p[f"{name}_sq"])
 
     def scatter(index, rows):
-        return np.stack([np.bincount(index, weights=rows[:, d], minlength=CLASSES) for d in range(DIMS)], axis=1).astype(np.float32)
+        out, order = np.zeros((CLASSES, DIMS), np.float32), np.argsort(index.astype(np.uint8), kind="stable")
+        own = index[order]
+        new = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        out[own[new]] = np.add.reduceat(rows[order].astype(np.float32), new, axis=0)
+        return out
 
     for low in range(0, len(code), BATCH):
         i = order[low : low + BATCH]
@@ -280,7 +286,8 @@ def _round(shared, unigram, seed: int):
         for batch in batches:
             for codes, counts in zip(*(batch.column(x).to_pylist() for x in ("codes", "counts")), strict=True):
                 code, count = unpacked(codes, np.uint32), unpacked(counts, np.int64)
-                p = nce_epoch(p or shared.value, code, count, unigram, seed * 1_000_003 + task)
+                for again in range(min(MOST_PASSES, -(-LEAST_STEPS * BATCH // max(1, len(code))))):
+                    p = nce_epoch(p or shared.value, code, count, unigram, (seed * MOST_PASSES + again) * 1_000_003 + task)
                 n += int(count.sum())
         if p:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((n, {k: v * np.float64(n) for k, v in p.items()}))], pa.binary())], ["value"])

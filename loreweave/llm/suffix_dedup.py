@@ -76,16 +76,16 @@ def segments(buf: np.ndarray, at: np.ndarray, match: int) -> tuple[np.ndarray, .
     return doc[low], low, high - low + 1, key[low], spans.of(low, high + match), spot[low] != spot[high]
 
 
-def _chunks(batches, match: int):
+def _chunks(batches, match: int, chunk: int):
     """(ids, buf, at, base): texts of a slice; a very long text comes in overlapping chunks from base on."""
-    for part in blocks(batches, most=CHUNK):
+    for part in blocks(batches, most=chunk):
         buf, at = utf8(part.column("text"))
         ids = part.column("doc").to_numpy(zero_copy_only=False)
-        if len(buf) <= CHUNK:
+        if len(buf) <= chunk:
             yield ids, buf, at, 0
         else:  # one text
-            for base in range(0, len(buf) - match + 1, CHUNK):
-                own = buf[base : base + CHUNK + match - 1]
+            for base in range(0, len(buf) - match + 1, chunk):
+                own = buf[base : base + chunk + match - 1]
                 yield ids, own, np.array([0, len(own)]), base
 
 
@@ -104,13 +104,15 @@ def _split(bucket: np.ndarray, n: int):
 SEGMENT_RUN = [("bucket", pa.int32()), *((x, pa.binary()) for x in ("anchor", "whole", "doc", "low", "n", "state"))]
 
 
-def _anchor_runs(buckets: int, match: int):
+def _anchor_runs(buckets: int, match: int, chunk: int):
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush():
             doc, low, n, anchor, whole, again = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
+            if not len(doc):  # texts shorter than a match
+                return
             order = np.lexsort((doc, whole, anchor))  # stable: places of a text stay in order
             doc, low, n, anchor, whole, again = (x[order] for x in (doc, low, n, anchor, whole, again))
             same_anchor = np.concatenate(([False], anchor[1:] == anchor[:-1]))
@@ -125,7 +127,7 @@ def _anchor_runs(buckets: int, match: int):
             for b, i in _split((spread % np.uint64(buckets)).astype(np.int64), buckets):
                 yield (b, *(packed(x[i]) for x in (anchor, whole, doc, low.astype(np.int32), n.astype(np.int32), state)))
 
-        for ids, buf, at, base in _chunks(batches, match):
+        for ids, buf, at, base in _chunks(batches, match, chunk):
             doc, low, n, anchor, whole, again = segments(buf, at, match)
             held.append((ids[doc], low - at[doc] + base, n, anchor, whole, again))
             if sum(len(x[0]) for x in held) >= HELD:
@@ -215,7 +217,7 @@ class IndexFamily:
 WINDOW_RUN = [("bucket", pa.int32()), *((x, pa.binary()) for x in ("h", "g", "doc", "low", "late_doc", "late_low"))]
 
 
-def _window_runs(buckets: int, match: int):
+def _window_runs(buckets: int, match: int, chunk: int):
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
 
@@ -241,13 +243,13 @@ def _window_runs(buckets: int, match: int):
                 segs = np.frombuffer(b"".join(parts), SEGMENT)
                 segs = segs[segs["state"] == OPEN]
                 buf = np.frombuffer(text, np.uint8)
-                for base in range(0, max(0, len(buf) - match + 1), CHUNK):
-                    mine = segs[(segs["low"] >= base) & (segs["low"] < base + CHUNK)] if len(buf) > CHUNK else segs
+                for base in range(0, max(0, len(buf) - match + 1), chunk):
+                    mine = segs[(segs["low"] >= base) & (segs["low"] < base + chunk)] if len(buf) > chunk else segs
                     if not len(mine):
                         continue
                     n = mine["n"].astype(np.int64)
                     low = np.repeat(mine["low"].astype(np.int64) - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    spans = Spans(buf[base : base + CHUNK + match - 1])
+                    spans = Spans(buf[base : base + chunk + match - 1])
                     at = low - base
                     held.append((spans.of(at, at + match), (spans.of(at, at + match // 2) >> np.uint64(32)).astype(np.uint32), np.full(len(low), doc, np.int64), low.astype(np.int32)))
                 if sum(len(x[0]) for x in held) >= HELD:
@@ -308,11 +310,12 @@ def _remove(match: int):
     return run
 
 
-def dedup_substrings(docs: DataFrame, match: int = 100) -> DataFrame:
+def dedup_substrings(docs: DataFrame, match: int = 100, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept), a row for each row of docs.
 
     A byte goes if it lies in match bytes of its text that also start earlier:
-    in a text of smaller doc_id, or earlier in its own. Judged on the input.
+    in a text of smaller doc_id, or earlier in its own. Judged on the input. Texts
+    are taken in by chunk bytes at a time.
 
     Null text: empty, nothing to remove. Null doc_id: after all others. Rows that
     repeat a doc_id count in order of a hash of their text; equal ones are judged
@@ -328,11 +331,11 @@ def dedup_substrings(docs: DataFrame, match: int = 100) -> DataFrame:
         rows = rows.join(order, ["doc_id", "rid"]).select("doc_id", "doc", "text")
     else:
         rows = rows.select(F.col("doc_id"), F.col("doc_id").alias("doc"), "text")
-    runs = rows.select("doc", "text").mapInArrow(_anchor_runs(n, match), ", ".join(f"{x} {'int' if x == 'bucket' else 'binary'}" for x, _ in SEGMENT_RUN))
+    runs = rows.select("doc", "text").mapInArrow(_anchor_runs(n, match, chunk), ", ".join(f"{x} {'int' if x == 'bucket' else 'binary'}" for x, _ in SEGMENT_RUN))
     segs = stored(runs.repartition(n, "bucket").mapInArrow(_settle, "doc long, segs binary, open boolean"), "segments")
     by_doc = rows.repartition(n, "doc")
     opened = segs.groupBy("doc").agg(F.collect_list("segs").alias("segs"), F.max("open").alias("open")).where("open")
-    windows = by_doc.select("doc", "text").join(opened.select("doc", "segs"), "doc").select("doc", "text", "segs").mapInArrow(_window_runs(n, match), ", ".join(f"{x} {'int' if x == 'bucket' else 'binary'}" for x, _ in WINDOW_RUN))
+    windows = by_doc.select("doc", "text").join(opened.select("doc", "segs"), "doc").select("doc", "text", "segs").mapInArrow(_window_runs(n, match, chunk), ", ".join(f"{x} {'int' if x == 'bucket' else 'binary'}" for x, _ in WINDOW_RUN))
     late = windows.repartition(n, "bucket").mapInArrow(_owner, "doc long, starts binary")
     told = segs.select("doc", "segs", F.lit(None).cast("binary").alias("starts")).unionByName(late.select("doc", F.lit(None).cast("binary").alias("segs"), "starts")).groupBy("doc").agg(F.collect_list("segs").alias("segs"), F.collect_list("starts").alias("starts"))
     out = by_doc.select("doc", "text").join(told, "doc", "left").select("doc", "text", "segs", "starts").mapInArrow(_remove(match), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
