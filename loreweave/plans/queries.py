@@ -6,6 +6,7 @@ vectors (vec_id as doc_id), ``pages`` raw HTML, ``conversations`` families of tu
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 
 from loreweave.functions import metadata, text
 from loreweave.operators import chunking, context, evaluation, graph, ranking, routing, store, vectors
+from loreweave.plans import retrieval
+from loreweave.sources import help as help_files
 from loreweave.sources import html
+from loreweave.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -664,3 +668,49 @@ def page_metadata(spark, sf_dir):
     url = F.col("url")
     family = metadata.cascade((url, [("/(fr|de|es)/", "foreign")]), (F.col("html"), [('lang="en"', "english")]), otherwise=F.lit("unknown"))
     return table(spark, sf_dir, "pages").select("page_id", metadata.host(url).alias("host"), metadata.doc_type(url).alias("doc_type"), family.alias("family"), metadata.safe_stem(url).alias("stem"))
+
+
+# --- compositions and streams
+
+
+def _retrieve(spark, sf_dir, broad):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return retrieval.retrieve(asked, docs, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), broad=broad)
+
+
+@query()
+def retrieve_narrow(spark, sf_dir):
+    """The whole plan for every benchmark question."""
+    return _retrieve(spark, sf_dir, False)
+
+
+@query()
+def retrieve_broad(spark, sf_dir):
+    return _retrieve(spark, sf_dir, True)
+
+
+@query("SELECT source, max(doc_id) AS doc_id, arg_max(lang, doc_id) AS lang FROM documents GROUP BY source")
+def stream_latest(spark, sf_dir):
+    """Documents as a stream of files (a pattern, so that one file will do), upserted by source."""
+    home = f"{ingest.work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = ingest.stream_table(spark, f"{sf_dir}/documents.parque[t]").select("source", "doc_id", "lang")
+    ingest.upsert_stream(rows, "source", "doc_id", f"{home}/table", f"{home}/checkpoint").awaitTermination()
+    return ingest.read_latest(spark, f"{home}/table", "source", "doc_id").select("source", "doc_id", "lang")
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_counts(spark, sf_dir):
+    """The stream's aggregation over the table as it stands."""
+    return ingest.windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type")
+
+
+@query(r"""
+WITH l AS (SELECT conv_id AS id, (unnest(range(len(x))))::INTEGER AS pos, unnest(x) AS line FROM (SELECT conv_id, list(((turn % 3) + 1)::VARCHAR || ' ' || replace(left(split_part(text, chr(10), 1), 20), '=', '') || CASE WHEN turn % 2 = 0 THEN '=t' || turn ELSE '' END ORDER BY turn) AS x FROM conversations GROUP BY conv_id))
+SELECT id, count(*) FILTER (WHERE NOT starts_with(line, '1 ') AND contains(line, '=t')) AS topics FROM l GROUP BY id""")
+def contents_topics(spark, sf_dir):
+    """Conversations written as .cnt files, a line for each turn, read back."""
+    label = F.replace(F.left(text.title("text"), F.lit(20)), F.lit("="), F.lit(""))
+    line = F.concat(((F.col("turn") % 3) + 1).cast("string"), F.lit(" "), label, F.when(F.col("turn") % 2 == 0, F.concat(F.lit("=t"), F.col("turn").cast("string"))).otherwise(""))
+    files = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("cnt"))
+    return help_files.contents_markdown(help_files.contents_lines(files, "id", "cnt")).select("id", "topics")

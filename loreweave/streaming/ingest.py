@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +11,15 @@ from pyspark.sql.streaming import StreamingQuery
 from loreweave.operators.store import first_of
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = tempfile.mkdtemp(prefix="loreweave-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
     """A folder (or file pattern) of Parquet as a stream with the schema it has now."""
     schema = spark.read.parquet(path).schema
@@ -29,10 +40,10 @@ def upsert_stream(stream: DataFrame, key: str, order: str, target: str, checkpoi
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_latest(spark: SparkSession, target: str, key: str) -> DataFrame:
-    """Rows of the latest run that holds each key."""
+def read_latest(spark: SparkSession, target: str, key: str, order: str) -> DataFrame:
+    """The last row of each key over all runs, by order, then by run."""
     rows = spark.read.parquet(target)
-    return first_of(rows, [key], [F.col("run").desc()]).drop("run", "_bucket")
+    return first_of(rows, [key], [F.col(order).desc(), F.col("run").desc()]).drop("run", "_bucket")
 
 
 def windowed_counts(stream: DataFrame, stamp: str, by: str, length: str = "1 day", late: str = "2 days") -> DataFrame:

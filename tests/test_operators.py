@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from loreweave.functions import metadata, text
 from loreweave.operators import chunking, context, evaluation, graph, ranking, routing, store, vectors
 from loreweave.sources import files, html
+from loreweave.sources import help as help_files
 from loreweave.streaming import ingest
 
 
@@ -200,7 +201,24 @@ def test_stream_upsert(spark, tmp_path):
     run()
     spark.createDataFrame([(2, "c", 2), (3, "d", 1)], "k long, v string, o int").write.mode("append").parquet(source)
     run()
-    assert rows(ingest.read_latest(spark, str(tmp_path / "out"), "k"), "k", "v") == [(1, "a"), (2, "c"), (3, "d")]
+    assert rows(ingest.read_latest(spark, str(tmp_path / "out"), "k", "o"), "k", "v") == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_help_files(spark):
+    toc = '<ul><li><object><param name="Name" value="Top"><param name="Local" value="t.htm"></object><ul><li><object><param name="Name" value="Sub"><param name="Local" value="s.htm"></object></ul><li><object><param name="Name" value="Next"><param name="Local" value="n.htm"></object></ul>'
+    assert help_files.outline(toc, ["Root"]) == {"t.htm": ["Root", "Top"], "s.htm": ["Root", "Top", "Sub"], "n.htm": ["Root", "Next"]}
+    f = spark.createDataFrame([("a", toc)], "id string, text string")
+    assert rows(help_files.toc_paths(f, "id", "text", F.lit("R")), "local")[0] == ("n.htm",)
+    cnt = spark.createDataFrame([("c", ":Title x\r\n1 Head\r\n2 Topic = id\n3 Deep\n\n")], "id string, text string")
+    got = help_files.contents_markdown(help_files.contents_lines(cnt, "id", "text")).first()
+    assert (got.markdown, got.topics) == ("## Head\n- Topic (`id`)\n  - Deep", 1)
+    packs = spark.createDataFrame([("d/Book.HLP",), ("d/other.hlp",)], "path string")
+    assert rows(help_files.manifests(packs, spark.createDataFrame([("e/book.cnt", 4)], "path string, topics int")), "path", "topics") == [("d/Book.HLP", 4), ("d/other.hlp", 0)]
+    raw = spark.createDataFrame([(bytearray(b"\x00hello\xff----\x01world!\x02hello"),)], "content binary")
+    assert raw.select(help_files.printable_strings(F.col("content")).alias("x")).first().x == ["hello", "world!"]
+    pages = spark.createDataFrame([("p", "book.chm", "html/a.htm", ["b.htm#x", "ms-its:Other.chm::/c.htm", "zz.htm"])], "page string, archive string, path string, hrefs array<string>")
+    targets = spark.createDataFrame([("Book.chm", "html/b.htm", "b.md"), ("other.chm", "c.htm", "c.md")], "archive string, path string, target string")
+    assert rows(help_files.resolve_links(pages, targets), "href", "target", "anchor") == [("b.htm#x", "b.md", "x"), ("ms-its:Other.chm::/c.htm", "c.md", ""), ("zz.htm", None, "")]
 
 
 @pytest.mark.parametrize("parts", [1, 7])
