@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreweave.functions.text import match_count, plain_words
+from loreweave.functions.text import match_count, normalized, plain_words
 from loreweave.operators.vectors import ranked
 
 
@@ -139,3 +139,51 @@ def confidence(rows: DataFrame) -> DataFrame:
     s = rows.groupBy("query").agg(at(1).alias("one"), at(3).alias("three"), F.count("*").alias("n"))
     level = F.when((F.col("one") > 0.8) & (F.col("n") >= 3) & (F.col("one") - F.col("three") > 0.2), "high").when(F.col("one") > 0.5, "medium").otherwise("low")
     return s.select("query", level.alias("confidence"))
+
+
+def with_scores(rows: DataFrame, scores: DataFrame, missing: float = -1000.0) -> DataFrame:
+    """rows of (query, id, ...) with a provider's score (query, id, score); rows that it left out come last."""
+    return rows.join(scores, ["query", "id"], "left").withColumn("score", F.coalesce("score", F.lit(missing)))
+
+
+def match_priority(rows: DataFrame, query_text: Column, titles: Column, body: Column) -> DataFrame:
+    """rows with title_phrases, title_terms, body_phrases and body_terms: how much of the query a text holds.
+
+    Terms are runs of three or more of a-z, 0-9 and underscore; phrases are pairs
+    of neighbouring terms. Of the body the first 5000 characters count.
+    """
+    terms = F.filter(F.regexp_extract_all(F.lower(query_text), F.lit("[a-z0-9_]+"), F.lit(0)), lambda x: F.length(x) >= 3)
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_terms") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get("_terms", i - 1), F.get("_terms", i)))
+    phrases = F.when(F.size("_terms") > 1, pairs).otherwise(F.array().cast("array<string>"))
+    held = lambda text, what: F.size(F.filter(what, lambda x: F.contains(text, x)))
+    ready = rows.withColumn("_terms", terms).withColumn("_phrases", phrases).withColumns({"_title": normalized(titles), "_body": normalized(F.left(body, F.lit(5000)))})
+    counts = {f"{where}_{what}": held(F.col(f"_{where}"), F.col(f"_{what}")) for where in ("title", "body") for what in ("phrases", "terms")}
+    return ready.withColumns(counts).drop("_terms", "_phrases", "_title", "_body")
+
+
+def dedup_variants(rows: DataFrame, per_source: int = 3) -> DataFrame:
+    """(query, id, rank) of (query, id, pos, source, canonical, hash): one source of each canonical and of each hash, in order.
+
+    A source that isn't its canonical goes if that is among the query's sources. A
+    source turned away by its hash doesn't claim its canonical, so the rows of a
+    query (a bounded list) are gone through in order.
+    """
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        there, canon, hashes, counts, picked = set(group["source"]), {}, {}, {}, []
+        for row in group.sort_values("pos").itertuples(index=False):
+            if row.id in picked or (row.canonical in there and row.canonical != row.source):
+                continue
+            if canon.get(row.canonical, row.source) != row.source or (row.hash and hashes.get(row.hash, row.source) != row.source):
+                continue
+            if counts.get(row.source, 0) >= per_source:
+                continue
+            canon.setdefault(row.canonical, row.source)
+            if row.hash:
+                hashes.setdefault(row.hash, row.source)
+            counts[row.source] = counts.get(row.source, 0) + 1
+            picked.append(row.id)
+        return pd.DataFrame({"query": group["query"].iloc[0], "id": picked, "rank": range(1, len(picked) + 1)})
+
+    kind = dict(rows.dtypes)["query"]
+    return rows.select("query", "id", "pos", "source", "canonical", F.coalesce("hash", F.lit("")).alias("hash")).groupBy("query").applyInPandas(choose, f"query {kind}, id long, rank int")

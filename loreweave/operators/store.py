@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -85,3 +87,20 @@ def deleted(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 def stats(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row: n, and the sorted distinct values of each column (of columns with few of them)."""
     return rows.agg(F.count("*").alias("n"), *[F.array_sort(F.collect_set(c)).alias(c) for c in columns])
+
+
+def checked(rows: DataFrame, schema: dict[str, str], width: int | None = None, vector: str = "embedding") -> DataFrame:
+    """rows, once their columns have the given types; raises otherwise. Vectors of another width fail when they are read."""
+    have = dict(rows.dtypes)
+    wrong = {k: have.get(k) for k, v in schema.items() if have.get(k) != v}
+    if wrong:
+        raise ValueError(f"columns differ from the schema: {wrong}")
+    if width is None:
+        return rows
+    fine = F.col(vector).isNull() | (F.size(vector) == width)
+    return rows.withColumn(vector, F.when(fine, F.col(vector)).otherwise(F.raise_error(F.lit("vector of another width"))))
+
+
+def profile_key(settings: dict[str, object]) -> str:
+    """Sixteen hex digits that name an ingestion profile; any setting that changes gives another."""
+    return hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()[:16]

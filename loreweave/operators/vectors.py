@@ -99,3 +99,15 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFram
     q = pack(queries).select("width", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
     found = pack(vectors).join(q, "width").select("width", "ids", "rows", "q_ids", "q_rows").mapInArrow(_nearest(k), "query long, id long, score double")
     return ranked(found, ["query"], [F.col("score").desc(), F.col("id")], k)
+
+
+def hash_encode(counts: DataFrame, width: int = 64) -> DataFrame:
+    """(id, embedding): unit vectors of hashed term counts, a stand-in for a model's vectors where none are given.
+
+    A term's place is its MD5 modulo width; terms that share one add up.
+    """
+    place = F.conv(F.left(F.md5("term"), F.lit(6)), 16, 10).cast("long") % width
+    cells = counts.groupBy("id", place.alias("place")).agg(F.sum("tf").alias("v"))
+    rows = cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    vector = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)) / F.col("norm"))
+    return rows.select("id", vector.alias("embedding"))

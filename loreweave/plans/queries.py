@@ -714,3 +714,36 @@ def contents_topics(spark, sf_dir):
     line = F.concat(((F.col("turn") % 3) + 1).cast("string"), F.lit(" "), label, F.when(F.col("turn") % 2 == 0, F.concat(F.lit("=t"), F.col("turn").cast("string"))).otherwise(""))
     files = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("cnt"))
     return help_files.contents_markdown(help_files.contents_lines(files, "id", "cnt")).select("id", "topics")
+
+
+@query(f"""WITH {COUNTS_SQL}, ce AS (SELECT id, ('0x' || left(md5(term), 6))::BIGINT % 64 AS place, sum(tf) AS v FROM dc GROUP BY ALL), no AS (SELECT id, sqrt(sum(v * v)) AS n FROM ce GROUP BY id)
+SELECT id AS doc_id, place, round(v / n, 6)::DOUBLE AS v FROM ce JOIN no USING (id)""")
+def dense_encode_hashing(spark, sf_dir):
+    out = vectors.hash_encode(_counts(spark, sf_dir)).select(F.col("id").alias("doc_id"), F.posexplode("embedding").alias("place", "v"))
+    return out.where("v > 0").select("doc_id", F.col("place").cast("long").alias("place"), F.round("v", 6).alias("v"))
+
+
+@query(HITS_SQL + r""",
+te AS (SELECT item_id AS query, list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: len(x) >= 3) AS t FROM benchmark),
+ph AS (SELECT query, t, list_transform(list_zip(t[:-2], t[2:]), lambda p: p[1] || ' ' || p[2]) AS p FROM te),
+nb AS (SELECT hi.query, id, t, p, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '\s+', ' ', 'g')) AS a, trim(regexp_replace(lower(left(text, 5000)), '\s+', ' ', 'g')) AS b FROM hi JOIN ph USING (query))
+SELECT query, id, len(list_filter(p, lambda x: contains(a, x)))::INTEGER AS title_phrases, len(list_filter(t, lambda x: contains(a, x)))::INTEGER AS title_terms,
+ len(list_filter(p, lambda x: contains(b, x)))::INTEGER AS body_phrases, len(list_filter(t, lambda x: contains(b, x)))::INTEGER AS body_terms FROM nb""")
+def context_priority(spark, sf_dir):
+    out = ranking.match_priority(_hits(spark, sf_dir), F.col("query_text"), text.title("text"), F.col("text"))
+    return out.select("query", "id", "title_phrases", "title_terms", "body_phrases", "body_terms")
+
+
+@query()
+def dedup_variants(spark, sf_dir):
+    """Hits whose languages stand for canonical sources and whose texts are hashed."""
+    rows = _hits(spark, sf_dir).withColumns({"canonical": F.col("lang"), "hash": F.left(F.sha2("text", 256), F.lit(32))})
+    return ranking.dedup_variants(rows)
+
+
+@query(HITS_SQL + "SELECT query, id, CASE WHEN id % 2 = 0 THEN pos::DOUBLE ELSE -1000 END AS score FROM hi")
+def rerank_missing_scores(spark, sf_dir):
+    """A provider that scores even ids only."""
+    hits = _hits(spark, sf_dir)
+    given = hits.where("id % 2 = 0").select("query", "id", F.col("pos").cast("double").alias("score"))
+    return ranking.with_scores(hits.drop("score"), given).select("query", "id", "score")

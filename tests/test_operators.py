@@ -226,3 +226,26 @@ def test_order_does_not_depend_on_partitions(spark, parts):
     v = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(40)], "id long, embedding array<float>").repartition(parts)
     got = [(r["query"], r.id) for r in vectors.dense_top_k(v.where("id < 3"), v, 3).orderBy("query", "rank").collect()]
     assert got == [(0, 3), (0, 6), (0, 9), (1, 4), (1, 7), (1, 10), (2, 5), (2, 8), (2, 11)]
+
+
+def test_variants_turned_away_claim_nothing(spark):
+    data = [(1, 1, 1, "x", "c", "h1"), (1, 2, 2, "y", "d", "h1"), (1, 3, 3, "z", "d", "h2"), (1, 4, 4, "c", "c", "h3"), (1, 1, 5, "x", "c", "h1")]
+    df = spark.createDataFrame(data, "query long, id long, pos int, source string, canonical string, hash string")
+    # x isn't its canonical c, which is there; so y keeps hash h1, and z may not share d with it.
+    assert [r.id for r in ranking.dedup_variants(df).orderBy("rank").collect()] == [2, 4]
+
+
+def test_schema_and_profile(spark):
+    v = spark.createDataFrame([(1, [1.0, 2.0])], "id long, embedding array<double>")
+    assert store.checked(v, {"id": "bigint"}, 2).count() == 1
+    with pytest.raises(ValueError):
+        store.checked(v, {"id": "string"})
+    with pytest.raises(Exception, match="another width"):
+        store.checked(v, {}, 3).collect()
+    assert store.profile_key({"a": 1, "b": 2}) == store.profile_key({"b": 2, "a": 1}) != store.profile_key({"a": 1})
+
+
+def test_hash_encoder_is_unit_length(spark):
+    docs = spark.createDataFrame([(1, "one two two three"), (2, "")], "id long, text string")
+    out = vectors.hash_encode(vectors.term_counts(docs, "id", "text"), 8).collect()
+    assert [r.id for r in out] == [1] and sum(x * x for x in out[0].embedding) == pytest.approx(1.0) and len(out[0].embedding) == 8
