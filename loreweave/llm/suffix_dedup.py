@@ -332,11 +332,11 @@ def dedup_substrings(docs: DataFrame, match: int = 100, chunk: int = CHUNK) -> D
     else:
         rows = rows.select(F.col("doc_id"), F.col("doc_id").alias("doc"), "text")
     runs = rows.select("doc", "text").mapInArrow(_anchor_runs(n, match, chunk), ", ".join(f"{x} {'int' if x == 'bucket' else 'binary'}" for x, _ in SEGMENT_RUN))
-    segs = stored(runs.repartition(n, "bucket").mapInArrow(_settle, "doc long, segs binary, open boolean"), "segments")
+    segs = stored(runs.repartitionById(n, F.col("bucket")).mapInArrow(_settle, "doc long, segs binary, open boolean"), "segments")
     by_doc = rows.repartition(n, "doc")
     opened = segs.groupBy("doc").agg(F.collect_list("segs").alias("segs"), F.max("open").alias("open")).where("open")
     windows = by_doc.select("doc", "text").join(opened.select("doc", "segs"), "doc").select("doc", "text", "segs").mapInArrow(_window_runs(n, match, chunk), ", ".join(f"{x} {'int' if x == 'bucket' else 'binary'}" for x, _ in WINDOW_RUN))
-    late = windows.repartition(n, "bucket").mapInArrow(_owner, "doc long, starts binary")
+    late = windows.repartitionById(n, F.col("bucket")).mapInArrow(_owner, "doc long, starts binary")
     told = segs.select("doc", "segs", F.lit(None).cast("binary").alias("starts")).unionByName(late.select("doc", F.lit(None).cast("binary").alias("segs"), "starts")).groupBy("doc").agg(F.collect_list("segs").alias("segs"), F.collect_list("starts").alias("starts"))
     out = by_doc.select("doc", "text").join(told, "doc", "left").select("doc", "text", "segs", "starts").mapInArrow(_remove(match), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if repeated:
