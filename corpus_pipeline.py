@@ -5,24 +5,20 @@ Every stage but the last returns the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.llm import line_dedup, mixing, quality, sentencepiece_codec, simhash
-from loreweave.llm.common import stored
+from loreweave.llm.common import NO_ID, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _row_hash() -> Column:
-    """What the operators call rid."""
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-
-
 def _with(docs: DataFrame, told: DataFrame) -> DataFrame:
-    """Rows of docs with what an operator says of them (by doc_id and rid); rows it doesn't name go."""
-    told = told.select(F.col("doc_id").alias("told_id"), F.col("rid").alias("told_rid"), *[c for c in told.columns if c not in ("doc_id", "rid")])
-    return docs.select(*COLUMNS).join(told, F.col("doc_id").eqNullSafe(F.col("told_id")) & (_row_hash() == F.col("told_rid")))
+    """Rows of docs with what an operator says of them, by key (doc_id, null as NO_ID) and rid; rows it doesn't name go."""
+    key = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("key")
+    rid = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("rid")
+    return docs.select(*COLUMNS, key, rid).join(told.select(key, *[c for c in told.columns if c != "doc_id"]), ["key", "rid"])
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Shingles of four words and 4 of 64 bits, as the operator's contract has them.
     """
     kept = simhash.near_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("rid").alias("rid"))
-    return _with(docs, kept).dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return _with(docs, kept).dropDuplicates(["key", "rid"]).select(*COLUMNS)  # rows repeated as they are: one
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
