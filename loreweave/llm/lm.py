@@ -352,7 +352,7 @@ def score_texts(docs: DataFrame, rounds: int = 4) -> DataFrame:
     owners = partitions(spark)
     table = stored(texts(docs).mapInArrow(_tokenise, BLOCK_TABLE), "lm-blocks")
     asked = table.select("block", "tokens", "shapes", "train").mapInArrow(_ask(owners), "owner int, block long, tokens binary, shapes binary, train binary")
-    counts = stored(asked.repartition(owners, "owner").mapInArrow(_answer, "block long, owner int, counts binary"), "lm-counts")
+    counts = stored(asked.repartitionById(owners, F.col("owner")).mapInArrow(_answer, "block long, owner int, counts binary"), "lm-counts")
     fan = max(1, int(owners**0.5))
     empty = {"n": 0, "v": 0, "top": [], "shape_n": np.zeros(SHAPES), "shape_v": np.zeros(SHAPES)}
     stats = _tree(counts.where("block = -1").select(F.col("counts").alias("value")), _merge_stats, fan) or empty
