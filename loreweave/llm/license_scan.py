@@ -1,10 +1,16 @@
 """License scans: texts against licence templates by Dice over word bigrams.
 
-A unit of text (each line, each run of ``SPAN`` lines for longer templates, and
-the whole document) is normalised to lower-case words and turned into its set of
-word bigrams. Dice = 2 |A & B| / (|A| + |B|) cannot reach t unless |A| lies in
-[|B| t / (2 - t), |B| (2 - t) / t], so a unit's size picks the templates that it
-is compared with, and most lines meet none.
+A unit of text (each line and the whole document) is normalised to lower-case
+words and turned into its set of word bigrams. Dice = 2 |A & B| / (|A| + |B|)
+cannot reach t unless |A| lies in [|B| t / (2 - t), |B| (2 - t) / t], so a unit's
+size picks the templates that it is compared with, and most lines meet none.
+
+Notices broken over lines or amid other words are sought in all windows of the
+document's words. What a window on one line shows counts only for licences that
+no unit shows: else the score is that of the line. A template is tried
+only if the document holds |B| t / (2 - t) of its bigrams. A best window starts
+and ends with bigrams of the template that it holds once, so a start is followed
+to its bigram's next place at most: |B| times the document's length in all.
 """
 
 from __future__ import annotations
@@ -72,6 +78,40 @@ class Templates:
         #: Words of a text that shares enough with some template are mostly of templates.
         self.firsts = {pair for *_, g in self.items for pair in g}
 
+    def windows(self, pairs: list[tuple[bytes, bytes]]) -> list[tuple[str, float, int, int]]:
+        """(licence, dice, first pair, last pair) of windows that reach the threshold, the best of those that overlap."""
+        hits: dict[tuple[bytes, bytes], list[int]] = {}
+        for i, pair in enumerate(pairs):
+            if pair in self.firsts:
+                hits.setdefault(pair, []).append(i)
+        out = []
+        for (name, _, own), (low, high) in zip(self.items, self.bounds, strict=True):
+            held = own & hits.keys()
+            if len(held) < low or not held:
+                continue
+            last = None
+            for start, stop in sorted((a, b) for pair in held for a, b in zip(hits[pair], [*hits[pair][1:], len(pairs)], strict=True)):
+                seen, shared, best = set(), 0, None
+                for end in range(start, stop):
+                    pair = pairs[end]
+                    if pair in seen:
+                        continue
+                    seen.add(pair)
+                    if len(seen) > high:
+                        break
+                    if pair in own:
+                        shared += 1
+                        d = 2 * shared / (len(seen) + len(own))
+                        if d >= self.threshold and (best is None or d > best[1]):
+                            best = (name, d, start, end)
+                if best and last and best[2] <= last[3]:
+                    last = min(last, best, key=lambda x: (-x[1], x[3] - x[2], x[2]))
+                elif best:
+                    out += [last] if last else []
+                    last = best
+            out += [last] if last else []
+        return out
+
     def matches(self, grams: frozenset) -> list[tuple[str, float]]:
         n = len(grams)
         if not self.least <= n <= self.most or grams.isdisjoint(self.firsts):
@@ -95,6 +135,26 @@ def units(text: bytes, most_words: int, spans: tuple[int, ...]) -> list[tuple[in
     return out
 
 
+def embedded(text: bytes, known: Templates) -> dict[str, tuple[float, int, int]]:
+    """(dice, lines, first line) of each licence's best window, of equal ones the longest.
+
+    A window of which half is in a better one of another licence is a part of that
+    notice, as the first sentence of GPL-3.0 is of GPL-2.0's wording.
+    """
+    lower = text.lower()
+    words = WORD.findall(lower)
+    found = known.windows(list(zip(words[:-1], words[1:], strict=True)))
+    if not found:
+        return {}
+    at = [m.span() for m in WORD.finditer(lower)]
+    out: dict[str, tuple[float, int, int]] = {}
+    for name, d, a, b in sorted(found, key=lambda x: (-x[1], x[2] - x[3], x[2])):
+        if name not in out and not any(n != name and e > d and 2 * (min(b, y) - max(a, x) + 1) >= b - a + 1 for n, e, x, y in found):
+            first, last = at[a][0], at[b + 1][1]
+            out[name] = (d, text.count(b"\n", first, last) + 1, text.count(b"\n", 0, first))
+    return out
+
+
 def _scan(threshold: float, templates: dict, spans: tuple[int, ...]):
     def run(batches):
         known = Templates(templates, threshold)
@@ -110,6 +170,9 @@ def _scan(threshold: float, templates: dict, spans: tuple[int, ...]):
                     for name, d in known.matches(frozenset(zip(words[:-1], words[1:], strict=True))):
                         if name not in best or (-d, n, first) < (-best[name][0], best[name][1], best[name][2]):
                             best[name] = (d, n, first)
+                for name, (d, n, first) in embedded(text, known).items():
+                    if name not in best or n > 1 and (-d, n, first) < (-best[name][0], best[name][1], best[name][2]):
+                        best[name] = (d, n, first)
                 rows.append([{"license": k, "dice": d, "first_line": f, "lines": n} for k, (d, n, f) in sorted(best.items(), key=lambda x: (-x[1][0], x[0]))])
             kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("first_line", pa.int32()), ("lines", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], ["doc_id", "found"])
@@ -120,9 +183,10 @@ def _scan(threshold: float, templates: dict, spans: tuple[int, ...]):
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tuple[str, ...]] | None = None, spans: tuple[int, ...] = ()) -> DataFrame:
     """(doc_id, license, dice, first_line, lines, found), a row for each row of docs.
 
-    found: the licences whose best unit of the text reaches threshold, best first;
-    license and the columns after it: the first of them, or null. spans: numbers
-    of lines that are joined to units too, for notices broken over lines.
+    found: the licences whose best unit or window of words reaches threshold,
+    best first; license and the columns after it: the first of them, or null.
+    spans: numbers of lines that are joined to units too. A window has the lines
+    that its words stand on.
 
     Null and empty text: nothing found. Equal scores: by licence name, then the
     shorter and earlier unit. Null doc_id and repeated rows: a row each. Empty

@@ -51,6 +51,39 @@ def test_licence_over_broken_lines(spark):
     assert got == {1: ("MIT", 3), 2: (None, None)}
 
 
+def test_licence_wrapped_and_embedded(spark):
+    """Whatever surrounds a notice and wherever its lines break; brute force over all windows of words."""
+    wrap = lambda x, n: "\n".join(" * " + " ".join(x.split()[i : i + n]) for i in range(0, len(x.split()), n))
+    body = "".join(f"some code that says nothing of terms {i}\n" for i in range(60))
+    own = license_scan.TEMPLATES
+    rows = [
+        "/*\n" + wrap(own["Apache-2.0"][1], 9) + "\n */\n" + body,
+        body + wrap(own["GPL-3.0"][1], 7) + "\n" + body,
+        body + own["MIT"][2].replace(" The above", "\n\nThe above").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS") + "\n" + body,
+        "a long line of other words before it " * 9 + own["MIT"][1] + " and after it" * 9,
+        body + wrap(own["MIT"][1], 2) + "\n" + body + wrap(own["GPL-3.0"][1], 11),
+        "all rights " * 400,
+    ]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    assert [got[i].license for i in range(6)] == ["Apache-2.0", "GPL-3.0", "MIT", "MIT", "GPL-3.0", None]
+    assert [len(got[i].found) for i in range(6)] == [1, 1, 1, 1, 2, 0] and all(got[i].dice == 1 for i in range(5))
+    assert (got[1].first_line, got[1].lines) == (60, len(wrap(own["GPL-3.0"][1], 7).split("\n")))
+    known = license_scan.Templates(own, 0.8)
+    for text in rows[3], "x all rights\nreserved under the MIT\nlicense licensed under the MIT License the MIT License version 2":
+        words = license_scan.WORD.findall(text.encode().lower())
+        pairs = list(zip(words[:-1], words[1:], strict=True))
+        brute = {}
+        for i in range(len(pairs)):
+            for j in range(i, min(len(pairs), i + 60)):
+                for name, d in known.matches(frozenset(pairs[i : j + 1])):
+                    brute[name] = max(d, brute.get(name, 0))
+        best = {}
+        for name, d, *_ in known.windows(pairs):
+            best[name] = max(d, best.get(name, 0))
+        assert best == brute and brute
+
+
 # --- SentencePiece
 
 
