@@ -33,11 +33,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a group of near copies the document of smallest id stays.
+    """Of a group of near copies the document of smallest id stays; of equal or no ids, the text of smallest hash.
 
     Shingles of four words and 4 of 64 bits, as the operator's contract has them.
     """
-    kept = simhash.near_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("rid").alias("rid"))
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "rid")).alias("first")
+    kept = simhash.near_dedup(docs).groupBy("component").agg(first).select("first.*")
     return _with(docs, kept).dropDuplicates(["key", "rid"]).select(*COLUMNS)  # rows repeated as they are: one
 
 

@@ -150,7 +150,10 @@ def near_links(prints: DataFrame, giant: int = GIANT) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, shingle: int = 4, giant: int = GIANT) -> DataFrame:
-    """(doc_id, rid, fingerprint, component_id), a row for each row of docs.
+    """(doc_id, rid, fingerprint, component_id, component), a row for each row of docs.
+
+    component names a group of linked rows, whatever their ids (its smallest
+    fingerprint); component_id is the smallest doc_id in it, null if it has none.
 
     Null, empty and white texts: fingerprint 0, linked like any other. Fewer than
     shingle words: the whole sequence is the one shingle. Null doc_id: after all
@@ -158,13 +161,13 @@ def near_dedup(docs: DataFrame, shingle: int = 4, giant: int = GIANT) -> DataFra
     ignored.
     """
     rows = stored(texts(docs).withColumn("rid", F.xxhash64("text")).mapInArrow(_prints(shingle), "doc_id long, rid long, fp long"), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "prints")
-    links = near_links(nodes, giant)
-    a, b = nodes.select(F.col("fp").alias("x"), F.col("node").alias("a")), nodes.select(F.col("fp").alias("y"), F.col("node").alias("b"))
-    found = components(links.join(a, "x").join(b, "y").select("a", "b"))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(named, "fp").select(real_id("doc_id"), "rid", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), real_id("component_id"))
+    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
+    found = components(near_links(nodes, giant).toDF("a", "b")).withColumnRenamed("node", "fp")
+    named = stored(nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "named")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    out = rows.join(named.join(least, "component").select("fp", "component", "component_id"), "fp")
+    return out.select(real_id("doc_id"), "rid", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), real_id("component_id"), "component")
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    return near_dedup(docs).drop("rid")
+    return near_dedup(docs).drop("rid", "component")

@@ -98,6 +98,21 @@ def test_near_dedup_against_brute_force(spark, sf):
     assert got == {r.doc_id: (f"{p:016x}", want[r.doc_id]) for r, p in zip(rows, prints, strict=True)}
 
 
+def test_rows_without_or_with_one_id_stay_apart(spark, tmp_path):
+    """Two null ids and a repeated id, each with two texts; the null ids' texts are near documents 5 and 9."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    a, b, c, d = (" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)) for _ in range(4))
+    rows = [(None, a + " end"), (None, b + " end"), (5, a), (9, b), (7, c), (7, d), (None, c[::-1]), (None, d[::-1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOC)
+    got = simhash.near_dedup(docs).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (0, 5), (0, 9), (5, 5), (7, 7), (7, 7), (9, 9)]
+    assert len({r.component for r in got}) == 6
+    kept = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted((i or 0, t) for i, t in rows[2:])
+
+
 @pytest.mark.parametrize("giant", [40, 20_000])
 def test_crowded_fingerprints_keep_their_components(spark, giant):
     """Two dense clouds of fingerprints and scattered ones; a small giant deals keys out as block pairs."""
