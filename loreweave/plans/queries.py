@@ -681,7 +681,7 @@ def _retrieve(spark, sf_dir, broad):
 
 @query()
 def retrieve_narrow(spark, sf_dir):
-    """The whole plan for every benchmark question."""
+    """The plan of retrieve() for every benchmark question."""
     return _retrieve(spark, sf_dir, False)
 
 
