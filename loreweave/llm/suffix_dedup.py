@@ -2,24 +2,28 @@
 
 What counts is whether the 100 bytes from a place (a *window*: a suffix cut to
 the match length) also start earlier. Sorting all suffixes of the corpus would
-move each byte a hundredfold, so work narrows in three steps, each exact:
+move each byte a hundredfold, so candidates are narrowed first. Hashes only say
+which windows can't repeat; that one does is said by its bytes.
 
 1. Anchors. A window's anchor is its least 32-byte hash, a property of its bytes
    alone. Neighbouring windows with one anchor form a segment (about 35 windows),
-   and equal windows have equal anchors. Per segment only the anchor and a hash
-   of its bytes are shuffled. An anchor found once: none of its windows repeats.
-   A segment equal to an earlier one: all its windows repeat. Where an anchor's
-   segments differ, the first of each kind stays open.
-2. Index families. Only windows of open segments enter suffix arrays, each array
-   ordered by the windows' 96-bit fingerprints (not by letters: all that is asked
-   is equality at the match length). An owner task takes batch after batch: a
-   batch's array is merge-scanned against each level; of two equal windows the
-   later is reported and the earlier stays; levels of equal size merge, so that
-   a window moves a logarithmic number of times.
-3. Documents are joined with what was reported of them, and bytes are removed.
-
-Copies inside a task's batch are settled before the shuffle, and windows are dealt
-by their own hash, so neither a hot passage nor a hot document lands in one task.
+   and equal windows have equal anchors. A row for each segment goes to where its
+   anchor lives; an anchor found once is done: none of its windows repeats.
+   Segments of a crowded anchor are taken apart into windows, which are narrowed
+   by their own hashes in the same way, so that no anchor is too hot for a task.
+2. Index families. The bytes of what is left go to owner tasks. An owner takes
+   batch after batch: a batch gets a suffix array (its windows in order of their
+   bytes), which is merge-scanned against each level for common prefixes of the
+   match length; of two equal windows the later is reported and the earlier stays;
+   levels of equal size merge, so a window moves a logarithmic number of times.
+   There are as many owners as keep each one's arrays under a bound.
+3. Reports travel packed by the partition of their document, as runs of places,
+   and become one row for each document; documents are joined with them, and bytes
+   are removed.
+
+Equal segments of a task's documents are settled there (bytes compared), so a hot
+passage is a row for each task. Of an anchor that a task has several times, one
+row goes home; the others, known to repeat, are dealt out by their place.
 """
 
 from __future__ import annotations
@@ -36,10 +40,14 @@ from loreweave.llm.hashing import Spans, mixed, sliding_min
 
 GRAM = 32
 CHUNK = 1 << 20
-#: Segments or windows that a task holds before it sends them on.
-HELD = 1 << 20
-SEGMENT = np.dtype([("low", "<i4"), ("n", "<i4"), ("state", "u1")])
-OPEN, COVERED = 1, 2
+#: Segments that a task holds before it sends them on, bytes of segments, and windows.
+HELD, HELD_BYTES, HELD_WINDOWS = 1 << 20, 1 << 25, 1 << 18
+#: Windows that an owner gets, about; segments that make an anchor crowded, at least.
+OWNED, CROWD = 1 << 21, 4096
+#: Crowded anchors have over this share of all segments, so there are fewer than its inverse.
+CROWD_SHARE = 2.0**-20
+PLACE = np.dtype([("low", "<i4"), ("n", "<i4"), ("key", "<u8")])
+RUN = np.dtype([("low", "<i4"), ("n", "<i4")])
 
 
 def _blobs(order_key: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -52,16 +60,15 @@ def _blobs(order_key: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, pa.Arra
 
 
 def segments(buf: np.ndarray, at: np.ndarray, match: int) -> tuple[np.ndarray, ...]:
-    """(doc, low, n, anchor, whole, again) of the segments of the texts between the offsets at.
+    """(doc, low, n, anchor, again) of the segments of the texts between the offsets at.
 
     doc: index of the text; low: first window in buf; n: windows; again: the
     anchor occurs at several places of the segment.
     """
     n = len(buf) - match + 1
     if n <= 0:
-        return tuple(np.zeros(0, x) for x in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool))
-    spans = Spans(buf)
-    grams = spans.every(GRAM)
+        return tuple(np.zeros(0, x) for x in (np.int64, np.int64, np.int64, np.uint64, bool))
+    grams = Spans(buf).every(GRAM)
     place = np.uint64((1 << 21) - 1)
     least = sliding_min((grams & ~place) | np.arange(len(grams), dtype=np.uint64), match - GRAM + 1)
     spot = (least & place).astype(np.int64)
@@ -73,7 +80,7 @@ def segments(buf: np.ndarray, at: np.ndarray, match: int) -> tuple[np.ndarray, .
     last = inside.copy()
     last[:-1] &= ~inside[1:] | (key[1:] != key[:-1])
     low, high = np.flatnonzero(first), np.flatnonzero(last)
-    return doc[low], low, high - low + 1, key[low], spans.of(low, high + match), spot[low] != spot[high]
+    return doc[low], low, high - low + 1, key[low], spot[low] != spot[high]
 
 
 def _chunks(batches, match: int, chunk: int):
@@ -95,214 +102,291 @@ def _rows(kind: list[tuple[str, pa.DataType]], rows: list[tuple]):
 
 
 def _split(bucket: np.ndarray, n: int):
-    """Index arrays of each bucket that has any."""
+    """(bucket, index array) of each bucket that has any."""
     order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(n + 1))
-    return ((b, order[ends[b] : ends[b + 1]]) for b in range(n) if ends[b] < ends[b + 1])
+    own, new = np.unique(bucket[order], return_index=True)
+    return zip(own.tolist(), np.split(order, new[1:]), strict=True) if len(own) else ()
 
 
-SEGMENT_RUN = [("bucket", pa.int32()), *((x, pa.binary()) for x in ("anchor", "whole", "doc", "low", "n", "state"))]
+def _home_of(doc: np.ndarray, n: int) -> np.ndarray:
+    """Partition of n that a document's reports go to."""
+    return (mixed(doc.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
-def _anchor_runs(buckets: int, match: int, chunk: int):
-    def run(batches):
-        held: list[tuple[np.ndarray, ...]] = []
+# --- narrowing: which keys (of segments or windows) occur at several places
+
+ASKED = [("bucket", pa.int32()), *((x, pa.binary()) for x in ("key", "doc", "low", "n", "count"))]
+ASKED_SQL = "bucket int, key binary, doc binary, low binary, n binary, count binary"
 
-        def flush():
-            doc, low, n, anchor, whole, again = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            if not len(doc):  # texts shorter than a match
-                return
-            order = np.lexsort((doc, whole, anchor))  # stable: places of a text stay in order
-            doc, low, n, anchor, whole, again = (x[order] for x in (doc, low, n, anchor, whole, again))
-            same_anchor = np.concatenate(([False], anchor[1:] == anchor[:-1]))
-            same = same_anchor & np.concatenate(([False], (whole[1:] == whole[:-1]) & (n[1:] == n[:-1])))
-            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-            later = same & ((doc != doc[head]) | (low != low[head]))
-            group = np.cumsum(~same_anchor) - 1
-            known = again | (np.bincount(group, weights=~same) > 1)[group]  # the anchor's segments differ
-            state = np.where(later, COVERED, known).astype(np.uint8)
-            # An anchor's first segment goes where the anchor lives; the rest, known to repeat, spread by their bytes.
-            spread = np.where(later, mixed(doc.view(np.uint64) + low.astype(np.uint64)), np.where(same_anchor, whole, anchor))
-            for b, i in _split((spread % np.uint64(buckets)).astype(np.int64), buckets):
-                yield (b, *(packed(x[i]) for x in (anchor, whole, doc, low.astype(np.int32), n.astype(np.int32), state)))
 
+def _asked(buckets: int, held: list[tuple[np.ndarray, ...]]):
+    """Rows out of (doc, low, n, key, again) arrays: an entry a key for its home, with its count; the others known to repeat (count 0)."""
+    doc, low, n, key, again = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
+    if not len(doc):  # texts shorter than a match
+        return
+    order = np.lexsort((low, doc, key))
+    doc, low, n, key, again = (x[order] for x in (doc, low, n, key, again))
+    same = np.concatenate(([False], key[1:] == key[:-1]))
+    again |= np.concatenate(([False], same[1:] & ((doc[1:] != doc[:-1]) | (low[1:] != low[:-1]))))
+    group = np.cumsum(~same) - 1
+    count = np.where(same, 0, (1 + np.bincount(group, weights=again).astype(np.int64))[group])
+    spread = np.where(same, mixed(doc.view(np.uint64) + low.astype(np.uint64)), key)
+    yield from _rows(ASKED, [(b, *(packed(x[i]) for x in (key, doc, low.astype(np.int32), n.astype(np.int32), count.astype(np.int32)))) for b, i in _split((spread % np.uint64(buckets)).astype(np.int64), buckets)])
+
+
+def _ask_segments(buckets: int, match: int, chunk: int):
+    def run(batches):
+        held: list[tuple[np.ndarray, ...]] = []
         for ids, buf, at, base in _chunks(batches, match, chunk):
-            doc, low, n, anchor, whole, again = segments(buf, at, match)
-            held.append((ids[doc], low - at[doc] + base, n, anchor, whole, again))
+            doc, low, n, anchor, again = segments(buf, at, match)
+            held.append((ids[doc], low - at[doc] + base, n, anchor, again))
             if sum(len(x[0]) for x in held) >= HELD:
-                yield from _rows(SEGMENT_RUN, list(flush()))
+                yield from _asked(buckets, held)
         if held:
-            yield from _rows(SEGMENT_RUN, list(flush()))
+            yield from _asked(buckets, held)
 
     return run
 
 
-def _settle(batches):
-    """A bucket's segments: (doc, segs, open), those that repeat an earlier one or stay open."""
-    kinds = (np.uint64, np.uint64, np.int64, np.int32, np.int32, np.uint8)
-    by_bucket: dict[int, list] = {}
-    for batch in batches:
-        cols = batch.to_pydict()
-        for i, b in enumerate(cols["bucket"]):
-            by_bucket.setdefault(b, []).append([unpacked(cols[name][i], t) for (name, _), t in zip(SEGMENT_RUN[1:], kinds, strict=True)])
-    for runs in by_bucket.values():
-        anchor, whole, doc, low, n, state = (np.concatenate(x) for x in zip(*runs, strict=True))
-        order = np.lexsort((low, doc, whole, anchor))
-        anchor, whole, doc, low, n, state = (x[order] for x in (anchor, whole, doc, low, n, state))
-        same_anchor = np.concatenate(([False], anchor[1:] == anchor[:-1]))
-        group = np.cumsum(~same_anchor) - 1
-        same = same_anchor & np.concatenate(([False], (whole[1:] == whole[:-1]) & (n[1:] == n[:-1])))
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-        later = same & ((doc != doc[head]) | (low != low[head]))
-        # Where all segments of an anchor are alike, the first has nothing before it.
-        differ = (np.bincount(group, weights=~same) > 1) | (np.bincount(group, weights=state == OPEN) > 0)
-        keep = np.flatnonzero(differ[group] | later | (state == COVERED))
-        if not len(keep):
-            continue
-        out = np.zeros(len(keep), SEGMENT)
-        out["low"], out["n"] = low[keep], n[keep]
-        out["state"] = np.where(later[keep] | (state[keep] == COVERED), COVERED, OPEN)
-        docs, blob = _blobs(doc[keep], out)
-        _, first = np.unique(doc[keep], return_inverse=True)
-        some = np.bincount(first, weights=out["state"] == OPEN) > 0
-        yield pa.RecordBatch.from_arrays([pa.array(docs), blob, pa.array(some)], ["doc", "segs", "open"])
+def _ask_windows(buckets: int, match: int, shared):
+    """The windows of segments whose anchor is crowded, by their own hashes."""
+
+    def run(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            docs = batch.column("doc").to_pylist()
+            for text, doc, raw in zip(byte_rows(batch.column("text")), docs, batch.column("places").to_pylist(), strict=True):
+                places = np.frombuffer(raw, PLACE)
+                for low, n in places[np.isin(places["key"], shared.value)][["low", "n"]].tolist():
+                    h = Spans(np.frombuffer(text, np.uint8)[low : low + n + match - 1]).every(match)
+                    held.append((np.full(n, doc, np.int64), low + np.arange(n), np.ones(n, np.int64), h, np.zeros(n, bool)))
+                if sum(len(x[0]) for x in held) >= HELD:
+                    yield from _asked(buckets, held)
+        if held:
+            yield from _asked(buckets, held)
+
+    return run
+
+
+TOLD = [("home", pa.int32()), ("doc", pa.binary()), ("low", pa.binary()), ("n", pa.binary()), ("key", pa.binary()), ("total", pa.int64())]
+TOLD_SQL = "home int, doc binary, low binary, n binary, key binary, total long"
+
+
+def _tell(homes: int, crowd: int):
+    """A bucket's entries: those whose key repeats, packed by their document's partition (total: windows).
+
+    Home -1: a key with crowd places or more, total being their number; home -2: total is the number of all entries.
+    """
+
+    def run(batches):
+        kinds = (np.uint64, np.int64, np.int32, np.int32, np.int32)
+        runs = [[unpacked(x, t) for x, t in zip(row, kinds, strict=True)] for batch in batches for row in zip(*(batch.column(x).to_pylist() for x, _ in ASKED[1:]), strict=True)]
+        if not runs:
+            return
+        key, doc, low, n, count = (np.concatenate(x) for x in zip(*runs, strict=True))
+        own, back = np.unique(np.where(count > 0, key, np.uint64(0)), return_inverse=True)
+        sums = np.bincount(back, weights=count).astype(np.int64)
+        repeats = (count == 0) | (sums[back] > 1)
+        rows = [(-2, b"", b"", b"", b"", len(key))] + [(-1, b"", b"", b"", own[i].tobytes(), int(sums[i])) for i in np.flatnonzero(sums >= crowd)]
+        key, doc, low, n = (x[repeats] for x in (key, doc, low, n))
+        for home, i in _split(_home_of(doc, homes), homes):
+            i = i[np.lexsort((low[i], doc[i]))]
+            rows.append((home, packed(doc[i]), packed(low[i]), packed(n[i]), packed(key[i]), int(n[i].sum())))
+        yield from _rows(TOLD, rows)
+
+    return run
+
+
+def _places_by_doc(batches):
+    """(doc, places), a row for each document of the partition that has any."""
+    runs = [[unpacked(x, t) for x, t in zip(row, (np.int64, np.int32, np.int32, np.uint64), strict=True)] for batch in batches for row in zip(*(batch.column(x).to_pylist() for x in ("doc", "low", "n", "key")), strict=True)]
+    if runs:
+        doc, low, n, key = (np.concatenate(x) for x in zip(*runs, strict=True))
+        out = np.zeros(len(doc), PLACE)
+        out["low"], out["n"], out["key"] = low, n, key
+        docs, blob = _blobs(doc, out)
+        yield pa.RecordBatch.from_arrays([pa.array(docs), blob], ["doc", "places"])
+
+
+# --- index families: which windows' bytes start earlier
+
+
+def runs_of(doc: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, low, n) of the maximal runs of the places low, low + 1, ... low + n - 1."""
+    order = np.lexsort((low, doc))
+    doc, low, end = doc[order], low[order].astype(np.int64), (low + n)[order].astype(np.int64)
+    if not len(doc):
+        return doc, low, end
+    wide = np.int64(1) << 32
+    rank = np.cumsum(np.concatenate(([0], doc[1:] != doc[:-1])))
+    most = np.maximum.accumulate(rank * wide + end)
+    new = np.flatnonzero(np.concatenate(([True], rank[1:] * wide + low[1:] > most[:-1])))
+    stop = most[np.append(new[1:], len(doc)) - 1] - rank[new] * wide
+    return doc[new], low[new], stop - low[new]
+
+
+SENT = [("key", pa.int64()), ("body", pa.binary()), ("doc", pa.int64()), ("low", pa.int32()), ("n", pa.int32())]
+SENT_SQL = "key long, body binary, doc long, low int, n int"
+
+
+def _cut(match: int, crowded):
+    """The bytes of repeating segments (and of repeating windows of crowded anchors), each once a task; runs known to come later have no body."""
+
+    def run(batches):
+        held: dict[bytes, tuple[int, int, int, int]] = {}
+        late: list[tuple[int, int, int]] = []
+        size = 0
+
+        def flush():
+            doc, low, n = runs_of(*(np.array(x, np.int64) for x in (zip(*late, strict=True) if late else ((), (), ()))))
+            rows = [(k, body, d, a, m) for body, (d, a, m, k) in held.items()]
+            rows += [(int(k), None, *x) for k, *x in zip(mixed(doc.view(np.uint64) + low.view(np.uint64)).view(np.int64).tolist(), doc.tolist(), low.tolist(), n.tolist(), strict=True)]
+            held.clear()
+            late.clear()
+            for at in range(0, len(rows), 8192):
+                yield from _rows(SENT, rows[at : at + 8192])
+
+        for batch in batches:
+            cols = (batch.column(x).to_pylist() for x in ("doc", "places", "windows"))
+            for text, doc, places, windows in zip(byte_rows(batch.column("text")), *cols, strict=True):
+                own = np.frombuffer(places, PLACE)
+                if crowded is not None:
+                    own = np.concatenate((own[~np.isin(own["key"], crowded.value)], np.frombuffer(windows or b"", PLACE)))
+                for low, n, key in zip(own["low"].tolist(), own["n"].tolist(), own["key"].view(np.int64).tolist(), strict=True):
+                    body = text[low : low + n + match - 1]
+                    was = held.get(body)
+                    if was is None:
+                        held[body] = (doc, low, n, key)
+                        size += len(body)
+                    elif (doc, low) < was[:2]:
+                        held[body] = (doc, low, n, key)
+                        late.append(was[:3])
+                    elif (doc, low) > was[:2]:
+                        late.append((doc, low, n))
+                if size > HELD_BYTES or len(late) > HELD:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    return run
 
 
 class IndexFamily:
     """Suffix arrays whose sizes fall geometrically; add() says which windows repeat an earlier one.
 
-    A window is (h, g, doc, low), with h and g its fingerprint.
+    A window is its bytes (of one length, a numpy string) with its place (doc, low).
     """
 
     def __init__(self):
         self.levels: list[list[np.ndarray]] = []
 
-    def add(self, h, g, doc, low) -> list[tuple[np.ndarray, np.ndarray]]:
+    def add(self, body: np.ndarray, doc: np.ndarray, low: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(doc, low) arrays of windows now known to start later than an equal one."""
-        order = np.lexsort((low, doc, g, h))
-        batch = [x[order] for x in (h, g, doc, low)]
-        found = []
-        same = np.concatenate(([False], (batch[0][1:] == batch[0][:-1]) & (batch[1][1:] == batch[1][:-1])))
+        order = np.argsort(body)  # the batch's suffix array
+        batch = [x[order] for x in (body, doc, low)]
+        same = np.concatenate(([False], batch[0][1:] == batch[0][:-1]))  # a common prefix of the match length
+        first = np.lexsort((batch[2], batch[1], np.cumsum(~same)))
+        batch[1], batch[2] = batch[1][first], batch[2][first]
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-        later = same & ((batch[2] != batch[2][head]) | (batch[3] != batch[3][head]))
-        found.append((batch[2][later], batch[3][later]))
+        later = same & ((batch[1] != batch[1][head]) | (batch[2] != batch[2][head]))
+        found = [(batch[1][later], batch[2][later])]
         batch = [x[~same] for x in batch]
         for level in self.levels:  # the merge scan
             at = np.searchsorted(level[0], batch[0])
             at[at == len(level[0])] = 0
-            for step in (0, 1):  # two fingerprints may share h
-                spot = np.minimum(at + step, len(level[0]) - 1)
-                hit = np.flatnonzero((level[0][spot] == batch[0]) & (level[1][spot] == batch[1]))
-                there = spot[hit]
-                older = (batch[2][hit] < level[2][there]) | ((batch[2][hit] == level[2][there]) & (batch[3][hit] < level[3][there]))
-                alike = (batch[2][hit] == level[2][there]) & (batch[3][hit] == level[3][there])
-                swap, come = there[older], hit[older]
-                found.append((level[2][swap].copy(), level[3][swap].copy()))
-                level[2][swap], level[3][swap] = batch[2][come], batch[3][come]
-                late = hit[~older & ~alike]
-                found.append((batch[2][late], batch[3][late]))
-                stay = np.ones(len(batch[0]), bool)
-                stay[hit] = False
-                batch, at = [x[stay] for x in batch], at[stay]
+            equal = level[0][at] == batch[0]
+            hit = np.flatnonzero(equal)
+            there = at[hit]
+            older = (batch[1][hit] < level[1][there]) | ((batch[1][hit] == level[1][there]) & (batch[2][hit] < level[2][there]))
+            alike = (batch[1][hit] == level[1][there]) & (batch[2][hit] == level[2][there])
+            swap, come = there[older], hit[older]
+            found.append((level[1][swap], level[2][swap]))
+            level[1][swap], level[2][swap] = batch[1][come], batch[2][come]
+            late = hit[~older & ~alike]
+            found.append((batch[1][late], batch[2][late]))
+            batch = [x[~equal] for x in batch]
         if len(batch[0]):
             self.levels.append(batch)
         while len(self.levels) > 1 and len(self.levels[-2][0]) <= len(self.levels[-1][0]):
             two = [np.concatenate(x) for x in zip(self.levels[-2], self.levels[-1], strict=True)]
-            order = np.argsort(two[0], kind="stable")
+            order = np.argsort(two[0], kind="stable")  # two sorted runs: merged in one pass
             self.levels[-2:] = [[x[order] for x in two]]
         return found
 
 
-WINDOW_RUN = [("bucket", pa.int32()), *((x, pa.binary()) for x in ("h", "g", "doc", "low", "late_doc", "late_low"))]
+def windows_of(buf: np.ndarray, start: np.ndarray, match: int) -> np.ndarray:
+    """The match bytes from each start, as numpy strings (of one length, so closing zero bytes don't matter)."""
+    every = np.lib.stride_tricks.sliding_window_view(buf, match)
+    return every[start].view(f"S{match}").ravel()
+
 
+LATE = [("home", pa.int32()), ("doc", pa.binary()), ("low", pa.binary()), ("n", pa.binary())]
+LATE_SQL = "home int, doc binary, low binary, n binary"
+
+
+def _owner(homes: int, match: int):
+    """An owner's segments, batch after batch, through its index family: runs of places that repeat, packed by their document's partition."""
 
-def _window_runs(buckets: int, match: int, chunk: int):
     def run(batches):
-        held: list[tuple[np.ndarray, ...]] = []
+        family = IndexFamily()
+        found: list[tuple[np.ndarray, ...]] = []
 
-        def flush():
-            h, g, doc, low = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            own = IndexFamily()  # repeats inside the task need no shuffle of fingerprints
-            late = own.add(h, g, doc, low)
-            late_doc, late_low = (np.concatenate(x) for x in zip(*late, strict=True))
-            h, g, doc, low = own.levels[0]
-            lates = dict(_split((mixed(late_doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), buckets))
-            none = np.zeros(0, np.int64)
-            mine = dict(_split((h % np.uint64(buckets)).astype(np.int64), buckets))
-            for b in sorted(mine.keys() | lates.keys()):
-                i, j = mine.get(b, none), lates.get(b, none)
-                i = i[np.lexsort((low[i], doc[i]))]  # so that ids and places compress
-                j = j[np.lexsort((late_low[j], late_doc[j]))]
-                yield (int(b), packed(h[i]), packed(g[i]), packed(doc[i]), packed(low[i]), packed(late_doc[j]), packed(late_low[j]))
+        def out():
+            doc, low, n = runs_of(*(np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True)))
+            found.clear()
+            yield from _rows(LATE, [(home, packed(doc[i]), packed(low[i].astype(np.int32)), packed(n[i].astype(np.int32))) for home, i in _split(_home_of(doc, homes), homes)])
 
         for batch in batches:
-            docs = batch.column("doc").to_pylist()
-            for text, doc, parts in zip(byte_rows(batch.column("text")), docs, batch.column("segs").to_pylist(), strict=True):
-                segs = np.frombuffer(b"".join(parts), SEGMENT)
-                segs = segs[segs["state"] == OPEN]
-                buf = np.frombuffer(text, np.uint8)
-                for base in range(0, max(0, len(buf) - match + 1), chunk):
-                    mine = segs[(segs["low"] >= base) & (segs["low"] < base + chunk)] if len(buf) > chunk else segs
-                    if not len(mine):
-                        continue
-                    n = mine["n"].astype(np.int64)
-                    low = np.repeat(mine["low"].astype(np.int64) - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    spans = Spans(buf[base : base + chunk + match - 1])
-                    at = low - base
-                    held.append((spans.of(at, at + match), (spans.of(at, at + match // 2) >> np.uint64(32)).astype(np.uint32), np.full(len(low), doc, np.int64), low.astype(np.int32)))
-                if sum(len(x[0]) for x in held) >= HELD:
-                    yield from _rows(WINDOW_RUN, list(flush()))
-        if held:
-            yield from _rows(WINDOW_RUN, list(flush()))
+            doc, low, n = (batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("doc", "low", "n"))
+            known = batch.column("body").is_null().to_numpy(zero_copy_only=False)
+            found.append((doc[known], low[known], n[known]))
+            part = batch.filter(pa.array(~known))
+            doc, low, n = doc[~known], low[~known], n[~known]
+            buf, at = utf8(part.column("body"))
+            ends = np.cumsum(n)
+            edge = np.searchsorted(ends, np.arange(0, (ends[-1] if len(ends) else 0) + HELD_WINDOWS, HELD_WINDOWS), "left")
+            edge[-1:] = len(ends)
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if a == b:
+                    continue
+                row = np.repeat(np.arange(a, b), n[a:b])
+                step = np.arange(len(row)) - np.repeat(ends[a:b] - n[a:b] - (ends[a] - n[a]), n[a:b])
+                late = family.add(windows_of(buf, at[row] + step, match), doc[row], (low[row] + step).astype(np.int32))
+                found += [(d, p, np.ones(len(d), np.int64)) for d, p in late]
+            if sum(len(x[0]) for x in found) > 2 * HELD:
+                yield from out()
+        if found:
+            yield from out()
 
     return run
 
 
-def _owner(batches):
-    """A bucket's windows, run after run, through its index family: (doc, starts) of those that repeat."""
-    families: dict[int, IndexFamily] = {}
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def out():
-        doc, low = (np.concatenate(x) for x in zip(*found, strict=True))
-        found.clear()
-        if len(doc):
-            docs, blob = _blobs(doc, low)
-            yield pa.RecordBatch.from_arrays([pa.array(docs), blob], ["doc", "starts"])
-
-    for batch in batches:
-        cols = batch.to_pydict()
-        for i, b in enumerate(cols["bucket"]):
-            h, g, doc, low, late_doc, late_low = (unpacked(cols[name][i], t) for (name, _), t in zip(WINDOW_RUN[1:], (np.uint64, np.uint32, np.int64, np.int32, np.int64, np.int32), strict=True))
-            found.append((late_doc, late_low))
-            if len(h):
-                found += families.setdefault(b, IndexFamily()).add(h, g, doc, low)
-            if sum(len(x[0]) for x in found) > 2 * HELD:
-                yield from out()
-    if found:
-        yield from out()
+def _runs_by_doc(batches):
+    """(doc, runs), a row for each document of the partition that has any."""
+    runs = [[unpacked(x, t) for x, t in zip(row, (np.int64, np.int32, np.int32), strict=True)] for batch in batches for row in zip(*(batch.column(x).to_pylist() for x in ("doc", "low", "n")), strict=True)]
+    if runs:
+        doc, low, n = runs_of(*(np.concatenate(x).astype(np.int64) for x in zip(*runs, strict=True)))
+        out = np.zeros(len(doc), RUN)
+        out["low"], out["n"] = low, n
+        docs, blob = _blobs(doc, out)
+        yield pa.RecordBatch.from_arrays([pa.array(docs), blob], ["doc", "runs"])
 
 
 def _remove(match: int):
     def run(batches):
         for batch in batches:
             rows = []
-            for text, segs, starts in zip(byte_rows(batch.column("text")), batch.column("segs").to_pylist(), batch.column("starts").to_pylist(), strict=True):
+            for text, raw in zip(byte_rows(batch.column("text")), batch.column("runs").to_pylist(), strict=True):
                 kept, spans = text, 0
-                if segs or starts:
-                    own = np.frombuffer(b"".join(segs or ()), SEGMENT)
-                    own = own[own["state"] == COVERED]
-                    single = np.frombuffer(b"".join(starts or ()), np.int32).astype(np.int64)
+                if raw:
+                    own = np.frombuffer(raw, RUN).astype([("low", np.int64), ("n", np.int64)])
                     edge = np.zeros(len(text) + 1, np.int64)
                     np.add.at(edge, own["low"], 1)
                     np.add.at(edge, own["low"] + own["n"] - 1 + match, -1)
-                    np.add.at(edge, single, 1)
-                    np.add.at(edge, single + match, -1)
                     gone = np.cumsum(edge[:-1]) > 0
                     spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + bool(len(gone) and gone[0]))
-                    kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if spans else text
+                    kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 rows.append((len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
@@ -310,7 +394,36 @@ def _remove(match: int):
     return run
 
 
-def dedup_substrings(docs: DataFrame, match: int = 100, chunk: int = CHUNK) -> DataFrame:
+def _told(asked: DataFrame, n: int, crowd: int, name: str) -> DataFrame:
+    return stored(asked.repartitionById(n, F.col("bucket")).mapInArrow(_tell(n, crowd), TOLD_SQL), name)
+
+
+def _at_home(told: DataFrame, n: int) -> DataFrame:
+    return told.where("home >= 0").select("home", "doc", "low", "n", "key").repartitionById(n, F.col("home")).mapInArrow(_places_by_doc, "doc long, places binary")
+
+
+def late_runs(rows: DataFrame, by_doc: DataFrame, match: int = 100, chunk: int = CHUNK, crowd: int = CROWD, owned: int = OWNED) -> DataFrame:
+    """(home, doc, low, n) packed runs of the places in (doc, text) rows from which match bytes also start earlier; by_doc: rows, dealt by doc."""
+    spark = by_doc.sparkSession
+    n = partitions(spark)
+    told = _told(rows.mapInArrow(_ask_segments(n, match, chunk), ASKED_SQL), n, crowd, "segments")
+    sizes = {r.kind: r.total for r in told.groupBy(F.least("home", F.lit(0)).alias("kind")).agg(F.sum("total").alias("total")).collect()}
+    hot = max(crowd, int(sizes.get(-2, 0) * CROWD_SHARE))
+    keys = [np.frombuffer(r.key, np.uint64)[0] for r in told.where(F.col("home") == -1).where(F.col("total") >= hot).select("key").collect()]  # under 1 / CROWD_SHARE rows
+    crowded = spark.sparkContext.broadcast(np.array(keys, np.uint64)) if keys else None
+    joined = by_doc.join(_at_home(told, n), "doc")
+    total = sizes.get(0, 0)
+    if crowded:
+        asked = joined.select("doc", "text", "places").mapInArrow(_ask_windows(n, match, crowded), ASKED_SQL)
+        windows = _at_home(_told(asked, n, 2**62, "segment-windows"), n).withColumnRenamed("places", "windows")
+        joined = joined.join(windows, "doc", "left")
+    else:
+        joined = joined.withColumn("windows", F.lit(None).cast("binary"))
+    sent = joined.select("doc", "text", "places", "windows").mapInArrow(_cut(match, crowded), SENT_SQL)
+    return sent.repartition(max(n, -(-total // owned)), "key").mapInArrow(_owner(n, match), LATE_SQL)
+
+
+def dedup_substrings(docs: DataFrame, match: int = 100, chunk: int = CHUNK, crowd: int = CROWD, owned: int = OWNED) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept), a row for each row of docs.
 
     A byte goes if it lies in match bytes of its text that also start earlier:
@@ -322,8 +435,7 @@ def dedup_substrings(docs: DataFrame, match: int = 100, chunk: int = CHUNK) -> D
     alike, each against what comes before both. Empty table: no rows. Other
     columns are ignored.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
+    n = partitions(docs.sparkSession)
     rows = texts(docs).withColumn("rid", F.xxhash64("text"))
     repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     if repeated:  # ids that follow (doc_id, rid) take their place
@@ -331,14 +443,11 @@ def dedup_substrings(docs: DataFrame, match: int = 100, chunk: int = CHUNK) -> D
         rows = rows.join(order, ["doc_id", "rid"]).select("doc_id", "doc", "text")
     else:
         rows = rows.select(F.col("doc_id"), F.col("doc_id").alias("doc"), "text")
-    runs = rows.select("doc", "text").mapInArrow(_anchor_runs(n, match, chunk), ", ".join(f"{x} {'int' if x == 'bucket' else 'binary'}" for x, _ in SEGMENT_RUN))
-    segs = stored(runs.repartitionById(n, F.col("bucket")).mapInArrow(_settle, "doc long, segs binary, open boolean"), "segments")
-    by_doc = rows.repartition(n, "doc")
-    opened = segs.groupBy("doc").agg(F.collect_list("segs").alias("segs"), F.max("open").alias("open")).where("open")
-    windows = by_doc.select("doc", "text").join(opened.select("doc", "segs"), "doc").select("doc", "text", "segs").mapInArrow(_window_runs(n, match, chunk), ", ".join(f"{x} {'int' if x == 'bucket' else 'binary'}" for x, _ in WINDOW_RUN))
-    late = windows.repartitionById(n, F.col("bucket")).mapInArrow(_owner, "doc long, starts binary")
-    told = segs.select("doc", "segs", F.lit(None).cast("binary").alias("starts")).unionByName(late.select("doc", F.lit(None).cast("binary").alias("segs"), "starts")).groupBy("doc").agg(F.collect_list("segs").alias("segs"), F.collect_list("starts").alias("starts"))
-    out = by_doc.select("doc", "text").join(told, "doc", "left").select("doc", "text", "segs", "starts").mapInArrow(_remove(match), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    own = rows.select("doc", "text")
+    by_doc = own.repartition(n, "doc")
+    late = late_runs(own, by_doc, match, chunk, crowd, owned)
+    runs = late.repartitionById(n, F.col("home")).mapInArrow(_runs_by_doc, "doc long, runs binary")
+    out = by_doc.join(runs, "doc", "left").select("doc", "text", "runs").mapInArrow(_remove(match), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if repeated:
         out = out.join(order.select("doc", "doc_id"), "doc")
     else:

@@ -174,18 +174,58 @@ def test_index_family_levels_fall_geometrically():
     rng = np.random.default_rng(1)
     family, seen, late, want = suffix_dedup.IndexFamily(), {}, set(), set()
     for batch in range(20):
-        h = rng.integers(0, 400, 30).astype(np.uint64)
+        body = np.array([b"%04d" % x for x in rng.integers(0, 400, 30)], "S4")
         doc = rng.integers(0, 50, 30)
         low = np.arange(30, dtype=np.int64) + 100 * batch
-        for x, d, p in zip(h.tolist(), doc.tolist(), low.tolist(), strict=True):
+        for x, d, p in zip(body.tolist(), doc.tolist(), low.tolist(), strict=True):
             seen.setdefault(x, []).append((d, p))
-        for d, p in family.add(h, h.astype(np.uint32), doc, low):
+        for d, p in family.add(body, doc, low):
             late |= set(zip(d.tolist(), p.tolist(), strict=True))
     for places in seen.values():
         want |= set(sorted(places)[1:])
     assert late == want
     sizes = [len(x[0]) for x in family.levels]
     assert sizes == sorted(sizes, reverse=True) and len(set(sizes)) == len(sizes)
+    assert all((x[0][1:] > x[0][:-1]).all() for x in family.levels)  # suffix arrays: in order of bytes
+
+
+def test_windows_that_end_in_zero_bytes():
+    buf = np.frombuffer(b"ab\0\0ab\0\0ab\0x", np.uint8)
+    got = suffix_dedup.windows_of(buf, np.array([0, 4, 8, 1]), 4)
+    assert got[0] == got[1] != got[2] and got[3] != got[0]
+
+
+def test_runs_merge_where_they_touch():
+    doc, low, n = suffix_dedup.runs_of(*(np.array(x) for x in ([2, 1, 1, 1, 1], [0, 5, 0, 9, 3], [4, 4, 3, 1, 1])))
+    assert list(zip(doc.tolist(), low.tolist(), n.tolist(), strict=True)) == [(1, 0, 4), (1, 5, 5), (2, 0, 4)]
+
+
+@pytest.mark.parametrize(("crowd", "owned"), [(3, 1 << 21), (4096, 500)])
+def test_suffix_dedup_of_crowded_anchors(spark, crowd, owned):
+    """A passage that every text holds amid words of its own; few segments make an anchor crowded, or owners get few windows."""
+    rng = random.Random(6)
+    say = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    hot, warm = say(260), say(180)
+    rows = [(i, say(150) + (hot if i % 3 else warm) + say(120) + (warm if i % 7 == 0 else "")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert removed(suffix_dedup.dedup_substrings(docs, crowd=crowd, owned=owned)) == brute_removed(rows, 100)
+
+
+@pytest.mark.parametrize("parts", [4, 48])
+def test_reports_do_not_grow_with_partitions_times_documents(spark, sf, parts):
+    """Rows that tasks hand on: packed by destination (partitions squared at most), or one for each segment sent, at any number of partitions."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id AS doc", "text")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        late = common.stored(suffix_dedup.late_runs(docs, docs.repartition(parts, "doc")), "t")
+        assert late.count() <= parts * parts
+        packed_places = sum(len(r.doc) // 8 for r in late.collect())
+        by_doc = late.repartitionById(parts, F.col("home")).mapInArrow(suffix_dedup._runs_by_doc, "doc long, runs binary")
+        n = by_doc.count()
+        assert n == by_doc.select("doc").distinct().count() <= docs.count() and packed_places < 40 * n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
 
 
 def test_packing():
