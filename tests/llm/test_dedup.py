@@ -45,11 +45,31 @@ def test_exact_dedup_compares_bytes_of_colliding_keys(spark, sf):
 
 
 def test_directory_splits_overfull_buckets():
-    depth, slots = exact_dedup.directory({0: 5, 1: 5, 2: 1, 7: 1}, 3, 6)
-    assert depth == 3 and slots.tolist() == [0, 1, 2, 2, 3, 3, 3, 3]
+    depth, slots, owner = exact_dedup.directory({0: 5, 1: 5, 2: 1, 7: 1}, 3, 6, 2)
+    assert depth == 3 and slots.tolist() == [0, 1, 2, 2, 3, 3, 3, 3] and owner.tolist() == [0, 1, 1, 1]
     assert exact_dedup.directory({3: 100}, 2, 6)[0] == 2  # one key can't be split: its chain is long
 
 
+def test_bucket_files_hold_key_ranges(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("doc_id", F.col("doc_id").cast("long"))
+    index = common.stored(docs.repartition(6).select("doc_id", "text").mapInArrow(exact_dedup._entries(64), exact_dedup.ENTRY), "t")
+    rows = exact_dedup._hashed_buckets(index, 16, 64).collect()
+    assert len(rows) == index.count()
+    ranges = {}
+    for r in rows:
+        ranges.setdefault(r.bucket, []).append(r.key)
+    spans = sorted((min(k), max(k), len(set(k))) for k in ranges.values())
+    assert len(spans) > 5 and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False)) and max(x[2] for x in spans) <= 16
+
+
+def test_hot_keys_are_chained_in_parts(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(5)
+    docs = docs.unionByName(docs.limit(1).withColumn("doc_id", F.explode(F.sequence(F.lit(10_000), F.lit(10_400)))).repartition(9))
+    want = sorted(map(tuple, exact_dedup.op10(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "HOT", 3)
+    assert sorted(map(tuple, exact_dedup.dedup_exact(docs, hash_bits=4).collect())) == want
+
+
 def test_line_dedup_edges(spark):
     got = {(r.doc_id, r.n_lines, r.n_dropped) for r in line_dedup.op9(edges(spark)).collect()}
     # The same line in 7 (twice the row), 8 has another key, the null id comes after all.

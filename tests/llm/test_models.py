@@ -1,6 +1,7 @@
 """Licence scan, codec, language model, top-k, mixing and quality."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -186,6 +187,25 @@ def test_top_k_against_brute_force(spark):
     assert topk.op6(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("column", [1, 64])
+def test_top_k_takes_repeated_ids_and_large_components(spark, monkeypatch, column):
+    """Every row is a candidate, whatever its id; sums beyond doubles' and longs' exact ranges keep their order."""
+    rng = random.Random(8)
+    rows = [(i, [float(rng.randint(-9, 9)) * 10.0 ** rng.choice((0, 0, 7, 12, 30)) for _ in range(3)]) for i in range(120)]
+    rows += [(50, [1.0, 2.0, 3.0]), (50, [1.0, 2.0, 3.0]), (7, [5.0, 5.0, 5.0]), (7, [5.0, 5.0, 5.0]), (100, [1e300] * 3), (101, [-1e300] * 3), (102, [1e307] * 3)]
+    monkeypatch.setattr(topk, "COLUMN", column)
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if math.isfinite(256 * v[0])]
+    want = Counter()
+    for q, (i, v) in enumerate(whole):
+        if i % 50 == 0:
+            order = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for c, (j, w) in enumerate(whole) if c != q)[:5]
+            want.update((i, n + 1, j, max(-topk.LONG, min(topk.LONG, -s))) for n, (s, j) in enumerate(order))
+    assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.op6(df).collect()) == want
+
+
 # --- mixing
 
 
