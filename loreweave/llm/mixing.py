@@ -6,7 +6,8 @@ which the sources' cumulative slot counts map to a source; a slot's rank among
 its source's slots says which block of the stream (and of which repetition) it
 brings. A source gets no more slots than its quota needs, the last one trimmed;
 the few that the points leave short come after the schedule's end, so a source
-takes its target to the word.
+takes its target to the word. The schedule says when: a document has the first and
+the last slot that bring words of it, and the mix is read in order of slots.
 
 Ranks and stream positions are prefix sums in two levels (chunks, then rows in a
 chunk), so neither a source with a third of all rows nor the schedule itself
@@ -76,9 +77,13 @@ def schedule(quotas: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(doc_id, rid, size, source_size, target, taken), a row for each row of docs.
+    """(doc_id, rid, size, source_size, target, taken, first_slot, last_slot, start), a row for each row of docs.
 
-    Null or empty text: size 0, taken 0. Null source: a source of its own, last.
+    taken: words that the mix takes, repeats counted; first_slot, last_slot: of the
+    schedule's slots that bring some (null: none); start: the text's place in its
+    source's stream of words.
+
+    Null or empty text: size 0, taken 0, no slots. Null source: a source of its own, last.
     Null doc_id: a row like any other. Repeated rows: each takes its own part of
     the stream. Empty table: no rows. Sources without words: target 0. Other
     columns are ignored. Reruns agree: the order is a hash of doc_id and text.
@@ -99,14 +104,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     first = F.col("block") * block_tokens
     low, high = F.greatest("start", first) - first, F.least(F.col("start") + F.col("size"), first + block_tokens) - first
     words = words.select("sid", "start", "block", low.alias("low"), high.alias("high"))
-    plan = schedule(sizes.select("sid", "source_size", "quota"), block_tokens).groupBy("sid", "block", "take").agg(F.count("*").alias("times"))
-    taken = words.join(plan, ["sid", "block"]).groupBy("sid", "start").agg(F.sum(F.greatest(F.lit(0), F.least("high", "take") - F.col("low")) * F.col("times")).alias("got"))
+    plan = schedule(sizes.select("sid", "source_size", "quota"), block_tokens).groupBy("sid", "block", "take").agg(F.count("*").alias("times"), F.min("slot").alias("first"), F.max("slot").alias("last"))
+    brought = words.join(plan, ["sid", "block"]).withColumn("own", F.least("high", "take") - F.col("low")).where("own > 0")
+    taken = brought.groupBy("sid", "start").agg(F.sum(F.col("own") * F.col("times")).alias("got"), F.min("first").alias("first_slot"), F.max("last").alias("last_slot"))
     keyed = rows.withColumn("place", F.when(F.col("size") > 0, F.col("start")))  # documents without words share a place
-    return keyed.join(taken.withColumnRenamed("start", "place"), ["sid", "place"], "left").select(real_id("doc_id"), "rid", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
+    return keyed.join(taken.withColumnRenamed("start", "place"), ["sid", "place"], "left").select(real_id("doc_id"), "rid", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"), "first_slot", "last_slot", keyed.start)
 
 
 def op7(docs: DataFrame) -> DataFrame:
-    return mix(docs).drop("rid")
+    return mix(docs).drop("rid", "start")
 
 
 SQL = r"""
@@ -117,10 +123,22 @@ r AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, i ROWS BETWEEN UN
              sum(weight) OVER (ORDER BY cap / weight, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open, sum(source_size) OVER ()::DOUBLE AS total FROM w),
 v AS (SELECT max((total * 1.5::DOUBLE - below) / open) AS level FROM r),
 t AS (SELECT source, source_size, least(cap, level * weight) AS target, round(least(cap, level * weight))::BIGINT AS quota FROM r, v),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.quota,
+p AS (SELECT d.doc_id, d.size, t.source, t.source_size, t.target,
              (sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size)::BIGINT AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (CASE WHEN source_size = 0 THEN 0 ELSE size * (quota // source_size) + greatest(0, least(start + size, quota % source_size) - start) END)::BIGINT AS taken
-FROM p
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, (source_size + 4095) // 4096 AS n_blocks, quota // source_size * ((source_size + 4095) // 4096) + (quota % source_size + 4095) // 4096 AS slots FROM t WHERE source_size > 0 AND quota > 0),
+c AS (SELECT *, sum(slots) OVER (ORDER BY source NULLS LAST) AS high, sum(slots) OVER (ORDER BY source NULLS LAST) - slots AS low, sum(slots) OVER ()::BIGINT AS n FROM q),
+i AS (SELECT unnest(range(1, (SELECT max(n) FROM c) + 1)) AS id, (SELECT max(n) FROM c) AS n),
+g AS (SELECT id - 1 AS slot, floor((id * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE * n) AS spot FROM i),
+k AS (SELECT c.source, slot, row_number() OVER (PARTITION BY c.source ORDER BY slot) - 1 AS rank FROM g JOIN c ON g.spot >= c.low AND g.spot < c.high),
+e AS (SELECT source, slot, rank FROM k UNION ALL
+      SELECT source, n + rank, rank FROM (SELECT c.source, c.n, unnest(range((SELECT count(*) FROM k WHERE k.source IS NOT DISTINCT FROM c.source), c.slots)) AS rank FROM c)),
+b AS (SELECT e.source, slot, rank % n_blocks AS block, least(rank // n_blocks * source_size + rank % n_blocks * 4096 + 4096, (rank // n_blocks + 1) * source_size, quota) - (rank // n_blocks * source_size + rank % n_blocks * 4096) AS take
+      FROM e JOIN c ON e.source IS NOT DISTINCT FROM c.source WHERE rank < slots),
+w2 AS (SELECT doc_id, source, start, size, unnest(range(start // 4096, (start + size - 1) // 4096 + 1)) AS block FROM p WHERE size > 0),
+o AS (SELECT doc_id, sum(own) AS taken, min(slot) AS first_slot, max(slot) AS last_slot
+      FROM (SELECT w2.doc_id, slot, least(least(start + size, (w2.block + 1) * 4096) - w2.block * 4096, take) - (greatest(start, w2.block * 4096) - w2.block * 4096) AS own
+            FROM w2 JOIN b ON w2.block = b.block AND w2.source IS NOT DISTINCT FROM b.source) WHERE own > 0 GROUP BY doc_id)
+SELECT p.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot::BIGINT AS first_slot, last_slot::BIGINT AS last_slot
+FROM p LEFT JOIN o ON p.doc_id = o.doc_id
 """

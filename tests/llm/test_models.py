@@ -220,6 +220,45 @@ def test_schedule_interleaves_and_meets_quotas(spark):
     assert 6 <= firsts.count(0) <= 11  # even a short run has a source's share
 
 
+def test_slots_are_the_schedule_of_a_plain_loop(spark, monkeypatch):
+    """Documents come in the slots that a loop over the golden-ratio points gives them; other points give other slots."""
+    rng = random.Random(4)
+    docs = [(i, " ".join("w" * rng.randint(1, 5) for _ in range(rng.choice((0, 3, 40, 300)))), rng.choice(("a", "b", "c", None))) for i in range(80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5)
+    got = {r.doc_id: r for r in mixing.mix(df, block_tokens=64).collect()}
+
+    def plain(golden):
+        sources = sorted({x for *_, x in docs}, key=lambda x: (x is None, x))
+        size = {s: sum(len(t.split()) for _, t, x in docs if x == s) for s in sources}
+        quota = {s: round(next(r.target for i, r in got.items() if docs[i][2] == s)) for s in sources}
+        blocks = {s: -(-size[s] // 64) for s in sources}
+        slots = {s: quota[s] // size[s] * blocks[s] + -(-(quota[s] % size[s]) // 64) for s in sources}
+        n, rank, order = sum(slots.values()), Counter(), []
+        bounds = np.cumsum([slots[s] for s in sources])
+        for i in range(n):
+            s = sources[int(np.searchsorted(bounds, math.floor((i + 1) * golden % 1.0 * n), "right"))]
+            order.append((i, s, rank[s]))
+            rank[s] += 1
+        order += [(n + k, s, k) for s in sources for k in range(rank[s], slots[s])]
+        out = {}
+        for slot, s, k in order:
+            if k >= slots[s]:
+                continue
+            epoch, block = divmod(k, blocks[s])
+            low = block * 64
+            high = min(low + 64, size[s], quota[s] - epoch * size[s])
+            for i, r in got.items():
+                if docs[i][2] == s and r.size and max(low, r.start) < min(high, r.start + r.size):
+                    was = out.get(i, (slot, slot, 0))
+                    out[i] = (min(was[0], slot), max(was[1], slot), was[2] + min(high, r.start + r.size) - max(low, r.start))
+        return {i: out.get(i, (None, None, 0)) for i in got}
+
+    assert {i: (r.first_slot, r.last_slot, r.taken) for i, r in got.items()} == plain(mixing.GOLDEN)
+    monkeypatch.setattr(mixing, "GOLDEN", 0.123)
+    other = {r.doc_id: (r.first_slot, r.last_slot, r.taken) for r in mixing.mix(df, block_tokens=64).collect()}
+    assert other == plain(0.123) != {i: (r.first_slot, r.last_slot, r.taken) for i, r in got.items()}
+
+
 def test_targets_are_capped_and_reshared(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
