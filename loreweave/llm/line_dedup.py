@@ -1,20 +1,23 @@
 """Line dedup: two Bloom filters find suspects, only suspects shuffle.
 
-A first pass over all lines fills a filter of keys seen once and one of keys
-seen in a second document. Filters of tasks merge piece by piece on executors
-(twice = twice | twice' | (once & once')). The second pass sends only keys that
-the twice-filter knows; a grouping on the key itself confirms them exactly and
-picks the first document, so a false positive costs a row and never a line.
-
-The filters' size follows the number of documents up to ``MOST_BITS`` (32 MiB
-each), so what is broadcast is bounded; beyond that more keys are suspected and
-the exact stage does more of the work.
+1. A pass over all lines sends the hashes of their keys (8 bytes each) to pieces
+   dealt by hash. Of a hash that a task has in several documents one goes to its
+   piece, marked; the others, suspects already, are dealt out by their row.
+2. A piece has a filter of hashes seen once and one of those seen again. Once both
+   are full it names the hashes that the second one knows, packed by the partition
+   of their document, where they become one row for each document.
+3. Documents are joined with their suspects, and only suspected keys are sent on,
+   once a task; a grouping on the key itself confirms them exactly and picks the
+   first document, so a false positive costs a row and never a line.
+
+Filters grow with their pieces and pieces with the partitions, so at any size of
+the corpus a filter has the same number of bits a hash, and none is broadcast. A
+line with over a thousandth of the suspect rows is joined in parts.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import byte_rows, partitions, real_id, stored, texts
+from loreweave.llm.common import byte_rows, packed, partitions, real_id, stored, texts, unpacked
+from loreweave.llm.hashing import mixed
 
-PROBES, PIECES = 4, 16
-LEAST_BITS, MOST_BITS, BITS_PER_DOC = 1 << 18, 1 << 28, 256
+PROBES, BITS_PER_HASH = 4, 16
+#: Hashes that a task holds before it sends them on.
+HELD = 1 << 19
+#: Lines with over this share of suspect rows, and so many, are joined in SALTS parts.
+HOT_SHARE, HOT, SALTS = 0.001, 64, 16
 
 
 def key_of(line: bytes, least: int) -> bytes | None:
@@ -37,123 +44,145 @@ def key_of(line: bytes, least: int) -> bytes | None:
     return key
 
 
-def probes(keys: list[bytes], bits: int) -> np.ndarray:
-    """PROBES bit positions of each key, by double hashing."""
-    h = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    return (h[:, None] + np.arange(PROBES, dtype=np.uint64) * step[:, None]) & np.uint64(bits - 1)
+class Filter:
+    """A Bloom filter of 64-bit hashes."""
 
+    def __init__(self, hashes: int):
+        self.bits = 1 << max(10, (hashes * BITS_PER_HASH - 1).bit_length())
+        self.body = np.zeros(self.bits // 8, np.uint8)
 
-class Seen:
-    """A bit for each position, as a byte array while it is filled."""
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(byte, bit) of each hash's PROBES places, by double hashing."""
+        at = (h[:, None] + np.arange(PROBES, dtype=np.uint64) * (mixed(h) | np.uint64(1))[:, None]) & np.uint64(self.bits - 1)
+        return (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
 
-    def __init__(self, bits: int):
-        self.once, self.twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        self.bits = bits
+    def has(self, h: np.ndarray) -> np.ndarray:
+        byte, bit = self.places(h)
+        return (self.body[byte] & bit > 0).all(axis=1)
 
-    def has(self, at: np.ndarray, which: np.ndarray) -> np.ndarray:
-        return ((which[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
+    def put(self, h: np.ndarray) -> None:
+        byte, bit = self.places(h)
+        np.bitwise_or.at(self.body, byte.ravel(), bit.ravel())
 
-    def put(self, at: np.ndarray, which: np.ndarray) -> None:
-        np.bitwise_or.at(which, (at >> np.uint64(3)).ravel(), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)).ravel())
 
-    def add(self, keys: list[bytes]) -> None:
-        """keys: those of some documents, one for each document that holds it."""
-        new = list(dict.fromkeys(keys))
-        if len(new) < len(keys):
-            left = dict.fromkeys(new)
-            again = [k for k in keys if left.pop(k, 1) is not None]
-            self.put(probes(again, self.bits), self.twice)
-        at = probes(new, self.bits)
-        known = self.has(at, self.once)
-        if known.any():
-            self.put(at[known], self.twice)
-        self.put(at, self.once)
+ALONE, SEVERAL, KNOWN = 0, 1, 2
+ASKED = [("piece", pa.int32()), ("hashes", pa.binary()), ("rows", pa.binary()), ("states", pa.binary())]
 
 
-def _fill(bits: int, least: int):
+def _by(bucket: np.ndarray):
+    """(bucket, index array) of each bucket that has any."""
+    order = np.argsort(bucket, kind="stable")
+    own, new = np.unique(bucket[order], return_index=True)
+    return zip(own.tolist(), np.split(order, new[1:]), strict=True) if len(own) else ()
+
+
+def _ask(pieces: int, least: int):
     def run(batches):
-        seen, some = Seen(bits), False
+        hashes: list[int] = []
+        docs: list[int] = []
+        rows: list[int] = []
+
+        def flush():
+            h, doc, row = np.array(hashes, np.uint64), np.array(docs, np.int64), np.array(rows, np.int64)
+            for x in (hashes, docs, rows):
+                x.clear()
+            order = np.lexsort((row, doc, h))
+            h, doc, row = h[order], doc[order], row[order]
+            same = np.concatenate(([False], h[1:] == h[:-1]))
+            other = np.concatenate(([False], same[1:] & (doc[1:] != doc[:-1])))
+            several = np.bincount(np.cumsum(~same) - 1, weights=other) > 0
+            state = np.where(same, KNOWN, np.where(several[np.cumsum(~same) - 1], SEVERAL, ALONE)).astype(np.uint8)
+            place = np.where(same, mixed(row.view(np.uint64) ^ h), mixed(h)) % np.uint64(pieces)
+            out = [(p, packed(h[i]), packed(row[i]), state[i].tobytes()) for p, i in _by(place.astype(np.int64))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*out, strict=True), ASKED, strict=True)], [x for x, _ in ASKED])
+
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            keys: list[bytes] = []
-            for text in byte_rows(batch.column("text")):
-                if text:
-                    keys += {k for line in text.split(b"\n") if (k := key_of(line, least)) is not None}
-                if len(keys) > 50_000:
-                    seen.add(keys)
-                    keys = []
-                    some = True
-            if keys:
-                seen.add(keys)
-                some = True
-        if some:
-            one, two = (np.split(x, PIECES) for x in (seen.once, seen.twice))
-            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), *(pa.array([zlib.compress(x.tobytes(), 1) for x in part], pa.binary()) for part in (one, two))], ["piece", "once", "twice"])
+            for text, d, r in zip(byte_rows(batch.column("text")), batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), strict=True):
+                own = {digest(k) for line in text.split(b"\n") if (k := key_of(line, least)) is not None}
+                hashes += own
+                docs += [d] * len(own)
+                rows += [r] * len(own)
+                if len(hashes) > HELD:
+                    yield from flush()
+        if hashes:
+            yield from flush()
 
     return run
 
 
-def _merge(batches):
-    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in batches:
-        for piece, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            one, two = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
-            if piece in held:
-                was_one, was_two = held[piece]
-                one, two = one | was_one, two | was_two | (one & was_one)
-            held[piece] = one, two
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), *(pa.array([zlib.compress(x[i].tobytes(), 1) for x in held.values()], pa.binary()) for i in (0, 1))], ["piece", "once", "twice"])
-
-
-def twice_filter(docs: DataFrame, least: int) -> tuple[int, np.ndarray]:
-    """(bits, filter of keys seen in two documents) over all lines of (text) rows."""
-    spark = docs.sparkSession
-    bits = 1 << int(np.clip(docs.count() * BITS_PER_DOC, LEAST_BITS, MOST_BITS) - 1).bit_length()
-    parts = docs.select("text").mapInArrow(_fill(bits, least), "piece int, once binary, twice binary")
-    # Tasks meet in two steps, so that no task takes the filters of all.
-    fan = max(1, int(partitions(spark) ** 0.5))
-    parts = parts.repartition(PIECES * fan, "piece", F.spark_partition_id() % fan).mapInArrow(_merge, parts.schema)
-    parts = parts.repartition(PIECES, "piece").mapInArrow(_merge, parts.schema)
-    out = np.zeros(bits // 8, np.uint8)
-    for row in parts.select("piece", "twice").collect():  # PIECES rows, MOST_BITS at most
-        out[row.piece * (len(out) // PIECES) :][: len(out) // PIECES] = np.frombuffer(zlib.decompress(row.twice), np.uint8)
-    return bits, out
+def suspects(runs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Of runs of (distinct hashes, states), which may be in two documents: the filters of one piece."""
+    size = sum(len(h) for h, _ in runs)
+    once, twice = Filter(size), Filter(size)
+    for h, state in runs:
+        first = state != KNOWN
+        own = h[first]
+        twice.put(own[once.has(own) | (state[first] == SEVERAL)])
+        once.put(own)
+    return [(state == KNOWN) | twice.has(h) for h, state in runs]
+
+
+def _answer(homes: int):
+    def run(batches):
+        by_piece: dict[int, list] = {}
+        for batch in batches:
+            for piece, h, row, state in zip(*(batch.column(x).to_pylist() for x, _ in ASKED), strict=True):
+                by_piece.setdefault(piece, []).append((unpacked(h, np.uint64), np.frombuffer(state, np.uint8), unpacked(row, np.int64)))
+        for runs in by_piece.values():
+            found = suspects([x[:2] for x in runs])
+            h, row = (np.concatenate([x[i][ok] for x, ok in zip(runs, found, strict=True)]) for i in (0, 2))
+            out = [(home, packed(row[i]), packed(h[i])) for home, i in _by((mixed(row.view(np.uint64)) % np.uint64(homes)).astype(np.int64))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["home", "rows", "hashes"])
+
+    return run
+
+
+def _suspects_by_row(batches):
+    runs = [(unpacked(r, np.int64), unpacked(h, np.uint64)) for batch in batches for r, h in zip(*(batch.column(x).to_pylist() for x in ("rows", "hashes")), strict=True)]
+    if runs:
+        row, h = (np.concatenate(x) for x in zip(*runs, strict=True))
+        own = list(_by(row))
+        for low in range(0, len(own), 8192):
+            some = own[low : low + 8192]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in some], pa.int64()), pa.array([h[i].tobytes() for _, i in some], pa.binary())], ["row", "hashes"])
 
 
 SUSPECT = "key binary, first long, last long, docs array<long>, rids array<long>, lines array<array<int>>"
 
 
-def _suspects(shared, bits: int, least: int):
+def _send(least: int):
     """A row for each suspected key of some documents, with all of them that hold it: a hot line is few rows."""
 
     def run(batches):
-        seen = Seen(8)
-        seen.twice, seen.bits = shared.value, bits
         held: dict[bytes, list] = {}
+        size = 0
 
         def flush():
-            keys = list(held)
-            rows = [(keys[i], *held[keys[i]]) for i in np.flatnonzero(seen.has(probes(keys, bits), seen.twice)).tolist()]
+            key, docs, rids, lines = zip(*((k, *x) for k, x in held.items()), strict=True)
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32())))
             held.clear()
-            if rows:
-                key, docs, rids, lines = zip(*rows, strict=True)
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((key, map(min, docs), map(max, docs), docs, rids, lines), kinds, strict=True)], [x.split()[0] for x in SUSPECT.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((key, map(min, docs), map(max, docs), docs, rids, lines), kinds, strict=True)], [x.split()[0] for x in SUSPECT.split(", ")])
 
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            ids, rids = batch.column("doc_id").to_pylist(), batch.column("rid").to_pylist()
-            for text, d, r in zip(byte_rows(batch.column("text")), ids, rids, strict=True):
+            cols = (batch.column(x).to_pylist() for x in ("doc_id", "rid", "hashes"))
+            for text, d, r, raw in zip(byte_rows(batch.column("text")), *cols, strict=True):
+                some = set(np.frombuffer(raw, np.uint64).tolist())
                 own: dict[bytes, list[int]] = {}
                 for i, line in enumerate(text.split(b"\n")):
-                    if (k := key_of(line, least)) is not None:
+                    if (k := key_of(line, least)) is not None and digest(k) in some:
                         own.setdefault(k, []).append(i)
                 for k, lines in own.items():
                     row = held.setdefault(k, [[], [], []])
                     for to, x in zip(row, (d, r, lines), strict=True):
                         to.append(x)
-                if len(held) > 50_000:
+                    size += len(k) + 16 + 4 * len(lines)
+                if size > 1 << 24:
                     yield from flush()
+                    size = 0
         if held:
             yield from flush()
 
@@ -163,16 +192,29 @@ def _suspects(shared, bits: int, least: int):
 def _apply(batches):
     for batch in batches:
         n, dropped, kept = [], [], []
-        for text, drop in zip(byte_rows(batch.column("text")), batch.column("drop").to_pylist(), strict=True):
+        for text, d, r, drop in zip(byte_rows(batch.column("text")), *(batch.column(x).to_pylist() for x in ("doc_id", "rid", "drop")), strict=True):
             lines = text.split(b"\n")
             n.append(len(lines))
-            gone = set(drop or ())
+            gone = {i for x in drop or () if x["doc_id"] == d and x["rid"] == r for i in x["lines"]}
             dropped.append(len(gone))
             kept.append(text if not gone else b"\n".join([x for i, x in enumerate(lines) if i not in gone]))
         own = [pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string(), safe=False), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), batch.column("carried"), *own], ["doc_id", "rid", "carried", "n_lines", "n_dropped", "kept_text", "kept_sha256"])
 
 
+def _repeats(found: DataFrame) -> DataFrame:
+    """(keep, m): the members m of suspect rows whose key a smaller document holds."""
+    line = F.xxhash64("key")
+    counts = found.groupBy(line.alias("line")).agg(F.count("*").alias("n"))
+    total = found.count()
+    hot = [r.line for r in counts.where(F.col("n") > max(HOT, int(total * HOT_SHARE))).select("line").collect()]  # under 1 / HOT_SHARE rows
+    is_hot = line.isin(hot) if hot else F.lit(False)
+    firsts = found.groupBy("key").agg(F.min("first").alias("keep"), F.max("last").alias("last")).where("keep < last").drop("last")
+    firsts = firsts.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    dealt = found.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("first", "last", F.size("docs")), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    return dealt.join(firsts, ["key", "salt"]).select("keep", F.explode(F.arrays_zip("docs", "rids", "lines")).alias("m")).where("m.docs > keep")
+
+
 def dedup_lines(docs: DataFrame, least_chars: int = 10, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, rid, carried, n_lines, n_dropped, kept_text, kept_sha256), a row for each row of docs.
 
@@ -187,15 +229,15 @@ def dedup_lines(docs: DataFrame, least_chars: int = 10, carry: tuple[str, ...] =
     keeps a row of its own (rid is the hash of its text). Empty table: no rows.
     Other columns are ignored, so their names can't clash.
     """
-    spark = docs.sparkSession
-    rows = texts(docs, F.struct(F.lit(0).alias("_"), *carry).alias("carried")).withColumn("rid", F.xxhash64("text"))
+    n = partitions(docs.sparkSession)
+    rows = texts(docs, F.struct(F.lit(0).alias("_"), *carry).alias("carried")).withColumn("rid", F.xxhash64("text")).withColumn("row", F.xxhash64("doc_id", "rid"))
     carried = rows.schema["carried"].dataType.simpleString()
-    bits, twice = twice_filter(rows, least_chars)
-    found = stored(rows.drop("carried").mapInArrow(_suspects(spark.sparkContext.broadcast(twice), bits, least_chars), SUSPECT), "line-suspects")
-    firsts = found.groupBy("key").agg(F.min("first").alias("keep"), F.max("last").alias("last")).where("keep < last").drop("last")
-    members = found.join(firsts, "key").select("keep", F.explode(F.arrays_zip("docs", "rids", "lines")).alias("m")).where("m.docs > keep")
-    drops = members.groupBy(F.col("m.docs").alias("doc_id"), F.col("m.rids").alias("rid")).agg(F.flatten(F.collect_set("m.lines")).alias("drop"))
-    out = rows.join(drops, ["doc_id", "rid"], "left").select("doc_id", "rid", "carried", "text", "drop")
+    asked = rows.select("doc_id", "row", "text").mapInArrow(_ask(n, least_chars), "piece int, hashes binary, rows binary, states binary")
+    told = asked.repartitionById(n, F.col("piece")).mapInArrow(_answer(n), "home int, rows binary, hashes binary")
+    hints = told.repartitionById(n, F.col("home")).mapInArrow(_suspects_by_row, "row long, hashes binary")
+    found = stored(rows.select("doc_id", "rid", "row", "text").join(hints, "row").select("doc_id", "rid", "text", "hashes").mapInArrow(_send(least_chars), SUSPECT), "line-suspects")
+    drops = _repeats(found).groupBy(F.xxhash64("m.docs", "m.rids").alias("row")).agg(F.collect_set(F.struct(F.col("m.docs").alias("doc_id"), F.col("m.rids").alias("rid"), F.col("m.lines").alias("lines"))).alias("drop"))
+    out = rows.join(drops, "row", "left").select("doc_id", "rid", "carried", "text", "drop")
     return out.mapInArrow(_apply, f"doc_id long, rid long, carried {carried}, n_lines long, n_dropped long, kept_text string, kept_sha256 string").withColumn("doc_id", real_id("doc_id"))
 
 

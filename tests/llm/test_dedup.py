@@ -77,13 +77,21 @@ def test_line_dedup_edges(spark):
 
 
 def test_bloom_filters_have_no_false_negatives():
-    seen = line_dedup.Seen(1 << 12)
-    rng = random.Random(1)
-    first, second = ([str(rng.random()).encode() for _ in range(300)] for _ in range(2))
-    seen.add(first)
-    seen.add(second + first[:50])
-    assert seen.has(line_dedup.probes(first[:50], seen.bits), seen.twice).all()
-    assert seen.has(line_dedup.probes(second, seen.bits), seen.twice).mean() < 0.5
+    rng = np.random.default_rng(1)
+    first, second = (rng.integers(0, 2**63, 3000).astype(np.uint64) for _ in range(2))
+    alone, several = np.zeros(3000, np.uint8), np.full(5, line_dedup.SEVERAL, np.uint8)
+    one, two, three, four = line_dedup.suspects([(first, alone), (np.concatenate((second, first[:50])), np.zeros(3050, np.uint8)), (first[-5:] + np.uint64(1), several), (first[:3], np.full(3, line_dedup.KNOWN, np.uint8))])
+    assert one[:50].all() and two[-50:].all() and three.all() and four.all()
+    assert one[50:].mean() < 0.02 and two[:-50].mean() < 0.02
+
+
+def test_hot_lines_are_joined_in_parts(spark, monkeypatch):
+    rows = [(i, f"a line that all hold\nown line number {i}\nline of some {i % 40:04d}") for i in range(400)]
+    docs = spark.createDataFrame(rows, DOC.split(", lang")[0]).repartition(8)
+    want = sorted((r.doc_id, r.n_dropped, r.kept_sha256) for r in line_dedup.op9(docs).collect())
+    assert [x[1] for x in want] == [0] + [1] * 39 + [2] * 360
+    monkeypatch.setattr(line_dedup, "HOT", 2)
+    assert sorted((r.doc_id, r.n_dropped, r.kept_sha256) for r in line_dedup.op9(docs).collect()) == want
 
 
 def brute_print(text):
