@@ -9,8 +9,9 @@ which windows can't repeat; that one does is said by its bytes.
    alone. Neighbouring windows with one anchor form a segment (about 35 windows),
    and equal windows have equal anchors. A row for each segment goes to where its
    anchor lives; an anchor found once is done: none of its windows repeats.
-   Segments of a crowded anchor are taken apart into windows, which are narrowed
-   by their own hashes in the same way, so that no anchor is too hot for a task.
+   Segments of a crowded anchor, each distinct one of a task, are narrowed again
+   by the hashes of their windows and trimmed to those that repeat. What is left
+   of a hot passage is then alike in all texts, a row for each task.
 2. Index families. The bytes of what is left go to owner tasks. An owner takes
    batch after batch: a batch gets a suffix array (its windows in order of their
    bytes), which is merge-scanned against each level for common prefixes of the
@@ -42,10 +43,10 @@ GRAM = 32
 CHUNK = 1 << 20
 #: Segments that a task holds before it sends them on, bytes of segments, and windows.
 HELD, HELD_BYTES, HELD_WINDOWS = 1 << 20, 1 << 25, 1 << 18
-#: Windows that an owner gets, about; segments that make an anchor crowded, at least.
-OWNED, CROWD = 1 << 21, 4096
-#: Crowded anchors have over this share of all segments, so there are fewer than its inverse.
-CROWD_SHARE = 2.0**-20
+#: Windows that an owner gets, about.
+OWNED = 1 << 21
+#: An anchor is crowded if it has half as many segments as a partition has of all anchors, and so many.
+CROWD = 4096
 PLACE = np.dtype([("low", "<i4"), ("n", "<i4"), ("key", "<u8")])
 RUN = np.dtype([("low", "<i4"), ("n", "<i4")])
 
@@ -149,19 +150,16 @@ def _ask_segments(buckets: int, match: int, chunk: int):
     return run
 
 
-def _ask_windows(buckets: int, match: int, shared):
-    """The windows of segments whose anchor is crowded, by their own hashes."""
+def _ask_windows(buckets: int, match: int):
+    """The windows of rows (row, body), by their own hashes; a place is a row and a step from its start."""
 
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            docs = batch.column("doc").to_pylist()
-            for text, doc, raw in zip(byte_rows(batch.column("text")), docs, batch.column("places").to_pylist(), strict=True):
-                places = np.frombuffer(raw, PLACE)
-                for low, n in places[np.isin(places["key"], shared.value)][["low", "n"]].tolist():
-                    h = Spans(np.frombuffer(text, np.uint8)[low : low + n + match - 1]).every(match)
-                    held.append((np.full(n, doc, np.int64), low + np.arange(n), np.ones(n, np.int64), h, np.zeros(n, bool)))
-                if sum(len(x[0]) for x in held) >= HELD:
+            for row, body in zip(batch.column("row").to_pylist(), byte_rows(batch.column("body")), strict=True):
+                h = Spans(np.frombuffer(body, np.uint8)).every(match)
+                held.append((np.full(len(h), row, np.int64), np.arange(len(h)), np.ones(len(h), np.int64), h, np.zeros(len(h), bool)))
+                if len(held) % 1024 == 0 and sum(len(x[0]) for x in held) >= HELD:
                     yield from _asked(buckets, held)
         if held:
             yield from _asked(buckets, held)
@@ -169,6 +167,22 @@ def _ask_windows(buckets: int, match: int, shared):
     return run
 
 
+def _trim(match: int):
+    """Rows cut to their runs of windows that are named in places."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            cols = (batch.column(x).to_pylist() for x in ("key", "doc", "low", "places"))
+            for body, key, doc, low, places in zip(byte_rows(batch.column("body")), *cols, strict=True):
+                own = np.frombuffer(places, PLACE)
+                _, first, n = runs_of(np.zeros(len(own), np.int64), own["low"].astype(np.int64), own["n"].astype(np.int64))
+                rows += [(key, body[a : a + m + match - 1], doc, low + a, m) for a, m in zip(first.tolist(), n.tolist(), strict=True)]
+            yield from _rows(SENT, rows)
+
+    return run
+
+
 TOLD = [("home", pa.int32()), ("doc", pa.binary()), ("low", pa.binary()), ("n", pa.binary()), ("key", pa.binary()), ("total", pa.int64())]
 TOLD_SQL = "home int, doc binary, low binary, n binary, key binary, total long"
 
@@ -230,8 +244,8 @@ SENT = [("key", pa.int64()), ("body", pa.binary()), ("doc", pa.int64()), ("low",
 SENT_SQL = "key long, body binary, doc long, low int, n int"
 
 
-def _cut(match: int, crowded):
-    """The bytes of repeating segments (and of repeating windows of crowded anchors), each once a task; runs known to come later have no body."""
+def _cut(match: int):
+    """The bytes of repeating segments, each distinct one once a task; runs known to come later have no body."""
 
     def run(batches):
         held: dict[bytes, tuple[int, int, int, int]] = {}
@@ -248,11 +262,8 @@ def _cut(match: int, crowded):
                 yield from _rows(SENT, rows[at : at + 8192])
 
         for batch in batches:
-            cols = (batch.column(x).to_pylist() for x in ("doc", "places", "windows"))
-            for text, doc, places, windows in zip(byte_rows(batch.column("text")), *cols, strict=True):
+            for text, doc, places in zip(byte_rows(batch.column("text")), batch.column("doc").to_pylist(), batch.column("places").to_pylist(), strict=True):
                 own = np.frombuffer(places, PLACE)
-                if crowded is not None:
-                    own = np.concatenate((own[~np.isin(own["key"], crowded.value)], np.frombuffer(windows or b"", PLACE)))
                 for low, n, key in zip(own["low"].tolist(), own["n"].tolist(), own["key"].view(np.int64).tolist(), strict=True):
                     body = text[low : low + n + match - 1]
                     was = held.get(body)
@@ -408,19 +419,17 @@ def late_runs(rows: DataFrame, by_doc: DataFrame, match: int = 100, chunk: int =
     n = partitions(spark)
     told = _told(rows.mapInArrow(_ask_segments(n, match, chunk), ASKED_SQL), n, crowd, "segments")
     sizes = {r.kind: r.total for r in told.groupBy(F.least("home", F.lit(0)).alias("kind")).agg(F.sum("total").alias("total")).collect()}
-    hot = max(crowd, int(sizes.get(-2, 0) * CROWD_SHARE))
-    keys = [np.frombuffer(r.key, np.uint64)[0] for r in told.where(F.col("home") == -1).where(F.col("total") >= hot).select("key").collect()]  # under 1 / CROWD_SHARE rows
-    crowded = spark.sparkContext.broadcast(np.array(keys, np.uint64)) if keys else None
-    joined = by_doc.join(_at_home(told, n), "doc")
-    total = sizes.get(0, 0)
-    if crowded:
-        asked = joined.select("doc", "text", "places").mapInArrow(_ask_windows(n, match, crowded), ASKED_SQL)
-        windows = _at_home(_told(asked, n, 2**62, "segment-windows"), n).withColumnRenamed("places", "windows")
-        joined = joined.join(windows, "doc", "left")
-    else:
-        joined = joined.withColumn("windows", F.lit(None).cast("binary"))
-    sent = joined.select("doc", "text", "places", "windows").mapInArrow(_cut(match, crowded), SENT_SQL)
-    return sent.repartition(max(n, -(-total // owned)), "key").mapInArrow(_owner(n, match), LATE_SQL)
+    hot = max(crowd, sizes.get(-2, 0) // (2 * n))
+    keys = [int(np.frombuffer(r.key, np.int64)[0]) for r in told.where("home = -1").where(F.col("total") >= hot).select("key").collect()]  # 2 n rows at most
+    sent = by_doc.join(_at_home(told, n), "doc").select("doc", "text", "places").mapInArrow(_cut(match), SENT_SQL)
+    if keys:
+        sent = stored(sent.withColumn("row", F.monotonically_increasing_id()), "segment-bytes")
+        crowded = sent.where(F.col("key").isin(keys) & F.col("body").isNotNull())
+        asked = crowded.select("row", "body").mapInArrow(_ask_windows(n, match), ASKED_SQL)
+        places = _at_home(_told(asked, n, 2**62, "segment-windows"), n).withColumnRenamed("doc", "row")
+        trimmed = crowded.join(places, "row").select("key", "body", "doc", "low", "places").mapInArrow(_trim(match), SENT_SQL)
+        sent = sent.where(~F.col("key").isin(keys) | F.col("body").isNull()).drop("row").unionByName(trimmed)
+    return sent.repartition(max(n, -(-sizes.get(0, 0) // owned)), "key").mapInArrow(_owner(n, match), LATE_SQL)
 
 
 def dedup_substrings(docs: DataFrame, match: int = 100, chunk: int = CHUNK, crowd: int = CROWD, owned: int = OWNED) -> DataFrame:

@@ -228,15 +228,19 @@ def test_runs_merge_where_they_touch():
     assert list(zip(doc.tolist(), low.tolist(), n.tolist(), strict=True)) == [(1, 0, 4), (1, 5, 5), (2, 0, 4)]
 
 
-@pytest.mark.parametrize(("crowd", "owned"), [(3, 1 << 21), (4096, 500)])
-def test_suffix_dedup_of_crowded_anchors(spark, crowd, owned):
+@pytest.mark.parametrize(("parts", "crowd", "owned"), [(32, 3, 1 << 21), (4, 4096, 500)])
+def test_suffix_dedup_of_crowded_anchors(spark, monkeypatch, parts, crowd, owned):
     """A passage that every text holds amid words of its own; few segments make an anchor crowded, or owners get few windows."""
+    asked, was = [], suffix_dedup._ask_windows
+    monkeypatch.setattr(suffix_dedup, "_ask_windows", lambda *x: asked.append(x) or was(*x))
+    monkeypatch.setattr(suffix_dedup, "partitions", lambda spark: parts)
     rng = random.Random(6)
     say = lambda n: "".join(rng.choices("abcdefghij ", k=n))
     hot, warm = say(260), say(180)
     rows = [(i, say(150) + (hot if i % 3 else warm) + say(120) + (warm if i % 7 == 0 else "")) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     assert removed(suffix_dedup.dedup_substrings(docs, crowd=crowd, owned=owned)) == brute_removed(rows, 100)
+    assert bool(asked) == (parts == 32)
 
 
 @pytest.mark.parametrize("parts", [4, 48])
