@@ -1,7 +1,7 @@
 """A quality classifier from weak labels.
 
-Seven heuristics vote good, bad or nothing on each text. Expectation-maximisation
-over the counts of all documents' vote patterns (3^7 at most) estimates each
+Eight heuristics vote good, bad or nothing on each text. Expectation-maximisation
+over the counts of all documents' vote patterns (3^8 at most) estimates each
 labeller's accuracy and so a posterior for each pattern. The posteriors label a
 bounded sample (``SAMPLE`` rows, those of smallest hash) on which a linear scorer
 over hashed byte trigrams and hashed measure bins is fitted; the scorer decides on
@@ -30,11 +30,16 @@ LABELLERS = (
     ("lone symbols", 0.1, 0.03),
     ("stacked marks", 0.25, 0.06),
     ("short words", 0.06, 0.15),
+    ("unbroken", 0.5, 0.05),
 )
 GOOD, BAD, NONE = 0, 1, 2
-LEAST_WORDS = 8
-#: A text's score counts as much as the share of bad texts does at this many words.
-PRIOR_WORDS = 20
+#: Labellers that compare words need this many; the others this many bytes other than white space.
+LEAST_WORDS, LEAST_BYTES = 8, 8
+OF_WORDS = [1, 2, 3, 4, 6]
+#: A text's score counts as much as the share of bad texts does at this many bytes.
+PRIOR_BYTES = 40
+#: Bytes of an unbroken run that is no word; rows of a slice.
+LONG_WORD, ROWS = 64, 256
 
 #: Kind of each byte: 0 white, 1 letter or part of one, 2 digit, 3 mark, 4 symbol.
 _KIND = np.full(256, 4, np.uint8)
@@ -44,8 +49,8 @@ _KIND[48:58] = 2
 _KIND[[ord(c) for c in ".,;:!?'\"()-"]] = 3
 
 
-def measures(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(texts x 7 measures, number of words); words end where texts do."""
+def measures(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(texts x 8 measures, number of words, of bytes other than white space); words end where texts do."""
     kind = _KIND[buf]
     docs = np.repeat(np.arange(len(at) - 1), np.diff(at))
     per = lambda mask: np.bincount(docs[mask], minlength=len(at) - 1)
@@ -67,16 +72,19 @@ def measures(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lone = (size == 1) & (kind[start] == 4)
     stacked = (size > 2) & (kind[end - 1] >= 3) & (kind[np.maximum(end - 2, 0)] >= 3)
     short = (size <= 3) & (kind[start] == 1)
-    return np.stack([share(per(kind == 4), black), share(per((buf >= 65) & (buf <= 90)), letters), share(count(again), n), share(distinct, n), share(count(lone), n), share(count(stacked), n), share(count(short), n)], axis=1), n
+    long_runs = np.bincount(doc, weights=size * ((size > LONG_WORD) & (buf[start] < 128)), minlength=len(at) - 1)
+    return np.stack([share(per(kind == 4), black), share(per((buf >= 65) & (buf <= 90)), letters), share(count(again), n), share(distinct, n), share(count(lone), n), share(count(stacked), n), share(count(short), n), share(long_runs, black)], axis=1), n, black
 
 
-def votes(m: np.ndarray, n: np.ndarray) -> np.ndarray:
+def votes(m: np.ndarray, n: np.ndarray, black: np.ndarray) -> np.ndarray:
     out = np.full(m.shape, NONE, np.int64)
     for i, (_, bad, good) in enumerate(LABELLERS):
         low = bad < good
         out[(m[:, i] <= bad) if low else (m[:, i] >= bad), i] = BAD
         out[(m[:, i] >= good) if low else (m[:, i] <= good), i] = GOOD
-    out[n < LEAST_WORDS] = NONE
+    few = np.zeros(out.shape, bool)
+    few[:, OF_WORDS] = (n < LEAST_WORDS)[:, None]
+    out[few | (black < LEAST_BYTES)[:, None]] = NONE
     return out
 
 
@@ -98,8 +106,8 @@ def features(buf: np.ndarray, at: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def _slices(batches):
-    """(slice, buf, at): texts end to end, each followed by a space so that words end."""
-    for part in blocks(batches):
+    """(slice, buf, at): texts end to end, each followed by a space so that words end; ROWS at most."""
+    for part in (whole.slice(low, ROWS) for whole in blocks(batches) for low in range(0, whole.num_rows, ROWS)):
         buf, at = utf8(part.column("text"))
         n = len(at) - 1
         spaced = np.full(len(buf) + n, 32, np.uint8)
@@ -158,9 +166,9 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.1, deca
 
 def _judge(model: tuple, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     w, bias, prior = model
-    m, n = measures(buf, at)
+    m, _, black = measures(buf, at)
     s = (features(buf, at, m) @ w.astype(np.float32) + np.float32(bias)).astype(np.float64)
-    s = (s * n + prior * PRIOR_WORDS) / (n + PRIOR_WORDS)
+    s = (s * black + prior * PRIOR_BYTES) / (black + PRIOR_BYTES)
     return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
@@ -184,7 +192,7 @@ def learned(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, f
     """(weights, bias, prior log odds of bad) of the scorer for docs."""
     rows = texts(docs).withColumn("rid", F.xxhash64("text"))
     voted = stored(rows.mapInArrow(_vote, "doc_id long, rid long, pattern long"), "votes")
-    seen = voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()  # 3^7 rows at most
+    seen = voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()  # 3^8 rows at most
     patterns, counts = np.array([r.pattern for r in seen], np.int64), np.array([r.n for r in seen], np.float64)
     post, _ = accuracies(patterns, counts) if len(seen) else (np.zeros(0), None)
     named = dict(zip(patterns.tolist(), post.tolist(), strict=True))
@@ -199,15 +207,15 @@ def learned(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, f
         for i, r in enumerate(some):
             x[i, np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["value"], np.float32)
     share = (post @ counts + 1) / (counts.sum() + 2) if len(seen) else 0.5
-    return *fit(x, y), float(np.log(share / (1 - share)))
+    return *fit(x, y), float(min(np.log(share / (1 - share)), -0.1))  # the share alone rejects no text
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """(doc_id, rid, p_bad, keep), a row for each row of docs.
 
     p_bad: the scorer's, which the share of bad texts among all tempers for short
-    texts; keep: p_bad under threshold. Null or empty text: no labeller votes, and
-    p_bad is that share. Null doc_id and repeated rows: a row each. Empty table:
+    texts, never to their loss; keep: p_bad under threshold. Null or empty text: no
+    labeller votes, p_bad is that share and under a half. Null doc_id and repeated rows: a row each. Empty table:
     no rows. Other columns are ignored.
     """
     rows = texts(docs).withColumn("rid", F.xxhash64("text"))

@@ -12,6 +12,9 @@ for BPE the maximum is over admissible pieces, of which a place has exactly one;
 whether two pieces can be neighbours follows from how each merges by itself (traced
 once per piece) and is kept. Results equal the library's for both kinds.
 
+A unit of over ``LONG`` characters advances alone: all its substrings' hashes
+probe the keys at once, and its places, a few candidates each, follow in order.
+
 A character without a piece becomes the pieces of its bytes. The tables come from
 the model file and have its size, so they are broadcast. Nothing is shuffled.
 """
@@ -33,6 +36,8 @@ MARK = SPACE.encode()
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words that a worker remembers before it starts afresh, cells of a batch.
 WORDS, CELLS = 3_000_000, 1 << 19
+#: Characters of a unit that advances alone, and of it places that are probed together.
+LONG, STRETCH = 192, 1 << 16
 
 
 def fields(data: bytes):
@@ -187,6 +192,40 @@ class Model:
         return out
 
 
+class Pairs:
+    """Model.stays() for one pair at a time, with what it looks up as plain numbers."""
+
+    def __init__(self, m: Model):
+        self.m, self.rows, self.fits = m, {}, {}
+        self.piece = dict(zip(m.keys.tolist(), m.ids.tolist(), strict=True))
+        self.scores, self.powers = m.scores.tolist(), [pow(int(BASE), k, 2**64) for k in range(m.padded.shape[1] + 1)]
+
+    def row(self, p: int) -> tuple[list, ...]:
+        if p not in self.rows:
+            self.rows[p] = tuple(x[p].tolist() for x in (self.m.gain, self.m.right, self.m.left, self.m.prefix))
+        return self.rows[p]
+
+    def stay(self, a: int, b: int) -> bool:
+        known = self.fits.get((a, b))
+        if known is None:
+            known = self.fits[a, b] = self.followed(a, b)
+        return known
+
+    def followed(self, a: int, b: int) -> bool:
+        (gain, right, _, head), (other, _, left, tail) = self.row(a), self.row(b)
+        n, i, j = int(self.m.length[a]), 0, 0
+        while True:
+            low, high = right[i], left[j]
+            h = ((head[n] - head[low] * self.powers[n - low]) * self.powers[high] + tail[high]) % 2**64
+            piece = self.piece.get(h)
+            across, one, two = -np.inf if piece is None else self.scores[piece], gain[i], other[j]
+            if across > one and across >= two:
+                return False
+            if one == two == -np.inf:
+                return True
+            i, j = (i + 1, j) if one >= two else (i, j + 1)
+
+
 def hashed(chars: np.ndarray) -> np.ndarray:
     """Prefix hashes of rows of characters: rows x (n + 1)."""
     out = np.zeros((chars.shape[0], chars.shape[1] + 1), np.uint64)
@@ -198,6 +237,15 @@ def hashed(chars: np.ndarray) -> np.ndarray:
 _powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(1 << 16, BASE, np.uint64))))
 
 
+def long_hashed(chars: np.ndarray) -> np.ndarray:
+    """As hashed() of one row, by a prefix sum over the inverse powers."""
+    n = len(chars)
+    up = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, BASE, np.uint64))))
+    down = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, pow(int(BASE), -1, 2**64), np.uint64))))
+    sums = np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) * down[:n])
+    return np.concatenate((np.zeros(1, np.uint64), sums * up[:n]))
+
+
 def span(low: np.ndarray, high: np.ndarray, n: np.ndarray | int) -> np.ndarray:
     return high - low * _powers[np.minimum(n, len(_powers) - 1)]
 
@@ -208,6 +256,7 @@ class Encoder:
     def __init__(self, model: Model):
         self.m = model
         self.pairs = np.zeros(1 << 24, np.uint64)  # (pair, answer) in the slot of the pair's hash
+        self.one_by_one = Pairs(model)
         self.forget()
 
     def forget(self) -> None:
@@ -265,6 +314,39 @@ class Encoder:
                 best[own, j], piece[own, j], back[own, j] = value, p, i
         return self.paths(chars, piece, back)
 
+    def alone(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """viterbi() of one long word."""
+        m, n = self.m, len(chars)
+        h = long_hashed(chars)
+        piece, back, best = [-1] * (n + 1), [0] * (n + 1), [0.0] + [-np.inf] * n
+        scores, unknown = m.scores.tolist(), m.scores.min() - 10
+        for low in range(1, n + 1, STRETCH):
+            ends = np.arange(low, min(n + 1, low + STRETCH))
+            found = np.full((len(ends), m.longest), -1, np.int32)
+            for size in range(1, m.longest + 1):
+                some = ends[ends >= size]
+                p = m.probe(span(h[some - size], h[some], size))
+                if size == 1:
+                    p = np.where(p < 0, m.size, p)
+                if m.bpe:
+                    p = np.where(m.alone[p], p, -1)
+                found[len(ends) - len(some) :, m.longest - size] = p  # longest first
+            place, which = np.nonzero(found >= 0)
+            for j, size, p in zip((place + low).tolist(), (m.longest - which).tolist(), found[place, which].tolist(), strict=True):
+                i = j - size
+                if m.bpe:
+                    if piece[j] >= 0:  # a place has one admissible piece
+                        continue
+                    q = piece[i]
+                    if i and q < m.size and p < m.size and not self.one_by_one.stay(q, p):
+                        continue
+                    piece[j], back[j] = p, i
+                else:
+                    value = best[i] + (scores[p] if p < m.size else unknown)
+                    if value > best[j]:
+                        best[j], piece[j], back[j] = value, p, i
+        return self.paths(chars[None], np.array(piece)[None], np.array(back)[None])
+
     def paths(self, chars: np.ndarray, piece: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Follows the backpointers of all rows at once; a character of no piece becomes its bytes."""
         m, (rows, n) = self.m, chars.shape
@@ -297,6 +379,11 @@ class Encoder:
         edges = np.flatnonzero(np.diff(n[order], prepend=-1, append=-1))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             size = int(n[order[a]])
+            if size > LONG:
+                for k in order[a:b].tolist():
+                    ids, count[[k]] = self.alone(chars[low[k] : low[k] + size])
+                    found.append(ids)
+                continue
             step = max(1, CELLS // (size + 1))
             for k in range(a, b, step):
                 some = order[k : min(b, k + step)]
@@ -312,6 +399,8 @@ class Encoder:
         """(piece ids of all rows end to end, offsets)."""
         if len(self.known) > WORDS:
             self.forget()
+        if len(self.one_by_one.fits) > WORDS // 4:
+            self.one_by_one.fits.clear()
         rows = [(b" " + x).replace(MARK, b" ") if x else x for x in rows]
         edge = np.cumsum([0, *map(len, rows)])
         body = b"".join(rows)

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -100,6 +101,28 @@ def test_codec_equals_the_library(spark, sf):
     assert [x.decode() for x in sentencepiece_codec.decode_rows(encoder.m, ids, at)] == rows
 
 
+def test_codec_takes_long_units_in_bounded_time():
+    """Runs without a place to cut, as the library has them; 100,000 characters in seconds."""
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    encoder = sentencepiece_codec.Encoder(sentencepiece_codec.Model())
+    rng = random.Random(1)
+    rows = ["a" * 100_000, "".join(rng.choices("etaoinsr", k=100_000)), "ab" * 99 + "x", "x" * 193, "e" * 70_000 + "\U0001f600" + "the" * 500]
+    began = time.time()
+    ids, at = encoder.encode([x.encode() for x in rows])
+    assert time.time() - began < 30
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == library.encode(rows)
+
+
+def test_long_units_of_a_unigram_model_take_the_best_sum(monkeypatch):
+    m = sentencepiece_codec.Model()
+    m.bpe = False
+    m.scores = np.random.default_rng(4).normal(-5, 2, m.size)
+    encoder = sentencepiece_codec.Encoder(m)
+    monkeypatch.setattr(sentencepiece_codec, "STRETCH", 16)
+    chars = np.array([ord(c) for c in "▁unbelievabletionentertainmentheader" * 3], np.uint32)
+    assert encoder.alone(chars)[0].tolist() == encoder.viterbi(chars[None])[0].tolist()
+
+
 def test_codec_round_trip_on_spark(spark):
     docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
     out = sentencepiece_codec.encode(docs)
@@ -278,8 +301,83 @@ def test_classifier_agrees_with_held_out_labels(spark):
 def test_em_finds_accuracies():
     rng = np.random.default_rng(2)
     truth = rng.random(20_000) < 0.3
-    rates = np.array([0.95, 0.9, 0.8, 0.7, 0.9, 0.85, 0.6])
-    votes = np.where(rng.random((len(truth), 7)) < rates, truth[:, None], ~truth[:, None]).astype(int)  # 0 good, 1 bad
-    patterns, counts = np.unique(votes @ 3 ** np.arange(7), return_counts=True)
+    rates = np.array([0.95, 0.9, 0.8, 0.7, 0.9, 0.85, 0.6, 0.75])
+    votes = np.where(rng.random((len(truth), 8)) < rates, truth[:, None], ~truth[:, None]).astype(int)  # 0 good, 1 bad
+    patterns, counts = np.unique(votes @ 3 ** np.arange(8), return_counts=True)
     post, table = quality.accuracies(patterns, counts)
     assert np.abs(table[:, 1, 1] - rates).max() < 0.05 and np.abs(table[:, 0, 0] - rates).max() < 0.05
+
+
+def test_em_against_plain_loops():
+    """Posteriors of a few vote patterns, round by round, without arrays."""
+    rng = random.Random(5)
+    rows = [[rng.choice((0, 0, 1, 2)) for _ in quality.LABELLERS] for _ in range(40)]
+    times = [rng.randint(1, 30) for _ in rows]
+    post = []
+    for v in rows:
+        bad, good = v.count(1), v.count(0)
+        start = (bad + 0.5) / (bad + good + 1) if bad + good else 0.5
+        post.append(max(start, 0.9) if bad else min(start, 0.1 if good else 0.5))
+    for _ in range(7):
+        table = [[[1e-2 + sum((p if c else 1 - p) * n for v, p, n in zip(rows, post, times, strict=True) if v[i] == x) for x in range(3)] for c in range(2)] for i in range(len(rows[0]))]
+        total = [sum((p if c else 1 - p) * n for p, n in zip(post, times, strict=True)) for c in range(2)]
+        after = []
+        for v in rows:
+            like = [math.log((total[c] + 1) / (sum(total) + 2)) + sum(math.log(table[i][c][x] / sum(table[i][c])) for i, x in enumerate(v)) for c in range(2)]
+            after.append(1 / (1 + math.exp(max(-50, min(50, like[0] - like[1])))))
+        post = after
+    codes = np.array([sum(x * 3**i for i, x in enumerate(v)) for v in rows])
+    assert quality.accuracies(codes, np.array(times, float), 7)[0] == pytest.approx(post)
+
+
+def test_scores_against_plain_loops(spark, sf):
+    """p_bad of every document from the learned weights, features counted one by one."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    w, bias, prior = quality.learned(docs)
+    texts = {r.doc_id: r.text.encode() for r in docs.collect()}
+    got = {r.doc_id: r.p_bad for r in quality.op8(docs).collect()}
+    for d in sorted(texts)[::7]:
+        raw = texts[d] + b" "
+        words = raw.split()
+        size = max(1, len(words))
+        low = [x.lower() for x in words]
+        black = sum(map(len, words))
+        letters = sum(chr(b).isascii() and chr(b).isalpha() for b in raw)
+        kind = lambda b: int(quality._KIND[b])
+        m = [
+            sum(kind(b) == 4 for b in raw) / max(1, black), sum(65 <= b <= 90 for b in raw) / max(1, letters), sum(a == b for a, b in zip(low, low[1:], strict=False)) / size, len(set(low)) / size,
+            sum(len(x) == 1 and kind(x[0]) == 4 for x in words) / size, sum(len(x) > 2 and kind(x[-1]) >= 3 and kind(x[-2]) >= 3 for x in words) / size, sum(len(x) <= 3 and kind(x[0]) == 1 for x in words) / size,
+            sum(len(x) for x in words if len(x) > 64 and x[0] < 128) / max(1, black),
+        ]
+        grams = Counter(((a * 40503 + b * 9973 + c * 613) ^ (a << 3)) % quality.WIDTH for a, b, c in zip(raw, raw[1:], raw[2:], strict=False))
+        x = {k: math.sqrt(v / sum(grams.values())) for k, v in grams.items()}
+        for i, y in enumerate(m):
+            k = (math.floor(8 * math.sqrt(y)) * 7919 + i * 104729) % quality.WIDTH
+            x[k] = x.get(k, 0) + 0.5
+        s = sum(w[k] * v for k, v in x.items()) + bias
+        s = (s * black + prior * quality.PRIOR_BYTES) / (black + quality.PRIOR_BYTES)
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-s)), rel=1e-3, abs=1e-5)
+
+
+def test_short_and_unbroken_junk_is_judged(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    junk = ["$%^&*#@! " * 3, "x" * 5000, "aGVsbG8gd29ybGQ0" * 400, "0123456789abcdef" * 300]
+    fine = ["", None, "ok", "The cat sat on the mat.", "See https://example.com/a/rather/long/path?with=query for what the board decided about the new bridge."]
+    more = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(junk + fine)], "doc_id long, text string")
+    got = {r.doc_id - 10**6: r.keep for r in quality.op8(docs.select(F.col("doc_id").cast("long"), "text").unionByName(more)).where("doc_id >= 1000000").collect()}
+    assert got == {i: i >= len(junk) for i in range(len(junk) + len(fine))}
+
+
+def test_many_short_rows_take_little_memory():
+    """10,000 rows in one batch are featurised in slices."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a few short words"] * 10_000)], ["text"])
+    tracemalloc.start()
+    for _, buf, at in quality._slices([batch]):
+        quality.features(buf, at, quality.measures(buf, at)[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
