@@ -1,8 +1,8 @@
 """Scoring texts with a log-bilinear model trained by noise-contrastive estimation.
 
-The vocabulary is open. A token's class is itself for the end and the ``TOP``
-most frequent words, and otherwise one of 120 shapes (its last letters and
-punctuation, by rule). The model gives p(class | two classes before), from
+The vocabulary is open. A token's class is itself for the end and the most
+frequent words, whose number grows with the cube root of the training tokens, and
+otherwise one of 120 shapes (its last letters and punctuation, by rule). The model gives p(class | two classes before), from
 context vectors that meet class vectors in a product, and p(word | shape) comes
 from counts over all training tokens; their product is normalised over all words.
 
@@ -34,9 +34,10 @@ from pyspark.sql import functions as F
 from loreweave.llm.common import NO_ID, blocks, byte_rows, packed, partitions, real_id, stored, texts, unpacked
 from loreweave.llm.hashing import Spans, lowered, words
 
+#: Words with vectors of their own, at least.
 TOP, SUFFIXES = 135, 40
 SHAPES = 3 * SUFFIXES
-CLASSES = 1 + TOP + SHAPES  # 256: a class is a byte
+CLASSES = 1 + TOP + SHAPES
 DIMS, NOISE, SHARED_NOISE, BATCH, RATE = 24, 16, 64, 4096, 0.15
 #: A partition with few trigrams goes over them again, up to so often, for so many steps a round.
 LEAST_STEPS, MOST_PASSES = 96, 24
@@ -44,6 +45,11 @@ BLOCK = 1 << 20
 END = np.uint64(0)
 
 
+def top_words(tokens: int) -> int:
+    """How many words are classes of their own, for so many training tokens."""
+    return max(TOP, int(np.cbrt(tokens)))
+
+
 def held_out(doc: int) -> bool:
     return zlib.crc32(b"" if doc == NO_ID else str(doc).encode()) % 5 == 1
 
@@ -59,7 +65,7 @@ def shapes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (kind * SUFFIXES + (one * 31 + two) % SUFFIXES).astype(np.uint8)
 
 
-BLOCK_TABLE = "block long, docs binary, words binary, tokens binary, shapes binary, train binary, stream binary"
+BLOCK_TABLE = "block long, n_train long, docs binary, words binary, tokens binary, shapes binary, train binary, stream binary"
 
 
 def _tokenise(batches):
@@ -78,7 +84,7 @@ def _tokenise(batches):
         tokens, counts = np.append(tokens, END), np.append(counts, train.sum())
         shape = np.append(shapes(buf, start[first], end[first]), np.uint8(0)) if len(first) else np.zeros(1, np.uint8)
         values = (packed(ids), packed(n.astype(np.int32)), packed(tokens), shape.tobytes(), packed(counts.astype(np.int32)), small(stream))
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in values)], [x.split()[0] for x in BLOCK_TABLE.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([counts.sum()], pa.int64()), *(pa.array([x], pa.binary()) for x in values)], [x.split()[0] for x in BLOCK_TABLE.split(", ")])
         block += 1
 
 
@@ -111,37 +117,45 @@ def _ask(owners: int):
     return run
 
 
-def _merge_stats(parts: list[dict]) -> dict:
-    tops = sorted({x for p in parts for x in p["top"]}, key=lambda x: (-x[1], x[0]))[:TOP]
+def _merge_stats(top: int):
+    return lambda parts: _merged_stats(parts, top)
+
+
+def _merged_stats(parts: list[dict], top: int) -> dict:
+    tops = sorted({x for p in parts for x in p["top"]}, key=lambda x: (-x[1], x[0]))[:top]
     return {"n": sum(p["n"] for p in parts), "v": sum(p["v"] for p in parts), "top": tops, "shape_n": sum(p["shape_n"] for p in parts), "shape_v": sum(p["shape_v"] for p in parts)}
 
 
-def _answer(batches):
+def _answer(top: int):
     """Owner: adds up its tokens' counts; a row back to each block, and one of statistics (block -1)."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for owner, *row in zip(*(batch.column(x).to_pylist() for x in ("owner", "block", "tokens", "shapes", "train")), strict=True):
-            held.setdefault(owner, []).append(row)
-    for owner, rows in held.items():
-        tokens = np.concatenate([unpacked(x[1], np.uint64) for x in rows])
-        shape = np.concatenate([np.frombuffer(x[2], np.uint8) for x in rows])
-        train = np.concatenate([unpacked(x[3], np.int32) for x in rows])
-        own, first, back = np.unique(tokens, return_index=True, return_inverse=True)
-        total = np.bincount(back, weights=train, minlength=len(own)).astype(np.int64)
-        word = (own != END) & (total > 0)
-        kinds = shape[first][word]
-        best = np.lexsort((own, -total))
-        best = best[word[best]][:TOP]
-        stats = {
-            "n": int(total.sum()), "v": int((total > 0).sum()), "top": [(int(own[i]), int(total[i]), int(shape[first[i]])) for i in best],
-            "shape_n": np.bincount(kinds, weights=total[word], minlength=SHAPES), "shape_v": np.bincount(kinds, minlength=SHAPES),
-        }
-        answers, at = [(-1, owner, pickle.dumps(stats))], 0
-        for block, some, *_ in rows:
-            n = len(some) // 8
-            answers.append((block, owner, small(total[back[at : at + n]])))
-            at += n
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*answers, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["block", "owner", "counts"])
+
+    def run(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for owner, *row in zip(*(batch.column(x).to_pylist() for x in ("owner", "block", "tokens", "shapes", "train")), strict=True):
+                held.setdefault(owner, []).append(row)
+        for owner, rows in held.items():
+            tokens = np.concatenate([unpacked(x[1], np.uint64) for x in rows])
+            shape = np.concatenate([np.frombuffer(x[2], np.uint8) for x in rows])
+            train = np.concatenate([unpacked(x[3], np.int32) for x in rows])
+            own, first, back = np.unique(tokens, return_index=True, return_inverse=True)
+            total = np.bincount(back, weights=train, minlength=len(own)).astype(np.int64)
+            word = (own != END) & (total > 0)
+            kinds = shape[first][word]
+            best = np.lexsort((own, -total))
+            best = best[word[best]][:top]
+            stats = {
+                "n": int(total.sum()), "v": int((total > 0).sum()), "top": [(int(own[i]), int(total[i]), int(shape[first[i]])) for i in best],
+                "shape_n": np.bincount(kinds, weights=total[word], minlength=SHAPES), "shape_v": np.bincount(kinds, minlength=SHAPES),
+            }
+            answers, at = [(-1, owner, pickle.dumps(stats))], 0
+            for block, some, *_ in rows:
+                n = len(some) // 8
+                answers.append((block, owner, small(total[back[at : at + n]])))
+                at += n
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*answers, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["block", "owner", "counts"])
+
+    return run
 
 
 def _tree(parts: DataFrame, merge, fan: int) -> bytes | None:
@@ -156,9 +170,13 @@ def _tree(parts: DataFrame, merge, fan: int) -> bytes | None:
     return pickle.loads(out[0].value) if out else None
 
 
+def top_size(top: np.ndarray) -> int:
+    return max(TOP, len(top))
+
+
 def classes(tokens: np.ndarray, shape: np.ndarray, top: np.ndarray) -> np.ndarray:
     """Class of each of a block's tokens. top: hashes of the frequent words, most frequent first."""
-    out = (1 + TOP + shape).astype(np.uint8)
+    out = 1 + top_size(top) + shape.astype(np.int64)
     if len(top):
         order = np.argsort(top)
         at = np.minimum(np.searchsorted(top[order], tokens), len(top) - 1)
@@ -168,7 +186,7 @@ def classes(tokens: np.ndarray, shape: np.ndarray, top: np.ndarray) -> np.ndarra
     return out
 
 
-def sequence(n: np.ndarray, stream: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+def sequence(n: np.ndarray, stream: np.ndarray, own: np.ndarray, size_of_class: int = CLASSES) -> tuple[np.ndarray, ...]:
     """(doc, token, class, context) of a block's tokens with ends; context: the two classes before, the end's before a text."""
     size = n + 1
     end = np.cumsum(size) - 1
@@ -181,18 +199,18 @@ def sequence(n: np.ndarray, stream: np.ndarray, own: np.ndarray) -> tuple[np.nda
     one, two = np.zeros_like(cls), np.zeros_like(cls)
     one[1:], two[2:] = cls[:-1], cls[:-2]
     two[end + 1 - size] = 0
-    return doc, token, cls, two * CLASSES + one
+    return doc, token, cls, two * size_of_class + one
 
 
 def _grams(top: np.ndarray):
     def run(batches):
-        codes, counts = [], []
+        codes, counts, size = [], [], 1 + top_size(top) + SHAPES
         for batch in batches:
             for docs, n, tokens, shape, stream in zip(*(batch.column(x).to_pylist() for x in ("docs", "words", "tokens", "shapes", "stream")), strict=True):
                 own, n = classes(unpacked(tokens, np.uint64), np.frombuffer(shape, np.uint8), top), unpacked(n, np.int32).astype(np.int64)
-                doc, _, cls, context = sequence(n, wide(stream, int(n.sum())), own)
+                doc, _, cls, context = sequence(n, wide(stream, int(n.sum())), own, size)
                 train = np.array([not held_out(x) for x in unpacked(docs, np.int64).tolist()])
-                code, count = np.unique(((context * CLASSES + cls)[train[doc]]).astype(np.uint32), return_counts=True)
+                code, count = np.unique((context * size + cls)[train[doc]].astype(np.uint64), return_counts=True)
                 codes.append(code)
                 counts.append(count)
                 if sum(map(len, codes)) > 1 << 20:
@@ -212,35 +230,39 @@ def _summed(codes, counts):
 
 def fresh(unigram: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
     """Parameters at the start: the unigram, and small vectors. Squares: AdaGrad's sums."""
-    rng = np.random.default_rng(seed)
-    p = {"words": rng.normal(0, 0.1, (CLASSES, DIMS)), "out": rng.normal(0, 0.1, (CLASSES, DIMS)), "first": np.eye(DIMS), "second": np.eye(DIMS) * 0.5, "bias": np.log(unigram)}
+    rng, n = np.random.default_rng(seed), len(unigram)
+    p = {"words": rng.normal(0, 0.1, (n, DIMS)), "out": rng.normal(0, 0.1, (n, DIMS)), "first": np.eye(DIMS), "second": np.eye(DIMS) * 0.5, "bias": np.log(unigram)}
     return {k: v.astype(np.float32) for k, v in p.items()} | {f"{k}_sq": np.full(v.shape, 0.05, np.float32) for k, v in p.items()}
 
 
 def logits(p: dict, context: np.ndarray) -> np.ndarray:
     """Scores of all classes in each context (contexts x classes)."""
     one, two = p["words"] @ p["first"].T, p["words"] @ p["second"].T
-    return (one[context % CLASSES] + two[context // CLASSES]) @ p["out"].T + p["bias"]
+    n = len(p["bias"])
+    return (one[context % n] + two[context // n]) @ p["out"].T + p["bias"]
 
 
 def log10_probabilities(p: dict, context: np.ndarray, cls: np.ndarray) -> np.ndarray:
     """log10 p(cls | context), normalised; equal contexts are scored once."""
+    step = max(64, (1 << 19) // len(p["bias"]))
     own, back = np.unique(context, return_inverse=True)
     out = np.empty(len(context))
     order = np.argsort(back, kind="stable")
-    ends = np.searchsorted(back[order], np.arange(0, len(own) + 2048, 2048))
-    for step, low in enumerate(range(0, len(own), 2048)):
-        s = logits(p, own[low : low + 2048]).astype(np.float64)
+    ends = np.searchsorted(back[order], np.arange(0, len(own) + step, step))
+    for i, low in enumerate(range(0, len(own), step)):
+        s = logits(p, own[low : low + step])
         s -= s.max(axis=1, keepdims=True)
-        s -= np.log(np.exp(s).sum(axis=1, keepdims=True))
-        here = order[ends[step] : ends[step + 1]]
-        out[here] = s[back[here] - low, cls[here]]
+        here = order[ends[i] : ends[i + 1]]
+        row = back[here] - low
+        got = s[row, cls[here]].astype(np.float64)
+        np.exp(s, out=s)
+        out[here] = got - np.log(s.sum(axis=1, dtype=np.float64))[row]
     return out / math.log(10)
 
 
 def nce_epoch(p: dict, code: np.ndarray, count: np.ndarray, unigram: np.ndarray, seed: int) -> dict:
     """One pass over class trigrams with counts: data against NOISE noise classes for each, drawn from the unigram."""
-    rng = np.random.default_rng(seed)
+    rng, size = np.random.default_rng(seed), len(unigram)
     p = {k: v.copy() for k, v in p.items()}
     floor = np.log(NOISE * unigram).astype(np.float32)
     order = rng.permutation(len(code))
@@ -251,7 +273,7 @@ def nce_epoch(p: dict, code: np.ndarray, count: np.ndarray, unigram: np.ndarray,
         p[name] += RATE * gradient / np.sqrt(p[f"{name}_sq"])
 
     def scatter(index, rows):
-        out, order = np.zeros((CLASSES, DIMS), np.float32), np.argsort(index.astype(np.uint8), kind="stable")
+        out, order = np.zeros((size, DIMS), np.float32), np.argsort(index.astype(np.uint16 if size < 1 << 16 else np.int64), kind="stable")
         own = index[order]
         new = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         out[own[new]] = np.add.reduceat(rows[order].astype(np.float32), new, axis=0)
@@ -259,19 +281,19 @@ def nce_epoch(p: dict, code: np.ndarray, count: np.ndarray, unigram: np.ndarray,
 
     for low in range(0, len(code), BATCH):
         i = order[low : low + BATCH]
-        w, context = (code[i] % CLASSES).astype(np.int64), (code[i] // CLASSES).astype(np.int64)
-        a, b = context % CLASSES, context // CLASSES
+        w, context = (code[i] % code.dtype.type(size)).astype(np.int64), (code[i] // code.dtype.type(size)).astype(np.int64)
+        a, b = context % size, context // size
         weight = (count[i] / count[i].mean()).astype(np.float32)
         r1, r2 = p["words"][a], p["words"][b]
         hidden = r1 @ p["first"].T + r2 @ p["second"].T
-        noise = rng.choice(CLASSES, SHARED_NOISE, p=unigram)
+        noise = rng.choice(size, SHARED_NOISE, p=unigram)
         pull = weight * (1 - sigmoid((hidden * p["out"][w]).sum(1) + p["bias"][w] - floor[w]))
         push = -(NOISE / SHARED_NOISE) * weight[:, None] * sigmoid(hidden @ p["out"][noise].T + p["bias"][noise] - floor[noise])
         n = np.float32(len(i))
         d_hidden = (pull[:, None] * p["out"][w] + push @ p["out"][noise]) / n
         d_out = scatter(w, pull[:, None] * hidden)
         np.add.at(d_out, noise, push.T @ hidden)
-        d_bias = np.bincount(w, weights=pull, minlength=CLASSES) + np.bincount(noise, weights=push.sum(0), minlength=CLASSES)
+        d_bias = np.bincount(w, weights=pull, minlength=size) + np.bincount(noise, weights=push.sum(0), minlength=size)
         d_words = scatter(a, d_hidden @ p["first"]) + scatter(b, d_hidden @ p["second"])
         d_first, d_second = d_hidden.T @ r1, d_hidden.T @ r2
         for name, gradient in (("out", d_out / n), ("bias", (d_bias / n).astype(np.float32)), ("words", d_words), ("first", d_first), ("second", d_second)):
@@ -285,7 +307,7 @@ def _round(shared, unigram, seed: int):
         p, n = None, 0
         for batch in batches:
             for codes, counts in zip(*(batch.column(x).to_pylist() for x in ("codes", "counts")), strict=True):
-                code, count = unpacked(codes, np.uint32), unpacked(counts, np.int64)
+                code, count = unpacked(codes, np.uint64), unpacked(counts, np.int64)
                 for again in range(min(MOST_PASSES, -(-LEAST_STEPS * BATCH // max(1, len(code))))):
                     p = nce_epoch(p or shared.value, code, count, unigram, (seed * MOST_PASSES + again) * 1_000_003 + task)
                 n += int(count.sum())
@@ -316,6 +338,7 @@ def _score(shared, owners: int):
         p, stats, top, shape_n, shape_v = shared.value
         den = stats["n"] + 0.5 * (stats["v"] + 1)
         shape_log = np.log10(shape_n + 0.5 * (shape_v + 1))
+        n_top = top_size(top)
         for batch in batches:
             cols = (batch.column(x).to_pylist() for x in ("docs", "words", "tokens", "shapes", "stream", "counts"))
             for docs, n, tokens, shape, stream, counts in zip(*cols, strict=True):
@@ -326,9 +349,9 @@ def _score(shared, owners: int):
                     place = places[x["owner"]]
                     total[place] = wide(x["counts"], len(place))
                 own = classes(tokens, shape, top)
-                doc, token, cls, context = sequence(n, wide(stream, int(n.sum())), own)
+                doc, token, cls, context = sequence(n, wide(stream, int(n.sum())), own, 1 + n_top + SHAPES)
                 log = np.log10(total + 0.5)
-                within = np.where(own > TOP, log - shape_log[shape], 0.0)
+                within = np.where(own > n_top, log - shape_log[shape], 0.0)
                 base = np.bincount(doc, weights=(log - math.log10(den))[token], minlength=len(docs))
                 score = np.bincount(doc, weights=log10_probabilities(p, context, cls) + within[token], minlength=len(docs))
                 known = np.bincount(doc, weights=(total > 0)[token], minlength=len(docs)).astype(np.int64)
@@ -351,19 +374,20 @@ def score_texts(docs: DataFrame, rounds: int = 4) -> DataFrame:
     spark = docs.sparkSession
     owners = partitions(spark)
     table = stored(texts(docs).mapInArrow(_tokenise, BLOCK_TABLE), "lm-blocks")
+    n_top = top_words(table.agg(F.sum("n_train")).first()[0] or 0)
     asked = table.select("block", "tokens", "shapes", "train").mapInArrow(_ask(owners), "owner int, block long, tokens binary, shapes binary, train binary")
-    counts = stored(asked.repartitionById(owners, F.col("owner")).mapInArrow(_answer, "block long, owner int, counts binary"), "lm-counts")
+    counts = stored(asked.repartitionById(owners, F.col("owner")).mapInArrow(_answer(n_top), "block long, owner int, counts binary"), "lm-counts")
     fan = max(1, int(owners**0.5))
     empty = {"n": 0, "v": 0, "top": [], "shape_n": np.zeros(SHAPES), "shape_v": np.zeros(SHAPES)}
-    stats = _tree(counts.where("block = -1").select(F.col("counts").alias("value")), _merge_stats, fan) or empty
+    stats = _tree(counts.where("block = -1").select(F.col("counts").alias("value")), _merge_stats(n_top), fan) or empty
     top = np.array([x[0] for x in stats["top"]], np.uint64)
     shape_n, shape_v = stats["shape_n"].copy(), stats["shape_v"].copy()
     for _, count, shape in stats["top"]:  # frequent words are classes of their own
         shape_n[shape] -= count
         shape_v[shape] -= 1
     ends = stats["n"] - sum(x[1] for x in stats["top"]) - shape_n.sum()
-    mass = np.zeros(CLASSES)
-    mass[0], mass[1 : 1 + len(top)], mass[1 + TOP :] = ends, [x[1] for x in stats["top"]], shape_n
+    mass = np.zeros(1 + top_size(top) + SHAPES)
+    mass[0], mass[1 : 1 + len(top)], mass[1 + top_size(top) :] = ends, [x[1] for x in stats["top"]], shape_n
     unigram = (mass + 0.5) / (mass + 0.5).sum()
     grams = stored(table.select("docs", "words", "tokens", "shapes", "stream").mapInArrow(_grams(top), "codes binary, counts binary"), "lm-grams")
     p = train(grams, unigram, rounds)

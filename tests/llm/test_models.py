@@ -172,6 +172,51 @@ def test_base_score_and_counts(spark, sf):
     assert sum(r.score for r in seen) > sum(r.base_score for r in seen)
 
 
+def test_score_against_a_plain_sum(spark, sf, monkeypatch):
+    """Every text's score from the trained parameters, token by token; over all words and one unknown, p sums to 1."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    monkeypatch.setattr(lm, "top_words", lambda tokens: 200)
+    seen, was = [], lm._score
+    monkeypatch.setattr(lm, "_score", lambda shared, owners: seen.append(shared.value) or was(shared, owners))
+    got = {r.doc_id: r.score for r in lm.op4(docs).collect()}
+    p, stats, top, shape_n, shape_v = seen[0]
+    tokens, count = {}, Counter()
+    for r in docs.collect():
+        tokens[r.doc_id] = re.findall(rb"[^\x20\x09-\x0D]+", r.text.encode().lower())
+        if zlib.crc32(str(r.doc_id).encode()) % 5 != 1:
+            count.update(tokens[r.doc_id])
+    words = {w for x in tokens.values() for w in x}
+    place = {int(h): 1 + i for i, h in enumerate(top.tolist())}
+    kind = {}
+    for w in words:
+        buf = np.frombuffer(w, np.uint8)
+        shape = int(lm.shapes(buf, np.array([0]), np.array([len(w)]))[0])
+        kind[w] = (place.get(int(lm.Spans(buf).of(np.array([0]), np.array([len(w)]))[0])), shape)
+    assert sum(c is not None for c, _ in kind.values()) == 200 == len(top) and len(p["bias"]) == 321
+    one, two = p["words"] @ p["first"].T, p["words"] @ p["second"].T
+
+    def distribution(a, b):
+        s = ((one[b] + two[a]) @ p["out"].T + p["bias"]).astype(float)
+        e = np.exp(s - s.max())
+        return e / e.sum()
+
+    def within(w):
+        top_class, shape = kind[w]
+        return 1.0 if top_class else (count[w] + 0.5) / (shape_n[shape] + 0.5 * (shape_v[shape] + 1))
+
+    for d in sorted(got)[::9]:
+        before, total = [0, 0], 0.0
+        for w in [*tokens[d], None]:
+            c = 0 if w is None else kind[w][0] or 201 + kind[w][1]
+            total += math.log10(distribution(*before)[c]) + (0.0 if w is None else math.log10(within(w)))
+            before = [before[1], c]
+        assert got[d] == pytest.approx(total, rel=1e-4)
+    dist = distribution(5, 201)
+    known = [w for w in words if count[w]]
+    mass = dist[0] + sum(dist[kind[w][0] or 201 + kind[w][1]] * within(w) for w in known) + sum(dist[201 + s] * 0.5 / (shape_n[s] + 0.5 * (shape_v[s] + 1)) for s in range(lm.SHAPES))
+    assert mass == pytest.approx(1.0, rel=1e-5)
+
+
 def test_class_probabilities_are_normalised():
     p = lm.fresh(np.full(lm.CLASSES, 1 / lm.CLASSES))
     context = np.array([0, 5, 70_00, 65_535])
