@@ -81,6 +81,17 @@ def linked(x: np.ndarray, y: np.ndarray, start: np.ndarray | int, most: int = 4)
     return (total * 5 <= np.arange(1, 6) * most).all(axis=-1)
 
 
+def chained(fps: np.ndarray, fp: np.uint64, start: int, most: int = 4) -> np.ndarray:
+    """Places in fps of those that keep each budget of the chain from segment start to fp, the whole ring last."""
+    at, total = np.arange(len(fps)), np.zeros(len(fps), np.int64)
+    for l in range(1, 6):
+        low, width = SEGMENTS[(start + l - 1) % 5]
+        total = total + np.bitwise_count(((fps[at] ^ fp) >> np.uint64(low)) & np.uint64((1 << width) - 1))
+        fine = total * 5 <= l * most
+        at, total = at[fine], total[fine]
+    return at
+
+
 def _forest(fps: np.ndarray, start: int) -> list[tuple[int, int]]:
     """Links of one key that join different groups."""
     group, out = np.arange(len(fps)), []
@@ -89,9 +100,7 @@ def _forest(fps: np.ndarray, start: int) -> list[tuple[int, int]]:
         if not len(others):
             break
         others = others[others > i]
-        near = others[np.bitwise_count(fps[others] ^ fps[i]) <= 4]
-        if len(near):
-            near = near[linked(fps[near], np.broadcast_to(fps[i], near.shape), start)]
+        near = others[chained(fps[others], fps[i], start)]
         for j in near.tolist():
             if group[j] != group[i]:
                 out.append((i, j))
