@@ -31,3 +31,25 @@ def means(per_query: DataFrame) -> DataFrame:
 def timings(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, least, most, mean, n) of measured values."""
     return rows.groupBy(key).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(value), 6).alias("mean"), F.count("*").alias("n"))
+
+
+def backfilled(questions: DataFrame, results: DataFrame) -> DataFrame:
+    """(query, sources): the distinct sources of results (text, pos, source) of a question's very text, in order; none: an empty list.
+
+    Null texts meet nothing.
+    """
+    first = results.where("source is not null").groupBy("text", "source").agg(F.min("pos").alias("pos"))
+    listed = first.groupBy("text").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "source"))), lambda x: x["source"]).alias("sources"))
+    return questions.join(listed, "text", "left").select("query", F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
+
+
+def totals(runs: DataFrame) -> DataFrame:
+    """(n, failed, mean_ms) of (query, error, ms) rows, one row: failed ones count in n and in the mean."""
+    return runs.agg(F.count("*").alias("n"), F.count_if(F.coalesce("error", F.lit("")) != "").alias("failed"), (F.coalesce(F.sum("ms"), F.lit(0.0)) / F.greatest(F.count("*"), F.lit(1))).alias("mean_ms"))
+
+
+def markdown_report(summary: DataFrame) -> str:
+    """A summary of a few rows (one per k) as a Markdown table."""
+    names = summary.columns
+    rows = [[str(r[c]) for c in names] for r in summary.orderBy(names[0]).collect()]  # a row for each k
+    return "\n".join("| " + " | ".join(x) + " |" for x in [names, ["---"] * len(names), *rows]) + "\n"

@@ -36,8 +36,8 @@ def neighbors(edges: DataFrame, most: int = 5, reverse: bool = True) -> DataFram
     return once.withColumn("nth", nth).where(F.col("nth") <= most).select("src", "dst", "nth")
 
 
-def expand(seeds: DataFrame, near: DataFrame, hops: int = 2, budget: int = 20) -> DataFrame:
-    """(query, node, hop, nth): seeds (query, node, nth) as hop 0 and what they lead to, at most budget more.
+def expand(seeds: DataFrame, near: DataFrame, hops: int = 2, budget: int = 20, with_seeds: bool = False) -> DataFrame:
+    """(query, node, hop, nth): seeds (query, node, nth) as hop 0 and what they lead to, at most budget more (with_seeds: at most budget in all).
 
     Within a hop the frontier takes turns: all first neighbours, then all second
     ones. A node counts where it is met first.
@@ -48,7 +48,7 @@ def expand(seeds: DataFrame, near: DataFrame, hops: int = 2, budget: int = 20) -
         offers = frontier.select("query", F.col("node").alias("src"), F.col("nth").alias("turn")).join(near, "src").groupBy("query", F.col("dst").alias("node")).agg(F.min(F.struct("nth", "turn")).alias("at"))
         fresh = offers.join(met.select("query", "node"), ["query", "node"], "left_anti")
         fresh = fresh.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy("at")))
-        used = met.where("hop > 0").groupBy("query").agg(F.count("*").alias("used"))
+        used = (met if with_seeds else met.where("hop > 0")).groupBy("query").agg(F.count("*").alias("used"))
         frontier = fresh.join(used, "query", "left").where(F.col("nth") + F.coalesce("used", F.lit(0)) <= budget).select("query", "node", F.lit(hop).alias("hop"), F.col("nth").cast("long").alias("nth"))
         met = met.unionByName(frontier)
     return met

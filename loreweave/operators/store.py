@@ -104,3 +104,18 @@ def checked(rows: DataFrame, schema: dict[str, str], width: int | None = None, v
 def profile_key(settings: dict[str, object]) -> str:
     """Sixteen hex digits that name an ingestion profile; any setting that changes gives another."""
     return hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()[:16]
+
+
+def needs_rebuild(known: DataFrame | None, key: str) -> bool:
+    """Whether a state table (profile, ...) is missing, empty, or of another profile than key."""
+    return known is None or known.where(F.col("profile") == key).isEmpty()
+
+
+def all_current(files: DataFrame, key: str) -> DataFrame:
+    """The state after a full build: every file (path, stamp) as it is now, under the profile key."""
+    return files.groupBy("path").agg(F.max("stamp").alias("stamp")).withColumn("profile", F.lit(key))
+
+
+def counts_by(rows: DataFrame, column: str) -> DataFrame:
+    """(column, n): rows by kind; null is a kind."""
+    return rows.groupBy(column).agg(F.count("*").alias("n"))

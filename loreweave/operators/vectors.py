@@ -96,8 +96,10 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFram
     fine = F.col("id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull())
     kind = "width int, ids binary, rows binary"
     pack = lambda df: df.where(fine).select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(_packed, kind)
-    q = pack(queries).select("width", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
-    found = pack(vectors).join(q, "width").select("width", "ids", "rows", "q_ids", "q_rows").mapInArrow(_nearest(k), "query long, id long, score double")
+    # Blocks of vectors are dealt out once; each block of queries visits every cell, so no task has all of a width.
+    cells = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = pack(queries).select("width", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
+    found = pack(vectors).withColumn("cell", F.pmod(F.xxhash64("ids"), F.lit(cells)).cast("int")).join(q, ["width", "cell"]).select("width", "ids", "rows", "q_ids", "q_rows").mapInArrow(_nearest(k), "query long, id long, score double")
     return ranked(found, ["query"], [F.col("score").desc(), F.col("id")], k)
 
 

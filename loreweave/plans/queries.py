@@ -17,6 +17,7 @@ from loreweave.operators import chunking, context, evaluation, graph, ranking, r
 from loreweave.plans import retrieval
 from loreweave.sources import help as help_files
 from loreweave.sources import html
+from loreweave.sources.shared import stored
 from loreweave.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,7 +60,8 @@ sp AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY r
 
 
 def _counts(spark, sf_dir):
-    return vectors.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    """Term counts of the corpus, tokenised once."""
+    return stored(vectors.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), "term-counts")
 
 
 def _encoded(spark, sf_dir):
@@ -74,10 +76,11 @@ def _search(spark, sf_dir):
 
 
 def _hits(spark, sf_dir):
-    """(query, query_text, id, text, source, lang, pos, score): the sparse search with its documents."""
+    """(query, query_text, id, text, source, lang, pos, score): the sparse search with its documents, searched once."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("query_text"))
-    return _search(spark, sf_dir).withColumnRenamed("rank", "pos").join(docs, "id").join(asked, "query")
+    found = stored(_search(spark, sf_dir).withColumnRenamed("rank", "pos"), "hits")
+    return stored(found.join(docs, "id").join(asked, "query"), "hit-texts")
 
 
 HITS_SQL = f"""WITH {COUNTS_SQL}, {SEARCH_SQL},
@@ -627,12 +630,6 @@ def upsert_delete(spark, sf_dir):
 # --- queries as rows
 
 
-@query(r"""SELECT item_id AS query, length(text) > 30 OR contains(lower(text), 'tion') AS broad,
- list_distinct(list_filter(list_transform(regexp_extract_all(text, '\b[A-Z][A-Za-z0-9]+(?:\s+[A-Z][A-Za-z0-9]+)*'), lambda x: lower(trim(x, ' '))), lambda x: length(x) > 1)).len()::INTEGER AS n_terms FROM benchmark""")
-def plan_queries(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), routing.is_broad(F.col("text"), ["tion"]).alias("broad"), F.size(routing.title_terms(F.col("text"))).alias("n_terms"))
-
-
 GLOSSARY_SQL = "g AS (SELECT p_partkey AS entry, list_filter(string_split(lower(p_name), ' '), lambda x: len(x) > 1) AS terms, p_type AS expansion FROM part)"
 
 
@@ -644,24 +641,6 @@ def glossary_expand(spark, sf_dir):
     return routing.expand_queries(asked, g).select("query", "matched")
 
 
-OWNER_SQL = f"w AS (SELECT source AS scope, unnest({TOKENS_SQL.format('text')}) AS symbol FROM documents), ow AS (SELECT symbol, min(scope) AS scope, count(*) AS n FROM w GROUP BY symbol HAVING count(DISTINCT scope) = 1)"
-
-
-@query(f"WITH {OWNER_SQL} SELECT symbol, scope, n FROM ow")
-def symbol_owner(spark, sf_dir):
-    return routing.symbol_owners(table(spark, sf_dir, "documents"), "source", "text")
-
-
-@query(f"""WITH {OWNER_SQL}, q AS (SELECT DISTINCT item_id AS query, unnest({TOKENS_SQL.format('text')}) AS symbol FROM benchmark),
-o AS (SELECT query, min(scope) AS one, max(scope) AS two FROM q JOIN ow USING (symbol) GROUP BY query)
-SELECT b.item_id AS query, CASE WHEN one = two THEN 'owner' ELSE 'all' END AS mode, CASE WHEN one = two THEN one ELSE 'de,en' END AS scopes FROM benchmark b LEFT JOIN o ON o.query = b.item_id""")
-def route_queries(spark, sf_dir):
-    """Sources own their words; questions without an owner go to both fallback scopes."""
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.translate("text", "\x00", "").alias("text"))
-    owners = routing.symbol_owners(table(spark, sf_dir, "documents"), "source", "text")
-    return routing.route(asked, owners, ["\x01de", "\x01en"]).select("query", "mode", F.translate(F.array_join("scopes", ","), "\x01", "").alias("scopes"))
-
-
 @query(r"""SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host, CASE WHEN regexp_matches(lower(url), 'api') THEN 'api' WHEN regexp_matches(lower(url), 'flow') THEN 'flow' WHEN regexp_matches(lower(url), 'hardware|config') THEN 'hardware_config' WHEN regexp_matches(lower(url), 'guide') THEN 'guide' ELSE 'reference' END AS doc_type,
  CASE WHEN regexp_matches(lower(url), '/(fr|de|es)/') THEN 'foreign' WHEN regexp_matches(lower(html), 'lang="en"') THEN 'english' ELSE 'unknown' END AS family, trim(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS stem FROM pages""")
 def page_metadata(spark, sf_dir):
@@ -747,3 +726,6 @@ def rerank_missing_scores(spark, sf_dir):
     hits = _hits(spark, sf_dir)
     given = hits.where("id % 2 = 0").select("query", "id", F.col("pos").cast("double").alias("score"))
     return ranking.with_scores(hits.drop("score"), given).select("query", "id", "score")
+
+
+from loreweave.plans import assembly  # noqa: E402, F401 - registers its queries here

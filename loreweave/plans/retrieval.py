@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loreweave.functions import text
 from loreweave.operators import context, ranking, vectors
+from loreweave.sources.shared import stored
 
 
 def retrieve(queries: DataFrame, docs: DataFrame, embeddings: DataFrame | None = None, broad: bool = False, top_k: int = 5, most_tokens: int = 4000) -> DataFrame:
@@ -17,16 +18,17 @@ def retrieve(queries: DataFrame, docs: DataFrame, embeddings: DataFrame | None =
     source and topic coverage for broad queries; title matches kept; token budget.
     A query without any known term has no rows.
     """
-    counts = vectors.term_counts(docs, "id", "text")
+    counts = stored(vectors.term_counts(docs, "id", "text"), "term-counts")
     vocab = vectors.vocabulary(counts, docs.count())
     hits = vectors.sparse_top_k(vectors.encode_sparse(vectors.term_counts(queries, "id", "text"), vocab), vectors.encode_sparse(counts, vocab))
     if embeddings is not None:
         asked = embeddings.join(queries.select("id"), "id", "left_semi")
         hits = ranking.fuse(vectors.dense_top_k(asked, embeddings.join(docs.select("id"), "id", "left_semi")), hits)
+    hits = stored(hits, "hits")
     asked = queries.select(F.col("id").alias("query"), F.col("text").alias("query_text"))
     terms = F.array_distinct(F.filter(F.split(F.lower(text.title("query_text")), " "), lambda x: F.length(x) > 3))
     rows = hits.withColumnRenamed("rank", "pos").join(docs, "id").join(asked, "query")
-    boosted = ranking.boost_titles(rows, text.title("text"), terms).drop("pos", "matches").withColumnRenamed("rank", "pos")
+    boosted = stored(ranking.boost_titles(rows, text.title("text"), terms).drop("pos", "matches").withColumnRenamed("rank", "pos"), "boosted-hits")
     ready = boosted.withColumns({"kind": F.lit("section"), "title_match": text.match_count(text.title("text"), terms) > 0})
     shaped = ranking.shape_rerank_input(ready, seeds=20).drop("pos").withColumnRenamed("rank", "pos")
     judged = shaped.withColumn("score", ranking.lexical_score(F.col("query_text"), ranking.rerank_text(F.col("text"), F.array("source"), text.title("text"), F.lit(""))))

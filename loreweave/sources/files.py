@@ -40,20 +40,19 @@ def questions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.where(fine).drop("_corrupt_record"), rows.where(~fine)
 
 
-def toc_rows(tree: DataFrame, levels: int = 8) -> DataFrame:
-    """(href, label, parent_href, child_hrefs) of table-of-contents trees (nodes array<struct<href,label,children>>), level by level."""
+def toc_rows(tree: DataFrame) -> DataFrame:
+    """(href, label, parent_href, child_hrefs) of table-of-contents trees (nodes array<struct<href,label,children>>), as deep as their type goes."""
     level = tree.select(F.explode("nodes").alias("node"), F.lit("").alias("parent_href"))
     out = None
-    for _ in range(levels):
+    while True:
         kind = level.schema["node"].dataType
         has = "children" in kind.fieldNames()
         children = F.transform("node.children", lambda x: x["href"]) if has else F.array().cast("array<string>")
         rows = level.select("node.href", "node.label", "parent_href", F.coalesce(children, F.array().cast("array<string>")).alias("child_hrefs"))
         out = rows if out is None else out.unionByName(rows)
         if not has:
-            break
+            return out
         level = level.select(F.explode("node.children").alias("node"), F.col("node.href").alias("parent_href"))
-    return out
 
 
 def inverted_hrefs(rows: DataFrame, map_col: str) -> DataFrame:

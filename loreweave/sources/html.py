@@ -14,6 +14,18 @@ _VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "wbr
 _BLOCKS = {"p", "div", "article", "section", "body", "html", "main", "header", "footer", "blockquote", "table", "ul", "ol", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
 
 
+#: Classes of tables and elements that only lead elsewhere, alternative texts of their images, and div classes that are headings, bullets and numbers.
+NAVIGATION, TRAIL, ARROWS = {"navi", "hidden"}, "breadcrumb", {"", "next", "previous", "print", "collapse", "expanded"}
+MARKS = (("Chapter", "# "), ("Heading1", "# "), ("Heading2", "## "), ("Heading3", "### "))
+LISTS = (("Bullet", "- "), ("Number", "1. "))
+
+
+def _mark(classes: list[str]) -> str | None:
+    """What Markdown puts before the text of a div of such classes, if anything."""
+    whole = next((mark for name, mark in MARKS if name in classes), None)
+    return whole or next((mark for start, mark in LISTS if any(c.startswith(start) for c in classes)), None)
+
+
 class _Reader(HTMLParser):
     """Collects blocks of Markdown while the tags go by; tags may be left open."""
 
@@ -26,6 +38,14 @@ class _Reader(HTMLParser):
         self.lists: list[list] = []
         self.row: list[str] | None = None
         self.rows: list[list[str]] | None = None
+        self.marked: list | None = None  # [mark, open divs] inside a div that its class makes a heading or an item
+
+    def close_marked(self) -> None:
+        text = re.sub(r"\s+", " ", "".join(self.run).replace("\xa0", " ")).strip()
+        mark, self.run, self.marked = self.marked[0], [], None
+        text = text.lstrip("•").strip() if mark == "- " else re.sub(r"^\d+[.)]\s*", "", text) if mark == "1. " else text
+        if text:
+            self.blocks.append(mark + text)
 
     def close_run(self) -> None:
         text = "".join(self.run)
@@ -57,6 +77,19 @@ class _Reader(HTMLParser):
                 self.skip.append(tag)
             return
         values = dict(attrs)
+        classes = (values.get("class") or "").split()
+        if tag not in _VOID and (tag == "table" and NAVIGATION.intersection(classes) or any(TRAIL in c.lower() for c in classes)):
+            self.skip.append(tag)
+            return
+        if self.marked:
+            self.marked[1] += tag == "div"
+            if tag not in ("a", "img", "code", "tt"):
+                self.run.append(" ")
+                return
+        elif tag == "div" and (mark := _mark(classes)):
+            self.close_run()
+            self.marked = [mark, 1]
+            return
         if tag in _BLOCKS or tag in ("li", "tr", "td", "th"):
             self.close_run()
         if re.fullmatch("h[1-6]", tag):
@@ -76,7 +109,7 @@ class _Reader(HTMLParser):
             self.href.append((len(self.run), values["href"]))
         elif tag in ("code", "tt") and not self.pre:
             self.run.append("`")
-        elif tag == "img" and values.get("src"):
+        elif tag == "img" and values.get("src") and (values.get("alt") or "").strip().lower() not in ARROWS:
             self.run.append(f"![{values.get('alt') or ''}]({values['src']})")
 
     def handle_endtag(self, tag):
@@ -84,6 +117,12 @@ class _Reader(HTMLParser):
             if tag in self.skip:
                 del self.skip[len(self.skip) - 1 - self.skip[::-1].index(tag) :]
             return
+        if self.marked and tag not in ("a", "code", "tt"):
+            self.marked[1] -= tag == "div"
+            self.run.append(" ")
+            if not self.marked[1]:
+                self.close_marked()
+            return
         if tag in _BLOCKS or tag in ("li", "tr", "td", "th"):
             self.close_run()
         if re.fullmatch("h[1-6]", tag):
@@ -129,6 +168,8 @@ def to_markdown(html: str, title: str = "") -> str:
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
+    if reader.marked:
+        reader.close_marked()
     reader.close_run()
     blocks = reader.blocks
     if title and not (blocks and blocks[0].startswith("# ")):

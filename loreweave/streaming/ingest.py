@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loreweave.operators.store import first_of
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="loreweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from loreweave.sources.shared import shared_dir as work_dir  # noqa: F401 - where streams keep their tables
 
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:

@@ -71,6 +71,33 @@ def test_html_to_markdown():
     assert html.to_markdown("") == ""
 
 
+def test_html_classes_of_help_pages():
+    page = """<html><head><title>Licences</title><script>skip()</script></head><body>
+      <table class="navi"><tr><td>Previous</td></tr></table><div class="X_Breadcrumbs">Licences</div><img src="a.gif" alt="Next">
+      <blockquote><div class="Chapter">Licences</div><div class="Body">Use the <a href="portal.html">portal</a>.</div>
+        <div class="Bullet1_outer"><table><tr><td>•</td><td>A feature <div>licence</div></td></tr></table></div><div class="Number2">3. Third <code>x</code></div><div class="Heading3">Sub</div><p>end</blockquote></body></html>"""
+    assert html.to_markdown(page) == "# Licences\n\nUse the [portal](portal.html).\n\n- A feature licence\n\n1. Third `x`\n\n### Sub\n\nend"
+
+
+def test_chunker_follows_tables_lines_and_ids(spark):
+    """Two piped lines without a separator are no table; sections have title, blank line, body; lines as they stand in the text."""
+    body = "# A\nintro\n| x | y |\n| 1 | 2 |\n\n| a | b |\n|---|---|\n| 1 | 2 |\nafter\n```py\ncode\n```\n![alt](p.png)\n### Sub\n![i](q.png)"
+    out = chunking.document_chunks("s.md", "Doc", body, ["Top", "Doc"])
+    got = {(c["chunk_type"], c["start_line"], c["end_line"], c["content"]) for c in out if c["chunk_type"] != "document"}
+    assert got == {
+        ("section", 0, 12, "A\n\nintro\n| x | y |\n| 1 | 2 |\n\n| a | b |\n|---|---|\n| 1 | 2 |\nafter\n```py\ncode\n```\n![alt](p.png)"), ("table", 5, 8, "Table:\na | b\n1 | 2"), ("code_block", 9, 11, "code\n"),
+        ("image", 12, 12, "Image: alt (p.png)"), ("subsection", 13, 14, "Sub\n\n![i](q.png)"), ("image", 14, 14, "Image: i (q.png)"),
+    }
+    import hashlib
+
+    named = lambda *x: hashlib.sha256("::".join(x).encode()).hexdigest()[:32]
+    ids = {c["chunk_type"] + c["subsection_title"]: c["id"] for c in out}
+    assert ids["document"] == named("s.md", "Doc", "doc", body[:200]) and ids["code_block"] == named("s.md", "A", "code", "code\n") and ids["imageSub"] == named("s.md", "", "img", "q.png")
+    assert ids["table"] == named("s.md", "A", "table", "| a | b |\n|---|---|\n| 1 | 2 |\n") and out[-1]["toc_path"] == ["Top", "Doc", "Sub"]
+    docs = spark.createDataFrame([("s", "T", "# H\n" + "w" * 5000, ["P"])], "s string, t string, x string, toc array<string>")
+    assert {(r.chunk_type, len(r.content)) for r in chunking.chunk_documents(docs, "s", "t", "x", "toc").collect()} == {("document", 5004), ("section", 4000), ("paragraph", 5000)}
+
+
 def test_help_links_and_paths(spark):
     got = one(spark, html.help_target(F.col("t")), t="ms-its:Dir\\Book.CHM::/html/p.htm#top")
     assert (got.archive, got.path, got.anchor) == ("book.chm", "html/p.htm", "top")
@@ -162,15 +189,29 @@ def test_metrics_divide_by_k(spark):
 
 
 def test_routing(spark):
-    docs = spark.createDataFrame([("s1", "alpha common"), ("s2", "beta common")], "scope string, text string")
-    owners = routing.symbol_owners(docs, "scope", "text")
-    assert rows(owners, "symbol", "scope") == [("alpha", "s1"), ("beta", "s2")]
-    q = spark.createDataFrame([(1, "about alpha"), (2, "alpha and beta"), (3, "what of s2"), (4, "nothing")], "query long, text string")
-    assert rows(routing.route(q, owners, ["s1", "s2"]), "query", "mode") == [(1, "owner"), (2, "all"), (3, "named"), (4, "all")]
+    docs = spark.createDataFrame([("s1", "m1", "Alpha common", "x\n# Delta_1 one\nplain"), ("s2", "m2", "Beta common", None), (None, "m3", "Gamma", ""), ("s1", "m4", None, "## alpha.set of\n")], "scope string, source string, title string, text string")
+    owners = routing.symbol_owners(docs, "scope", "title", "text")
+    assert rows(owners, "symbol", "name", "scope") == [("alpha", "Alpha", "s1"), ("alpha.set", "alpha.set", "s1"), ("beta", "Beta", "s2"), ("delta_1", "Delta_1", "s1"), ("of", "of", "s1"), ("one", "one", "s1")]
+    scopes = [routing.Scope("s1", "p", "P / One", ("soft one", "one ")), routing.Scope("s2", "p", "P / Two", ("soft two",)), routing.Scope("s3", "q", "Q / Three", ("soft three",))]
+    platforms = (("p", ("plat p",)), ("q", ("plat q",)))
+    asked = ["about ALPHA", "alpha and beta", "what about soft two", "nothing", "alpha on soft two", "beta on plat q", "soft two and soft three", "plat p", "plat q", None, "alpha on plat p"]
+    q = spark.createDataFrame(list(enumerate(asked)), "query long, text string")
+    got = {r["query"]: (r["mode"], r.scopes, r.correction, r.clarification) for r in routing.route(q, owners, scopes, platforms).collect()}
+    notice = " belongs to P / {}, so the answer comes from there."
+    assert got == {
+        0: ("direct", ["s1"], "", ""), 1: ("clarification", [], "", "Which platform do you mean?"), 2: ("direct", ["s2"], "", ""), 3: ("clarification", [], "", "Which platform do you mean?"),
+        4: ("direct", ["s1"], "Alpha" + notice.format("One"), ""), 5: ("direct", ["s2"], "Beta" + notice.format("Two"), ""), 6: ("comparison", ["s2", "s3"], "", ""),
+        7: ("clarification", [], "", "Which software of p do you mean?"), 8: ("direct", ["s3"], "", ""), 9: ("clarification", [], "", "Which platform do you mean?"), 10: ("direct", ["s1"], "", ""),
+    }
+    one_each = routing.route(q, owners.limit(0), [scopes[0], scopes[2]], platforms)
+    assert {r["query"]: (r["mode"], r.scopes) for r in one_each.collect()}[3] == ("comparison", ["s1", "s3"])
+    by = routing.branches(routing.route(q, owners, scopes, platforms)).where("query = 6")
+    found = spark.createDataFrame([(6, "s3", 1, "c"), (6, "s2", 1, "a"), (6, "s2", 2, "b")], "query long, scope string, pos int, id string")
+    assert rows(routing.grouped(found, by), "id", "rank") == [("a", 1), ("b", 2), ("c", 3)]
     glossary = spark.createDataFrame([(1, ["Pin Map"], ["pinmap", "channel map"]), (2, ["dps"], ["power supply"])], "entry long, terms array<string>, expansions array<string>")
     out = {r["query"]: (r.matched, r.expanded) for r in routing.expand_queries(spark.createDataFrame([(1, "the pin map of DPS"), (2, "x")], "query long, text string"), glossary).collect()}
     assert out == {1: (2, "the pin map of DPS pinmap channel map power supply"), 2: (0, "x")}
-    assert one(spark, routing.title_terms(F.col("t")), t='How does Pin Map use "level set"?') == ["how", "pin map", "level set"]
+    assert one(spark, routing.title_terms(F.col("t")), t='How does Pin Map use "level set"?') == ["pin map", "level set"]
 
 
 def test_metadata(spark):
@@ -249,3 +290,122 @@ def test_hash_encoder_is_unit_length(spark):
     docs = spark.createDataFrame([(1, "one two two three"), (2, "")], "id long, text string")
     out = vectors.hash_encode(vectors.term_counts(docs, "id", "text"), 8).collect()
     assert [r.id for r in out] == [1] and sum(x * x for x in out[0].embedding) == pytest.approx(1.0) and len(out[0].embedding) == 8
+
+
+def test_plans(spark):
+    """The cases of a planner: precedence, families, versions, blocks, vague questions, glossaries that don't fit."""
+    rules = routing.PlanRules(
+        ecosystems=(("b", ("flow tool",)), ("a", ("sheet", "a-soft")), ("b", ("pin config",))), families=(("design", None, ("to digital",)), ("b_seven", "b", ("seven",))), defaults=(("a", "a_help"),),
+        versions=(("b", (("v7", ("seven", "7.x")), ("v8", ("eight",)))),), apart=("design",), vague=(("b", ("version",)),), disabled=("a",), broad=("what is",),
+    )
+    asked = ["the sheet", "sheet of the flow tool", "pin config seven", "flow tool to digital", "which version of flow tool", "flow tool eight version", None, "the limit", "What is x"]
+    q = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "query long, text string")
+    glossary = spark.createDataFrame([(1, ["limit"], ["bound"], "a", None, "a_help"), (2, ["flow"], ["course"], "a", None, None), (3, ["tool"], ["device"], None, "v7", None)], "entry long, terms array<string>, expansions array<string>, ecosystem string, software string, family string")
+    got = {r["query"]: r for r in routing.plan(q, rules, glossary).collect()}
+    assert [(got[i].ecosystem, got[i].family, got[i].blocked, got[i].ambiguous) for i in range(9)] == [("a", "a_help", True, False), ("b", None, False, False), ("b", "b_seven", False, False), ("b", "design", False, False), ("b", None, False, True), ("b", None, False, False), (None, None, False, False), ("a", "a_help", True, False), (None, None, False, False)]
+    assert [got[i].filter_software for i in range(6)] == [None, None, ["v7", ""], None, None, ["v8", ""]] and got[3].filter_family == "design"
+    assert got[1].expanded == "sheet of the flow tool device" and got[7].title_terms == ["bound", "limit"] and got[8].broad and not got[0].broad
+    scoped = routing.plan(q.withColumn("scope_software", F.lit("v8")), rules, glossary).where("query = 4").first()
+    assert (scoped.ecosystem, scoped.ambiguous, scoped.expanded) == ("b", False, asked[4])
+
+
+def test_broad_context_against_plain_loops(spark):
+    """Seeds, discovery, representatives and priorities, step by step without joins."""
+    from loreweave.operators import broad
+
+    words = lambda n, s: " ".join(f"{s}{i}." for i in range(n))
+    chunks = []
+    for s in range(12):
+        chunks.append((s * 10, f"m{s:02d}", "document", f"Pin map {s}" if s in (2, 5) else f"Title {s}", words(30 if s % 3 else 5000, f"d{s}x")))
+        chunks += [(s * 10 + k, f"m{s:02d}", "section", f"Part {k}", words(20 * k, f"s{s}k{k}y") if k != 2 else "short") for k in (1, 2, 3, 4)]
+    df = broad.judged(spark.createDataFrame(chunks, "id long, source string, kind string, title string, content string"), F.col("kind"), [F.col("title")])
+    edges = spark.createDataFrame([(f"m{s:02d}", f"m{(s + d) % 12:02d}", p) for s in range(12) for p, d in enumerate((1, 5)) if s not in (7, 8)], "src string, dst string, pos int")
+    hits = spark.createDataFrame([(1, 1, 22), (1, 2, 21), (1, 3, 51), (1, 4, 23)], "query long, pos int, id long")
+    queries = spark.createDataFrame([(1, "the pin map here")], "query long, query_text string")
+    listed = hits.join(df, "id")
+    assert rows(broad.seed_sources(listed), "node", "nth") == [("m02", 1), ("m05", 2)]
+    seen = ["m02", "m05"]
+    near = {r.src: [] for r in edges.collect()}
+    for r in sorted(rows(graph.neighbors(edges), "src", "nth", "dst")):
+        near.setdefault(r[0], []).append(r[2])
+    frontier = list(seen)
+    for _ in range(2):
+        fresh = []
+        for i in range(5):
+            for s in frontier:
+                if i < len(near.get(s, [])) and near[s][i] not in seen:
+                    seen.append(near[s][i])
+                    fresh.append(near[s][i])
+        frontier = fresh
+    found = broad.discover(broad.seed_sources(listed), graph.neighbors(edges))
+    assert [r[1] for r in sorted(rows(found, "nth", "node"))] == seen
+    stands = {r.source: [] for r in df.collect()}
+    for r in sorted(broad.representatives(df).collect(), key=lambda r: (r.source, r.nth)):
+        stands[r.source].append((r.id, r.score))
+    for s in range(12):
+        assert stands[f"m{s:02d}"] == ([(s * 10, 0.45)] if s % 3 else [(s * 10 + 4, 0.4), (s * 10 + 3, 0.4)])
+    out = broad.prioritised(queries, found, df, graph.neighbors(edges, reverse=False)).orderBy("pos").collect()
+    assert [r.priority for r in out] == sorted((r.priority for r in out), reverse=True) and {r.source for r in out if r.priority == 3} == {"m02", "m05"}
+    chosen = [r.id for r in broad.assemble(queries, hits, df, edges).orderBy("rank").collect()]
+    assert set(chosen[:2]) == {20, 50} and len(chosen) == 16 and len(set(chosen)) == 16
+    contract = spark.range(1).select(broad.answer_contract(F.lit("direct"), F.lit(True), F.array(F.lit("t"), F.lit("t"))).alias("c")).first().c
+    assert (contract.kind, contract.topics, contract.notice) == ("broad", ["t"], "")
+
+
+def test_enrichment_and_slices(spark):
+    from loreweave.operators import results
+
+    chunks = spark.createDataFrame([(1, "a", "document", None), (2, "a", "section", 1), (3, "a", "paragraph", 2), (4, "b", "document", None), (5, "b", "paragraph", 99), (6, None, "table", None)], "id long, source string, kind string, parent_id long")
+    hits = spark.createDataFrame([(1, 5, 1, 0.9), (1, 3, 2, 0.8), (1, 6, 3, 0.7)], "query long, id long, pos int, score double")
+    assert rows(results.enrich(hits, chunks), "pos", "id", "added", "score") == [(1, 5, 0, 0.9), (2, 3, 0, 0.8), (3, 6, 0, 0.7), (4, 2, 1, 0.0), (5, 1, 2, 0.5), (6, 4, 2, 0.5)]
+    assert rows(results.search_enriched(hits, chunks, top_k=2, budget=2), "rank", "id") == [(1, 5), (2, 3), (3, 6), (4, 2)]
+    assert results.enrich(hits.limit(0), chunks).count() == 0
+    lim = spark.createDataFrame([(True,), (False,)], "b boolean").select(results.result_limit(F.col("b"), 10).alias("n"))
+    assert sorted(r.n for r in lim.collect()) == [13, 16]
+    assert results.merged_filters({"a": 1, "b": 2}, {"b": 3}) == {"a": 1, "b": 3} == results.merged_filters({"a": 1}, {"b": 3}) | {}
+    t = spark.createDataFrame([("x" * 9 + " " + "y" * 500, None)], "content string, tags array<string>")
+    assert t.select(results.preview(F.col("content"), 20).alias("p")).first().p == "xxxxxxxxx..." and t.select(results.preview(F.lit(None).cast("string")).alias("p")).first().p == ""
+    assert results.with_defaults(t.select("tags"), {"tags": "array<string>", "score": "double", "name": "string"}).first() == ([], 0.0, "")
+
+
+def test_metadata_gates(spark):
+    from loreweave.functions import metadata
+
+    assert metadata.configured_scopes({"scopes": [{"vendor": "v", "platform": "p", "software": "s"}]}) == [("v", "p", "s")]
+    assert metadata.configured_scopes({"platforms": {"p": {"vendor": "v", "versions": ["a", "b"]}, "q": {"vendor": "w", "enabled": False, "versions": ["c"]}}}) == [("v", "p", "a"), ("v", "p", "b")]
+    assert one(spark, metadata.scope_of_path(F.col("t"), (("igs", "A"), ("seven", "B"))), t="Docs/SEVEN/x.md") == "B"
+    assert one(spark, metadata.fits_whole(F.col("t"), (r"\d+_.*", "toc")), t="12_a.md") is True and one(spark, metadata.fits_whole(F.col("t"), ("toc",)), t="a toc") is False
+    scope = one(spark, metadata.scope_of(F.col("t"), F.lit(None).cast("string"), (("e", "", "v", "p"),)), t="e")
+    assert tuple(scope) == ("v", "p", "") and one(spark, metadata.scope_of(F.col("t"), F.lit("z"), (("e", "", "v", "p"),)), t="e") is None
+
+
+def test_catalogue_refuses_older_forms(spark, tmp_path):
+    from loreweave.sources import catalogue
+
+    old, new = f"{tmp_path}/old", f"{tmp_path}/new"
+    spark.createDataFrame([("a", 1)], "term string, index int").write.parquet(old)
+    with pytest.raises(ValueError, match="another form"):
+        catalogue.load(spark, old)
+    assert catalogue.load(spark, new) is None and catalogue.load_owners(spark, new).count() == 0
+    calls = []
+    fit = lambda: calls.append(1) or spark.createDataFrame([("a", len(calls))], "term string, index int")
+    assert [catalogue.fitted_once(spark, new, fit, force).first()["index"] for force in (False, False, True)] == [1, 1, 2]
+
+
+def test_rebuild_and_state(spark):
+    state = store.all_current(spark.createDataFrame([("a", 1), ("a", 3), ("b", 2)], "path string, stamp long"), "k")
+    assert rows(state, "path", "stamp", "profile") == [("a", 3, "k"), ("b", 2, "k")]
+    assert not store.needs_rebuild(state, "k") and store.needs_rebuild(state, "other") and store.needs_rebuild(None, "k") and store.needs_rebuild(state.limit(0), "k")
+    runs = spark.createDataFrame([(1, None, 10.0), (2, "timeout", 30.0)], "query long, error string, ms double")
+    assert rows(evaluation.totals(runs), "n", "failed", "mean_ms") == [(2, 1, 20.0)] and evaluation.totals(runs.limit(0)).first().n == 0
+    assert evaluation.markdown_report(spark.createDataFrame([(1, 0.5)], "k int, hit double")) == "| k | hit |\n| --- | --- |\n| 1 | 0.5 |\n"
+
+
+def test_markdown_text(spark):
+    from loreweave.functions import markdown
+
+    assert one(spark, markdown.polished(F.col("t")), t="see[a](b.md)then textNote:use a_borc and x_1or y_2") == "see [a](b.md) then text Note: use a_borc and x_1 or y_2"
+    assert one(spark, markdown.images_in(F.col("t"), "../assets"), t="![a](p.png) ![b](x/q.png) [c](d.png)") == "![a](../assets/p.png) ![b](x/q.png) [c](d.png)"
+    docs = spark.createDataFrame([(1, "[a](x.htm#q) ![i](x.htm) [b](y.htm) end"), (2, None), (3, "no link")], "id long, body string")
+    known = spark.createDataFrame([("x.htm", "../x.md"), ("x.htm", "../z.md")], "target string, new string")
+    assert rows(markdown.rewritten_links(docs, "id", "body", known), "id", "body") == [(1, "[a](../x.md#q) ![i](x.htm) [b](y.htm) end"), (2, None), (3, "no link")]
