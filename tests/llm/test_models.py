@@ -34,16 +34,15 @@ def test_edge_rows_and_empty_tables(spark, operator):
 
 def test_size_bounds_lose_no_match():
     known = license_scan.Templates(license_scan.TEMPLATES, 0.8)
-    words = "licensed under the apache license version 2 0 a copy of this work".split()
-    for n in range(2, len(words)):
-        grams = frozenset(zip(words[: n - 1], words[1:n], strict=True))
-        brute = sorted((name, license_scan.dice(grams, own)) for name, _, own in known.items if license_scan.dice(grams, own) >= 0.8)
-        assert sorted(known.matches(tuple_to_bytes(grams))) == sorted((name, license_scan.dice(tuple_to_bytes(grams), own)) for name, _, own in known.items if license_scan.dice(tuple_to_bytes(grams), own) >= 0.8)
-        assert brute == []  # strings are no bytes
-
-
-def tuple_to_bytes(grams):
-    return frozenset((a.encode(), b.encode()) for a, b in grams)
+    hits = 0
+    for text in (x for own in license_scan.TEMPLATES.values() for x in own):
+        words = license_scan.WORD.findall(text.lower().encode())
+        for n in {len(words), max(2, len(words) * 9 // 10), max(2, len(words) * 3 // 4), max(2, len(words) // 2)}:
+            grams = frozenset(zip(words[: n - 1], words[1:n], strict=True))
+            brute = sorted((name, license_scan.dice(grams, own)) for name, _, own in known.items if license_scan.dice(grams, own) >= 0.8)
+            assert sorted(known.matches(grams)) == brute
+            hits += len(brute)
+    assert hits > 60
 
 
 def test_licence_over_broken_lines(spark):
@@ -86,6 +85,23 @@ def test_licence_wrapped_and_embedded(spark):
         assert best == brute and brute
 
 
+def test_whole_licences_are_told_apart(spark):
+    """Each template amid code, wrapped; the longest of its family wins."""
+    own = license_scan.TEMPLATES
+    body = "".join(f"int value_{i} = compute(value_{i}, {i});\n" for i in range(40))
+    names = ["BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense", "LGPL-2.1", "AGPL-3.0", "GPL-2.0", "BSL-1.0"]
+    rows = [(i, body + "\n".join(" * " + " ".join(own[n][-1].split()[k : k + 10]) for k in range(0, len(own[n][-1].split()), 10)) + "\n" + body) for i, n in enumerate(names)]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].license for i in range(len(names))] == names and all(r.dice > 0.99 and r.first_line == 40 for r in got.values())
+
+
+def test_licence_scan_of_ties_and_long_texts(spark):
+    """Equal scores: the licence of smaller name, then the earlier line; a long text without licences costs no more than reading it."""
+    rows = [(1, "Licensed under the MIT License.\nx\nAll rights reserved."), (2, "All rights reserved.\nAll rights reserved."), (3, "word " * 400_000), (4, None)]
+    got = {r.doc_id: (r.license, r.first_line, len(r.found)) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("All-Rights-Reserved", 2, 2), 2: ("All-Rights-Reserved", 0, 1), 3: (None, None, 0), 4: (None, None, 0)}
+
+
 # --- SentencePiece
 
 
