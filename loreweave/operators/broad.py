@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loreweave.functions import text
 from loreweave.operators import context, graph, ranking
 from loreweave.operators.vectors import ranked
+from loreweave.sources.shared import stored
 
 
 def seed_sources(hits: DataFrame, most: int = 4) -> DataFrame:
@@ -62,7 +63,7 @@ def prioritised(queries: DataFrame, sources: DataFrame, chunks: DataFrame, forwa
     """
     stands = representatives(chunks).withColumnRenamed("nth", "own").join(chunks.select("id", "title", "content", "bonus"), "id")
     found = sources.select("query", F.col("node").alias("source"), "nth").join(stands, "source").join(queries, "query")
-    judged = ranking.match_priority(found, F.col("query_text"), F.col("title"), F.col("content"))
+    judged = stored(ranking.match_priority(found, F.col("query_text"), F.col("title"), F.col("content")).drop("content", "query_text"), "representatives")
     first = graph.hub_priority(hubs(judged, forward), forward).withColumnRenamed("node", "source")
     out = judged.join(first, ["query", "source"], "left").withColumn("priority", F.coalesce("priority", F.lit(0)))
     order = [F.col(c).desc() for c in ("priority", "title_phrases", "title_terms", "body_phrases", "body_terms")] + [F.round("bonus", 9).desc(), F.col("nth"), F.col("own")]
@@ -76,12 +77,13 @@ def assemble(queries: DataFrame, hits: DataFrame, chunks: DataFrame, edges: Data
     edges: (src, dst, pos) between sources. Of a query whose rows are all useless
     the hits stay as they are.
     """
-    listed = hits.join(chunks.select("id", "source", "content", "low"), "id")
-    sources = discover(seed_sources(listed), graph.neighbors(edges))
-    stands = prioritised(queries, sources, chunks, graph.neighbors(edges, reverse=False))
+    near, forward = (stored(graph.neighbors(edges, reverse=way), "links") for way in (True, False))
+    listed = stored(hits.join(chunks.select("id", "source", "content", "low"), "id"), "listed")
+    sources = stored(discover(seed_sources(listed), near), "sources")
+    stands = stored(prioritised(queries, sources, chunks, forward), "stands")
     rows = stands.join(chunks.select("id", "content", "low"), "id").select("query", "id", "source", "content", "low", F.col("pos").cast("long").alias("pos"))
     rows = rows.unionByName(listed.select("query", "id", "source", "content", "low", (F.col("pos") + 1_000_000).cast("long").alias("pos")))
-    chosen = context.select_context(rows, most, per_source, most_tokens)
+    chosen = stored(context.select_context(rows, most, per_source, most_tokens), "chosen")
     rest = hits.join(chosen.select("query").distinct(), "query", "left_anti").select("query", "id", F.col("pos").cast("int").alias("rank"))
     return chosen.unionByName(rest.withColumn("id", F.col("id").cast(chosen.schema["id"].dataType)))
 

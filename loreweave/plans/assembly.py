@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from loreweave.functions import markdown, metadata, text
 from loreweave.operators import broad, context, evaluation, graph, results, routing, store, vectors
 from loreweave.operators.routing import PlanRules, Scope
+from loreweave.plans import retrieval
 from loreweave.plans.queries import COUNTS_SQL, EDGES_SQL, ENTRY_SQL, HITS_SQL, SEARCH_SQL, _counts, _edges, _entry, _hits, _search, query, table
 from loreweave.sources import catalogue
-from loreweave.sources.shared import shared_dir
+from loreweave.sources.shared import shared_dir, stored
 
 # --- planning: vocabularies of the corpus's languages stand for products
 
@@ -252,12 +253,57 @@ def representatives(spark, sf_dir):
 @query()
 def broad_context(spark, sf_dir):
     """The context of each ten conversations' question, their sources linked to the next ones; held against plain loops in tests."""
-    chunks = _judged_chunks(spark, sf_dir)
+    chunks = stored(_judged_chunks(spark, sf_dir), "judged-chunks")
     asked = chunks.where("place = 0").groupBy(F.expr("source div 10").alias("query")).agg(F.min_by("content", "id").alias("query_text"))
     edges = chunks.where("place = 0").select(F.col("source").alias("src"), F.explode(F.array(F.col("source") + 1, F.col("source") + 7)).alias("dst")).withColumn("pos", F.col("dst"))
     return broad.assemble(asked, _turn_hits(spark, sf_dir).select("query", "pos", "id"), chunks, edges)
 
 
+LINKS_SQL = CHUNKS_SQL + """,
+sx AS (SELECT DISTINCT conv_id AS src FROM conversations), lk AS (SELECT src, src + d AS dst, d AS pos FROM sx, (SELECT unnest([1, 7]) AS d) WHERE src + d IN (SELECT src FROM sx)),
+ln AS (SELECT src, dst, min(struct_pack(way := way, place := place, dst := dst)) AS met FROM (SELECT src, dst, 0 AS way, pos AS place FROM lk UNION ALL SELECT dst, src, 1, 0 FROM lk) GROUP BY src, dst),
+le AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY met) AS nth FROM ln QUALIFY nth <= 5),
+fs AS (SELECT query, source AS node, min(pos) AS nth FROM hs JOIN ch USING (id) GROUP BY query, source),
+lo1 AS (SELECT s.query, n.dst AS node, min(struct_pack(nth := n.nth, turn := s.nth)) AS met FROM fs s JOIN le n ON n.src = s.node GROUP BY s.query, n.dst),
+lh AS (SELECT query, node, row_number() OVER (PARTITION BY query ORDER BY met) AS nth FROM lo1 WHERE NOT EXISTS (SELECT 1 FROM fs WHERE fs.query = lo1.query AND fs.node = lo1.node) QUALIFY nth <= 20),
+ow AS (SELECT id, source, row_number() OVER (PARTITION BY source ORDER BY CASE kind WHEN 'document' THEN 0 WHEN 'section' THEN 1 ELSE 2 END, id) AS own FROM ch QUALIFY own <= 3),
+nc AS (SELECT query, id, source, row_number() OVER (PARTITION BY query ORDER BY nth, own)::INTEGER AS nth FROM lh JOIN ow ON source = node)
+"""
+
+
+def _conversation_edges(spark, sf_dir):
+    known = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("src")).distinct()
+    pairs = known.select("src", F.explode(F.array(F.lit(1), F.lit(7))).alias("pos")).withColumn("dst", F.col("src") + F.col("pos"))
+    return pairs.join(known.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst", "pos")
+
+
+@query(f"WITH {LINKS_SQL} SELECT query, id, CASE WHEN linked THEN 0.3 ELSE round(1.0 / met, 6) END::DOUBLE AS score, linked, row_number() OVER (PARTITION BY query ORDER BY linked, met)::INTEGER AS pos FROM (SELECT query, id, false AS linked, pos AS met FROM hs UNION ALL SELECT query, id, true, nth FROM nc WHERE NOT EXISTS (SELECT 1 FROM hs WHERE hs.query = nc.query AND hs.id = nc.id))")
+def expand_hits(spark, sf_dir):
+    """Hits of ten conversations and up to three turns of each conversation that theirs link to."""
+    chunks = _chunks(spark, sf_dir)
+    hits = _turn_hits(spark, sf_dir).join(chunks.select("id", "source"), "id")
+    return graph.expand_hits(hits, chunks, _conversation_edges(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query()
+def retrieve_linked(spark, sf_dir):
+    """The whole plan with a glossary, links between sources and families: ten documents of one source in a row are one."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source", F.expr("doc_id div 10").alias("parent"), (F.col("doc_id") % 10).alias("place"), F.when(F.col("doc_id") % 10 == 0, "document").otherwise("section").alias("kind"))
+    number = F.regexp_extract("source", "([0-9]+)$", 1).cast("int")
+    names = docs.select("source").distinct().withColumn("n", number)
+    edges = names.select(F.col("source").alias("src"), (F.col("n") + 1).alias("n")).join(names.select(F.col("source").alias("dst"), "n"), "n").select("src", "dst", F.lit(0).alias("pos"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return retrieval.retrieve(asked, docs, broad=True, glossary=_glossary(spark, sf_dir).select("entry", "terms", "expansions"), edges=edges)
+
+
+@query()
+def retrieve_by_scope(spark, sf_dir):
+    """Every question in the languages that it is routed to."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source", F.col("lang").alias("scope"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return retrieval.retrieve_scopes(_routes(spark, sf_dir), asked, docs, SCOPES)
+
+
 # --- results
 
 

@@ -2,45 +2,86 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreweave.functions import text
-from loreweave.operators import context, ranking, vectors
+from loreweave.operators import broad as broad_context
+from loreweave.operators import context, graph, ranking, routing, store, vectors
 from loreweave.sources.shared import stored
 
 
-def retrieve(queries: DataFrame, docs: DataFrame, embeddings: DataFrame | None = None, broad: bool = False, top_k: int = 5, most_tokens: int = 4000) -> DataFrame:
-    """(query, id, rank, score, tokens) of queries (id, text) over docs (id, text, source).
+def retrieve(
+    queries: DataFrame, docs: DataFrame, embeddings: DataFrame | None = None, broad: bool = False, top_k: int = 5, most_tokens: int = 4000,
+    glossary: DataFrame | None = None, edges: DataFrame | None = None,
+) -> DataFrame:
+    """(query, id, rank, score, tokens) of queries (id, text) over docs (id, text, source and, if known, kind, parent, place).
 
-    Sparse search, fused with dense search where embeddings (id, embedding, of
-    docs and queries) are given; title boost; shaping for the reranker; rerank;
-    source and topic coverage for broad queries; title matches kept; token budget.
-    A query without any known term has no rows.
+    Sparse search of the queries, with a glossary (entry, terms, expansions) of what
+    it adds to them; fused with dense search where embeddings (id, embedding, of
+    docs and queries) are given; title boost; with edges (src, dst, pos between
+    sources) chunks of linked sources; shaping for the reranker; rerank; source and
+    topic coverage for broad queries; title matches kept; with parents parents and
+    siblings; for broad queries with edges the assembled context; token budget. A
+    query without any known term has no rows.
     """
+    rows_of = docs if "kind" in docs.columns else docs.withColumn("kind", F.lit("section"))
+    asked = queries.select(F.col("id").alias("query"), F.col("text").alias("query_text"))
+    if glossary is not None:
+        told = stored(routing.expand_queries(asked.select("query", F.col("query_text").alias("text")), glossary), "expanded-queries")
+        queries = told.select(F.col("query").alias("id"), F.col("expanded").alias("text"))
     counts = stored(vectors.term_counts(docs, "id", "text"), "term-counts")
     vocab = vectors.vocabulary(counts, docs.count())
     hits = vectors.sparse_top_k(vectors.encode_sparse(vectors.term_counts(queries, "id", "text"), vocab), vectors.encode_sparse(counts, vocab))
     if embeddings is not None:
-        asked = embeddings.join(queries.select("id"), "id", "left_semi")
-        hits = ranking.fuse(vectors.dense_top_k(asked, embeddings.join(docs.select("id"), "id", "left_semi")), hits)
+        vecs = embeddings.join(queries.select("id"), "id", "left_semi")
+        hits = ranking.fuse(vectors.dense_top_k(vecs, embeddings.join(docs.select("id"), "id", "left_semi")), hits)
     hits = stored(hits, "hits")
-    asked = queries.select(F.col("id").alias("query"), F.col("text").alias("query_text"))
     terms = F.array_distinct(F.filter(F.split(F.lower(text.title("query_text")), " "), lambda x: F.length(x) > 3))
-    rows = hits.withColumnRenamed("rank", "pos").join(docs, "id").join(asked, "query")
-    boosted = stored(ranking.boost_titles(rows, text.title("text"), terms).drop("pos", "matches").withColumnRenamed("rank", "pos"), "boosted-hits")
-    ready = boosted.withColumns({"kind": F.lit("section"), "title_match": text.match_count(text.title("text"), terms) > 0})
+    whole = rows_of.select("id", "text", "source", "kind")
+    rows = hits.withColumnRenamed("rank", "pos").join(whole, "id").join(asked, "query")
+    boosted = ranking.boost_titles(rows, text.title("text"), terms).drop("pos", "matches").withColumnRenamed("rank", "pos").select("query", "id", "pos", "score", "text", "source", "kind", "query_text")
+    if edges is not None:
+        reached = graph.expand_hits(stored(boosted, "boosted-hits"), whole, edges, broad)
+        boosted = reached.drop("linked").join(whole, "id").join(asked, "query").select("query", "id", "pos", "score", "text", "source", "kind", "query_text")
+    boosted = stored(boosted, "candidates")
+    ready = boosted.withColumn("title_match", text.match_count(text.title("text"), terms) > 0)
     shaped = ranking.shape_rerank_input(ready, seeds=20).drop("pos").withColumnRenamed("rank", "pos")
     judged = shaped.withColumn("score", ranking.lexical_score(F.col("query_text"), ranking.rerank_text(F.col("text"), F.array("source"), text.title("text"), F.lit(""))))
     titles = [text.title("text")]
     if broad:
-        judged = judged.withColumn("score", F.col("score") + text.quality_bonus("text", F.lit("section"), titles))
+        judged = judged.withColumn("score", F.col("score") + text.quality_bonus("text", F.col("kind"), titles))
     ranked = vectors.ranked(judged.drop("pos"), ["query"], [F.col("score").desc(), F.col("id")], 40 if broad else top_k).withColumnRenamed("rank", "pos")
     if broad:
-        pool = ranked.withColumns({"low": text.is_low_utility("text", F.lit("section"), titles), "topic": text.title("text")})
+        pool = ranked.withColumns({"low": text.is_low_utility("text", F.col("kind"), titles), "topic": text.title("text")})
         chosen = ranking.diverse(pool).withColumnRenamed("rank", "pos")
     else:
         chosen = ranked.select("query", "id", "pos")
-    kept = ranking.keep_title_matches(chosen, boosted, text.title("text"), terms)
-    full = kept.withColumnRenamed("rank", "pos").join(docs.select("id", F.col("text").alias("content")), "id").join(boosted.select("query", "id", "score"), ["query", "id"])
-    return context.compress(full, most_tokens).select("query", "id", F.col("pos").alias("rank"), F.round("score", 4).alias("score"), "tokens")
+    kept = ranking.keep_title_matches(chosen, boosted, text.title("text"), terms).withColumnRenamed("rank", "pos")
+    if {"parent", "place"} <= set(docs.columns):
+        kept = store.expand_family(kept, docs.select("id", "parent", "place")).drop("relation").withColumnRenamed("rank", "pos")
+    if broad and edges is not None:
+        chunks = broad_context.judged(rows_of.select("id", "source", "kind", text.title("text").alias("title"), F.col("text").alias("content")), F.col("kind"), [F.col("title")])
+        kept = broad_context.assemble(asked, stored(kept.select("query", "pos", "id"), "kept"), stored(chunks, "judged-chunks"), edges).withColumnRenamed("rank", "pos")
+    scores = boosted.groupBy("query", "id").agg(F.max("score").alias("score"))
+    full = kept.join(docs.select("id", F.col("text").alias("content")), "id").join(scores, ["query", "id"], "left")
+    return context.compress(full, most_tokens).select("query", "id", F.col("pos").alias("rank"), F.round(F.coalesce("score", F.lit(0.0)), 4).alias("score"), "tokens")
+
+
+def retrieve_scopes(routes: DataFrame, queries: DataFrame, docs: DataFrame, scopes: Sequence[routing.Scope], top_k: int = 5) -> DataFrame:
+    """(query, scope, rank, id, score): each route's scopes answer by themselves, from their documents (id, text, source, scope) only.
+
+    One plan a scope, of which configuration has a few; lists of a query follow one
+    another in the order of its route. Queries that are asked back have none.
+    """
+    by = stored(routing.branches(routes), "branches")
+    parts = []
+    for s in scopes:
+        asked = queries.join(by.where(F.col("scope") == s.key).select(F.col("query").alias("id")), "id", "left_semi")
+        own = docs.where((F.col("scope") == s.key) | (F.col("scope") == "")).drop("scope")
+        parts.append(retrieve(asked, own, top_k=top_k).select("query", F.lit(s.key).alias("scope"), F.col("rank").alias("pos"), "id", "score"))
+    out = reduce(DataFrame.unionByName, parts)
+    return routing.grouped(out, by).select("query", "scope", "rank", "id", "score")
