@@ -48,8 +48,9 @@ def scoped_package(rows: DataFrame, entry: Column, most_tokens: int = 4000) -> D
 def merge_adjacent(rows: DataFrame, most: int = 3000) -> DataFrame:
     """(query, pos, n, content): neighbours of one source, section and kind joined by a blank line while under most characters.
 
-    rows: (query, pos, source, section, kind, content). What joins depends on what
-    has joined before, so a query's list (bounded by its budget) is one group.
+    rows: (query, pos, source, section, kind, content); nulls count as empty. What
+    joins depends on what has joined before, so a query's list (bounded by its
+    budget) is one group.
     """
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
@@ -66,13 +67,14 @@ def merge_adjacent(rows: DataFrame, most: int = 3000) -> DataFrame:
         return pd.DataFrame(out, columns=["query", "pos", "n", "content"])
 
     kind = dict(rows.dtypes)["query"]
-    return rows.select("query", F.col("pos").cast("long").alias("pos"), "source", "section", "kind", "content").groupBy("query").applyInPandas(fold, f"query {kind}, pos long, n int, content string")
+    filled = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "section", "kind", "content")]
+    return rows.select("query", F.col("pos").cast("long").alias("pos"), *filled).groupBy("query").applyInPandas(fold, f"query {kind}, pos long, n int, content string")
 
 
 def select_context(rows: DataFrame, most: int = 16, per_source: int = 3, most_tokens: int = 9000) -> DataFrame:
     """(query, id, rank) chosen in order from (query, id, pos, source, content, low).
 
-    Passed over: useless rows, repeated ids, texts equal to one chosen or (over
+    Ids of any type; null content is empty, null low is useful. Passed over: useless rows, repeated ids, texts equal to one chosen or (over
     120 characters) within one, a source's fourth, and what the budget can't hold.
     """
 
@@ -92,6 +94,7 @@ def select_context(rows: DataFrame, most: int = 16, per_source: int = 3, most_to
                 break
         return pd.DataFrame({"query": group["query"].iloc[0], "id": picked, "rank": range(1, len(picked) + 1)})
 
-    kind = dict(rows.dtypes)["query"]
-    ready = rows.select("query", "id", "pos", F.coalesce("source", F.lit("")).alias("source"), normalized("content").alias("norm"), F.length("content").alias("size"), "low")
-    return ready.groupBy("query").applyInPandas(choose, f"query {kind}, id long, rank int")
+    kinds = dict(rows.dtypes)
+    content = F.coalesce("content", F.lit(""))
+    ready = rows.select("query", "id", "pos", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), normalized(content).alias("norm"), F.length(content).alias("size"), F.coalesce("low", F.lit(False)).alias("low"))
+    return ready.groupBy("query").applyInPandas(choose, f"query {kinds['query']}, id {kinds['id']}, rank int")

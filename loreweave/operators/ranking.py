@@ -20,7 +20,8 @@ def bm25(candidates: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
 
     Scores are compared to six places. Words are what stands between white space. A word that most candidates hold
     has a negative idf; it counts a quarter of the mean idf instead. A word that
-    the query repeats counts each time. Ties keep the order of pos.
+    the query repeats counts each time. Ties keep the order of pos. A null text or
+    query has no words: score 0. No candidates: no rows.
     """
     size = F.size(plain_words("text"))
     per_query = Window.partitionBy("query")
@@ -37,7 +38,11 @@ def bm25(candidates: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
 
 
 def fuse(first: DataFrame, second: DataFrame, weights: tuple[float, float] = (0.7, 0.3), k: int = 60) -> DataFrame:
-    """(query, id, score, rank): weighted reciprocal ranks of two lists (query, id, rank); ties keep the first list's order, then the second's."""
+    """(query, id, score, rank): weighted reciprocal ranks of two lists (query, id, rank).
+
+    Ties keep the first list's order, then the second's. An id that a list has
+    twice counts where it comes first; an empty list leaves the other's order.
+    """
     both = first.select("query", "id", F.col("rank").alias("one"), F.lit(None).cast("int").alias("two")).unionByName(second.select("query", "id", F.lit(None).cast("int").alias("one"), F.col("rank").alias("two")))
     met = both.groupBy("query", "id").agg(F.min("one").alias("one"), F.min("two").alias("two"))
     score = F.round(F.coalesce(weights[0] / (k + F.col("one")), F.lit(0.0)) + F.coalesce(weights[1] / (k + F.col("two")), F.lit(0.0)), 9)
@@ -108,7 +113,8 @@ def diverse(rows: DataFrame, most: int = 14, most_sources: int = 8, least_source
     """(query, id, rank) chosen from (query, id, pos, source, topic, low): first sources, then topics, then by place.
 
     Greedy over a query's candidate pool (40 rows or so), so a query is one group.
-    Useless rows (low) take part only if a query has no others.
+    Useless rows (low; null: useful) take part only if a query has no others. Null
+    source and topic count as empty; ids of any type; no rows: none.
     """
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
@@ -130,7 +136,9 @@ def diverse(rows: DataFrame, most: int = 14, most_sources: int = 8, least_source
                     add(row)
         return pd.DataFrame({"query": group["query"].iloc[0], "id": picked, "rank": range(1, len(picked) + 1)})
 
-    return rows.select("query", "id", "pos", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("topic", F.lit("")).alias("topic"), "low").groupBy("query").applyInPandas(choose, "query long, id long, rank int")
+    kinds = dict(rows.dtypes)
+    ready = rows.select("query", "id", "pos", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce("topic", F.lit("")).alias("topic"), F.coalesce("low", F.lit(False)).alias("low"))
+    return ready.groupBy("query").applyInPandas(choose, f"query {kinds['query']}, id {kinds['id']}, rank int")
 
 
 def confidence(rows: DataFrame) -> DataFrame:
@@ -185,5 +193,6 @@ def dedup_variants(rows: DataFrame, per_source: int = 3) -> DataFrame:
             picked.append(row.id)
         return pd.DataFrame({"query": group["query"].iloc[0], "id": picked, "rank": range(1, len(picked) + 1)})
 
-    kind = dict(rows.dtypes)["query"]
-    return rows.select("query", "id", "pos", "source", "canonical", F.coalesce("hash", F.lit("")).alias("hash")).groupBy("query").applyInPandas(choose, f"query {kind}, id long, rank int")
+    kinds = dict(rows.dtypes)
+    filled = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "canonical", "hash")]
+    return rows.select("query", "id", "pos", *filled).groupBy("query").applyInPandas(choose, f"query {kinds['query']}, id {kinds['id']}, rank int")

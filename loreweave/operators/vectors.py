@@ -51,7 +51,7 @@ def sparse_top_k(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
 
 
 def ranked(rows: DataFrame, by: list[str], order: list[Column], k: int | None = None) -> DataFrame:
-    """rows with rank from 1 within by, the first k of each; Spark drops what can't be among them before the shuffle."""
+    """rows with rank from 1 within by, the first k of each (a column named rank is replaced); Spark drops what can't be among them before the shuffle."""
     out = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     return out if k is None else out.where(F.col("rank") <= k)
 

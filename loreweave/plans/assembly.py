@@ -423,3 +423,56 @@ def rewritten_links(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", link.alias("body"), name.alias("name"), "source")
     known = docs.where("doc_id % 2 = 0").select(F.col("name").alias("target"), F.concat(F.lit("../"), "source", F.lit(".md")).alias("new"))
     return markdown.rewritten_links(docs.select("doc_id", "body"), "doc_id", "body", known)
+
+
+# --- small projections, states and totals
+
+
+@query("SELECT doc_id, 'see ![a](../assets/' || source || '.png) and ![b](x/' || source || '.png)' AS body FROM documents")
+def image_links(spark, sf_dir):
+    body = F.concat(F.lit("see ![a]("), "source", F.lit(".png) and ![b](x/"), "source", F.lit(".png)"))
+    return table(spark, sf_dir, "documents").select("doc_id", markdown.images_in(body, "../assets").alias("body"))
+
+
+@query("SELECT doc_id, source || '.md|b' || doc_id % 3 || '.htm' AS targets FROM documents")
+def markdown_links(spark, sf_dir):
+    """Pages that a text links to: no images, other sites, fragments or repeats."""
+    name = F.concat(F.lit("b"), (F.col("doc_id") % 3).cast("string"), F.lit(".htm"))
+    body = F.concat(F.lit("see [a]("), "source", F.lit('.md#x "tip"), ![i](p.png), [s](http://h/c.md) <a href="'), name, F.lit('?q=1">d</a> [again]('), "source", F.lit(".md)"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.links(body), "|").alias("targets"))
+
+
+@query("SELECT doc_id, coalesce(CASE WHEN doc_id % 3 > 0 THEN lang END, '') AS lang, '' AS platform, coalesce(n_chars, 0)::BIGINT AS n_chars, 0.0::DOUBLE AS score, 0 AS n_tags FROM documents")
+def payload_defaults(spark, sf_dir):
+    """Documents as chunk rows, every third without its language."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("lang"), "n_chars")
+    out = results.with_defaults(rows, {"doc_id": "long", "lang": "string", "platform": "string", "n_chars": "long", "score": "double", "tags": "array<string>"})
+    return out.withColumn("n_tags", F.size("tags")).drop("tags")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS failed, round(sum(value) / count(*), 4) AS mean_ms FROM events")
+def eval_totals(spark, sf_dir):
+    """Events as runs, of which those of type error failed."""
+    runs = table(spark, sf_dir, "events").select(F.lit(0).alias("query"), F.when(F.col("event_type") == "error", "error").alias("error"), F.col("value").alias("ms"))
+    return evaluation.totals(runs).withColumn("mean_ms", F.round("mean_ms", 4))
+
+
+@query("SELECT o_custkey::VARCHAR AS path, max(o_orderdate) AS stamp, 'k' AS profile FROM orders GROUP BY o_custkey")
+def state_current(spark, sf_dir):
+    """Customers as files, orders as their changes: the state after a full build."""
+    return store.all_current(table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("path"), F.col("o_orderdate").alias("stamp")), "k")
+
+
+@query("SELECT item_id AS query, CASE WHEN contains(lower(text), 'tion') OR length(text) > 30 THEN 16 ELSE 13 END AS most FROM benchmark")
+def result_limits(spark, sf_dir):
+    return _asked(spark, sf_dir).select("query", results.result_limit(routing.is_broad(F.col("text"), ("tion",)), 10).alias("most"))
+
+
+@query(ROUTE_SQL + """,
+mo AS (SELECT query, correction, CASE WHEN clarification <> '' THEN 'clarification' WHEN len(scopes) > 1 THEN 'comparison' ELSE 'direct' END AS mode FROM ro),
+ki AS (SELECT query, correction, CASE WHEN mode = 'direct' AND (contains(lower(text), 'tion') OR length(text) > 30) THEN 'broad' ELSE mode END AS kind FROM mo JOIN benchmark ON item_id = query)
+SELECT query, kind, correction AS notice, CASE kind WHEN 'broad' THEN 'overview|parts|relations|sources' WHEN 'comparison' THEN 'each scope apart|differences|sources by scope' WHEN 'direct' THEN 'answer|sources' ELSE 'question back' END AS parts FROM ki""")
+def answer_contracts(spark, sf_dir):
+    rows = _routes(spark, sf_dir).join(_asked(spark, sf_dir), "query")
+    contract = broad.answer_contract(F.col("mode"), routing.is_broad(F.col("text"), ("tion",)), F.array().cast("array<string>"), F.col("correction"))
+    return rows.select("query", contract.alias("c")).select("query", "c.kind", "c.notice", F.array_join("c.parts", "|").alias("parts"))

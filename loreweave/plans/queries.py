@@ -133,7 +133,7 @@ def dense_search_filtered(spark, sf_dir):
 
 # --- fusion and boosts
 
-BM25_SQL = HITS_SQL + r""",
+BM25_TAIL = r""",
 w AS (SELECT query, id, unnest(string_split_regex(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ')) AS word FROM hi),
 tf AS (SELECT query, id, word, count(*) AS tf FROM w WHERE word <> '' GROUP BY ALL),
 dl AS (SELECT query, id, sum(tf) AS size FROM tf GROUP BY ALL),
@@ -149,6 +149,9 @@ br AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY s
 """
 
 
+BM25_SQL = HITS_SQL + BM25_TAIL
+
+
 @query(BM25_SQL + "SELECT query, id, round(score, 4) AS score FROM br")
 def bm25_rerank(spark, sf_dir):
     return ranking.bm25(_hits(spark, sf_dir)).select("query", "id", F.round("score", 4).alias("score"))
@@ -162,10 +165,24 @@ fr2 AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY
 """
 
 
-def _fused(spark, sf_dir):
+def _dense(spark, sf_dir):
+    """The dense neighbours of each question's vector."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     asked = v.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")), "id", "left_semi")
-    return ranking.fuse(vectors.dense_top_k(asked, v), _search(spark, sf_dir))
+    return vectors.dense_top_k(asked, v)
+
+
+@query(FUSED_SQL + ", hi AS (SELECT de.query, b.text AS query_text, de.id, d.text, d.source, de.rank AS pos FROM de JOIN documents d ON d.doc_id = de.id JOIN benchmark b ON b.item_id = de.query)" + BM25_TAIL + "SELECT query, id, round(score, 4) AS score, rank FROM br")
+def bm25_dense(spark, sf_dir):
+    """Dense candidates put in order by their words."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("query_text"))
+    rows = stored(_dense(spark, sf_dir).select("query", "id", F.col("rank").alias("pos")).join(docs, "id").join(asked, "query"), "dense-texts")
+    return ranking.bm25(rows).select("query", "id", F.round("score", 4).alias("score"), "rank")
+
+
+def _fused(spark, sf_dir):
+    return ranking.fuse(_dense(spark, sf_dir), _search(spark, sf_dir))
 
 
 @query(FUSED_SQL + "SELECT query, id, score, rank FROM fr2")
@@ -222,9 +239,9 @@ def rerank_shape(spark, sf_dir):
     return ranking.shape_rerank_input(rows, seeds=5, most=12).select("query", "id", "rank")
 
 
-@query(HITS_SQL + "SELECT query, id, left(lang || ' > ' || source || ' | ' || split_part(text, chr(10), 1) || chr(10) || text, 240) AS body FROM hi")
+@query(HITS_SQL + "SELECT query, id, left(lang || ' > ' || source || ' | ' || split_part(text, chr(10), 1) || chr(10) || text, 2400) AS body FROM hi")
 def rerank_text(spark, sf_dir):
-    body = ranking.rerank_text(F.col("text"), F.array("lang", "source"), text.title("text"), F.lit(""), 240)
+    body = ranking.rerank_text(F.col("text"), F.array("lang", "source"), text.title("text"), F.lit(""))
     return _hits(spark, sf_dir).select("query", "id", body.alias("body"))
 
 

@@ -409,3 +409,19 @@ def test_markdown_text(spark):
     docs = spark.createDataFrame([(1, "[a](x.htm#q) ![i](x.htm) [b](y.htm) end"), (2, None), (3, "no link")], "id long, body string")
     known = spark.createDataFrame([("x.htm", "../x.md"), ("x.htm", "../z.md")], "target string, new string")
     assert rows(markdown.rewritten_links(docs, "id", "body", known), "id", "body") == [(1, "[a](../x.md#q) ![i](x.htm) [b](y.htm) end"), (2, None), (3, "no link")]
+
+
+def test_selection_takes_nulls_and_ids_of_any_type(spark):
+    rows_ = spark.createDataFrame([("q", "a", 1, "s", "One thing that is said here. " * 3, None, None, None), ("q", "b", 2, None, None, False, "t", ""), ("q", "c", 3, "s", "Another thing that is said. " * 3, True, None, "h")], "query string, id string, pos int, source string, content string, low boolean, topic string, hash string")
+    assert rows(context.select_context(rows_), "id", "rank") == [("a", 1), ("b", 2)]
+    assert rows(ranking.diverse(rows_), "id", "rank") == [("a", 1), ("b", 2)]
+    assert rows(ranking.dedup_variants(rows_.withColumn("canonical", F.col("source"))), "id", "rank") == [("a", 1), ("b", 2), ("c", 3)]
+    merged = context.merge_adjacent(rows_.withColumns({"section": F.lit(None).cast("string"), "kind": F.lit("k")}))
+    assert rows(merged, "pos", "n") == [(1, 1), (2, 1), (3, 1)] and merged.where("pos = 2").first().content == ""
+    empty = rows_.limit(0)
+    assert context.select_context(empty).count() == ranking.diverse(empty).count() == 0
+    none = spark.createDataFrame([], "query long, id long, rank int")
+    some = spark.createDataFrame([(1, 7, 1), (1, 7, 2), (1, 8, 3)], "query long, id long, rank int")
+    assert rows(ranking.fuse(none, some), "rank", "id") == [(1, 7), (2, 8)]
+    trees = spark.createDataFrame([(None,), ([],)], "nodes array<struct<href:string,label:string,children:array<struct<href:string,label:string>>>>")
+    assert files.toc_rows(trees).count() == 0
