@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from loreweave.functions import markdown, metadata, text
-from loreweave.operators import broad, context, evaluation, graph, results, routing, store, vectors
+from loreweave.operators import broad, chunking, context, evaluation, graph, results, routing, store, vectors
 from loreweave.operators.routing import PlanRules, Scope
 from loreweave.plans import retrieval
 from loreweave.plans.queries import COUNTS_SQL, EDGES_SQL, ENTRY_SQL, HITS_SQL, SEARCH_SQL, _counts, _edges, _entry, _hits, _search, query, table
@@ -476,3 +476,30 @@ def answer_contracts(spark, sf_dir):
     rows = _routes(spark, sf_dir).join(_asked(spark, sf_dir), "query")
     contract = broad.answer_contract(F.col("mode"), routing.is_broad(F.col("text"), ("tion",)), F.array().cast("array<string>"), F.col("correction"))
     return rows.select("query", contract.alias("c")).select("query", "c.kind", "c.notice", F.array_join("c.parts", "|").alias("parts"))
+
+
+# --- the chunker's outline, over documents of which some lines are made headings
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(range(len(l)))::INTEGER AS pos, unnest(l) AS line, len(l) AS n FROM (SELECT doc_id, list_append(string_split(replace(text, chr(13), ''), chr(10)), 'end') AS l FROM documents)),
+m AS (SELECT *, length(line) % 5 = 0 AND trim(line, ' ') <> '' AS head, CASE WHEN length(line) % 5 = 0 AND trim(line, ' ') <> '' THEN repeat('#', 1 + pos % 4) || ' ' || line ELSE line END AS marked FROM l),
+d AS (SELECT doc_id, max(n) AS n, string_agg(marked, chr(10) ORDER BY pos) AS body FROM m GROUP BY doc_id),
+h AS (SELECT doc_id, pos, 1 + pos % 4 AS level, trim(line, ' ') AS title, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) - 1, n - 1)::INTEGER AS until FROM m WHERE head),
+b AS (SELECT h.doc_id, h.pos, h.level, h.title, h.until, coalesce(string_agg(m.marked, chr(10) ORDER BY m.pos), '') AS body FROM h LEFT JOIN m ON m.doc_id = h.doc_id AND m.pos > h.pos AND m.pos <= h.until GROUP BY ALL
+      UNION ALL SELECT doc_id, 0, 1, '', n - 1, body FROM d WHERE doc_id NOT IN (SELECT doc_id FROM h)),
+i AS (SELECT *, left(sha256(doc_id || '::' || title || '::h' || level || '::' || left(body, 200)), 32) AS id FROM b),
+r AS (SELECT *, CASE WHEN level > 3 THEN last_value(CASE WHEN level = 3 THEN id END IGNORE NULLS) OVER w END AS p3, CASE WHEN level > 2 THEN last_value(CASE WHEN level = 2 THEN id END IGNORE NULLS) OVER w END AS p2,
+      CASE WHEN level > 1 THEN last_value(CASE WHEN level = 1 THEN id END IGNORE NULLS) OVER w END AS p1 FROM i WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT r.doc_id, id, CASE WHEN level <= 2 THEN 'section' ELSE 'subsection' END AS kind, level::INTEGER AS level, pos::INTEGER AS start_line, until::INTEGER AS end_line,
+ coalesce(p3, p2, p1, left(sha256(r.doc_id || '::T::doc::' || left(d.body, 200)), 32)) AS parent,
+ CASE WHEN length(trim(title || chr(10) || chr(10) || r.body, ' ' || chr(9) || chr(10))) < 1900 THEN sha256(trim(title || chr(10) || chr(10) || r.body, ' ' || chr(9) || chr(10))) END AS content FROM r JOIN d ON d.doc_id = r.doc_id""")
+def section_chunks(spark, sf_dir):
+    """Lines of a length divisible by five are headings, their level from their place."""
+    lines = F.array_append(F.split(F.replace("text", F.lit("\r"), F.lit("")), "\n"), F.lit("end"))
+    marked = F.transform(lines, lambda x, i: F.when((F.length(x) % 5 == 0) & (F.trim(x) != ""), F.concat(F.repeat(F.lit("#"), 1 + i % 4), F.lit(" "), x)).otherwise(x))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), F.lit("T").alias("title"), F.array_join(marked, "\n").alias("text"))
+    out = chunking.chunk_documents(docs, "source", "title", "text").where("chunk_type in ('section', 'subsection')")
+    title = F.concat("section_title", "subsection_title")
+    content = F.when(F.length("content") < 1900, F.sha2("content", 256))
+    return out.select(F.col("source_md").cast("long").alias("doc_id"), "id", F.col("chunk_type").alias("kind"), F.col("heading_level").alias("level"), "start_line", "end_line", F.col("parent_id").alias("parent"), content.alias("content"), title.alias("t"), F.length("content").alias("n")).drop("t", "n")
