@@ -28,6 +28,8 @@ from loreweave.llm.components import components
 #: Low bit and width of each segment.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 SMALL, GIANT = 16, 20_000
+#: Fingerprints with over this share of all rows, and so many, meet their rows in SALTS parts.
+HOT_SHARE, HOT, SALTS = 0.001, 4096, 32
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -170,11 +172,16 @@ def near_dedup(docs: DataFrame, shingle: int = 4, giant: int = GIANT) -> DataFra
     ignored.
     """
     rows = stored(texts(docs).withColumn("rid", F.xxhash64("text")).mapInArrow(_prints(shingle), "doc_id long, rid long, fp long"), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
+    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "prints")
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    hot = [r.fp for r in nodes.where(F.col("n") > max(HOT, int(total * HOT_SHARE))).select("fp").collect()]  # under 1 / HOT_SHARE rows
+    is_hot = F.col("fp").isin(hot) if hot else F.lit(False)
     found = components(near_links(nodes, giant).toDF("a", "b")).withColumnRenamed("node", "fp")
     named = stored(nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    out = rows.join(named.join(least, "component").select("fp", "component", "component_id"), "fp")
+    told = named.join(least, "component").select("fp", "component", "component_id", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    dealt = rows.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("doc_id", "rid"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    out = dealt.join(told, ["fp", "salt"])
     return out.select(real_id("doc_id"), "rid", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), real_id("component_id"), "component")
 
 

@@ -126,6 +126,13 @@ def test_near_dedup_against_brute_force(spark, sf):
     assert got == {r.doc_id: (f"{p:016x}", want[r.doc_id]) for r, p in zip(rows, prints, strict=True)}
 
 
+def test_hot_fingerprints_meet_their_rows_in_parts(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = sorted(map(tuple, simhash.op5(docs).collect()))
+    monkeypatch.setattr(simhash, "HOT", 1)
+    assert sorted(map(tuple, simhash.op5(docs).collect())) == want
+
+
 def test_rows_without_or_with_one_id_stay_apart(spark, tmp_path):
     """Two null ids and a repeated id, each with two texts; the null ids' texts are near documents 5 and 9."""
     import corpus_pipeline
