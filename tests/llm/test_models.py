@@ -1,5 +1,6 @@
 """Licence scan, codec, language model, top-k, mixing and quality."""
 
+import hashlib
 import math
 import random
 import re
@@ -12,7 +13,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from loreweave.llm import license_scan, lm, mixing, quality, sentencepiece_codec, topk
+from loreweave.llm import license_scan, lm, mixing, quality, sentencepiece_codec, simhash, suffix_dedup, topk
 from loreweave.llm.queries import ORACLE_SQL, QUERIES
 from parity import compare
 from test_dedup import EDGES, edges
@@ -29,6 +30,23 @@ def test_edge_rows_and_empty_tables(spark, operator):
     assert operator(edges(spark).limit(0)).count() == 0
 
 
+def test_values_on_null_and_empty_texts(spark):
+    """What each operator says of documents 5 (null) and 6 (empty), and of the rows that repeat 7."""
+    of = lambda operator: {r.doc_id: r for r in operator(edges(spark)).collect()}
+    empty = hashlib.sha256(b"").hexdigest()
+    one, two, three, four, five, seven, eight = map(of, (license_scan.op1, sentencepiece_codec.op2, suffix_dedup.op3, lm.op4, simhash.op5, mixing.op7, quality.op8))
+    for d in (5, 6):
+        assert (one[d].license, one[d].n_licenses) == (None, 0) and (two[d].ids, two[d].n_pieces, two[d].round_trip) == ([], 0, True)
+        assert (three[d].n_bytes, three[d].n_removed, three[d].n_spans, three[d].kept_sha256) == (0, 0, 0, empty)
+        assert four[d].n_tokens == 1 and math.isfinite(four[d].score) and (five[d].fingerprint, five[d].component_id) == ("0" * 16, 5)
+        assert (seven[d].size, seven[d].taken, seven[d].first_slot) == (0, 0, None) and eight[d].keep
+    assert five[7].fingerprint == five[None].fingerprint and five[None].component_id == 7
+    assert two[7].ids == two[None].ids and eight[7].p_bad == eight[None].p_bad and four[7].score == four[None].score
+    taken = sorted(r.taken for r in mixing.op7(edges(spark)).where("doc_id = 7").collect())
+    assert taken[1] <= 6 and mixing.op7(edges(spark)).where("taken > 2 * size").count() == 0
+    assert topk.op6(spark.createDataFrame([(None, [1.0]), (0, None), (0, []), (50, [])], "vec_id long, embedding array<double>")).count() == 2
+
+
 # --- licence scan
 
 
