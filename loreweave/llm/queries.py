@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loreweave.llm import exact_dedup, license_scan, line_dedup, lm, mixing, quality, sentencepiece_codec, simhash, suffix_dedup, topk, toxicity, whitening
+from loreweave.llm import conversation_repair, exact_dedup, license_scan, line_dedup, lm, mixing, quality, sentencepiece_codec, simhash, suffix_dedup, topk, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.op10(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.op11(_table(spark, sf_dir, "conversations"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.op12(_table(spark, sf_dir, "embeddings"))
 
@@ -63,7 +67,7 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_sentencepiece, op3_suffix_dedup, op4_lm_score, op5_simhash, op6_top_k, op7_mix, op8_quality, op9_line_dedup, op10_exact_dedup, op12_whitening, op13_toxicity)
+    for f in (op1_license_scan, op2_sentencepiece, op3_suffix_dedup, op4_lm_score, op5_simhash, op6_top_k, op7_mix, op8_quality, op9_line_dedup, op10_exact_dedup, op11_conversation_repair, op12_whitening, op13_toxicity)
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": license_scan.SQL,
