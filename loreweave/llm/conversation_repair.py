@@ -474,3 +474,36 @@ def repair_damaged(conversations: DataFrame, hold: int = HOLD, piece: int = PIEC
 
 def op11(conversations: DataFrame) -> DataFrame:
     return repair_damaged(conversations)
+
+
+SQL = """
+WITH RECURSIVE
+crc AS (SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY b) AS t FROM (SELECT range AS b FROM range(256))),
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+dealt AS (SELECT n.*, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(name) + 1), lambda i: ord(name[i]))), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))) % 20 AS k FROM named n, crc),
+damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM dealt, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS c, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS z FROM damaged),
+faulty AS (SELECT *, CASE WHEN z = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN z NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+           lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+ins(q, letters, new, r) AS (VALUES (0, '', []::VARCHAR[], 0), (1, '', [], 1), (2, '', [], 2), (3, '', [], 3), (0, 'I', ['user:'], 2), (0, 'II', ['user:', 'assistant:'], 3), (1, 'I', ['user:'], 2), (1, 'II', ['user:', 'assistant:'], 3), (2, 'I', ['assistant:'], 3), (3, 'I', ['user:'], 2)),
+ops(letter, cost, r, after, role, c) AS (SELECT 'D', 4, r::INTEGER, r::INTEGER, NULL::VARCHAR, NULL::VARCHAR FROM range(4) t(r) UNION ALL VALUES
+  ('K', 0, 0, 1, NULL, 's'), ('K', 0, 0, 2, NULL, 'u'), ('K', 0, 1, 2, NULL, 'u'), ('K', 0, 3, 2, NULL, 'u'), ('K', 0, 2, 3, NULL, 'a'),
+  ('R', 3, 0, 2, 'user', NULL), ('R', 3, 1, 2, 'user', NULL), ('R', 3, 3, 2, 'user', NULL), ('R', 3, 2, 3, 'assistant', NULL)),
+steps AS (SELECT q, letters || letter AS letters, new, letter, 3 * len(letters) + cost AS cost, after, role, c FROM ins JOIN ops USING (r)),
+way AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS q, 0 AS cost, '' AS audit, []::VARCHAR[] AS lines FROM placed
+  UNION ALL
+  SELECT f.conv_id, f.i, s.after, w.cost + s.cost + CASE WHEN s.letter <> 'D' AND f.fault = 'truncated' THEN 3 ELSE 0 END AS total, w.audit || s.letters AS said,
+         list_concat(w.lines, list_concat(s.new, CASE WHEN s.letter = 'D' THEN [] ELSE [coalesce(s.role, f.role) || ':' || f.text] END))
+  FROM way w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 JOIN steps s ON s.q = w.q AND (s.c IS NULL OR s.c = f.c) AND (s.letter = 'D' OR f.fault NOT IN ('blank', 'duplicate'))
+  QUALIFY row_number() OVER (PARTITION BY f.conv_id, s.after ORDER BY total, said) = 1),
+n AS (SELECT conv_id, max(i) AS i, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+      count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id),
+ended AS (SELECT w.conv_id, w.cost + 3 * len(s.letters) AS cost, w.audit || s.letters AS audit, array_to_string(list_concat(w.lines, s.new), chr(10)) AS body
+          FROM way w JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.i = w.i JOIN ins s ON s.q = w.q AND s.r IN (0, 3)
+          QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + 3 * len(s.letters), w.audit || s.letters) = 1)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e.cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""

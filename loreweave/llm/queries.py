@@ -75,4 +75,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_mix": mixing.SQL,
     "op9_line_dedup": line_dedup.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_conversation_repair": conversation_repair.SQL,
 }
