@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreweave.functions.text import tokens
+from loreweave.operators import sparse_index
+from loreweave.sources.shared import spread
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -15,7 +17,7 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Null texts have no terms. Counted before anything is shuffled by term.
     """
-    words = docs.select(F.col(id_col).alias("id"), F.posexplode(tokens(text_col)).alias("pos", "term"))
+    words = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), F.posexplode(tokens(text_col)).alias("pos", "term"))
     return words.groupBy("id", "term").agg(F.count("*").alias("tf"), F.min("pos").alias("first"))
 
 
@@ -43,11 +45,10 @@ def encode_sparse(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 def sparse_top_k(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
     """(query, id, score, rank): largest inner products of sparse vectors (id, index, weight), ties (to six places) by id.
 
-    An inverted-index join on the term; a query without known terms has no rows.
+    By an inverted index of impacts over parts of the documents (sparse_index); a
+    query without known terms has no rows. Weights are positive; null ids take no part.
     """
-    q = queries.select(F.col("id").alias("query"), "index", F.col("weight").alias("q"))
-    scores = q.join(docs, "index").groupBy("query", "id").agg(F.sum(F.col("q") * F.col("weight")).alias("score"))
-    return ranked(scores, ["query"], [F.round("score", 6).desc(), F.col("id")], k)
+    return ranked(sparse_index.top_rows(queries, docs, k), ["query"], [F.round("score", 6).desc(), F.col("id")], k)
 
 
 def ranked(rows: DataFrame, by: list[str], order: list[Column], k: int | None = None) -> DataFrame:

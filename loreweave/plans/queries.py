@@ -66,7 +66,7 @@ def _counts(spark, sf_dir):
 
 def _encoded(spark, sf_dir):
     docs, counts = table(spark, sf_dir, "documents"), _counts(spark, sf_dir)
-    vocab = vectors.vocabulary(counts, docs.count())
+    vocab = stored(vectors.vocabulary(counts, docs.count()), "vocabulary")
     asked = vectors.encode_sparse(vectors.term_counts(table(spark, sf_dir, "benchmark"), "item_id", "text"), vocab)
     return asked, vectors.encode_sparse(counts, vocab)
 

@@ -34,7 +34,7 @@ def retrieve(
         told = stored(routing.expand_queries(asked.select("query", F.col("query_text").alias("text")), glossary), "expanded-queries")
         queries = told.select(F.col("query").alias("id"), F.col("expanded").alias("text"))
     counts = stored(vectors.term_counts(docs, "id", "text"), "term-counts")
-    vocab = vectors.vocabulary(counts, docs.count())
+    vocab = stored(vectors.vocabulary(counts, docs.count()), "vocabulary")
     hits = vectors.sparse_top_k(vectors.encode_sparse(vectors.term_counts(queries, "id", "text"), vocab), vectors.encode_sparse(counts, vocab))
     if embeddings is not None:
         vecs = embeddings.join(queries.select("id"), "id", "left_semi")

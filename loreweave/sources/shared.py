@@ -25,3 +25,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as run at once, where it comes from fewer files: what one file's few row groups hold is little to shuffle."""
+    most = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(most) if len(df.inputFiles()) < most else df
