@@ -284,7 +284,7 @@ def _cut(match: int):
 
 
 class IndexFamily:
-    """Suffix arrays whose sizes fall geometrically; add() says which windows repeat an earlier one.
+    """Suffix arrays, each at least twice as large as the next; add() says which windows repeat an earlier one.
 
     A window is its bytes (of one length, a numpy string) with its place (doc, low).
     """
@@ -319,7 +319,7 @@ class IndexFamily:
             batch = [x[~equal] for x in batch]
         if len(batch[0]):
             self.levels.append(batch)
-        while len(self.levels) > 1 and len(self.levels[-2][0]) <= len(self.levels[-1][0]):
+        while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
             two = [np.concatenate(x) for x in zip(self.levels[-2], self.levels[-1], strict=True)]
             order = np.argsort(two[0], kind="stable")  # two sorted runs: merged in one pass
             self.levels[-2:] = [[x[order] for x in two]]

@@ -205,6 +205,37 @@ def test_suffix_dedup_of_repetitive_texts(spark):
         assert removed(suffix_dedup.dedup_substrings(docs, chunk=chunk)) == brute_removed(rows, 100)
 
 
+def test_levels_stay_few_when_batches_shrink():
+    """Batches of 400, 399, ... 101 windows that none has before: each level is twice the next, whatever comes."""
+    family, at = suffix_dedup.IndexFamily(), 0
+    for size in range(400, 100, -1):
+        body = np.array([f"{i:0100d}" for i in range(at, at + size)], "S100")
+        assert not sum(len(d) for d, _ in family.add(body, np.arange(at, at + size), np.zeros(size, np.int64)))
+        at += size
+        sizes = [len(x[0]) for x in family.levels]
+        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False)) and len(sizes) <= np.log2(at) + 1
+    assert sum(sizes) == at
+
+
+def test_repeated_ids_of_different_texts_count_in_order_of_their_hash(spark):
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdefgh ", k=150))
+    rows = [(1, f"{rng.random()} {passage} x{i}") for i in range(4)] + [(2, passage), (2, passage), (None, f"y {passage}"), (None, f"z {passage} z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    place = {(r.doc_id, r.text): (r.doc_id if r.doc_id is not None else 2**63 - 1, r.rid) for r in df.withColumn("rid", F.xxhash64("text")).collect()}
+    seen, removed = set(), {}
+    for key in sorted(place, key=lambda k: place[k]):
+        raw = key[1].encode()
+        gone = np.zeros(len(raw), bool)
+        for i in range(len(raw) - 99):
+            if raw[i : i + 100] in seen:
+                gone[i : i + 100] = True
+        seen |= {raw[i : i + 100] for i in range(len(raw) - 99)}
+        removed[key] = int(gone.sum())
+    want = sorted(((-1 if i is None else i), len(t.encode()), removed[i, t]) for i, t in rows)
+    assert sorted(((-1 if r.doc_id is None else r.doc_id), r.n_bytes, r.n_removed) for r in suffix_dedup.op3(df).collect()) == want
+
+
 def test_index_family_levels_fall_geometrically():
     rng = np.random.default_rng(1)
     family, seen, late, want = suffix_dedup.IndexFamily(), {}, set(), set()
