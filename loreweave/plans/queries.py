@@ -345,8 +345,86 @@ def chunk_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.chunk_id(F.col("source"), text.title("text"), F.lit("doc"), F.col("text")).alias("id"))
 
 
-@query()
+def _found_sql(name: str, pattern: str, groups: int) -> str:
+    """Matches of a pattern in mk's texts, with the lines where they start and end."""
+    every = ", ".join(f"regexp_extract_all(text, '{pattern}', {i}) AS g{i}" for i in range(groups + 1))
+    feeds = "length({0}) - length(replace({0}, chr(10), ''))"
+    return f"""{name}0 AS (SELECT doc_id, {every}, string_split_regex(text, '{pattern}') AS gp FROM mk),
+{name}1 AS (SELECT doc_id, unnest(range(len(g0)))::INTEGER AS nth, {", ".join(f"unnest(g{i}) AS g{i}" for i in range(groups + 1))}, unnest(gp[:len(g0)]) AS gap FROM {name}0),
+{name} AS (SELECT *, (sum({feeds.format("gap")} + {feeds.format("g0")}) OVER (PARTITION BY doc_id ORDER BY nth))::INTEGER AS until, (until - ({feeds.format("g0")}))::INTEGER AS first FROM {name}1)"""
+
+
+def _cut_sql(content: str, most: int) -> str:
+    back = f"instr(reverse(left({content}, {most})), chr(10) || chr(10))"
+    return f"CASE WHEN length({content}) <= {most} THEN {content} WHEN {back} > 0 AND {most} - {back} - 1 > 0.8 * {most} THEN left({content}, {most} - {back} - 1) ELSE left({content}, {most}) END"
+
+
+_WHITE = f"'{chunking.WHITE}'"
+_ROWS_SQL = f"list_filter(list_transform(string_split_regex(trim(g0, {_WHITE}), '{chunking.LINE_END}'), lambda x: trim(x, {_WHITE})), lambda x: x <> '')"
+_CELLS_SQL = f"array_to_string(list_filter(list_transform(string_split({{}}, '|'), lambda c: trim(c, {_WHITE})), lambda c: c <> ''), ' | ')"
+#: Lines of documents, by their lengths, as headings, images, fenced code, tables and blank lines.
+MARKED_SQL = """
+ml AS (SELECT doc_id, string_split(replace(text, chr(13), ''), chr(10)) AS l FROM documents),
+mk AS (SELECT doc_id, array_to_string(list_transform(l, lambda x, i: CASE
+  WHEN length(x) % 5 = 0 AND trim(x, ' ') <> '' THEN repeat('#', ((i - 1) % 4 + 1)::INTEGER) || ' ' || x
+  WHEN length(x) % 7 = 1 THEN '![' || left(x, 10) || '](' || length(x) || '.png)'
+  WHEN length(x) % 7 = 2 THEN '```py' || chr(10) || x || chr(10) || '```'
+  WHEN length(x) % 7 = 3 THEN '| a | ' || replace(x, '|', '/') || ' |' || chr(10) || '|---|:-:|' || chr(10) || '| ' || length(x) || ' | x |'
+  WHEN length(x) % 11 = 4 THEN '' ELSE x END), chr(10)) AS text FROM ml)
+"""
+CHUNKS_SQL = f"""WITH {MARKED_SQL}, {_found_sql("hx", chunking.HEADINGS, 2)}, {_found_sql("co", chunking.CODE, 2)}, {_found_sql("ta", chunking.TABLE, 0)}, {_found_sql("im", chunking.IMAGE, 2)},
+ln AS (SELECT doc_id, text, CASE WHEN x[-1] = '' THEN x[:-2] ELSE x END AS l FROM (SELECT doc_id, text, string_split_regex(text, '{chunking.LINE_END}') AS x FROM mk)),
+dc AS (SELECT doc_id, doc_id::VARCHAR AS src, text, l, len(l)::INTEGER AS n, left(sha256(doc_id || '::T::doc::' || left(text, 200)), 32) AS id FROM ln),
+s0 AS (SELECT doc_id, first AS start, coalesce(lead(first) OVER (PARTITION BY doc_id ORDER BY first) - 1, n - 1)::INTEGER AS "end", length(g1)::INTEGER AS level, trim(g2, {_WHITE}) AS name, l FROM hx JOIN dc USING (doc_id)),
+s1 AS (SELECT doc_id, start, "end", level, name, coalesce(array_to_string(l[start + 2 : "end" + 1], chr(10)), '') AS body FROM s0
+       UNION ALL SELECT doc_id, 0, n - 1, 1, '', text FROM dc WHERE doc_id NOT IN (SELECT doc_id FROM hx)),
+s2 AS (SELECT *, left(sha256(doc_id || '::' || name || '::h' || level || '::' || left(body, 200)), 32) AS id, row_number() OVER (PARTITION BY doc_id ORDER BY start)::INTEGER AS sec FROM s1),
+s3 AS (SELECT s2.*, coalesce(
+    CASE WHEN level > 3 THEN last_value(CASE WHEN level = 3 THEN struct_pack(id := s2.id, sec := sec) END IGNORE NULLS) OVER w END,
+    CASE WHEN level > 2 THEN last_value(CASE WHEN level = 2 THEN struct_pack(id := s2.id, sec := sec) END IGNORE NULLS) OVER w END,
+    CASE WHEN level > 1 THEN last_value(CASE WHEN level = 1 THEN struct_pack(id := s2.id, sec := sec) END IGNORE NULLS) OVER w END, struct_pack(id := dc.id, sec := 0)) AS parent,
+    CASE WHEN level <= 2 THEN name ELSE '' END AS st, CASE WHEN level <= 2 THEN '' ELSE name END AS sst
+  FROM s2 JOIN dc USING (doc_id) WINDOW w AS (PARTITION BY s2.doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p0 AS (SELECT *, list_filter(list_transform(string_split_regex(body, '\n[{chunking.SPACE}]*\n'), lambda x: trim(x, {_WHITE})), lambda x: x <> '') AS ps FROM s3 WHERE length(body) > 800),
+p1 AS (SELECT * EXCLUDE (ps), unnest(ps) AS content, unnest(range(len(ps)))::INTEGER AS nth FROM p0),
+tr AS (SELECT *, {_ROWS_SQL} AS r FROM ta),
+me AS (SELECT doc_id, 'code_block' AS kind, 2 AS part, 'code' AS suffix, nth, first, until, g2 AS content, left(g2, 200) AS key FROM co
+       UNION ALL SELECT doc_id, 'table', 3, 'table', nth, first, until, 'Table:' || chr(10) || {_CELLS_SQL.format("r[1]")} || chr(10) || coalesce(array_to_string(list_transform(r[3:], lambda y: {_CELLS_SQL.format("y")}), chr(10)), ''), left(g0, 200) FROM tr
+       UNION ALL SELECT doc_id, 'image', 4, 'img', nth, first, until, 'Image: ' || g1 || ' (' || g2 || ')', g2 FROM im),
+al AS (
+  SELECT doc_id, 0 AS sec, 0 AS part, 0 AS nth, 'document' AS kind, '' AS st, '' AS sst, 0 AS level, 0 AS start_line, 0 AS end_line, {_cut_sql("text", 8000)} AS content, id, NULL AS parent, ['T'] AS path FROM dc
+  UNION ALL SELECT doc_id, sec, 0, 0, CASE WHEN level <= 2 THEN 'section' ELSE 'subsection' END, st, sst, level, start, "end", CASE WHEN level <= 2 THEN {_cut_sql("c", 4000)} ELSE {_cut_sql("c", 2000)} END, id, parent, ['T', name]
+    FROM (SELECT *, trim(name || chr(10) || chr(10) || body, {_WHITE}) AS c FROM s3)
+  UNION ALL SELECT doc_id, sec, 1, nth, 'paragraph', st, sst, level, start, "end", content, left(sha256(doc_id || '::' || name || '::para-' || nth || '::' || content), 32), struct_pack(id := id, sec := sec), ['T', name] FROM p1
+  UNION ALL SELECT me.doc_id, sec, part, nth, kind, st, sst, level, first, until, content, left(sha256(me.doc_id || '::' || st || '::' || suffix || '::' || key), 32), struct_pack(id := s3.id, sec := sec), ['T', name] FROM me JOIN s3 ON s3.doc_id = me.doc_id AND first BETWEEN start AND "end"),
+po AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY sec, part, nth) - 1)::INTEGER AS pos FROM al),
+ch AS (SELECT doc_id, parent.sec AS sec, string_agg(id, ',' ORDER BY pos) AS ids FROM po WHERE parent IS NOT NULL GROUP BY ALL),
+fa AS (SELECT doc_id, parent.id AS pid, list(id ORDER BY pos) AS ids FROM po WHERE parent IS NOT NULL GROUP BY ALL)
+SELECT po.doc_id::VARCHAR AS source_md, 'T' AS doc_title, pos, po.id, kind AS chunk_type, st AS section_title, sst AS subsection_title, level AS heading_level, start_line, end_line, content, po.parent.id AS parent_id,
+  CASE WHEN part = 0 THEN coalesce(ch.ids, '') ELSE '' END AS child_ids, coalesce(array_to_string(list_filter(fa.ids, lambda x: x <> po.id), ','), '') AS sibling_ids, array_to_string(path, '|') AS toc_path
+FROM po LEFT JOIN ch ON ch.doc_id = po.doc_id AND ch.sec = po.sec LEFT JOIN fa ON fa.doc_id = po.doc_id AND fa.pid = po.parent.id
+"""
+
+
+@query(CHUNKS_SQL)
 def hierarchical_chunks(spark, sf_dir):
+    """The whole chunker over documents some of whose lines are made headings, images, code, tables and blank lines."""
+    lines = F.split(F.replace("text", F.lit("\r"), F.lit("")), "\n", -1)
+
+    def marked(x, i):
+        n = F.length(x)
+        put = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+        table_ = put("| a | ", F.replace(x, F.lit("|"), F.lit("/")), " |\n|---|:-:|\n| ", n.cast("string"), " | x |")
+        out = F.when((n % 5 == 0) & (F.trim(x) != ""), put(F.repeat(F.lit("#"), i % 4 + 1), " ", x)).when(n % 7 == 1, put("![", F.left(x, F.lit(10)), "](", n.cast("string"), ".png)"))
+        return out.when(n % 7 == 2, put("```py\n", x, "\n```")).when(n % 7 == 3, table_).when(n % 11 == 4, "").otherwise(x)
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), F.lit("T").alias("title"), F.array_join(F.transform(lines, marked), "\n").alias("text"))
+    out = chunking.chunk_documents(docs, "source", "title", "text")
+    return out.withColumns({c: F.array_join(c, "|" if c == "toc_path" else ",") for c in ("child_ids", "sibling_ids", "toc_path")})
+
+
+@query()
+def page_chunks(spark, sf_dir):
     """Pages as Markdown, then the whole chunker."""
     pages = table(spark, sf_dir, "pages").select("url", html.page_title(F.col("html")).alias("title"), html.markdown(F.col("html"), html.page_title(F.col("html"))).alias("text"))
     return chunking.chunk_documents(pages, "url", "title", "text")

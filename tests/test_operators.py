@@ -8,6 +8,7 @@ from loreweave.operators import chunking, context, evaluation, graph, ranking, r
 from loreweave.sources import files, html
 from loreweave.sources import help as help_files
 from loreweave.streaming import ingest
+from test_chunking import chunks
 
 
 def rows(df, *names):
@@ -42,15 +43,15 @@ def test_links(spark):
     assert one(spark, text.links("t"), t=page) == ["x.md", "b.htm", "d/e.html"]
 
 
-def test_chunker_outline():
+def test_chunker_outline(spark):
     text_ = "# Doc\nintro\n## One\nbody\n```python\nprint(1)\n```\n| a | b |\n|---|---|\n| 1 | 2 |\n![alt](p.png)\n## Two\nmore"
-    out = chunking.document_chunks("s.md", "Doc", text_)
+    out = chunks(spark, ("s.md", "Doc", text_))
     kinds = [c["chunk_type"] for c in out]
     assert kinds == ["document", "section", "section", "code_block", "table", "image", "section"]
     one_, two = out[2], out[6]
     assert one_["parent_id"] == out[1]["id"] and two["sibling_ids"] == [one_["id"]] and out[1]["id"] in out[0]["child_ids"]
     assert out[4]["content"] == "Table:\na | b\n1 | 2" and out[3]["content"] == "print(1)\n"
-    assert [c["chunk_type"] for c in chunking.document_chunks("s", "", "")] == ["document", "section"]
+    assert [c["chunk_type"] for c in chunks(spark, ("s", "", ""))] == ["document", "section"]
 
 
 def test_chunker_keeps_levels_once_seen(spark):
@@ -82,7 +83,7 @@ def test_html_classes_of_help_pages():
 def test_chunker_follows_tables_lines_and_ids(spark):
     """Two piped lines without a separator are no table; sections have title, blank line, body; lines as they stand in the text."""
     body = "# A\nintro\n| x | y |\n| 1 | 2 |\n\n| a | b |\n|---|---|\n| 1 | 2 |\nafter\n```py\ncode\n```\n![alt](p.png)\n### Sub\n![i](q.png)"
-    out = chunking.document_chunks("s.md", "Doc", body, ["Top", "Doc"])
+    out = chunks(spark, ("s.md", "Doc", body, ["Top", "Doc"]), toc=True)
     got = {(c["chunk_type"], c["start_line"], c["end_line"], c["content"]) for c in out if c["chunk_type"] != "document"}
     assert got == {
         ("section", 0, 12, "A\n\nintro\n| x | y |\n| 1 | 2 |\n\n| a | b |\n|---|---|\n| 1 | 2 |\nafter\n```py\ncode\n```\n![alt](p.png)"), ("table", 5, 8, "Table:\na | b\n1 | 2"), ("code_block", 9, 11, "code\n"),
