@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreweave.functions.text import normalized, token_estimate
+from loreweave.operators import folds
 
 
 def compress(rows: DataFrame, most_tokens: int = 4000, least_rest: int = 100) -> DataFrame:
@@ -48,27 +48,25 @@ def scoped_package(rows: DataFrame, entry: Column, most_tokens: int = 4000) -> D
 def merge_adjacent(rows: DataFrame, most: int = 3000) -> DataFrame:
     """(query, pos, n, content): neighbours of one source, section and kind joined by a blank line while under most characters.
 
-    rows: (query, pos, source, section, kind, content); nulls count as empty. What
-    joins depends on what has joined before, so a query's list (bounded by its
-    budget) is one group.
+    rows: (query, pos, source, section, kind, content); nulls count as empty, rows
+    of equal pos come by content. Runs of like neighbours are found by windows; what
+    joins within a run depends on what has joined before, so a run is folded.
     """
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        last = None
-        for row in group.sort_values("pos").itertuples(index=False):
-            key = (row.source, row.section, row.kind)
-            if last == key and len(out[-1][3]) + len(row.content) < most:
-                out[-1][2] += 1
-                out[-1][3] += "\n\n" + row.content
-            else:
-                out.append([row.query, row.pos, 1, row.content])
-            last = key
-        return pd.DataFrame(out, columns=["query", "pos", "n", "content"])
-
-    kind = dict(rows.dtypes)["query"]
     filled = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "section", "kind", "content")]
-    return rows.select("query", F.col("pos").cast("long").alias("pos"), *filled).groupBy("query").applyInPandas(fold, f"query {kind}, pos long, n int, content string")
+    ready = rows.select("query", F.col("pos").cast("long").alias("pos"), *filled)
+    order = Window.partitionBy("query").orderBy("pos", "content", "source", "section", "kind")
+    key = F.struct("source", "section", "kind")
+    runs = ready.withColumn("starts", F.coalesce((F.lag(key).over(order) != key).cast("int"), F.lit(1))).withColumn("run", F.sum("starts").over(order))
+    lists = runs.groupBy("query", "run").agg(F.array_sort(F.collect_list(F.struct("pos", F.lit(1).alias("n"), "content"))).alias("all"))
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        joined = F.struct(last["pos"].alias("pos"), (last["n"] + 1).alias("n"), F.concat(last["content"], F.lit("\n\n"), x["content"]).alias("content"))
+        fits = F.length(last["content"]) + F.length(x["content"]) < most
+        return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.array_append(acc, x))
+
+    merged = F.aggregate(F.slice("all", F.lit(2), F.size("all")), F.slice("all", F.lit(1), F.lit(1)), step)
+    return lists.select("query", F.explode(merged).alias("m")).select("query", "m.pos", "m.n", "m.content")
 
 
 def select_context(rows: DataFrame, most: int = 16, per_source: int = 3, most_tokens: int = 9000) -> DataFrame:
@@ -78,23 +76,11 @@ def select_context(rows: DataFrame, most: int = 16, per_source: int = 3, most_to
     120 characters) within one, a source's fourth, and what the budget can't hold.
     """
 
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        picked, texts, counts, used = [], [], {}, 0
-        for row in group.sort_values("pos").itertuples(index=False):
-            if row.low or row.id in picked or any(row.norm == x or (len(row.norm) > 120 and row.norm in x) for x in texts):
-                continue
-            tokens = max(1, row.size // 4)
-            if counts.get(row.source, 0) >= per_source or used + tokens > most_tokens:
-                continue
-            picked.append(row.id)
-            texts.append(row.norm)
-            counts[row.source] = counts.get(row.source, 0) + 1
-            used += tokens
-            if len(picked) >= most:
-                break
-        return pd.DataFrame({"query": group["query"].iloc[0], "id": picked, "rank": range(1, len(picked) + 1)})
-
-    kinds = dict(rows.dtypes)
+    def fits(picked: Column, x: Column, _: Column) -> Column:
+        again = F.exists(picked, lambda p: (p["id"] == x["id"]) | (p["norm"] == x["norm"]) | ((F.length(x["norm"]) > 120) & F.contains(p["norm"], x["norm"])))
+        room = (folds.among(picked, lambda p: p["source"] == x["source"]) < per_source) & (folds.total(picked, "tokens") + x["tokens"] <= most_tokens)
+        return ~again & room & (F.size(picked) < most)
+
     content = F.coalesce("content", F.lit(""))
-    ready = rows.select("query", "id", "pos", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), normalized(content).alias("norm"), F.length(content).alias("size"), F.coalesce("low", F.lit(False)).alias("low"))
-    return ready.groupBy("query").applyInPandas(choose, f"query {kinds['query']}, id {kinds['id']}, rank int")
+    ready = rows.where(~F.coalesce("low", F.lit(False))).select("query", "id", "pos", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), normalized(content).alias("norm"), F.greatest(F.lit(1), token_estimate(content)).cast("long").alias("tokens"))
+    return folds.chosen(ready, ("source", "norm", "tokens"), [fits])

@@ -7,11 +7,11 @@ candidates of it, a bounded number.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreweave.functions.text import match_count, normalized, plain_words
+from loreweave.operators import folds
 from loreweave.operators.vectors import ranked
 
 
@@ -117,28 +117,23 @@ def diverse(rows: DataFrame, most: int = 14, most_sources: int = 8, least_source
     source and topic count as empty; ids of any type; no rows: none.
     """
 
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        pool = group[~group["low"]] if (~group["low"]).any() else group
-        picked, counts, topics = [], {}, set()
+    def fits(wanted) -> folds.Rule:
+        def rule(picked: Column, x: Column, _: Column) -> Column:
+            own = folds.among(picked, lambda p: p["source"] == x["source"])
+            sources = F.size(F.array_distinct(F.transform(picked, lambda p: p["source"])))
+            able = ~F.exists(picked, lambda p: p["id"] == x["id"]) & (own < per_source) & ((own > 0) | (sources < most_sources)) & (F.size(picked) < most)
+            return able & wanted(picked, x, own, sources)
 
-        def add(row) -> None:
-            if row.id in picked or (row.source not in counts and len(counts) >= most_sources) or counts.get(row.source, 0) >= per_source:
-                return
-            picked.append(row.id)
-            counts[row.source] = counts.get(row.source, 0) + 1
-            topics.add((row.source, row.topic.lower()))
+        return rule
 
-        rows_ = list(pool.itertuples(index=False))
-        for fits in (lambda r: len(counts) < least_sources and r.source not in counts, lambda r: (r.source, r.topic.lower()) not in topics, lambda r: True):
-            for row in rows_:
-                if len(picked) < most and fits(row):
-                    add(row)
-        return pd.DataFrame({"query": group["query"].iloc[0], "id": picked, "rank": range(1, len(picked) + 1)})
-
-    kinds = dict(rows.dtypes)
-    ready = rows.select("query", "id", "pos", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce("topic", F.lit("")).alias("topic"), F.coalesce("low", F.lit(False)).alias("low"))
-    return ready.groupBy("query").applyInPandas(choose, f"query {kinds['query']}, id {kinds['id']}, rank int")
+    rules = (
+        fits(lambda picked, x, own, sources: (sources < least_sources) & (own == 0)),
+        fits(lambda picked, x, own, sources: ~F.exists(picked, lambda p: (p["source"] == x["source"]) & (p["topic"] == x["topic"]))),
+        fits(lambda picked, x, own, sources: F.lit(True)),
+    )
+    useful = lambda all_: F.when(F.exists(all_, lambda x: ~x["low"]), F.filter(all_, lambda x: ~x["low"])).otherwise(all_)
+    ready = rows.select("query", "id", "pos", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.lower(F.coalesce("topic", F.lit(""))).alias("topic"), F.coalesce("low", F.lit(False)).alias("low"))
+    return folds.chosen(ready, ("source", "topic", "low"), rules, useful)
 
 
 def confidence(rows: DataFrame) -> DataFrame:
@@ -174,25 +169,14 @@ def dedup_variants(rows: DataFrame, per_source: int = 3) -> DataFrame:
 
     A source that isn't its canonical goes if that is among the query's sources. A
     source turned away by its hash doesn't claim its canonical, so the rows of a
-    query (a bounded list) are gone through in order.
+    query (a bounded list) are gone through in order. Nulls count as empty; an empty
+    hash is like no other.
     """
 
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        there, canon, hashes, counts, picked = set(group["source"]), {}, {}, {}, []
-        for row in group.sort_values("pos").itertuples(index=False):
-            if row.id in picked or (row.canonical in there and row.canonical != row.source):
-                continue
-            if canon.get(row.canonical, row.source) != row.source or (row.hash and hashes.get(row.hash, row.source) != row.source):
-                continue
-            if counts.get(row.source, 0) >= per_source:
-                continue
-            canon.setdefault(row.canonical, row.source)
-            if row.hash:
-                hashes.setdefault(row.hash, row.source)
-            counts[row.source] = counts.get(row.source, 0) + 1
-            picked.append(row.id)
-        return pd.DataFrame({"query": group["query"].iloc[0], "id": picked, "rank": range(1, len(picked) + 1)})
-
-    kinds = dict(rows.dtypes)
+    def fits(picked: Column, x: Column, all_: Column) -> Column:
+        variant = (x["canonical"] != x["source"]) & F.exists(all_, lambda p: p["source"] == x["canonical"])
+        other = F.exists(picked, lambda p: (p["id"] == x["id"]) | ((p["source"] != x["source"]) & ((p["canonical"] == x["canonical"]) | ((x["hash"] != "") & (p["hash"] == x["hash"])))))
+        return ~variant & ~other & (folds.among(picked, lambda p: p["source"] == x["source"]) < per_source)
+
     filled = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "canonical", "hash")]
-    return rows.select("query", "id", "pos", *filled).groupBy("query").applyInPandas(choose, f"query {kinds['query']}, id {kinds['id']}, rank int")
+    return folds.chosen(rows.select("query", "id", "pos", *filled), ("source", "canonical", "hash"), [fits])

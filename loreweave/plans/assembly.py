@@ -10,7 +10,7 @@ from loreweave.functions import markdown, metadata, text
 from loreweave.operators import broad, chunking, context, evaluation, graph, results, routing, store, vectors
 from loreweave.operators.routing import PlanRules, Scope
 from loreweave.plans import retrieval
-from loreweave.plans.queries import COUNTS_SQL, EDGES_SQL, ENTRY_SQL, HITS_SQL, SEARCH_SQL, _counts, _edges, _entry, _hits, _search, query, table
+from loreweave.plans.queries import CONTEXT_FITS, COUNTS_SQL, EDGES_SQL, ENTRY_SQL, HITS_SQL, SEARCH_SQL, _counts, _edges, _entry, _fold_sql, _hits, _search, query, table
 from loreweave.sources import catalogue
 from loreweave.sources.shared import shared_dir, stored
 
@@ -250,9 +250,43 @@ def representatives(spark, sf_dir):
     return broad.representatives(_judged_chunks(spark, sf_dir), most_chars=300)
 
 
-@query()
+BROAD_SQL = f"""WITH RECURSIVE {JUDGED_SQL},
+aq AS (SELECT source // 10 AS query, arg_min(content, id) AS query_text FROM ch WHERE place = 0 GROUP BY 1),
+ed AS (SELECT source AS src, source + d AS dst, source + d AS pos FROM ch, (SELECT unnest([1, 7]) AS d) WHERE place = 0),
+nb AS (SELECT src, dst, min(struct_pack(way := way, place := place, dst := dst)) AS met FROM (SELECT src, dst, 0 AS way, pos AS place FROM ed UNION ALL SELECT dst, src, 1, 0 FROM ed) GROUP BY src, dst),
+ne AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY met)::INTEGER AS nth FROM nb QUALIFY nth <= 5),
+fw AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY pos, dst) AS nth FROM ed QUALIFY nth <= 5),
+li AS (SELECT hs.query, hs.pos, hs.id, source, content, low FROM hs JOIN ju USING (id)),
+u0 AS (SELECT *, bool_or(NOT low) OVER (PARTITION BY query) AS useful FROM li),
+s0 AS (SELECT query, source AS node, min(pos) AS pos FROM u0 WHERE NOT useful OR NOT low GROUP BY query, source),
+se AS (SELECT query, node, row_number() OVER (PARTITION BY query ORDER BY pos, node) AS nth FROM s0 QUALIFY nth <= 4), sn AS (SELECT query, count(*) AS n FROM se GROUP BY query),
+o1 AS (SELECT s.query, n.dst AS node, min(struct_pack(nth := n.nth, turn := s.nth)) AS met FROM se s JOIN ne n ON n.src = s.node GROUP BY s.query, n.dst),
+h1 AS (SELECT query, node, row_number() OVER (PARTITION BY query ORDER BY met) AS nth FROM o1 WHERE NOT EXISTS (SELECT 1 FROM se WHERE se.query = o1.query AND se.node = o1.node)),
+f1 AS (SELECT h1.* FROM h1 JOIN sn USING (query) WHERE nth + n <= 32),
+o2 AS (SELECT s.query, n.dst AS node, min(struct_pack(nth := n.nth, turn := s.nth)) AS met FROM f1 s JOIN ne n ON n.src = s.node GROUP BY s.query, n.dst),
+h2 AS (SELECT query, node, row_number() OVER (PARTITION BY query ORDER BY met) AS nth FROM o2 WHERE NOT EXISTS (SELECT 1 FROM se WHERE se.query = o2.query AND se.node = o2.node) AND NOT EXISTS (SELECT 1 FROM f1 WHERE f1.query = o2.query AND f1.node = o2.node)),
+f2 AS (SELECT h2.* FROM h2 JOIN sn USING (query) LEFT JOIN (SELECT query, count(*) AS u FROM f1 GROUP BY query) USING (query) WHERE nth + n + coalesce(u, 0) <= 32),
+so AS (SELECT query, node, row_number() OVER (PARTITION BY query ORDER BY hop, nth) AS nth FROM (SELECT query, node, 0 AS hop, nth FROM se UNION ALL SELECT query, node, 1, nth FROM f1 UNION ALL SELECT query, node, 2, nth FROM f2)),
+pl AS (SELECT *, row_number() OVER (PARTITION BY source, kind ORDER BY id) AS k FROM ju WHERE kind IN ('document', 'section')),
+dq AS (SELECT source, id, 1 AS own FROM pl WHERE kind = 'document' AND k = 1 AND length(content) <= 9000 AND NOT low),
+st AS (SELECT * FROM dq UNION ALL SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY round(bonus, 9) DESC, id) AS own FROM pl WHERE kind = 'section' AND k <= 6 AND NOT low AND source NOT IN (SELECT source FROM dq) QUALIFY own <= 2),
+te AS (SELECT query, list_filter(regexp_extract_all(lower(query_text), '[a-z0-9_]+'), lambda x: len(x) >= 3) AS t FROM aq),
+ph AS (SELECT query, t, list_transform(list_zip(t[:-2], t[2:]), lambda p: p[1] || ' ' || p[2]) AS p FROM te),
+fd AS (SELECT so.query, st.source, so.nth, st.own, st.id, ju.bonus, t, p, {NORMED.format("split_part(content, chr(10), 1)")} AS a, {NORMED.format("left(content, 5000)")} AS b FROM so JOIN st ON st.source = so.node JOIN ju ON ju.id = st.id JOIN ph USING (query)),
+mp AS (SELECT *, len(list_filter(p, lambda x: contains(a, x))) AS tp, len(list_filter(t, lambda x: contains(a, x))) AS tt, len(list_filter(p, lambda x: contains(b, x))) AS bp, len(list_filter(t, lambda x: contains(b, x))) AS bt FROM fd),
+hu AS (SELECT DISTINCT query, source AS node FROM mp WHERE tp > 0 AND source IN (SELECT src FROM fw)),
+c1 AS (SELECT DISTINCT query, dst AS node FROM hu JOIN fw ON src = node EXCEPT SELECT query, node FROM hu),
+pr AS (SELECT query, node, max(p) AS priority FROM (SELECT query, node, 3 AS p FROM hu UNION ALL SELECT query, node, 2 FROM c1 UNION ALL SELECT query, dst, 1 FROM c1 JOIN fw ON src = node) GROUP BY query, node),
+sd AS (SELECT mp.query, id, row_number() OVER (PARTITION BY mp.query ORDER BY coalesce(priority, 0) DESC, tp DESC, tt DESC, bp DESC, bt DESC, round(bonus, 9) DESC, nth, own) AS pos FROM mp LEFT JOIN pr ON pr.query = mp.query AND pr.node = mp.source),
+ro AS (SELECT query, id, pos FROM sd UNION ALL SELECT query, id, pos + 1000000 FROM li),
+gr AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY pos, ro.id) AS i, ro.id, source, {NORMED.format('content')} AS norm, low, greatest(1, length(content) // 4) AS tokens FROM ro JOIN ju ON ju.id = ro.id),
+{_fold_sql("fo", "gr", "source norm tokens", CONTEXT_FITS)}
+SELECT query, id, rank FROM fo_rows UNION ALL SELECT query, id, pos::INTEGER FROM hs WHERE query NOT IN (SELECT query FROM fo_rows)"""
+
+
+@query(BROAD_SQL)
 def broad_context(spark, sf_dir):
-    """The context of each ten conversations' question, their sources linked to the next ones; held against plain loops in tests."""
+    """The context of each ten conversations' question, their sources linked to the next ones."""
     chunks = stored(_judged_chunks(spark, sf_dir), "judged-chunks")
     asked = chunks.where("place = 0").groupBy(F.expr("source div 10").alias("query")).agg(F.min_by("content", "id").alias("query_text"))
     edges = chunks.where("place = 0").select(F.col("source").alias("src"), F.explode(F.array(F.col("source") + 1, F.col("source") + 7)).alias("dst")).withColumn("pos", F.col("dst"))

@@ -580,7 +580,13 @@ def scoped_context_package(spark, sf_dir):
     return context.scoped_package(_hits(spark, sf_dir).withColumn("scope", F.col("lang")), _entry())
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT conv_id AS query, turn AS pos, (length(text) < 400)::VARCHAR AS key, text AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i FROM conversations),
+f AS (SELECT query, i, key, [struct_pack(pos := pos, n := 1, content := content)] AS done FROM r WHERE i = 1
+  UNION ALL SELECT r.query, r.i, r.key, CASE WHEN r.key = f.key AND length(done[-1].content) + length(r.content) < 3000
+    THEN list_append(done[:-2], struct_pack(pos := done[-1].pos, n := done[-1].n + 1, content := done[-1].content || chr(10) || chr(10) || r.content)) ELSE list_append(done, struct_pack(pos := r.pos, n := 1, content := r.content)) END
+  FROM f JOIN r ON r.query = f.query AND r.i = f.i + 1),
+l AS (SELECT query, unnest(arg_max(done, i)) AS m FROM f GROUP BY query)
+SELECT query, m.pos AS pos, m.n AS n, m.content AS content FROM l""")
 def merge_adjacent(spark, sf_dir):
     """Turns of a conversation; neighbours of one length class merge."""
     turns = table(spark, sf_dir, "conversations")
@@ -592,12 +598,42 @@ def _judged(spark, sf_dir):
     return _hit_list(spark, sf_dir).withColumns({"low": text.is_low_utility("text", F.lit("section"), [text.title("text")]), "topic": text.title("text")})
 
 
-@query()
+HIT_LOW_SQL = HITS_SQL.replace("WITH", "WITH RECURSIVE", 1) + f""",
+hn AS (SELECT *, {NORM_SQL} AS norm, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '\\s+', ' ', 'g')) AS tn FROM hi),
+hl AS (SELECT *, norm = '' OR starts_with(text, 'Image: ') OR tn IN ('functional changes', 'related information') OR (starts_with(norm, 'functional changes') AND length(norm) < 600)
+  OR (length(norm) < 80 AND norm = tn) OR (length(norm) < 40 AND NOT regexp_matches(norm, '[.:;!?。；：]')) AS low FROM hn)
+"""
+
+
+def _fold_sql(name: str, rows: str, fields: str, fits: str) -> str:
+    """Greedy selection over rows (query, i, id and fields): (query, id, rank) of those that fit what is in picked."""
+    pack = ", ".join(f"{f} := r.{f}" for f in ["id", *fields.split()])
+    return f"""{name} AS (SELECT query, 0::BIGINT AS i, [struct_pack({pack})][:0] AS picked FROM {rows} r WHERE i = 1
+  UNION ALL SELECT r.query, r.i, CASE WHEN {fits} THEN list_append(picked, struct_pack({pack})) ELSE picked END FROM {name} g JOIN {rows} r ON r.query = g.query AND r.i = g.i + 1),
+{name}_last AS (SELECT query, arg_max(picked, i) AS picked FROM {name} GROUP BY query),
+{name}_rows AS (SELECT query, unnest(picked).id AS id, unnest(range(1, len(picked) + 1))::INTEGER AS rank FROM {name}_last)"""
+
+
+def _has(what: str) -> str:
+    return f"len(list_filter(picked, lambda p: {what})) > 0"
+
+
+CONTEXT_FITS = f"NOT r.low AND len(picked) < 16 AND NOT {_has('p.id = r.id OR p.norm = r.norm OR (length(r.norm) > 120 AND contains(p.norm, r.norm))')} AND len(list_filter(picked, lambda p: p.source = r.source)) < 3 AND coalesce(list_sum(list_transform(picked, lambda p: p.tokens)), 0) + r.tokens <= 9000"
+
+
+@query(HIT_LOW_SQL + f""", gr AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY pos, id) AS i, id, source, norm, low, greatest(1, length(text) // 4) AS tokens FROM hl),
+{_fold_sql("fo", "gr", "source norm tokens", CONTEXT_FITS)} SELECT * FROM fo_rows""")
 def greedy_context(spark, sf_dir):
     return context.select_context(_judged(spark, sf_dir))
 
 
-@query()
+_OWN, _SOURCES = "len(list_filter(picked, lambda p: p.source = r.source))", "len(list_distinct(list_transform(picked, lambda p: p.source)))"
+
+
+@query(HIT_LOW_SQL + f""", us AS (SELECT *, bool_or(NOT low) OVER (PARTITION BY query) AS useful FROM hl),
+gr AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY phase, pos, id) AS i, phase, id, source, lower(split_part(text, chr(10), 1)) AS topic FROM us, range(3) t(phase) WHERE NOT useful OR NOT low),
+{_fold_sql("fo", "gr", "source topic", f"NOT {_has('p.id = r.id')} AND {_OWN} < 3 AND ({_OWN} > 0 OR {_SOURCES} < 8) AND len(picked) < 14 AND CASE r.phase WHEN 0 THEN {_SOURCES} < 3 AND {_OWN} = 0 WHEN 1 THEN NOT {_has('p.source = r.source AND p.topic = r.topic')} ELSE true END")}
+SELECT * FROM fo_rows""")
 def coverage_diverse(spark, sf_dir):
     return ranking.diverse(_judged(spark, sf_dir))
 
@@ -808,7 +844,8 @@ def context_priority(spark, sf_dir):
     return out.select("query", "id", "title_phrases", "title_terms", "body_phrases", "body_terms")
 
 
-@query()
+@query(HIT_LOW_SQL + f""", gr AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY pos, id) AS i, id, source, lang AS canonical, left(sha256(text), 32) AS hash, lang <> source AND list_contains(list(source) OVER (PARTITION BY query), lang) AS variant FROM hl),
+{_fold_sql("fo", "gr", "source canonical hash", f"NOT r.variant AND NOT {_has('p.id = r.id OR (p.source <> r.source AND (p.canonical = r.canonical OR p.hash = r.hash))')} AND len(list_filter(picked, lambda p: p.source = r.source)) < 3")} SELECT * FROM fo_rows""")
 def dedup_variants(spark, sf_dir):
     """Hits whose languages stand for canonical sources and whose texts are hashed."""
     rows = _hits(spark, sf_dir).withColumns({"canonical": F.col("lang"), "hash": F.left(F.sha2("text", 256), F.lit(32))})

@@ -426,3 +426,10 @@ def test_selection_takes_nulls_and_ids_of_any_type(spark):
     assert rows(ranking.fuse(none, some), "rank", "id") == [(1, 7), (2, 8)]
     trees = spark.createDataFrame([(None,), ([],)], "nodes array<struct<href:string,label:string,children:array<struct<href:string,label:string>>>>")
     assert files.toc_rows(trees).count() == 0
+
+
+def test_greedy_selections_are_folds_of_arrays(spark):
+    rows_ = spark.createDataFrame([(1, 1, 1, "s", "t", "some words", False)], "query long, id long, pos int, source string, topic string, content string, low boolean")
+    for out in (context.select_context(rows_), ranking.diverse(rows_), ranking.dedup_variants(rows_.selectExpr("*", "source as canonical", "'' as hash"))):
+        plan = out._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and out.count() == 1
