@@ -11,7 +11,7 @@ from loreweave.operators import broad, chunking, context, evaluation, graph, res
 from loreweave.operators.routing import PlanRules, Scope
 from loreweave.plans import retrieval
 from loreweave.plans.queries import CONTEXT_FITS, COUNTS_SQL, EDGES_SQL, ENTRY_SQL, HITS_SQL, SEARCH_SQL, _counts, _edges, _entry, _fold_sql, _hits, _search, query, table
-from loreweave.sources import catalogue
+from loreweave.sources import catalogue, versioned
 from loreweave.sources.shared import shared_dir, stored
 
 # --- planning: vocabularies of the corpus's languages stand for products
@@ -535,3 +535,47 @@ def section_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), F.lit("T").alias("title"), F.array_join(marked, "\n").alias("text"))
     out = chunking.chunk_documents(docs, "source", "title", "text").where("chunk_type in ('section', 'subsection')")
     return out.select(F.col("source_md").cast("long").alias("doc_id"), "id", F.col("chunk_type").alias("kind"), F.col("heading_level").alias("level"), "start_line", "end_line", F.col("parent_id").alias("parent"), F.sha2("content", 256).alias("content"))
+
+
+# --- a corpus brought up to date: documents as files, a tenth not there at first, a seventh gone later, a fifth changed, some never fit
+
+APPLY_SQL = """
+a AS (SELECT doc_id AS source, 1 AS stamp, text FROM documents WHERE doc_id % 10 <> 0),
+b AS (SELECT doc_id AS source, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS stamp, text FROM documents WHERE doc_id % 7 <> 0),
+fa AS (SELECT source FROM documents_fit), f1 AS (SELECT * FROM a WHERE source IN (SELECT source FROM fa)),
+ch AS (SELECT coalesce(b.source, f1.source) AS source, b.stamp, b.text, CASE WHEN f1.source IS NULL THEN 'new' WHEN b.source IS NULL THEN 'deleted' WHEN b.stamp > f1.stamp THEN 'modified' END AS change FROM b FULL JOIN f1 ON b.source = f1.source)
+""".replace("(SELECT source FROM documents_fit)", "(SELECT doc_id AS source FROM documents WHERE NOT contains(text, '###'))")
+
+
+def _applied(spark, sf_dir):
+    """(path of the table, counts of the second run)."""
+    path = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.col("doc_id").alias("source"), F.lit(1).alias("stamp"), "text")
+    lines = lambda df: df.select("source", "stamp", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    fault = F.when(F.contains("text", F.lit("###")), "marks that are no text")
+    size = max(1, docs.count() // 3)  # a few commits
+    versioned.apply(files.where("source % 10 <> 0"), path, lines, fault, size)
+    later = files.where("source % 7 <> 0").withColumn("stamp", F.when(F.col("source") % 5 == 0, 2).otherwise(1))
+    return path, versioned.apply(later, path, lines, fault, size)
+
+
+@query(f"""WITH {APPLY_SQL}, ok AS (SELECT * FROM ch WHERE change IN ('new', 'modified') AND source IN (SELECT source FROM fa))
+SELECT count(*) FILTER (WHERE change = 'new') AS new, count(*) FILTER (WHERE change = 'modified') AS modified, count(*) FILTER (WHERE change = 'deleted') AS deleted,
+ (SELECT sum(len(string_split(text, chr(10))))::BIGINT FROM ok) AS rows, count(*) FILTER (WHERE change IN ('new', 'modified')) - (SELECT count(*) FROM ok) AS failed FROM ch""")
+def incremental_counts(spark, sf_dir):
+    return _applied(spark, sf_dir)[1]
+
+
+@query(f"""WITH {APPLY_SQL}, li AS (SELECT source, CASE WHEN change IN ('new', 'modified') THEN stamp ELSE 1 END AS stamp, text FROM ch WHERE (change IS NULL OR change <> 'deleted') AND source IN (SELECT source FROM fa))
+SELECT source, stamp::INTEGER AS stamp, len(string_split(text, chr(10))) AS n, sha256(text) AS hash FROM li""")
+def incremental_rows(spark, sf_dir):
+    """What the table holds after two runs, put together again from its lines."""
+    rows = versioned.read(spark, _applied(spark, sf_dir)[0])
+    text_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    return rows.groupBy("source", "stamp").agg(F.count("*").alias("n"), F.sha2(text_, 256).alias("hash"))
+
+
+@query(f"WITH {APPLY_SQL} SELECT source, stamp::INTEGER AS stamp, 'marks that are no text' AS error FROM ch WHERE change IN ('new', 'modified') AND source NOT IN (SELECT source FROM fa)")
+def incremental_errors(spark, sf_dir):
+    return versioned.errors(spark, _applied(spark, sf_dir)[0])
