@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loreweave.operators.mentions import mentions
+
 #: Fixed value: longer queries are about broad concepts.
 BROAD_CHARS = 30
 #: A symbol, a run of two or more capitalised words, a quoted phrase, a Markdown heading.
@@ -87,20 +89,6 @@ def compatible(entry_ecosystem: Column, entry_software: Column, ecosystem: Colum
     return ~(other_scope | other_home | other)
 
 
-def mentions(queries: DataFrame, glossary: DataFrame) -> DataFrame:
-    """(query, entry) of queries (query, text) and glossary (entry, terms): a term is a substring, whatever the case.
-
-    Queries and terms meet on the term's first two characters, so this is a join on
-    a key and no product. Terms have two characters at least; null text: none.
-    """
-    terms = glossary.select("entry", F.explode("terms").alias("term")).withColumn("gram", F.left(F.lower("term"), F.lit(2)))
-    # A substring may begin inside a word, so candidates are found by pairs of neighbouring letters of the term.
-    low = F.lower(F.coalesce("text", F.lit("")))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(2))))
-    asked = queries.select("query", low.alias("low"), F.explode(grams).alias("gram"))
-    return asked.join(terms, "gram").where(F.contains("low", F.lower("term"))).select("query", "entry").distinct()
-
-
 def expand_queries(queries: DataFrame, glossary: DataFrame) -> DataFrame:
     """(query, text, matched, expanded): a query with the expansions of the glossary entries that it mentions, in the glossary's order.
 

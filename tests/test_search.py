@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loreweave.operators import chunking, sparse_index, vectors
+from loreweave.operators import chunking, mentions, sparse_index, vectors
 
 SPARSE = "id long, index int, weight double"
 
@@ -102,3 +102,22 @@ def test_items_of_a_long_document_are_swept(spark):
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
     want = sorted((d, p, i) for d, i in items if i is not None for b, p, s, e in (bounds if d == "b" else [max((b for b in bounds if b[0] == d and b[1] <= i), default=("x", 0, 1, 0))]) if b == d and s <= i <= e)
     assert sorted(map(tuple, out.collect())) == want
+
+
+def test_mentions_against_plain_substrings(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcé", k=rng.randrange(1, 6))) for _ in range(300)]
+    glossary = [(i, rng.sample(words, rng.randrange(0, 4)) + ([None, ""] if i % 9 == 0 else [])) for i in range(120)] + [(200, None), (None, ["a"])]
+    asked = [(f"q{i}", " ".join(rng.choices(words, k=6)).upper()) for i in range(60)] + [("none", None), ("empty", ""), ("q1", "aab")]
+    df, g = spark.createDataFrame(asked, "query string, text string"), spark.createDataFrame(glossary, "entry long, terms array<string>")
+    want = sorted({(q, e) for q, t in asked for e, terms in glossary if e is not None and any(x and x.lower() in (t or "").lower() for x in terms or [])})
+    for most in (mentions.MOST_CHARS, 200):
+        out = mentions.mentions(df, g, most)
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, out.collect())) == want
+    assert mentions.mentions(df, g.limit(0)).count() == mentions.mentions(df.limit(0), g).count() == 0
+
+
+def test_one_pass_finds_overlapping_terms():
+    found = mentions.automaton([("he", 0), ("she", 1), ("hers", 2), ("he", 3), ("", 4)])
+    assert mentions.spotted(found, "ushers") == {0, 1, 2, 3} and mentions.spotted(found, "") == set() and mentions.spotted(None, "x") == set()
