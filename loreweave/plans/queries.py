@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.functions import metadata, text
-from loreweave.operators import chunking, context, evaluation, graph, ranking, routing, store, vectors
+from loreweave.operators import chunking, context, evaluation, graph, quantiser, ranking, routing, store, vectors
 from loreweave.plans import retrieval
 from loreweave.sources import help as help_files
 from loreweave.sources import html
@@ -131,6 +131,24 @@ def dense_search_filtered(spark, sf_dir):
     return vectors.dense_top_k(v.where("id % 20 = 0"), some, 10).withColumn("score", F.round("score", 4))
 
 
+def _approximate(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return quantiser.search(v.where("id % 20 = 0"), v, quantiser.fit(v))
+
+
+@query()
+def dense_search_approximate(spark, sf_dir):
+    """dense_search_topk by cells; a test holds its scores and its recall against the exact rows."""
+    return _approximate(spark, sf_dir)
+
+
+@query(f"""WITH {DENSE_SQL.format('')}, e AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM c QUALIFY rank <= 20) SELECT count(*) AS n, true AS enough FROM e""")
+def approximate_recall(spark, sf_dir):
+    """How many exact neighbours there are, and whether nine in ten are found by cells."""
+    out = quantiser.recall_of(_approximate(spark, sf_dir), dense_search_topk(spark, sf_dir))
+    return out.select("n", (F.col("recall") >= 0.9).alias("enough"))
+
+
 # --- fusion and boosts
 
 BM25_TAIL = r""",

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loreweave.operators import chunking, mentions, sparse_index, vectors
+from loreweave.operators import chunking, mentions, quantiser, sparse_index, vectors
 
 SPARSE = "id long, index int, weight double"
 
@@ -121,3 +121,37 @@ def test_mentions_against_plain_substrings(spark):
 def test_one_pass_finds_overlapping_terms():
     found = mentions.automaton([("he", 0), ("she", 1), ("hers", 2), ("he", 3), ("", 4)])
     assert mentions.spotted(found, "ushers") == {0, 1, 2, 3} and mentions.spotted(found, "") == set() and mentions.spotted(None, "x") == set()
+
+
+def clustered(rng, n, width=16, centres=12):
+    c = rng.normal(size=(centres, width)) * 3
+    return (c[rng.integers(0, centres, n)] + rng.normal(size=(n, width))).astype(float)
+
+
+def test_cells_find_nine_in_ten_and_score_exactly(spark):
+    rng = np.random.default_rng(4)
+    x = clustered(rng, 1500)
+    x[700:1100] = x[5]  # one cell with a quarter of all rows
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>").repartition(4)
+    odd = spark.createDataFrame([(None, x[0].tolist()), (9001, None), (9002, [1.0, None]), (9003, [1.0]), (9004, [])], "id long, embedding array<double>")
+    model = quantiser.fit(v, k=10)
+    exact = vectors.dense_top_k(v.where("id % 20 = 0"), v, 10)
+    found = quantiser.search(v.where("id % 20 = 0").unionByName(odd), v.unionByName(odd), model, 10)
+    scores = {(r.query, r.id): r.score for r in exact.collect()}
+    rows = found.collect()
+    assert quantiser.recall_of(found, exact).first().recall >= 0.9
+    assert model.probes < model.cells / 2  # clusters take few probes
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert all(abs(r.score - unit[r.query] @ unit[r.id]) < 1e-6 and r.query != r.id for r in rows)
+    assert all(abs(scores[r.query, r.id] - r.score) < 1e-6 for r in rows if (r.query, r.id) in scores)
+
+
+def test_cells_of_no_rows_and_of_parts(spark, monkeypatch):
+    empty = spark.createDataFrame([], "id long, embedding array<double>")
+    assert quantiser.fit(empty) is None and quantiser.search(empty, empty, None).count() == 0
+    x = clustered(np.random.default_rng(1), 300)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>")
+    model = quantiser.fit(v, k=5, recall=1.0, cells=4)
+    want = sorted(map(tuple, quantiser.search(v.where("id < 20"), v, model, 5).collect()))
+    monkeypatch.setattr(quantiser, "PART", 16)
+    assert sorted(map(tuple, quantiser.search(v.where("id < 20"), v, model, 5).collect())) == want
