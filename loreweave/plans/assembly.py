@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreweave.functions import markdown, metadata, text
@@ -11,7 +13,7 @@ from loreweave.operators import broad, chunking, context, evaluation, graph, res
 from loreweave.operators.routing import PlanRules, Scope
 from loreweave.plans import retrieval
 from loreweave.plans.queries import CONTEXT_FITS, COUNTS_SQL, EDGES_SQL, ENTRY_SQL, HITS_SQL, SEARCH_SQL, _counts, _edges, _entry, _fold_sql, _hits, _search, query, table
-from loreweave.sources import catalogue, versioned
+from loreweave.sources import catalogue, indexed, versioned
 from loreweave.sources.shared import shared_dir, stored
 
 # --- planning: vocabularies of the corpus's languages stand for products
@@ -579,3 +581,28 @@ def incremental_rows(spark, sf_dir):
 @query(f"WITH {APPLY_SQL} SELECT source, stamp::INTEGER AS stamp, 'marks that are no text' AS error FROM ch WHERE change IN ('new', 'modified') AND source NOT IN (SELECT source FROM fa)")
 def incremental_errors(spark, sf_dir):
     return versioned.errors(spark, _applied(spark, sf_dir)[0])
+
+
+# --- tables laid out for filters and cursors
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents WHERE lang IN ('en', 'de') AND doc_id BETWEEN 100 AND 400 AND source = 'src1'")
+def indexed_filter(spark, sf_dir):
+    """Documents partitioned by language, in order of id, with Bloom filters on the source."""
+    path = f"{shared_dir(spark)}/indexed-{uuid.uuid4().hex}"
+    indexed.write(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), path, "doc_id", ("lang",), ("source",))
+    keep = store.predicate({"lang": ["en", "de"], "source": ["src1"]}) & F.col("doc_id").between(100, 400)
+    return indexed.filtered(spark, path, keep).select("doc_id", "lang", "source", "n_chars")
+
+
+@query("SELECT ((row_number() OVER (ORDER BY o_orderkey) - 1) // (SELECT count(*) // 6 + 1 FROM orders))::INTEGER AS page, o_orderkey, o_custkey FROM orders")
+def cursor_pages(spark, sf_dir):
+    """All orders, page after page from a cursor, six pages in all."""
+    path = f"{shared_dir(spark)}/scanned-{uuid.uuid4().hex}"
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    indexed.write(orders, path, "o_orderkey")
+    pages, cursor, scan, size = [], None, indexed.scan(spark, path, "o_orderkey"), orders.count() // 6 + 1
+    while not pages or cursor is not None:
+        rows, cursor = scan.page(cursor, size)
+        pages.append(rows.select(F.lit(len(pages)).alias("page"), "o_orderkey", "o_custkey"))
+    return functools.reduce(DataFrame.unionByName, pages)
