@@ -2,26 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What a link is (label, target, fragment), and the words after which a missing space is put in.
+from loreweave.functions.text import WHITE
+
+#: What a link is (label, target, fragment); a link whose label may hold brackets; endings of images.
 LINK = r"(?<!!)\[([^\]]*)\]\(([^)\s#]+)(#[^)\s]*)?\)"
-NOTE = r"(?<=\w)(Note|Caution|Warning):"
+WHOLE_LINK = r"\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\]\([^)]+\)"
+IMAGE_ENDINGS = ("png", "jpg", "jpeg", "gif", "svg", "bmp", "webp")
+#: Words that a colon makes labels, and pairs of words that sources glue together.
+LABELS = ("Note", "Caution", "Warning", "Danger")
+GLUED = (("the", "Startmenu"), ("under", "Open"), ("to", "analyze"), ("and", "difficult"))
+#: A name with an underscore, as one of two that "or" was glued between.
+NAME = r"[A-Za-z][A-Za-z0-9]*_\w+"
+
 
+def plain_spaces(text: Column) -> Column:
+    """Non-breaking spaces and dashes in plain form, no zero-width spaces, one blank for a run of blanks; line feeds stay, but not at the ends."""
+    plain = F.replace(F.translate(text, "\u00a0\u2011\u2013\u2014", " ---"), F.lit("\u200b"), F.lit(""))
+    return F.trim(F.regexp_replace(plain, r"[ \t\r\f\x0B]+", " "), F.lit(WHITE))
 
-def polished(text: Column) -> Column:
-    """A space before and after links that touch a word, before Note: and its like and after it, and between a name and 'or' glued to it."""
-    out = F.regexp_replace(text, r"(?<=[A-Za-z0-9,;:])(\[[^\]]+\]\([^)]+\))", " $1")
-    out = F.regexp_replace(out, r"(\[[^\]]+\]\([^)]+\))(?=[A-Za-z0-9])", "$1 ")
-    out = F.regexp_replace(out, NOTE, " $1:")
-    out = F.regexp_replace(out, r"\b(Note|Caution|Warning):(?=\S)", "$1: ")
-    return F.regexp_replace(out, r"\b([a-z]+_[a-z0-9]+)or ([a-z]+_[a-z0-9]+)\b", "$1 or $2")
+
+def polished(text: Column, glued: Sequence[tuple[str, str]] = GLUED) -> Column:
+    """Markdown with the spaces that its source has lost.
+
+    The text is taken apart into links and what stands between. What ends in a
+    letter, digit or , . ; : gets a space before a link, what begins with a letter
+    or digit one after it (images have their ! before them, so none goes there).
+    Then labels get one after their colon, names one on either side of an "or"
+    between them, and glued pairs of words one in their middle. Null text: null.
+    """
+    link = WHOLE_LINK.replace("]*", "]*+").replace(")*\\]", ")*+\\]")  # one way to match only: no recursion over long labels
+    between, links = F.split(text, link, -1), F.regexp_extract_all(text, F.lit(link), F.lit(0))
+    blank = lambda when: F.when(when, " ").otherwise("")
+    last = F.size(between) - 1
+    spaced = F.transform(between, lambda x, i: F.concat(blank((i > 0) & x.rlike("^[A-Za-z0-9]")), x, blank((i < last) & x.rlike(r"[A-Za-z0-9,.;:]\z"))))
+    out = F.array_join(F.zip_with(spaced, links, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    out = F.regexp_replace(out, rf"(?U)\b({'|'.join(LABELS)}):(?=\S)", "$1: ")
+    out = F.regexp_replace(out, rf"(?U)\b({NAME})or({NAME})\b", "$1 or $2")
+    for first, second in glued:
+        out = F.regexp_replace(out, rf"(?U)\b{first}{second}\b", f"{first} {second}")
+    return plain_spaces(out)
 
 
 def images_in(text: Column, folder: str) -> Column:
-    """Image links without a folder point into one; others stay."""
-    return F.regexp_replace(text, r"!\[([^\]]*)\]\(([^)/:\s]+)\)", rf"![$1]({folder}/$2)")
+    """Links of images that are a file's name alone point into a folder; other links stay."""
+    name = rf"\s*[^)/\\\s][^)/\\]*\.(?i:{'|'.join(IMAGE_ENDINGS)})\s*"
+    return F.regexp_replace(text, rf"!\[([^\]]*)\]\(({name})\)", rf"![$1]({folder}/$2)")
 
 
 def rewritten_links(docs: DataFrame, id_col: str, text_col: str, known: DataFrame) -> DataFrame:

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 #: Fixed value: a technical token keeps its inner dots, dashes and underscores; a CJK character is a token.
 TOKEN = r"[a-z0-9]+(?:[_.\-][a-z0-9]+)*|[一-鿿]"
-#: Section titles that carry no answer, and bonuses by kind of chunk.
+#: Section titles that carry no answer, contents that are an image alone, and bonuses by kind of chunk.
 LOW_VALUE_TITLES = ("functional changes", "related information")
+BARE_IMAGE = r"(?s)^\s*(?:Image:\s*.+|!\[[^\]]*\]\([^)]+\))\s*$"
 KIND_BONUS = {"document": 0.24, "section": 0.18, "subsection": 0.16, "table": 0.16, "list": 0.10, "paragraph": 0.08, "code_block": 0.04, "image": -1.0}
+#: White space of Unicode, as characters.
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def col(x: Column | str) -> Column:
@@ -48,7 +51,7 @@ def is_low_utility(content: Column | str, kind: Column, titles: list[Column]) ->
     """
     norm = normalized(content)
     named = [normalized(x) for x in titles]
-    bare = F.trim(col(content)).rlike(r"(?s)^\s*(?:Image:\s*.+|!\[[^\]]*\]\([^)]+\))\s*$")
+    bare = F.trim(col(content)).rlike(BARE_IMAGE)
     size = F.length(norm)
     scrap = (size < 40) & ~norm.rlike("[.:;!?。；：]")
     title_only = (size < 80) & norm.isin(*named)

@@ -464,9 +464,24 @@ def rewritten_links(spark, sf_dir):
 # --- small projections, states and totals
 
 
-@query("SELECT doc_id, 'see ![a](../assets/' || source || '.png) and ![b](x/' || source || '.png)' AS body FROM documents")
+@query(rf"""
+WITH d AS (SELECT doc_id, replace(replace(split_part(text, chr(10), 1), '[', ''), ']', '') AS t FROM documents),
+x AS (SELECT doc_id, t || 'see[' || left(t, 5) || ' [%]](p.md)' || t || CASE WHEN doc_id % 3 = 0 THEN '.' ELSE '' END || '[b](q.md) Note:' || t || chr(10) || '![i](r.png)a_' || doc_id || 'orb_x toanalyze' AS s FROM d),
+y AS (SELECT doc_id, string_split_regex(s, '{markdown.WHOLE_LINK}') AS g, regexp_extract_all(s, '{markdown.WHOLE_LINK}') AS l FROM x),
+z AS (SELECT doc_id, list_reduce(list_prepend('', list_transform(g, lambda a, i: CASE WHEN i > 1 AND regexp_matches(a, '^[A-Za-z0-9]') THEN ' ' ELSE '' END || a || CASE WHEN i < len(g) AND regexp_matches(a, '[A-Za-z0-9,.;:]\z') THEN ' ' ELSE '' END || coalesce(l[i], ''))), lambda a, b: a || b) AS s FROM y),
+w AS (SELECT doc_id, regexp_replace(s, '\b(Note|Caution|Warning|Danger):([^\s])', '\1: \2', 'g') AS s FROM z)
+SELECT doc_id, trim(regexp_replace(replace(replace(regexp_replace(s, 'a_([0-9]+)orb_x', 'a_\1 or b_x'), 'toanalyze', 'to analyze'), chr(160), ' '), '[ \t\r\f\v]+', ' ', 'g'), ' ' || chr(10)) AS body FROM w""")
+def polished_text(spark, sf_dir):
+    """First lines with links, labels and names glued to them."""
+    t = F.replace(F.replace(text.title("text"), F.lit("["), F.lit("")), F.lit("]"), F.lit(""))
+    dot = F.when(F.col("doc_id") % 3 == 0, ".").otherwise("")
+    body = F.concat(t, F.lit("see["), F.left(t, F.lit(5)), F.lit(" [%]](p.md)"), t, dot, F.lit("[b](q.md) Note:"), t, F.lit("\n![i](r.png)a_"), F.col("doc_id").cast("string"), F.lit("orb_x toanalyze"))
+    return table(spark, sf_dir, "documents").select("doc_id", markdown.polished(body).alias("body"))
+
+
+@query("SELECT doc_id, 'see ![a](../assets/' || source || '.png) and ![b](x/' || source || '.png) ![c](' || source || '.htm)' AS body FROM documents")
 def image_links(spark, sf_dir):
-    body = F.concat(F.lit("see ![a]("), "source", F.lit(".png) and ![b](x/"), "source", F.lit(".png)"))
+    body = F.concat(F.lit("see ![a]("), "source", F.lit(".png) and ![b](x/"), "source", F.lit(".png) ![c]("), "source", F.lit(".htm)"))
     return table(spark, sf_dir, "documents").select("doc_id", markdown.images_in(body, "../assets").alias("body"))
 
 

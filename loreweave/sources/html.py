@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loreweave.functions.markdown import plain_spaces
+
 _SKIP = {"script", "style", "noscript", "head", "nav", "template"}
 _VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "wbr"}
 _BLOCKS = {"p", "div", "article", "section", "body", "html", "main", "header", "footer", "blockquote", "table", "ul", "ol", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
@@ -193,9 +195,7 @@ def page_title(html: Column) -> Column:
 
 def tidy(text: Column) -> Column:
     """Non-breaking and zero-width spaces, dashes and runs of blanks in their plain form; line feeds stay."""
-    plain = F.translate(text, " ‐‑‒–—―", " ------")
-    plain = F.translate(plain, "​﻿", "")
-    return F.trim(F.regexp_replace(plain, r"[ \t\r\f\x0B]+", " "))
+    return plain_spaces(text)
 
 
 def help_target(href: Column) -> Column:

@@ -405,8 +405,13 @@ def test_rebuild_and_state(spark):
 def test_markdown_text(spark):
     from loreweave.functions import markdown
 
-    assert one(spark, markdown.polished(F.col("t")), t="see[a](b.md)then textNote:use a_borc and x_1or y_2") == "see [a](b.md) then text Note: use a_borc and x_1 or y_2"
-    assert one(spark, markdown.images_in(F.col("t"), "../assets"), t="![a](p.png) ![b](x/q.png) [c](d.png)") == "![a](../assets/p.png) ![b](x/q.png) [c](d.png)"
+    polish = lambda t: one(spark, markdown.polished(F.col("t")), t=t)
+    assert polish("see[Diff-Err, GainErr [%]](topic.md) from theStartmenu underOpen STDF File toanalyze data") == "see [Diff-Err, GainErr [%]](topic.md) from the Startmenu under Open STDF File to analyze data"
+    assert polish("x.[a](b.md)then![i](p.png)more Danger:hot. A_BorC_D, dgen_2bitordgen_16bit") == "x. [a](b.md) then![i](p.png) more Danger: hot. A_B or C_D, dgen_2bit or dgen_16bit"
+    assert polish("[a](b)[c](d) (e[f](g)) \n[h](i)\n Note:Note:x xNote:y") == "[a](b)[c](d) (e [f](g)) \n[h](i)\n Note: Note: x xNote:y"
+    assert polish("\u00a0a\u2013b\u200bc \t d\n") == "a-bc d" and polish(None) is None and polish("") == ""
+    assert polish("[" + "x" * 200_000) == "[" + "x" * 200_000  # a long label that never ends
+    assert one(spark, markdown.images_in(F.col("t"), "../assets"), t="![a](p.png) ![b](x/q.png) [c](d.png) ![d](page.htm) ![e](A b.JPG) ![f](.png)") == "![a](../assets/p.png) ![b](x/q.png) [c](d.png) ![d](page.htm) ![e](../assets/A b.JPG) ![f](.png)"
     docs = spark.createDataFrame([(1, "[a](x.htm#q) ![i](x.htm) [b](y.htm) end"), (2, None), (3, "no link")], "id long, body string")
     known = spark.createDataFrame([("x.htm", "../x.md"), ("x.htm", "../z.md")], "target string, new string")
     assert rows(markdown.rewritten_links(docs, "id", "body", known), "id", "body") == [(1, "[a](../x.md#q) ![i](x.htm) [b](y.htm) end"), (2, None), (3, "no link")]
