@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loreweave.functions.markdown import plain_spaces
 
-_SKIP = {"script", "style", "noscript", "head", "nav", "template"}
+_SKIP = {"script", "style", "noscript", "head"}
 _VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "wbr"}
 _BLOCKS = {"p", "div", "article", "section", "body", "html", "main", "header", "footer", "blockquote", "table", "ul", "ol", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
 
@@ -29,10 +29,17 @@ def _mark(classes: list[str]) -> str | None:
 
 
 class _Reader(HTMLParser):
-    """Collects blocks of Markdown while the tags go by; tags may be left open."""
+    """Collects blocks of Markdown while the tags go by; tags may be left open.
+
+    A page's first blockquote, if there is one, is all of its body.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
+        self.quotes, self.done = 0, False  # blockquotes open, and whether the first one has ended
+        self.clear()
+
+    def clear(self) -> None:
         self.blocks: list[str] = []
         self.run: list[str] = []
         self.skip: list[str] = []
@@ -74,6 +81,12 @@ class _Reader(HTMLParser):
             self.blocks.append(text)
 
     def handle_starttag(self, tag, attrs):
+        if self.done:
+            return
+        if tag == "blockquote" and not self.skip:
+            if not self.quotes:
+                self.clear()
+            self.quotes += 1
         if self.skip or tag in _SKIP:
             if tag not in _VOID:
                 self.skip.append(tag)
@@ -115,6 +128,14 @@ class _Reader(HTMLParser):
             self.run.append(f"![{values.get('alt') or ''}]({values['src']})")
 
     def handle_endtag(self, tag):
+        if self.done:
+            return
+        if tag == "blockquote" and self.quotes and not self.skip:
+            self.quotes -= 1
+            if not self.quotes:
+                self.finish()
+                self.done = True
+                return
         if self.skip:
             if tag in self.skip:
                 del self.skip[len(self.skip) - 1 - self.skip[::-1].index(tag) :]
@@ -152,9 +173,18 @@ class _Reader(HTMLParser):
         self.row = None
 
     def handle_data(self, data):
-        if not self.skip:
+        if not self.skip and not self.done:
             self.run.append(data)
 
+    def finish(self) -> None:
+        if self.marked:
+            self.close_marked()
+        self.close_run()
+        if self.rows is not None:
+            self.close_row()
+            self.table(self.rows)
+            self.rows = None
+
     def table(self, rows: list[list[str]]) -> None:
         if len(rows) == 1:
             self.blocks.append(" ".join(rows[0]))
@@ -170,9 +200,7 @@ def to_markdown(html: str, title: str = "") -> str:
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
-    if reader.marked:
-        reader.close_marked()
-    reader.close_run()
+    reader.finish()
     blocks = reader.blocks
     if title and not (blocks and blocks[0].startswith("# ")):
         blocks = [f"# {title}", *blocks]

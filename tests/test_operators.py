@@ -80,6 +80,15 @@ def test_html_classes_of_help_pages():
     assert html.to_markdown(page) == "# Licences\n\nUse the [portal](portal.html).\n\n- A feature licence\n\n1. Third `x`\n\n### Sub\n\nend"
 
 
+def test_html_body_is_the_first_blockquote_and_nav_stays():
+    page = "<body><nav><ul><li><a href='a.htm'>A</a></li><li>B</li></ul></nav><p>text</p><template><p>kept</p></template></body>"
+    assert html.to_markdown(page) == "- [A](a.htm)\n- B\n\ntext\n\nkept"
+    page = "<body><h1>Out</h1><div><blockquote><h2>In</h2><blockquote>deeper</blockquote><p>more</blockquote></div><p>after</p><blockquote>second</blockquote></body>"
+    assert html.to_markdown(page, "T") == "# T\n\n## In\n\ndeeper\n\nmore"
+    assert html.to_markdown("<blockquote>open <table><tr><td>x<td>y<tr><td>z") == "open\n\n| x | y |\n| --- | --- |\n| z |  |"
+    assert html.to_markdown("</blockquote><p>x</p>") == "x"
+
+
 def test_chunker_follows_tables_lines_and_ids(spark):
     """Two piped lines without a separator are no table; sections have title, blank line, body; lines as they stand in the text."""
     body = "# A\nintro\n| x | y |\n| 1 | 2 |\n\n| a | b |\n|---|---|\n| 1 | 2 |\nafter\n```py\ncode\n```\n![alt](p.png)\n### Sub\n![i](q.png)"
