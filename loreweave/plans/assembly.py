@@ -332,6 +332,15 @@ def retrieve_linked(spark, sf_dir):
     return retrieval.retrieve(asked, docs, broad=True, glossary=_glossary(spark, sf_dir).select("entry", "terms", "expansions"), edges=edges)
 
 
+@query()
+def retrieve_planned(spark, sf_dir):
+    """Every question as its plan says: expanded, broad or not, in the languages that its version names; every fourth one's reranker fails."""
+    scope = F.when(F.col("lang") == "es", "r1").when(F.col("lang") == "fr", "r2").when(F.col("lang") == "de", "n1").otherwise("")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source", scope.alias("scope"), F.when(F.col("doc_id") % 10 == 0, "document").otherwise("paragraph").alias("kind"), (F.col("doc_id") - F.col("doc_id") % 10).alias("parent_id"))
+    failed = _asked(spark, sf_dir).where("query % 4 = 0").select("query", F.lit("timeout").alias("error"))
+    return retrieval.retrieve_planned(_asked(spark, sf_dir), docs, RULES, _glossary(spark, sf_dir), failed=failed)
+
+
 @query()
 def retrieve_by_scope(spark, sf_dir):
     """Every question in the languages that it is routed to."""

@@ -807,12 +807,47 @@ def _retrieve(spark, sf_dir, broad):
     return retrieval.retrieve(asked, docs, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), broad=broad)
 
 
-@query()
+NARROW_SQL = FUSED_SQL + r""",
+hh AS (SELECT fr2.query, fr2.id, fr2.rank AS pos, fr2.score, d.text, d.source, b.text AS query_text, lower(split_part(d.text, chr(10), 1)) AS tl FROM fr2 JOIN documents d ON d.doc_id = fr2.id JOIN benchmark b ON b.item_id = fr2.query),
+wt AS (SELECT item_id AS query, list_distinct(list_filter(string_split(lower(split_part(text, chr(10), 1)), ' '), lambda x: len(x) > 3)) AS terms FROM benchmark),
+b0 AS (SELECT hh.*, coalesce(list_sum(list_transform(terms, lambda t: contains(tl, t)::INTEGER)), 0)::INTEGER AS m, len(terms) AS n FROM hh JOIN wt USING (query)),
+b1 AS (SELECT * EXCLUDE (pos, score), score * (1 + 0.15::DOUBLE * m) AS score, row_number() OVER (PARTITION BY query ORDER BY CASE WHEN n > 0 THEN round(score * (1 + 0.15::DOUBLE * m), 6) END DESC, pos)::INTEGER AS pos FROM b0),
+r1 AS (SELECT *, m > 0 AS tm, row_number() OVER (PARTITION BY query ORDER BY CASE WHEN pos <= 20 THEN 0 ELSE 1 END, NOT m > 0, pos) AS k FROM b1),
+r2 AS (SELECT *, tm AND row_number() OVER (PARTITION BY query, source, tm ORDER BY k) <= 2 AS able FROM r1),
+r3 AS (SELECT *, able AND sum(able::INTEGER) OVER (PARTITION BY query ORDER BY k) <= 3 AS early FROM r2),
+r4 AS (SELECT *, row_number() OVER (PARTITION BY query, source ORDER BY early DESC, k) AS ins FROM r3 QUALIFY ins <= 2),
+r5 AS (SELECT *, CASE WHEN early THEN 0 WHEN NOT bool_or(early) OVER (PARTITION BY query, source) AND ins = 1 THEN 1 ELSE 2 END AS phase FROM r4),
+r6 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY phase, k)::INTEGER AS shaped FROM r5 QUALIFY shaped <= 32),
+ju AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(query_text), '\s+'), lambda x: x <> '')) AS qa,
+  list_filter(string_split_regex(lower(left(concat_ws(' | ', nullif(source, ''), nullif(split_part(text, chr(10), 1), '')) || chr(10) || text, 2400)), '\s+'), lambda x: x <> '') AS qb FROM r6),
+be AS (SELECT *, round(len(list_intersect(qa, qb))::DOUBLE / greatest(len(qa), 1), 6) AS lexical, row_number() OVER (PARTITION BY query ORDER BY round(len(list_intersect(qa, qb))::DOUBLE / greatest(len(qa), 1), 6) DESC, id)::INTEGER AS place FROM ju QUALIFY place <= 5),
+ti AS (SELECT query, id, 0 AS part, row_number() OVER (PARTITION BY query ORDER BY m DESC, round(score, 6) DESC, pos) AS place FROM b1 WHERE m > 0 QUALIFY place <= 3),
+ke AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY min(struct_pack(part := part, place := place)))::INTEGER AS rank FROM (SELECT query, id, 1 AS part, place FROM be UNION ALL SELECT * FROM ti) GROUP BY query, id),
+co AS (SELECT ke.query, ke.id, ke.rank, length(d.text) AS size, length(d.text) // 4 AS own, sum(length(d.text) // 4) OVER (PARTITION BY ke.query ORDER BY ke.rank) AS upto FROM ke JOIN documents d ON d.doc_id = ke.id),
+cu AS (SELECT *, min(rank) FILTER (WHERE upto > 4000) OVER (PARTITION BY query) AS ov, 4000 - (upto - own) AS rest FROM co)
+"""
+
+
+@query(NARROW_SQL + "SELECT cu.query, cu.id, cu.rank, round(b1.score, 4) AS score, (CASE WHEN cu.rank = ov THEN least(size, rest * 4) // 4 ELSE own END)::BIGINT AS tokens FROM cu JOIN b1 ON b1.query = cu.query AND b1.id = cu.id WHERE ov IS NULL OR cu.rank < ov OR (cu.rank = ov AND rest > 100)")
 def retrieve_narrow(spark, sf_dir):
     """The plan of retrieve() for every benchmark question."""
     return _retrieve(spark, sf_dir, False)
 
 
+@query("WITH " + COUNTS_SQL.replace("50000", "5") + ", " + FUSED_SQL.removeprefix("WITH ").split(COUNTS_SQL + ", ")[1].split("fu AS")[0].rstrip(", \n") + """,
+hi AS (SELECT de.query, b.text AS query_text, de.id, d.text, d.source, de.rank AS pos FROM de JOIN documents d ON d.doc_id = de.id JOIN benchmark b ON b.item_id = de.query WHERE de.query NOT IN (SELECT query FROM sp))""" + BM25_TAIL + """,
+s2 AS (SELECT query, id, rank FROM sp UNION ALL SELECT query, id, rank FROM br),
+fu AS (SELECT coalesce(de.query, s2.query) AS query, coalesce(de.id, s2.id) AS id, de.rank AS one, s2.rank AS two, round(coalesce(0.7::DOUBLE / (60 + de.rank), 0) + coalesce(0.3::DOUBLE / (60 + s2.rank), 0), 9) AS score FROM de FULL JOIN s2 ON de.query = s2.query AND de.id = s2.id)
+SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, one NULLS LAST, two NULLS LAST)::INTEGER AS rank FROM fu""")
+def hybrid_bm25_fallback(spark, sf_dir):
+    """A vocabulary of five terms: questions without any of them take their dense candidates in order of their words."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    counts = _counts(spark, sf_dir)
+    corpus = retrieval.Corpus(counts, stored(vectors.vocabulary(counts, docs.count(), 5), "vocabulary"))
+    return retrieval.searched(asked, docs, corpus, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")).select("query", "id", "score", "rank")
+
+
 @query()
 def retrieve_broad(spark, sf_dir):
     return _retrieve(spark, sf_dir, True)
