@@ -630,3 +630,59 @@ def cursor_pages(spark, sf_dir):
         rows, cursor = scan.page(cursor, size)
         pages.append(rows.select(F.lit(len(pages)).alias("page"), "o_orderkey", "o_custkey"))
     return functools.reduce(DataFrame.unionByName, pages)
+
+
+# --- evaluation with failures set apart, and counters of stages
+
+
+def _shared_words(query, texts):
+    """Which part of a question's words a text has; no answer for every tenth question."""
+    if query % 10 == 3:
+        raise LookupError("no answer")
+    asked, told = (set(x.lower().split()) for x in texts)
+    return round(len(asked & told) / max(1, len(asked)), 6)
+
+
+def _scored(spark, sf_dir):
+    hits = _hits(spark, sf_dir).withColumn("texts", F.array("query_text", "text"))
+    return evaluation.isolated(hits, ("query", "texts"), _shared_words)
+
+
+WORDS_SQL = HITS_SQL + r""",
+ws AS (SELECT query, id, list_distinct(list_filter(string_split_regex(lower(query_text), '\s+'), lambda x: x <> '')) AS a, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS b FROM hi),
+sc2 AS (SELECT query, id, CASE WHEN query % 10 = 3 THEN NULL ELSE round(len(list_intersect(a, b))::DOUBLE / greatest(len(a), 1), 6) END AS score FROM ws)
+"""
+
+
+@query(WORDS_SQL + "SELECT query, id, score, CASE WHEN score IS NULL THEN 'LookupError: no answer' END AS error FROM sc2")
+def isolated_scores(spark, sf_dir):
+    return _scored(spark, sf_dir).select("query", "id", "score", "error")
+
+
+@query(WORDS_SQL + """,
+ex AS (SELECT DISTINCT query, id FROM hi JOIN labels l ON l.doc_id = id AND l.quality = 1 WHERE query % 10 <> 3), n AS (SELECT query, count(*) AS n FROM ex GROUP BY query),
+rk AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM sc2 WHERE score IS NOT NULL),
+fo AS (SELECT query, count(*) AS found, min(rank) AS first FROM rk JOIN ex USING (query, id) WHERE rank <= 5 GROUP BY query)
+SELECT query, round(coalesce(found::DOUBLE / n, 0), 6) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, NULL::VARCHAR AS error FROM n LEFT JOIN fo USING (query)
+UNION ALL SELECT DISTINCT query, NULL, NULL, 'LookupError: no answer' FROM hi WHERE query % 10 = 3""")
+def eval_isolated(spark, sf_dir):
+    """Recall and first place at five of the questions that were answered, and the errors of the others."""
+    good = _hits(spark, sf_dir).select("query", "id").join(table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    per, bad = evaluation.run(stored(_scored(spark, sf_dir), "scores"), good, (5,))
+    told = per.select("query", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"), F.lit(None).cast("string").alias("error"))
+    return told.unionByName(bad.select("query", F.lit(None).cast("double").alias("recall"), F.lit(None).cast("double").alias("mrr"), "error"))
+
+
+@query(HITS_SQL + f""",
+ca AS (SELECT *, {NORMED.format('text')} AS norm FROM hi), us AS (SELECT * FROM ca WHERE length(text) <= 2000), fi AS (SELECT * FROM us WHERE pos <= 10)
+SELECT 'search' AS stage, 'n' AS counter, count(*) AS value FROM ca UNION ALL SELECT 'search', 'characters', sum(length(text))::BIGINT FROM ca UNION ALL SELECT 'short', 'n', count(*) FROM us
+UNION ALL SELECT 'first', 'n', count(*) FROM fi UNION ALL SELECT 'first', 'tokens', sum(length(text) // 4)::BIGINT FROM fi UNION ALL SELECT 'first', 'low', count(*) FILTER (WHERE length(norm) < 200) FROM fi""")
+def stage_counters(spark, sf_dir):
+    """Counts taken by the stages of one plan while it runs once."""
+    seen = evaluation.Counters()
+    rows = seen.at("search", _hits(spark, sf_dir), characters=F.sum(F.length("text")))
+    rows = seen.at("short", rows.where(F.length("text") <= 2000))
+    rows = seen.at("first", rows.where("pos <= 10"), tokens=F.sum(text.token_estimate("text")), low=F.count_if(F.length(text.normalized("text")) < 200))
+    rows.write.format("noop").mode("overwrite").save()
+    told = [(stage, name, value) for stage, counts in seen.values().items() for name, value in counts.items()]
+    return spark.createDataFrame(told, "stage string, counter string, value long")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loreweave.operators import results, vectors
+from loreweave.operators import evaluation, results, vectors
 from loreweave.operators.routing import PlanRules
 from loreweave.plans import retrieval
 
@@ -79,3 +79,27 @@ def test_in_scopes(spark, wanted):
     rows = spark.createDataFrame([(1, 1, "a1"), (1, 2, ""), (1, 3, None), (1, 4, "a2")], "query long, id long, scope string")
     out = results.in_scopes(rows, F.col("scope"), F.lit(wanted).cast("string"))
     assert sorted(r.id for r in out.collect()) == ([1, 2, 3] if wanted else [2, 3])
+
+
+def test_one_bad_question_in_fifty_is_reported_and_the_others_are_scored(spark):
+    def score(query, id_):
+        if query == 7 and id_ == 2:
+            raise KeyError("missing")
+        return 1.0 / (query + id_)
+
+    rows = spark.createDataFrame([(q, i) for q in range(50) for i in (1, 2, 3)], "query long, id long").repartition(3)
+    scored = evaluation.isolated(rows, ("query", "id"), score)
+    good, bad = evaluation.run(scored, rows.where("id = 2"), (1, 2))
+    assert [(r.query, r.error, r.failed) for r in bad.collect()] == [(7, "KeyError: 'missing'", 1)]
+    told = {(r.query, r.k): r.hit for r in good.collect()}
+    assert {q for q, _ in told} == set(range(50)) - {7} and all(told[q, 1] == 0.0 and told[q, 2] == 1.0 for q in range(50) if q != 7)
+    assert evaluation.isolated(rows.limit(0), ("query",), score).count() == 0
+
+
+def test_counters_count_what_passes(spark):
+    seen = evaluation.Counters()
+    rows = seen.at("all", spark.range(100), most=F.max("id"))
+    rows = seen.at("even", rows.where("id % 2 = 0"))
+    assert rows.count() == 50 and seen.values() == {"all": {"n": 100, "most": 99}, "even": {"n": 50}}
+    with pytest.raises(ValueError):
+        seen.at("even", rows)
