@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from loreweave.functions.text import WHITE
 
-#: What a link is (label, target, fragment); a link whose label may hold brackets; endings of images.
+#: What a link is (label, target, fragment); a link whose label may hold brackets.
 LINK = r"(?<!!)\[([^\]]*)\]\(([^)\s#]+)(#[^)\s]*)?\)"
 WHOLE_LINK = r"\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\]\([^)]+\)"
+#: The same where a match can be had in one way only, so that Java needs no recursion over long labels.
+ONE_WAY_LINK = r"\[[^\[\]]*+(?:\[[^\[\]]*+\][^\[\]]*+)*+\]\([^)]+\)"
+#: Endings of images.
 IMAGE_ENDINGS = ("png", "jpg", "jpeg", "gif", "svg", "bmp", "webp")
 #: Words that a colon makes labels, and pairs of words that sources glue together.
 LABELS = ("Note", "Caution", "Warning", "Danger")
@@ -35,7 +38,7 @@ def polished(text: Column, glued: Sequence[tuple[str, str]] = GLUED) -> Column:
     Then labels get one after their colon, names one on either side of an "or"
     between them, and glued pairs of words one in their middle. Null text: null.
     """
-    link = WHOLE_LINK.replace("]*", "]*+").replace(")*\\]", ")*+\\]")  # one way to match only: no recursion over long labels
+    link = ONE_WAY_LINK
     between, links = F.split(text, link, -1), F.regexp_extract_all(text, F.lit(link), F.lit(0))
     blank = lambda when: F.when(when, " ").otherwise("")
     last = F.size(between) - 1

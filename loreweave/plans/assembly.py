@@ -14,6 +14,7 @@ from loreweave.operators.routing import PlanRules, Scope
 from loreweave.plans import retrieval
 from loreweave.plans.queries import CONTEXT_FITS, COUNTS_SQL, EDGES_SQL, ENTRY_SQL, HITS_SQL, SEARCH_SQL, _counts, _edges, _entry, _fold_sql, _hits, _search, query, table
 from loreweave.sources import catalogue, indexed, versioned
+from loreweave.sources import help as help_files
 from loreweave.sources.shared import shared_dir, stored
 
 # --- planning: vocabularies of the corpus's languages stand for products
@@ -686,3 +687,16 @@ def stage_counters(spark, sf_dir):
     rows.write.format("noop").mode("overwrite").save()
     told = [(stage, name, value) for stage, counts in seen.values().items() for name, value in counts.items()]
     return spark.createDataFrame(told, "stage string, counter string, value long")
+
+
+@query("""SELECT doc_id AS page, 'See [next [x]](' || CASE WHEN doc_id + 1 IN (SELECT doc_id FROM documents) THEN '../d' || (doc_id + 1) % 3 || '/p' || doc_id + 1 || '.md#a' ELSE '../d' || (doc_id + 1) % 3 || '/p' || doc_id + 1 || '.htm#a' END
+ || '), [site](http://h/p.htm), [self](' || CASE WHEN doc_id % 2 = 0 THEN 'p' || doc_id || '.md' ELSE 'none.htm' END || ') ![i](p1.png).' AS text FROM documents""")
+def relinked_pages(spark, sf_dir):
+    """Documents as pages of three folders, each with a link to the next one, to another site, to itself or to nothing."""
+    text_of = lambda c: c.cast("string")
+    folder = lambda n: F.concat(F.lit("d"), text_of(n % 3), F.lit("/p"), text_of(n))
+    n = F.col("doc_id")
+    own = F.when(n % 2 == 0, F.concat(F.lit("p"), text_of(n), F.lit(".htm"))).otherwise("none.htm")
+    body = F.concat(F.lit("See [next [x]](../"), folder(n + 1), F.lit(".htm#a), [site](http://h/p.htm), [self]("), own, F.lit(") ![i](p1.png)."))
+    pages = table(spark, sf_dir, "documents").select(n.alias("page"), F.lit("Book.chm").alias("archive"), F.concat(folder(n), F.lit(".htm")).alias("path"), F.concat(F.lit("out/"), folder(n), F.lit(".md")).alias("md"), body.alias("text"))
+    return help_files.relinked(pages, pages.select("archive", "path", F.col("md").alias("target")))

@@ -807,7 +807,9 @@ def _retrieve(spark, sf_dir, broad):
     return retrieval.retrieve(asked, docs, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), broad=broad)
 
 
-NARROW_SQL = FUSED_SQL + r""",
+#: FUSED_SQL over vectors of documents only.
+DOCUMENTS_SQL = FUSED_SQL.replace("AND q.id IN (SELECT item_id FROM benchmark)", "AND q.id IN (SELECT item_id FROM benchmark) AND v.id IN (SELECT doc_id FROM documents)")
+NARROW_SQL = DOCUMENTS_SQL + r""",
 hh AS (SELECT fr2.query, fr2.id, fr2.rank AS pos, fr2.score, d.text, d.source, b.text AS query_text, lower(split_part(d.text, chr(10), 1)) AS tl FROM fr2 JOIN documents d ON d.doc_id = fr2.id JOIN benchmark b ON b.item_id = fr2.query),
 wt AS (SELECT item_id AS query, list_distinct(list_filter(string_split(lower(split_part(text, chr(10), 1)), ' '), lambda x: len(x) > 3)) AS terms FROM benchmark),
 b0 AS (SELECT hh.*, coalesce(list_sum(list_transform(terms, lambda t: contains(tl, t)::INTEGER)), 0)::INTEGER AS m, len(terms) AS n FROM hh JOIN wt USING (query)),
@@ -834,7 +836,7 @@ def retrieve_narrow(spark, sf_dir):
     return _retrieve(spark, sf_dir, False)
 
 
-@query("WITH " + COUNTS_SQL.replace("50000", "5") + ", " + FUSED_SQL.removeprefix("WITH ").split(COUNTS_SQL + ", ")[1].split("fu AS")[0].rstrip(", \n") + """,
+@query("WITH " + COUNTS_SQL.replace("50000", "5") + ", " + DOCUMENTS_SQL.removeprefix("WITH ").split(COUNTS_SQL + ", ")[1].split("fu AS")[0].rstrip(", \n") + """,
 hi AS (SELECT de.query, b.text AS query_text, de.id, d.text, d.source, de.rank AS pos FROM de JOIN documents d ON d.doc_id = de.id JOIN benchmark b ON b.item_id = de.query WHERE de.query NOT IN (SELECT query FROM sp))""" + BM25_TAIL + """,
 s2 AS (SELECT query, id, rank FROM sp UNION ALL SELECT query, id, rank FROM br),
 fu AS (SELECT coalesce(de.query, s2.query) AS query, coalesce(de.id, s2.id) AS id, de.rank AS one, s2.rank AS two, round(coalesce(0.7::DOUBLE / (60 + de.rank), 0) + coalesce(0.3::DOUBLE / (60 + s2.rank), 0), 9) AS score FROM de FULL JOIN s2 ON de.query = s2.query AND de.id = s2.id)

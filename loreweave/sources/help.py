@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.sources.html import help_target, normal_path, tidy
+from loreweave.functions.markdown import ONE_WAY_LINK
+from loreweave.sources.html import help_target, normal_path, relative_path, tidy
 
 
 class _Outline(HTMLParser):
@@ -101,3 +102,21 @@ def resolve_links(pages: DataFrame, targets: DataFrame) -> DataFrame:
     t = targets.select(F.lower("archive").alias("a"), F.lower("path").alias("p"), "target")
     return asked.join(t, ["a", "p"], "left").select("page", "href", "target", "anchor")
 
+
+
+def relinked(pages: DataFrame, targets: DataFrame) -> DataFrame:
+    """(page, text) of pages (page, archive, path, md, text): links to other help pages lead to their Markdown files, seen from md.
+
+    targets: (archive, path, target), target a file as md is. Labels may hold
+    brackets; anchors stay. Links to other sites, within the page, to what is no
+    page and to pages without a file stay as they are. Null text: null.
+    """
+    links = F.regexp_extract_all("text", F.lit(ONE_WAY_LINK), F.lit(0))
+    href = lambda link: F.regexp_extract(link, r"(?s)\]\(([^)]+)\)$", 1)
+    own = F.filter(F.array_distinct(F.transform(links, href)), lambda h: ~h.rlike(r"^(https?://|mailto:|data:|#)") & F.lower(F.regexp_replace(h, r"[?#].*$", "")).rlike(r"\.html?$"))
+    found = resolve_links(pages.select("page", "archive", "path", own.alias("hrefs")), targets).where("target is not null")
+    new = F.concat(relative_path(F.col("target"), F.col("md")), F.when(F.col("anchor") != "", F.concat(F.lit("#"), "anchor")).otherwise(""))
+    maps = found.join(pages.select("page", "md"), "page").groupBy("page", "href").agg(F.min(new).alias("new")).groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("href", "new"))).alias("_new"))
+    turned = F.transform(links, lambda x: F.concat(F.regexp_replace(x, r"(?s)\]\([^)]+\)$", "]("), F.coalesce(F.try_element_at("_new", href(x)), href(x)), F.lit(")")))
+    body = F.array_join(F.zip_with(F.split("text", ONE_WAY_LINK, -1), turned, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return pages.join(maps, "page", "left").select("page", F.when(F.col("_new").isNull(), F.col("text")).otherwise(body).alias("text"))

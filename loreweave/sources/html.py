@@ -244,3 +244,14 @@ def normal_path(base: Column, relative: Column) -> Column:
         return F.when(part.isin("", "."), done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
 
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
+def relative_path(path: Column, base: Column) -> Column:
+    """A path as a link from the file base: what both share goes, a .. for each folder of base that is left."""
+    here, there = F.split(F.regexp_replace(base, r"(^|/)[^/]*$", ""), "/"), F.split(path, "/")
+    here = F.filter(here, lambda x: x != "")
+    most = F.least(F.size(here), F.size(there) - 1)
+    steps = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
+    shared = F.aggregate(steps, F.lit(0), lambda n, i: F.when((n == i - 1) & (F.get(here, i - 1) == F.get(there, i - 1)), i).otherwise(n))
+    up = F.array_repeat(F.lit(".."), (F.size(here) - shared).cast("int"))
+    return F.array_join(F.concat(up, F.slice(there, shared + 1, F.size(there))), "/")

@@ -115,6 +115,14 @@ def test_help_links_and_paths(spark):
     assert one(spark, html.normal_path(F.col("b"), F.col("r")), b="a/b/c.md", r="/x.md") == "x.md"
 
 
+def test_pages_link_to_files(spark):
+    rel = lambda p, b: one(spark, html.relative_path(F.col("p"), F.col("b")), p=p, b=b)
+    assert [rel("a/b/c.md", "a/b/d.md"), rel("a/x.md", "a/b/d.md"), rel("z/x.md", "a/b/d.md"), rel("x.md", "d.md"), rel("a/b.md", "d.md"), rel("a/b/a/c.md", "a/a/d.md")] == ["c.md", "../x.md", "../../z/x.md", "x.md", "a/b.md", "../b/a/c.md"]
+    pages = spark.createDataFrame([(1, "One.chm", "html/a.htm", "one/html/a.md", "see [A [x]](b.htm#top), [B](ms-its:two.chm::/c.htm) [C](none.htm) [D](http://x/b.htm) [E](#in) [F](b.png) [G](b.htm)"), (2, "two.chm", "c.htm", "two/c.md", None), (3, "two.chm", "d.htm", "two/d.md", "[unclosed")], "page long, archive string, path string, md string, text string")
+    targets = spark.createDataFrame([("one.chm", "html/b.htm", "one/html/b.md"), ("two.chm", "c.htm", "two/c.md")], "archive string, path string, target string")
+    assert rows(help_files.relinked(pages, targets), "page", "text") == [(1, "see [A [x]](b.md#top), [B](../../two/c.md) [C](none.htm) [D](http://x/b.htm) [E](#in) [F](b.png) [G](b.md)"), (2, None), (3, "[unclosed")]
+
+
 def test_graph(spark):
     pages = spark.createDataFrame([("a", ["b", "a", "zz", "b", "c"]), ("b", ["a"]), ("c", [])], "source string, targets array<string>")
     edges = graph.link_edges(pages)
