@@ -86,7 +86,7 @@ def manifests(packages: DataFrame, contents: DataFrame) -> DataFrame:
 def printable_strings(content: Column, least: int = 4) -> Column:
     """Distinct runs of printable ASCII of at least so many characters, trimmed, without those of marks alone."""
     runs = F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(f"[\\x20-\\x7E]{{{least},}}"), F.lit(0))
-    return F.array_distinct(F.filter(F.transform(runs, F.trim), lambda x: x.rlike("[A-Za-z0-9]")))
+    return F.array_distinct(F.filter(F.transform(runs, lambda x: F.trim(x)), lambda x: x.rlike("[A-Za-z0-9]")))
 
 
 def resolve_links(pages: DataFrame, targets: DataFrame) -> DataFrame:

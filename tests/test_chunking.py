@@ -122,3 +122,17 @@ def test_no_python_in_the_plan(spark):
     plan = chunking.chunk_documents(df, "s", "t", "x")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
     assert chunking.chunk_documents(df.withColumn("pos", F.lit(1)), "s", "t", "x").count() == 2
+
+
+def test_paragraphs_lose_spaces_only(spark):
+    """A paragraph that starts or ends with the digit of its own place keeps it; spaces go."""
+    parts = ["0 first 0", "1 second 1", "  2 third 2 ", "   ", "y" * PARAGRAPHS_FROM]
+    got = spark.createDataFrame([("\n\n".join(parts),)], "x string").select(chunking.paragraphs(F.col("x")).alias("p")).first().p
+    assert got == ["0 first 0", "1 second 1", "2 third 2", "y" * PARAGRAPHS_FROM]
+
+
+def test_printable_strings_keep_their_digits(spark):
+    from loreweave.sources import help as help_files
+
+    raw = spark.createDataFrame([(b"0abc0\x00  1abc1 \x00",)], "x binary")
+    assert raw.select(help_files.printable_strings(F.col("x")).alias("p")).first().p == ["0abc0", "1abc1"]
