@@ -155,3 +155,40 @@ def test_cells_of_no_rows_and_of_parts(spark, monkeypatch):
     want = sorted(map(tuple, quantiser.search(v.where("id < 20"), v, model, 5).collect()))
     monkeypatch.setattr(quantiser, "PART", 16)
     assert sorted(map(tuple, quantiser.search(v.where("id < 20"), v, model, 5).collect())) == want
+
+
+def _shuffled(spark, run):
+    """Rows that run's stages write for shuffles."""
+    jvm, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+
+    def all_():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)
+        return {(found.apply(i).stageId(), found.apply(i).attemptId()): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = all_()
+    run()
+    return sum(n for k, n in all_().items() if k not in before)
+
+
+def test_a_search_shuffles_no_term_of_a_document(spark):
+    from loreweave.plans import retrieval
+
+    rng = random.Random(4)
+    pool = [f"w{i}" for i in range(150)]
+    docs = spark.createDataFrame([(i, " ".join(rng.sample(pool, 100))) for i in range(400)], "id long, text string")
+    asked = spark.createDataFrame([(1, "w1 w2 w3"), (2, "w4 nothing")], "id long, text string")
+    found = []
+    n = _shuffled(spark, lambda: found.extend(retrieval.searched(asked, docs, retrieval.Corpus.of(docs)).collect()))
+    assert len(found) == 40 and n < 400 * 100 / 4
+
+
+def test_counts_of_repeated_null_and_empty_rows(spark):
+    rows = [(1, "a b a"), (1, "c a"), (2, None), (3, ""), (None, "a"), (None, "b a"), (4, "b")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    want = [(None, "a", 2, 0), (None, "b", 1, 0), (1, "a", 3, 0), (1, "b", 1, 1), (1, "c", 1, 0), (4, "b", 1, 0)]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted(map(tuple, vectors.term_counts(df, "id", "text").collect()), key=key) == want
+    assert vectors.term_counts(df.limit(0), "id", "text").count() == 0
+    texts = spark.createDataFrame([("x", "a"), ("y", "b b")], "id string, text string")
+    assert sorted(map(tuple, vectors.term_counts(texts, "id", "text").collect())) == [("x", "a", 1, 0), ("y", "b", 2, 0)]
