@@ -32,7 +32,18 @@ def discover(seeds: DataFrame, near: DataFrame, hops: int = 2, most: int = 32) -
     return ranked(met.withColumnRenamed("nth", "at"), ["query"], [F.col("hop"), F.col("at")]).select("query", "node", F.col("rank").alias("nth"))
 
 
-def representatives(chunks: DataFrame, most_chars: int = 9000, sections: int = 2) -> DataFrame:
+#: Fixed value: sections of a source that may stand for it.
+SECTIONS = 2
+
+
+def candidates(chunks: DataFrame, sections: int = SECTIONS) -> DataFrame:
+    """(id) of chunks (id, source, kind) that representatives() may take: no other needs to be judged. Contents aren't read."""
+    own = F.row_number().over(Window.partitionBy("source", "kind").orderBy("id"))
+    rows = chunks.where(F.col("kind").isin("document", "section")).select("id", "source", "kind").withColumn("place", own)
+    return rows.where(F.col("place") <= F.when(F.col("kind") == "document", 1).otherwise(3 * sections)).select("id")
+
+
+def representatives(chunks: DataFrame, most_chars: int = 9000, sections: int = SECTIONS) -> DataFrame:
     """(source, id, score, nth) of chunks (id, source, kind, content, low, bonus): what stands for a source.
 
     Its document chunk (the first by id) if that is useful and short enough, scored

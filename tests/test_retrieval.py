@@ -103,3 +103,14 @@ def test_counters_count_what_passes(spark):
     assert rows.count() == 50 and seen.values() == {"all": {"n": 100, "most": 99}, "even": {"n": 50}}
     with pytest.raises(ValueError):
         seen.at("even", rows)
+
+
+def test_candidates_hold_all_representatives(spark):
+    from loreweave.operators import broad
+
+    rows = [(i, f"s{i % 3}", "document" if i % 20 < 2 else "section" if i % 2 else "paragraph", "x" * (i * 7 % 40) * 500, i % 4 == 0, float(i % 5)) for i in range(120)]
+    chunks = spark.createDataFrame(rows, "id long, source string, kind string, content string, low boolean, bonus double")
+    some = broad.candidates(chunks)
+    assert some.count() <= 3 * 7
+    got, want = (sorted(map(tuple, broad.representatives(x).collect())) for x in (chunks.join(some, "id", "left_semi"), chunks))
+    assert got == want and want
