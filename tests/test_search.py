@@ -227,6 +227,25 @@ def test_the_vocabulary_sorts_terms_of_tasks_not_of_texts(spark):
     assert "Generate" not in fitted[0]._jdf.queryExecution().executedPlan().toString()
 
 
+SEARCHING = (
+    "rerank_fallback", "stage_counters", "confidence", "context_priority", "dedup_variants", "isolated_scores", "rerank_lexical",
+    "rerank_missing_scores", "rerank_shape", "rerank_text", "scoped_context_package", "scoped_results", "uncontaminated", "seed_sources",
+)
+
+
+@pytest.mark.parametrize("name", SEARCHING)
+def test_queries_that_search_sort_terms_of_tasks(spark, sf, monkeypatch, name):
+    """One vocabulary for the query, out of sums that tasks have made."""
+    from loreweave.plans import assembly, queries  # noqa: F401
+
+    fitted = []
+    vocabulary = vectors.vocabulary
+    monkeypatch.setattr(vectors, "vocabulary", lambda *a: fitted.append(vocabulary(*a)) or fitted[-1])
+    queries.QUERIES[name](spark, sf)
+    plan = fitted[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(fitted) == 1 and "MapInArrow" in plan and "Generate" not in plan
+
+
 def test_one_search_for_scores_and_expected_rows(spark, sf, monkeypatch):
     """eval_isolated takes its hits from one search."""
     from loreweave.plans import assembly, queries
