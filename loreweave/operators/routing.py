@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreweave.operators.mentions import mentions
+from loreweave.sources.shared import stored
 
 #: Fixed value: longer queries are about broad concepts.
 BROAD_CHARS = 30
@@ -89,15 +90,29 @@ def compatible(entry_ecosystem: Column, entry_software: Column, ecosystem: Colum
     return ~(other_scope | other_home | other)
 
 
+def alike(glossary: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(entry, last, n, terms, rows): glossary entries of equal rows as one, with their smallest and largest entry and how many glossary rows they have.
+
+    rows: an entry's rows (columns, in order of them); terms: all of an entry's. Of
+    entries that are alike, the first says where in the glossary's order what they
+    bring comes first, the last where it comes last.
+    """
+    own = glossary.where("entry is not null").groupBy("entry").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rows"))
+    one = own.groupBy("rows").agg(F.min("entry").alias("first"), F.max("entry").alias("last"), (F.count("*") * F.size("rows")).alias("n"))
+    terms = F.flatten(F.filter(F.transform("rows", lambda r: r["terms"]), lambda t: t.isNotNull()))
+    return one.select(F.col("first").alias("entry"), "last", "n", terms.alias("terms"), "rows")
+
+
 def expand_queries(queries: DataFrame, glossary: DataFrame) -> DataFrame:
     """(query, text, matched, expanded): a query with the expansions of the glossary entries that it mentions, in the glossary's order.
 
     glossary: (entry, terms, expansions).
     """
-    found = mentions(queries, glossary).join(glossary.select("entry", "expansions"), "entry").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("entry", "expansions"))).alias("m"))
-    all_ = F.array_distinct(F.flatten(F.transform("m", lambda x: x["expansions"])))
+    kinds = stored(alike(glossary, ("expansions", "terms")), "glossary")
+    found = mentions(queries, kinds).join(kinds.select("entry", "n", "rows"), "entry").groupBy("query").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("entry", "rows"))).alias("m"))
+    all_ = F.array_distinct(F.flatten(F.transform(F.flatten(F.transform("m", lambda x: x["rows"])), lambda r: r["expansions"])))
     out = queries.join(found, "query", "left")
-    return out.select("query", "text", F.coalesce(F.size("m"), F.lit(0)).cast("int").alias("matched"), F.concat_ws(" ", "text", F.coalesce(all_, F.array().cast("array<string>"))).alias("expanded")).withColumn("matched", F.greatest("matched", F.lit(0)))
+    return out.select("query", "text", F.coalesce("n", F.lit(0)).cast("int").alias("matched"), F.concat_ws(" ", "text", F.coalesce(all_, F.array().cast("array<string>"))).alias("expanded"))
 
 
 def plan(queries: DataFrame, rules: PlanRules, glossary: DataFrame | None = None) -> DataFrame:
@@ -121,12 +136,13 @@ def plan(queries: DataFrame, rules: PlanRules, glossary: DataFrame | None = None
         base = base.withColumns({"expansions": F.array().cast("array<string>"), "extra": F.array().cast("array<string>")})
     else:
         entries = glossary.select("entry", "terms", "expansions", F.col("ecosystem").alias("e_ecosystem"), F.col("software").alias("e_software"), F.col("family").alias("e_family"))
-        met = mentions(queries, glossary).join(entries, "entry").join(base.select("query", "ecosystem", "scope_software"), "query")
+        kinds = stored(alike(entries, ("terms", "expansions", "e_ecosystem", "e_family", "e_software")), "glossary")
+        met = mentions(queries, kinds).join(kinds.select("entry", "last", F.posexplode("rows").alias("nth", "row")), "entry").select("query", "entry", "last", "nth", "row.*")
+        met = met.join(base.select("query", "ecosystem", "scope_software"), "query")
         met = met.where(compatible(F.col("e_ecosystem"), F.col("e_software"), eco, F.col("scope_software"), software_ecosystems))
-        ordered = met.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("entry", "terms", "expansions", "e_ecosystem", "e_family"))).alias("m"))
-        last = lambda name: F.element_at(F.filter(F.transform("m", lambda x: x[name]), lambda x: F.coalesce(x, F.lit("")) != ""), -1)
-        some = lambda name: F.size(F.filter(F.transform("m", lambda x: x[name]), lambda x: F.coalesce(x, F.lit("")) != "")) > 0
-        told = ordered.select("query", F.array_distinct(F.flatten(F.transform("m", lambda x: x["expansions"]))).alias("expansions"), F.flatten(F.transform("m", lambda x: F.concat(x["expansions"], x["terms"]))).alias("extra"), F.when(some("e_ecosystem"), last("e_ecosystem")).alias("g_ecosystem"), F.when(some("e_family"), last("e_family")).alias("g_family"))
+        last = lambda name: F.max(F.when(F.col(name) != "", F.struct("last", "nth", name)))[name]
+        ordered = met.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("entry", "nth", "terms", "expansions"))).alias("m"), last("e_ecosystem").alias("g_ecosystem"), last("e_family").alias("g_family"))
+        told = ordered.select("query", F.array_distinct(F.flatten(F.transform("m", lambda x: x["expansions"]))).alias("expansions"), F.flatten(F.transform("m", lambda x: F.concat(x["expansions"], x["terms"]))).alias("extra"), "g_ecosystem", "g_family")
         base = base.join(told, "query", "left").withColumn("ecosystem", F.coalesce("ecosystem", "g_ecosystem"))
         base = base.withColumn("family", F.coalesce("family", F.when(eco.isNull() | F.col("g_ecosystem").isNull() | (eco == F.col("g_ecosystem")), F.col("g_family"))))
     version = F.coalesce(*[F.when((eco == e) & holds_any(text, terms), v) for e, own in rules.versions for v, terms in own], F.lit(None).cast("string"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loreweave.operators import chunking, mentions, quantiser, sparse_index, vectors
+from loreweave.operators import chunking, mentions, quantiser, routing, sparse_index, vectors
 
 SPARSE = "id long, index int, weight double"
 
@@ -118,6 +118,58 @@ def test_mentions_against_plain_substrings(spark):
     assert mentions.mentions(df, g.limit(0)).count() == mentions.mentions(df.limit(0), g).count() == 0
 
 
+def test_no_term_of_a_glossary_goes_through_the_driver(spark, monkeypatch):
+    g = spark.range(5000).select(F.col("id").alias("entry"), F.array(F.concat(F.lit("t"), "id"), F.lit("all")).alias("terms"), F.array(F.concat(F.lit("x"), F.col("id") % 2)).alias("expansions"))
+    asked = spark.createDataFrame([(1, "of T77 and t4999"), (2, "ALL"), (3, "none")], "query long, text string")
+    broadcast, to_arrow, collect = [], [], type(asked).collect
+    rows = lambda df: sorted(map(tuple, collect(df)))
+    few = lambda df: got if len(got := collect(df)) < 10 else pytest.fail("rows at the driver")
+    with monkeypatch.context() as m:
+        m.setattr(type(asked), "toArrow", lambda df: to_arrow.append(df))
+        m.setattr(type(spark.sparkContext), "broadcast", lambda *x: broadcast.append(x))
+        m.setattr(type(asked), "collect", few)
+        for most in (mentions.MOST_CHARS, 4000):
+            found = mentions.mentions(asked, g, most)
+            assert rows(found.groupBy("query").count()) == [(1, 6), (2, 5000)]
+        told = routing.expand_queries(asked, g).select("query", "matched", "expanded")
+        assert rows(told) == [(1, 6, "of T77 and t4999 x0 x1"), (2, 5000, "ALL x0 x1"), (3, 0, "none")]
+    assert not broadcast and not to_arrow
+
+
+def test_glossary_entries_that_are_alike_count_once(spark):
+    """Ten thousand entries of which five differ: a query meets five rows, and all of them count."""
+    kinds = F.when(F.col("id") % 5 < 3, F.array(F.lit("hot"), F.concat(F.lit("k"), F.col("id") % 5))).otherwise(F.array(F.concat(F.lit("k"), F.col("id") % 5)))
+    g = spark.range(10_000).select(F.col("id").alias("entry"), kinds.alias("terms"), F.array(F.concat(F.lit("x"), F.col("id") % 5)).alias("expansions"))
+    few = routing.alike(g, ("expansions", "terms"))
+    assert sorted(tuple(r)[:3] for r in few.collect()) == [(i, 9995 + i, 2000) for i in range(5)]
+    told = routing.expand_queries(spark.createDataFrame([(1, "k4 is hot"), (2, "k3")], "query long, text string"), g)
+    assert sorted((r["query"], r.matched, r.expanded) for r in told.collect()) == [(1, 8000, "k4 is hot x0 x1 x2 x4"), (2, 2000, "k3 x3")]
+
+
+def test_plans_with_a_glossary_against_plain_loops(spark):
+    rng = random.Random(5)
+    words, some = [f"w{i}" for i in range(8)], lambda *x: rng.choice(x)
+    glossary = [(rng.randrange(30), rng.sample(words, rng.randrange(1, 4)), rng.sample("pqrs", rng.randrange(0, 3)), some(None, "", "a", "b"), some(None, "", "a1", "b1"), some(None, "", "f", "g")) for _ in range(40)]
+    glossary += [(100 + i, ["w0"], ["p"], some(None, "a", "b"), None, some("f", "g")) for i in range(20)]
+    asked = [(i, " ".join(rng.sample(words, 2) + rng.sample(["alpha", "beta", "else"], 1))) for i in range(40)]
+    rules = routing.PlanRules(ecosystems=(("a", ("alpha",)), ("b", ("beta",))), versions=(("a", (("a1", ("a1",)),)), ("b", (("b1", ("b1",)),))))
+    schema = "entry long, terms array<string>, expansions array<string>, ecosystem string, software string, family string"
+    got = routing.plan(spark.createDataFrame(asked, "query long, text string"), rules, spark.createDataFrame(glossary, schema)).collect()
+
+    def planned(query, text):
+        own = "a" if "alpha" in text else "b" if "beta" in text else None
+        met = {g[0] for g in glossary if any(t in text for t in g[1])}
+        rows = sorted((g for g in glossary if g[0] in met), key=lambda g: [(x is not None, x) for x in (*g[:4], g[5])])
+        fits = [g for g in rows if not (own and g[3] and g[3] != own) and not (own and g[4] and g[4][0] != own)]
+        last = lambda n: ([g[n] for g in fits if g[n]] or [None])[-1]
+        eco = own or last(3)
+        family = last(5) if eco is None or last(3) is None or eco == last(3) else None
+        first = lambda x: list(dict.fromkeys(x))
+        return query, eco, family, first(t for g in fits for t in [*g[2], *g[1]] if len(t) > 1), " ".join([text, *first(t for g in fits for t in g[2])])
+
+    assert sorted((r["query"], r.ecosystem, r.family, r.title_terms, r.expanded) for r in got) == [planned(*a) for a in asked]
+
+
 def test_one_pass_finds_overlapping_terms():
     found = mentions.automaton([("he", 0), ("she", 1), ("hers", 2), ("he", 3), ("", 4)])
     assert mentions.spotted(found, "ushers") == {0, 1, 2, 3} and mentions.spotted(found, "") == set() and mentions.spotted(None, "x") == set()
